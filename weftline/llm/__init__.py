@@ -1,0 +1,10 @@
+"""Operators for large training-data pipelines.
+
+Functions that run on executors are shipped by value, so a cluster needs no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules["weftline"])
