@@ -70,8 +70,8 @@ def word_spans(data: np.ndarray, is_sep: np.ndarray) -> tuple[np.ndarray, np.nda
 SEGMENT = 1 << 20
 
 
-def word_hashes(raw: bytes, is_sep: np.ndarray) -> np.ndarray:
-    """Hashes of the words of one text, in order. Long texts go in segments cut between words."""
+def word_hashes(raw: bytes, is_sep: np.ndarray, first: int | None = None) -> np.ndarray:
+    """Hashes of the words of one text, or of their ``first`` bytes, in order. Long texts go in segments cut between words."""
     out, at, n = [], 0, len(raw)
     data = np.frombuffer(raw, np.uint8)
     while at < n:
@@ -87,7 +87,7 @@ def word_hashes(raw: bytes, is_sep: np.ndarray) -> np.ndarray:
         starts, ends = word_spans(part, is_sep)
         if len(starts):
             sums, inverse = prefix_hash(part)
-            out.append(span_hash(sums, inverse, starts, ends))
+            out.append(span_hash(sums, inverse, starts, ends if first is None else np.minimum(ends, starts + first)))
         at = end
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, neardup, warc
+from . import decontaminate, fingerprint, langid, neardup, pieces, quality, warc, wordpiece
+
+TOKENIZERS = "/opt/tokenizers"
+PIECES = "piece_bpe_32k.model"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +28,30 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return wordpiece.count_tokens(read(spark, sf_dir, "documents"), *wordpiece.vocabulary(f"{tokenizers}/{PIECES}"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.rate(docs, quality.learn(docs, read(spark, sf_dir, "labels")))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.learn(docs))
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return pieces.encode_documents(read(spark, sf_dir, "documents"), pieces.load_model(f"{tokenizers}/{PIECES}"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprint, op2_warc, op3_neardup)}
+    return {f.__name__: f for f in (op1_fingerprint, op2_warc, op3_neardup, op4_token_counts, op6_quality, op8_decontaminate, op9_langid, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
