@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, langid, neardup, pieces, quality, warc, wordpiece
+from . import decontaminate, fingerprint, langid, neardup, pieces, quality, suffixes, warc, wordpiece
 
 TOKENIZERS = "/opt/tokenizers"
 PIECES = "piece_bpe_32k.model"
@@ -37,6 +37,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(docs, quality.learn(docs, read(spark, sf_dir, "labels")))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeat_counts(read(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -51,7 +55,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprint, op2_warc, op3_neardup, op4_token_counts, op6_quality, op8_decontaminate, op9_langid, op10_pieces)}
+    return {f.__name__: f for f in (op1_fingerprint, op2_warc, op3_neardup, op4_token_counts, op6_quality, op7_suffixes, op8_decontaminate, op9_langid, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
