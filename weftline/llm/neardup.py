@@ -155,9 +155,10 @@ def similarity_links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFram
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("pivot", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "doc_id")
     )
-    texts = text_bytes(docs.filter(F.col("doc_id").isNotNull()), "doc_id").join(met.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = text_bytes(docs.filter(F.col("doc_id").isNotNull()), "doc_id").join(met.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     n = partitions(spark)
-    rows = placed.join(texts, "doc_id").repartition(n, "pivot", "left", "right").sortWithinPartitions("pivot", "left", "right")
+    # Merge joins at every size: a broadcast that only small inputs allow would hide what the texts cost.
+    rows = placed.join(texts.hint("merge"), "doc_id").repartition(n, "pivot", "left", "right").sortWithinPartitions("pivot", "left", "right")
     return map_arrow(rows.select("pivot", "left", "right", "block", "doc_id", "raw"), compare_blocks(percent), "a long, b long")
 
 
@@ -168,7 +169,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = keep(spark, map_arrow(text_bytes(rows, "doc_id"), sign, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signed")
     linkable = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    classes = keep(spark, linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = keep(spark, linkable.join(classes, "set_key").filter("doc_id = rep").dropDuplicates(["set_key"]).select("doc_id", "n_shingles", "bands"), "reps")
     found = components(similarity_links(rows, reps, percent))
     labels = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("label"))
