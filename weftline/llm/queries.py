@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, langid, neardup, pieces, quality, suffixes, warc, wordpiece
+from . import decontaminate, fingerprint, langid, neardup, pieces, pii, quality, suffixes, warc, wordpiece
 
 TOKENIZERS = "/opt/tokenizers"
 PIECES = "piece_bpe_32k.model"
@@ -32,6 +32,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZ
     return wordpiece.count_tokens(read(spark, sf_dir, "documents"), *wordpiece.vocabulary(f"{tokenizers}/{PIECES}"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read(spark, sf_dir, "documents"), pii.train())
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.rate(docs, quality.learn(docs, read(spark, sf_dir, "labels")))
@@ -55,7 +59,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprint, op2_warc, op3_neardup, op4_token_counts, op6_quality, op7_suffixes, op8_decontaminate, op9_langid, op10_pieces)}
+    return {f.__name__: f for f in (op1_fingerprint, op2_warc, op3_neardup, op4_token_counts, op5_personal_data, op6_quality, op7_suffixes, op8_decontaminate, op9_langid, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
