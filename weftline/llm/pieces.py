@@ -20,6 +20,7 @@ from array import array
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from .common import batch_of, map_arrow
 
 SPACE = "▁"
 LITERAL = "\ud800"  #: stands for U+2581 of the text while it is cut; no text can hold a lone surrogate
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 LONGEST_REMEMBERED = 64
 
 
@@ -54,7 +55,7 @@ def load_model(path: str) -> tuple[list[str], list[float], list[int]]:
 
 
 class Encoder(dict):
-    """Part of a text -> its piece ids; also the decoder."""
+    """Part of a text -> its piece ids as packed 32-bit integers, so a text's ids are one join; also the decoder."""
 
     def __init__(self, pieces: list[str], scores: list[float], byte_ids: list[int]):
         super().__init__()
@@ -77,24 +78,23 @@ class Encoder(dict):
         for value, i in enumerate(byte_ids):
             self.raw[i] = bytes([value])
 
-    def best(self, part: str) -> tuple[int, ...]:
+    def best(self, part: str) -> bytes:
         """The best segmentation of one part: one pass of the automaton, relaxing at each reported end."""
         n = len(part)
-        score, back, piece = array("d", [0.0]), array("q", [0]), array("q", [-1])
-        found = self.automaton.iter(part) if len(self.automaton) else iter(())
-        match = next(found, None)
-        for end in range(n):
-            top, start, last = -math.inf, end, -1
-            if part[end] not in self.alone:
-                top = score[end] + self.fallback
-            while match is not None and match[0] == end:
-                length, i, value = match[1]
-                if score[end + 1 - length] + value > top:
-                    top, start, last = score[end + 1 - length] + value, end + 1 - length, i
-                match = next(found, None)
-            score.append(top)
-            back.append(start)
-            piece.append(last)
+        score, back, piece = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        score[0] = 0.0
+        if n > LONGEST_REMEMBERED:  # packed, so that one endless word stays small
+            score, back, piece = array("d", score), array("q", back), array("q", piece)
+        gaps = () if self.alone.issuperset(part) else [i for i, c in enumerate(part) if c not in self.alone]
+        done = 0
+        for end, (length, i, value) in self.automaton.iter(part) if len(self.automaton) else ():
+            if gaps:
+                done = self.bridge(gaps, done, end, score, back)
+            top = score[end + 1 - length] + value
+            if top > score[end + 1]:
+                score[end + 1], back[end + 1], piece[end + 1] = top, end + 1 - length, i
+        if gaps:
+            self.bridge(gaps, done, n, score, back)
         out, end = [], n
         while end:
             if piece[end] >= 0:
@@ -103,9 +103,18 @@ class Encoder(dict):
                 char = part[end - 1]
                 out += [self.byte_ids[b] for b in reversed((SPACE if char == LITERAL else char).encode())]
             end = back[end]
-        return tuple(reversed(out))
-
-    def __missing__(self, part: str) -> tuple[int, ...]:
+        return array("i", reversed(out)).tobytes()
+
+    def bridge(self, gaps: list[int], done: int, end: int, score, back) -> int:
+        """Relax the byte spellings of characters outside the vocabulary that stand before ``end`` or at it."""
+        while done < len(gaps) and gaps[done] <= end:
+            at = gaps[done]
+            if score[at] + self.fallback > score[at + 1]:
+                score[at + 1], back[at + 1] = score[at] + self.fallback, at
+            done += 1
+        return done
+
+    def __missing__(self, part: str) -> bytes:
         ids = self.best(part)
         if len(part) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:
@@ -113,13 +122,14 @@ class Encoder(dict):
             self[part] = ids
         return ids
 
+    def packed(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        marked = SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)
+        return b"".join(map(self.__getitem__, self.cut.findall(marked)))
+
     def encode(self, text: str | None) -> list[int]:
-        ids: list[int] = []
-        if text:
-            marked = SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)
-            for part in self.cut.findall(marked):
-                ids.extend(self[part])
-        return ids
+        return memoryview(self.packed(text)).cast("i").tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
@@ -132,12 +142,14 @@ def coder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*shared.value)
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encoder.encode(text)
-                out.append((doc_id, len(ids), ids, encoder.decode(ids) == (text or "")))
-            if out:
-                yield batch_of(OUT, list(zip(*out, strict=True)))
+            ids, same, sizes = [], [], [0]
+            for text in batch.column("text").to_pylist():
+                ids.append(encoder.packed(text))
+                sizes.append(len(ids[-1]) // 4)
+                same.append(encoder.decode(memoryview(ids[-1]).cast("i").tolist()) == (text or ""))
+            offsets = pa.array(np.cumsum(sizes, dtype=np.int32))
+            values = pa.Array.from_buffers(pa.int32(), sum(sizes), [None, pa.py_buffer(b"".join(ids))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes[1:], pa.int64()), pa.ListArray.from_arrays(offsets, values), pa.array(same, pa.bool_())], schema=OUT)
 
     return run
 
