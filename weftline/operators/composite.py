@@ -69,7 +69,7 @@ def popularity(rank: Column, http: Column, asked: Column) -> Column:
 
 def visibility(weights: Column, divisor: float) -> Column:
     """100 at a sum of position weights of ``divisor`` (3 for a page, 8 for a pool)."""
-    return 100 * F.least(F.lit(1.0), weights / divisor)
+    return F.when(weights.isNotNull(), 100 * F.least(F.lit(1.0), weights / divisor))
 
 
 def page_traffic(serp_weights: Column, rank: Column, http: Column, asked: Column) -> Column:
@@ -110,19 +110,20 @@ def depth(source_depth: Column, external: Column, deep: Column) -> Column:
 def transmission(read: Column, in_html: Column, rel: Column, noindex: Column, robots_ok: Column, indexed: Column, seen: Column) -> Column:
     """What a link passes on: of all rules that apply, the lowest. Nulls are unknown. Blind where an uncertain rule
     could still go below the winner."""
-    rule = lambda when, value: F.when(when, F.struct(F.lit(value).alias("v"), F.lit(value).alias("lo"), F.lit(value).alias("hi"), F.lit(False).alias("u")))
+    made = lambda v, lo, hi, u: F.struct(F.lit(v).alias("v"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(u).alias("u"))
+    rule = lambda when, value: F.when(when, made(value, value, value, False))
     true = lambda c: F.coalesce(c, F.lit(False))
     rel = F.coalesce(F.lower(rel), F.lit(""))
     page = (
-        F.when(true(noindex) | true(~robots_ok), F.struct(F.lit(0.05).alias("v"), F.lit(0.05).alias("lo"), F.lit(0.05).alias("hi"), F.lit(False).alias("u")))
-        .when(true(indexed), F.struct(F.lit(1.0), F.lit(1.0), F.lit(1.0), F.lit(False)))
-        .when(true(~indexed) & true(seen), F.struct(F.lit(0.45), F.lit(0.45), F.lit(0.45), F.lit(False)))
-        .otherwise(F.struct(F.lit(0.70), F.lit(0.05), F.lit(1.0), F.lit(True)))
+        F.when(true(noindex) | true(~robots_ok), made(0.05, 0.05, 0.05, False))
+        .when(true(indexed), made(1.0, 1.0, 1.0, False))
+        .when(true(~indexed) & true(seen), made(0.45, 0.45, 0.45, False))
+        .otherwise(made(0.70, 0.05, 1.0, True))
     )
     rules = F.array_compact(F.array(rule(true(~in_html), 0.0), rule(rel.contains("sponsored"), 0.15), rule(rel.contains("ugc"), 0.15), rule(rel.contains("nofollow"), 0.10), page))
     win = F.array_min(F.transform(rules, lambda r: r["v"]))
     unsure = F.exists(rules, lambda r: r["u"] & (r["lo"] < win))
-    low, high = (F.array_min(F.transform(rules, lambda r, k=k: r[k])) for k in ("lo", "hi"))
+    low, high = F.array_min(F.transform(rules, lambda r: r["lo"])), F.array_min(F.transform(rules, lambda r: r["hi"]))
     return F.when(~read, part(F.lit(0.70), F.lit(BLIND), F.lit(0.0), F.lit(1.0))).otherwise(part(win, F.when(unsure, BLIND).otherwise(MEASURED), low, high))
 
 
