@@ -14,6 +14,11 @@ from weftline.plans import curves as K
 FORBIDDEN_LABELS = ("measured traffic", "real traffic", "actual visits")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sigma_from_range(low: Column, high: Column) -> Column:
     """Standard deviation of ln x whose 90 % range is low to high."""
     return F.log(high / low) / (2 * K.Z90)
@@ -28,12 +33,16 @@ def interpolated(curve: dict[int, float], position: Column) -> Column:
     points = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(v).alias("v")) for p, v in sorted(curve.items())])
     below = F.filter(points, lambda x: x["p"] <= position)
     above = F.filter(points, lambda x: x["p"] >= position)
-    low, high = F.get(below, F.size(below) - 1), F.get(above, F.lit(0))
-    share = F.log(position / low["p"]) / F.log(high["p"] / low["p"])
-    exact = low["p"] == high["p"]
-    value = F.when(exact, low["v"]).otherwise(F.exp(F.log(low["v"]) + share * F.log(high["v"] / low["v"])))
-    mode = F.when(low["p"].isNull() | high["p"].isNull(), None).when(exact, "tabulated").when(high["p"] - low["p"] > 1, "gap").otherwise("interpolated")
-    return F.struct(value.alias("percent"), mode.alias("mode"))
+
+    def between(ends: Column) -> Column:
+        low, high = ends["low"], ends["high"]
+        share = F.log(position / low["p"]) / F.log(high["p"] / low["p"])
+        exact = low["p"] == high["p"]
+        value = F.when(exact, low["v"]).otherwise(F.exp(F.log(low["v"]) + share * F.log(high["v"] / low["v"])))
+        mode = F.when(low["p"].isNull() | high["p"].isNull(), None).when(exact, "tabulated").when(high["p"] - low["p"] > 1, "gap").otherwise("interpolated")
+        return F.struct(value.alias("percent"), mode.alias("mode"))
+
+    return let(F.struct(F.try_element_at(below, F.lit(-1)).alias("low"), F.get(above, F.lit(0)).alias("high")), between)
 
 
 def percents(curves: dict[str, dict[int, float]], position: Column) -> Column:
@@ -54,16 +63,24 @@ def array_geo_mean(values: Column) -> Column:
 def ctr_retained(position: Column) -> Column:
     """struct(ctr, low, high, sigma, curves): geometric mean of the curves that reach the position; a lone curve gets
     the typical disagreement as its range; none leaves it blind."""
-    v = percents(K.CURVES, position)
-    n, centre, root = F.size(v), array_geo_mean(v), math.sqrt(K.typical_disagreement())
-    low = F.when(n > 1, F.array_min(v)).otherwise(centre / root)
-    high = F.when(n > 1, F.array_max(v)).otherwise(centre * root)
-    return F.struct(centre.alias("ctr"), low.alias("low"), high.alias("high"), sigma_from_range(low, high).alias("sigma"), n.cast("long").alias("curves"))
+    root = math.sqrt(K.typical_disagreement())
+
+    def joined(v: Column) -> Column:
+        n = F.size(v)
+
+        def ranged(centre: Column) -> Column:
+            low = F.when(n > 1, F.array_min(v)).otherwise(centre / root)
+            high = F.when(n > 1, F.array_max(v)).otherwise(centre * root)
+            return F.struct(centre.alias("ctr"), low.alias("low"), high.alias("high"), sigma_from_range(low, high).alias("sigma"), n.cast("long").alias("curves"))
+
+        return let(array_geo_mean(v), ranged)
+
+    return let(percents(K.CURVES, position), joined)
 
 
 def country_sigma(position: Column, country: Column) -> Column:
     """Extra doubt for a country without its own curve: the gap between those that have one."""
-    gap = spread(percents(K.BY_COUNTRY, position))
+    gap = let(percents(K.BY_COUNTRY, position), spread)
     return F.when(country.isin(*K.COUNTRIES), 0.0).otherwise(F.log(gap) / (2 * K.Z90))
 
 
@@ -73,8 +90,8 @@ def serp_multiplier(types: Column) -> Column:
     table = F.create_map(*[F.lit(x) for k, (a, b) in K.SERP_EFFECTS.items() for x in (k, F.array(F.lit(a), F.lit(b)))])
     pair = lambda t: F.coalesce(F.try_element_at(table, t), F.raise_error(F.concat(F.lit("unknown result type: "), t)).cast("array<double>"))
     product = lambda i: F.greatest(F.lit(K.SERP_FLOOR), F.aggregate(types, F.lit(1.0), lambda a, t: a * F.get(pair(t), F.lit(i))))
-    low, high = product(0), product(1)
-    return F.struct(low.alias("low"), high.alias("high"), geo_mean2(low, high).alias("centre"), sigma_from_range(low, high).alias("sigma"))
+    both = F.struct(product(0).alias("low"), product(1).alias("high"))
+    return let(both, lambda b: F.struct(b["low"].alias("low"), b["high"].alias("high"), geo_mean2(b["low"], b["high"]).alias("centre"), sigma_from_range(b["low"], b["high"]).alias("sigma")))
 
 
 def parse_bucket(text: Column) -> Column:
@@ -96,11 +113,19 @@ def volume_central(exact: Column, single: Column, low: Column, high: Column) ->
 
 def estimate(volume: Column, position: Column, country: Column, types: Column) -> Column:
     """struct(centre, low, high, sigma, state) of one query's clicks; BLIND where no curve reaches the position."""
-    ctr, serp = ctr_retained(position), serp_multiplier(types)
-    centre = volume["centre"] * ctr["ctr"] / 100 * serp["centre"]
-    sigma = F.sqrt(sum((F.pow(s, F.lit(2.0)) for s in (volume["sigma"], ctr["sigma"], serp["sigma"], country_sigma(position, country))), F.lit(0.0)))
-    width = F.exp(K.Z90 * sigma)
-    return F.struct(centre.alias("centre"), (centre / width).alias("low"), (centre * width).alias("high"), sigma.alias("sigma"), F.when(centre.isNull(), "BLIND").otherwise("MEASURED").alias("state"))
+    inputs = F.struct(volume.alias("volume"), ctr_retained(position).alias("ctr"), serp_multiplier(types).alias("serp"), country_sigma(position, country).alias("country"))
+
+    def clicks(i: Column) -> Column:
+        centre = i["volume"]["centre"] * i["ctr"]["ctr"] / 100 * i["serp"]["centre"]
+        sigma = F.sqrt(sum((F.pow(s, F.lit(2.0)) for s in (i["volume"]["sigma"], i["ctr"]["sigma"], i["serp"]["sigma"], i["country"])), F.lit(0.0)))
+        return F.struct(centre.alias("centre"), sigma.alias("sigma"))
+
+    def ranged(e: Column) -> Column:
+        width = F.exp(K.Z90 * e["sigma"])
+        state = F.when(e["centre"].isNull(), "BLIND").otherwise("MEASURED")
+        return F.struct(e["centre"].alias("centre"), (e["centre"] / width).alias("low"), (e["centre"] * width).alias("high"), e["sigma"].alias("sigma"), state.alias("state"))
+
+    return let(let(inputs, clicks), ranged)
 
 
 def estimate_domain(estimates: DataFrame, key: str) -> DataFrame:

@@ -1 +1,244 @@
-"""Queries."""
+"""HTML, URL, robots and text queries over pages and documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from weftline.functions import html as H
+from weftline.functions import urls as U
+from weftline.queries.registry import query
+
+c = F.col
+HOST = "regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\\.', '')"
+PATH = "CASE WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) END"
+#: Pages whose relative links become links to other sites with a rel, so that link queries see all kinds.
+EXTERNAL = "replace(html, 'href=\"/', 'rel=\"' || coalesce(rel, '') || '\" href=\"https://site' || (page_id * 7 % 23) || '.org/a&amp;b')"
+
+
+def external(p):
+    return p.withColumn("html", F.replace(c("html"), F.lit('href="/'), F.concat(F.lit('rel="'), F.coalesce("rel", F.lit("")), F.lit('" href="https://site'), c("page_id") * 7 % 23, F.lit(".org/a&amp;b"))))
+
+
+@query("host_of", "v_pages", sql=f"SELECT page_id, {HOST} AS host FROM v_pages")
+def host_of(p):
+    return p.select("page_id", U.host_of(c("url")).alias("host"))
+
+
+@query("path_depth", "v_pages", sql=f"SELECT page_id, len(list_filter(string_split({PATH}, '/'), lambda x: x <> '')) AS depth FROM v_pages")
+def path_depth(p):
+    return p.select("page_id", U.path_depth(c("url")).alias("depth"))
+
+
+@query("absolutize", "v_pages", sql=f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/x/y' WHEN 1 THEN regexp_extract(url, '^([a-z]+:)', 1) || '//other.org/z'
+ WHEN 2 THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || regexp_replace({PATH}, '[^/]*$', '') || 'rel.html' ELSE 'https://abs.org/' END AS link FROM v_pages""")
+def absolutize(p):
+    href = F.when(c("page_id") % 4 == 0, "/x/y").when(c("page_id") % 4 == 1, "//other.org/z").when(c("page_id") % 4 == 2, "rel.html").otherwise("https://abs.org/")
+    return p.select("page_id", U.absolutize(c("url"), href).alias("link"))
+
+
+PIECES = f"pieces AS (SELECT page_id, rel AS page_rel, unnest(list_slice(string_split_regex({EXTERNAL}, '(?i)<a\\s'), 2, 100000)) AS piece FROM v_pages)"
+LINKS = f"""{PIECES}, cut AS (SELECT page_id, regexp_extract(piece, '^([^>]*)>?', 1) AS tag, regexp_replace(piece, '^[^>]*>?', '') AS after FROM pieces),
+ bodies AS (SELECT page_id, tag, CASE WHEN strpos(lower(substring(after, 1, 1200)), '</a') > 0 THEN substring(after, 1, strpos(lower(substring(after, 1, 1200)), '</a') - 1) ELSE substring(after, 1, 300) END AS body FROM cut),
+ links AS (SELECT DISTINCT page_id, replace(regexp_extract(tag, '(?i)(?:^|\\s)href\\s*=\\s*["'']([^"'']*)["'']', 1), '&amp;', '&') AS href, lower(regexp_extract(tag, '(?i)(?:^|\\s)rel\\s*=\\s*["'']([^"'']*)["'']', 1)) AS rel,
+ substring(trim(regexp_replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), 1, 160) AS anchor FROM bodies)"""
+
+
+@query("links_extract", "v_pages", sql=f"WITH {LINKS} SELECT page_id, href, rel, anchor FROM links WHERE href <> ''")
+def links_extract(p):
+    return external(p).select("page_id", F.inline(H.links(c("html"))))
+
+
+@query("links_extract_unquoted", "v_pages", sql=f"WITH {PIECES} SELECT page_id, href, count(*) AS n FROM (SELECT page_id, regexp_extract(regexp_extract(piece, '^([^>]*)', 1), '(?i)(?:^|\\s)href\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1) AS href FROM pieces) WHERE href <> '' GROUP BY ALL")
+def links_extract_unquoted(p):
+    return external(p).select("page_id", F.explode(H.links_unquoted(c("html"))).alias("href")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
+
+
+@query("links_extract_closed", "v_pages", sql=f"WITH {LINKS} SELECT page_id, count(*) AS n FROM links WHERE anchor <> '' GROUP BY page_id")
+def links_extract_closed(p):
+    return external(p).select("page_id", F.size(H.links_closed(c("html"))).cast("long").alias("n")).filter("n > 0")
+
+
+@query("links_gateway", "v_pages", sql=f"WITH {LINKS} SELECT page_id, count(*) AS n FROM links WHERE href LIKE '%site7.org%' GROUP BY page_id")
+def links_gateway(p):
+    return external(p).select("page_id", F.explode(H.links(c("html"))).alias("l")).filter(U.true_destination(c("l.href"), F.lit("site7.org"))).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query("rel_follow", "v_pages", sql="SELECT page_id, CASE WHEN rel IS NULL THEN 'FOLLOW' ELSE 'NOFOLLOW' END AS follow, CASE page_id % 4 WHEN 1 THEN 'nofollow' WHEN 2 THEN 'ugc' WHEN 3 THEN 'sponsored' ELSE 'dofollow' END AS kind FROM v_pages")
+def rel_follow(p):
+    kind = H.rel_kind(c("rel"))
+    return p.select("page_id", F.when(kind == "dofollow", "FOLLOW").otherwise("NOFOLLOW").alias("follow"), kind.alias("kind"))
+
+
+@query("rel_canonical", "v_pages", sql="SELECT page_id, CASE page_id % 4 WHEN 1 THEN 'nofollow' WHEN 2 THEN 'nofollow+ugc' WHEN 3 THEN 'sponsored' ELSE 'dofollow' END AS rel FROM v_pages")
+def rel_canonical(p):
+    return p.select("page_id", H.rel_canonical(c("rel")).alias("rel"))
+
+
+@query("external_links", "v_pages", sql=f"WITH {LINKS} SELECT DISTINCT page_id, regexp_extract(href, '^https://([^/]+)', 1) AS host FROM links WHERE href LIKE 'https://%'")
+def external_links(p):
+    return external(p).select("page_id", F.explode(H.external_hosts(c("html"), U.host_of(c("url")))).alias("host"))
+
+
+@query("agg_distinct_external_hosts", "v_pages", sql=f"WITH {LINKS} SELECT v.page_id, count(DISTINCT regexp_extract(href, '^https://([^/]+)', 1)) FILTER (href LIKE 'https://%') AS n_hosts FROM v_pages v LEFT JOIN links USING (page_id) GROUP BY v.page_id")
+def agg_distinct_external_hosts(p):
+    return external(p).select("page_id", F.size(H.external_hosts(c("html"), U.host_of(c("url")))).cast("long").alias("n_hosts"))
+
+
+READABLE = "trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '\\s+', ' ', 'g'))"
+
+
+@query("readable_text", "v_pages", sql=f"SELECT page_id, {READABLE} AS readable FROM v_pages")
+def readable_text(p):
+    return p.select("page_id", H.readable_text(c("html")).alias("readable"))
+
+
+@query("indexability", "v_pages", sql="SELECT page_id, noindex OR page_id % 7 = 0 AS noindex, page_id % 7 = 0 AS page_nofollow, CASE WHEN page_id % 3 = 0 THEN url END AS canonical FROM v_pages")
+def indexability(p):
+    meta = F.concat(F.when(c("noindex"), '<meta name="robots" content="NOINDEX, follow">').otherwise(""), F.when(c("page_id") % 3 == 0, F.concat(F.lit('<link rel="canonical" href="'), "url", F.lit('">'))).otherwise(""))
+    header = F.when(c("page_id") % 7 == 0, "noindex, nofollow")
+    return p.select("page_id", H.indexability(F.concat(meta, "html"), header).alias("i")).select("page_id", "i.*")
+
+
+@query("robots_simple", "v_pages", sql="SELECT page_id, page_id % 4 = 0 AS blocks_all, CASE WHEN page_id % 5 = 0 THEN 'BLIND' ELSE 'MEASURED' END AS state FROM v_pages")
+def robots_simple(p):
+    text = F.when(c("page_id") % 4 == 0, "User-agent: *\nCrawl-delay: 2\nDisallow: /\n").when(c("page_id") % 4 == 1, "User-agent: bot\nDisallow: /\n").when(c("page_id") % 4 == 2, "User-agent: *\nDisallow: /private\n").otherwise("")
+    http = F.when(c("page_id") % 5 == 0, 503).when(c("page_id") % 5 == 1, 404).otherwise(200)
+    return p.select("page_id", H.robots_blocks_all(text).alias("blocks_all"), F.when(http.isin(200, 404), "MEASURED").otherwise("BLIND").alias("state"))
+
+
+RULES = (("disallow", "/private"), ("allow", "/private/open"), ("disallow", "/*.pdf$"), ("disallow", "/en"), ("allow", "/en/4"))
+
+
+@query("robots_longest_match", "v_pages", sql=f"""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '/private/open/' || page_id WHEN 1 THEN '/private/x' WHEN 2 THEN '/f' || page_id || '.pdf' WHEN 3 THEN '/a.pdf?x' ELSE {PATH} END AS path FROM v_pages)
+ SELECT page_id, CASE WHEN path LIKE '/private/open%' THEN true WHEN path LIKE '/private%' THEN false WHEN path LIKE '/en/4%' THEN true WHEN path LIKE '%.pdf' THEN false WHEN path LIKE '/en%' THEN false ELSE true END AS allowed FROM p""")
+def robots_longest_match(p):
+    """The longest rule that matches wins; allow beats an equally long disallow."""
+    m = c("page_id") % 5
+    path = F.when(m == 0, F.concat(F.lit("/private/open/"), "page_id")).when(m == 1, "/private/x").when(m == 2, F.concat(F.lit("/f"), "page_id", F.lit(".pdf"))).when(m == 3, "/a.pdf?x").otherwise(U.path_of(c("url")))
+    hits = [F.when(F.expr("path").rlike(_regex(rule)), F.struct(F.lit(len(rule) + 0.5 * (kind == "allow")).alias("n"), F.lit(kind == "allow").alias("ok"))) for kind, rule in RULES]
+    best = F.array_max(F.array_compact(F.array(*hits)))
+    return p.withColumn("path", path).select("page_id", F.coalesce(best["ok"], F.lit(True)).alias("allowed"))
+
+
+def _regex(rule: str) -> str:
+    import re
+
+    end = "$" if rule.endswith("$") else ""
+    return "^" + ".*".join(map(re.escape, rule.rstrip("$").split("*"))) + end
+
+
+@query("robots_prefix", "v_pages", sql=f"SELECT page_id, NOT ({PATH} LIKE '/en%' OR {PATH} LIKE '/fr/8%') AS allowed FROM v_pages")
+def robots_prefix(p):
+    path = U.path_of(c("url"))
+    return p.select("page_id", (~(F.startswith(path, F.lit("/en")) | F.startswith(path, F.lit("/fr/8")))).alias("allowed"))
+
+
+def spam_inputs(p):
+    host = U.host_of(c("url"))
+    rows = external(p).select("page_id", host.alias("host"), H.readable_text(c("html")).alias("text"), H.external_hosts(c("html"), host).alias("hosts"), F.size(H.links(c("html"))).alias("n_links"), F.octet_length("html").alias("n_bytes"))
+    domain = F.when(c("page_id") % 11 == 0, "10.2.3.4").when(c("page_id") % 13 == 0, "best-nulled.xyz").when(c("page_id") % 17 == 0, "me.github.io").otherwise(c("host"))
+    http = F.when(c("page_id") % 9 == 0, 403).otherwise(200)
+    text = F.when(c("page_id") % 6 == 0, F.concat("text", F.lit(" we sell a guest post here"))).when(c("page_id") % 8 == 0, F.concat("text", F.lit(" a link costs $150 only"))).when(c("page_id") % 10 == 0, F.concat("text", F.lit(" casino"))).otherwise(c("text"))
+    return rows.select("page_id", http.alias("http"), H.spam_signals(domain, text, F.when(F.size("hosts") > 0, c("n_links")).otherwise(0), F.size("hosts"), c("n_bytes"), http).alias("signals"))
+
+
+SPAM = f"""WITH {LINKS}, n AS (SELECT page_id, count(*) FILTER (href <> '') AS n_links FROM links GROUP BY page_id),
+ t AS (SELECT page_id, octet_length(encode(html)) AS n_bytes, CASE WHEN page_id % 9 = 0 THEN 403 ELSE 200 END AS http, CASE WHEN page_id % 11 = 0 THEN '10.2.3.4' WHEN page_id % 13 = 0 THEN 'best-nulled.xyz' WHEN page_id % 17 = 0 THEN 'me.github.io' ELSE {HOST} END AS domain, {READABLE.replace('html,', EXTERNAL + ',', 1)} || CASE WHEN page_id % 6 = 0 THEN ' we sell a guest post here' WHEN page_id % 8 = 0 THEN ' a link costs $150 only' WHEN page_id % 10 = 0 THEN ' casino' ELSE '' END AS text FROM v_pages),
+ u AS (SELECT t.*, octet_length(encode(text)) AS size, coalesce(n_links, 0) AS n_links, list_filter(string_split_regex(text, '[.!?]\\s'), lambda s: length(s) > 40) AS sentences FROM t LEFT JOIN n USING (page_id)),
+ v AS (SELECT page_id, http, http = 200 AS r, regexp_matches(domain, '^\\d+(\\.\\d+){{3}}$') AS s1, regexp_matches(domain, '\\.(xyz|top|click|link|work)$') AS s2, domain LIKE '%.github.io' AS s3, regexp_matches(domain, '(apk|crack|nulled|warez|torrent|keygen|free-?download)') AS s4,
+ CASE WHEN size < 5000 AND n_bytes > 100000 THEN NULL WHEN size > 0 THEN n_links / (size / 1024) END AS ratio, size < 900 AND NOT (size < 5000 AND n_bytes > 100000) AS thin, regexp_matches(text, '(?i)(guest\\s*post|sponsored\\s*post|paid\\s*(post|link|article)|buy\\s*(a\\s*)?link)') AS sells, regexp_matches(text, 'link costs \\$150') AS price, regexp_matches(text, '(?i)(casino|betting|poker|viagra|cialis|escort|porn|xxx)') AS off,
+ len(sentences) > 12 AND 1 - len(list_distinct(list_transform(sentences, lambda s: substring(s, 1, 60)))) / len(sentences) > 0.35 AS rep FROM u),
+ w AS (SELECT page_id, http, (CASE WHEN s1 THEN 30 ELSE 0 END + CASE WHEN s2 THEN 10 ELSE 0 END + CASE WHEN s3 THEN 8 ELSE 0 END + CASE WHEN s4 THEN 35 ELSE 0 END + CASE WHEN r AND ratio > 12 THEN 25 WHEN r AND ratio > 6 THEN 12 ELSE 0 END + CASE WHEN r AND thin THEN 15 ELSE 0 END + CASE WHEN r AND sells THEN 40 WHEN r AND price THEN 22 ELSE 0 END + CASE WHEN r AND off THEN 25 ELSE 0 END + CASE WHEN r AND rep THEN 18 ELSE 0 END) AS total FROM v)"""
+
+
+@query("spam_signals", "v_pages", sql=f"{SPAM} SELECT page_id, CAST(least(100, total) AS BIGINT) AS score FROM w")
+def spam_signals(p):
+    return spam_inputs(p).select("page_id", H.spam_score(c("signals")).cast("long").alias("score"))
+
+
+@query("spam_verdict", "v_pages", sql=f"{SPAM} SELECT CASE WHEN http <> 200 THEN 'UNREAD' WHEN total >= 55 THEN 'SPAM' WHEN total >= 25 THEN 'DOUBTFUL' ELSE 'CLEAN' END AS verdict, count(*) AS n FROM w GROUP BY ALL")
+def spam_verdict(p):
+    return spam_inputs(p).select(H.spam_verdict(H.spam_score(c("signals")), c("http")).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+NORMAL = "trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query("normalize_text", "v_texts", sql=f"SELECT doc_id, sha256({NORMAL}) AS digest, CAST(length({NORMAL}) AS BIGINT) AS n FROM v_texts")
+def normalize_text(t):
+    return t.select("doc_id", H.normalize_text(c("text")).alias("x")).select("doc_id", F.sha2("x", 256).alias("digest"), F.length("x").cast("long").alias("n"))
+
+
+@query("strip_host", "v_pages", sql="SELECT page_id, CASE page_id % 2 WHEN 0 THEN 'partners ' || page_id ELSE 'about us' END AS slug FROM v_pages")
+def strip_host(p):
+    slug = F.when(c("page_id") % 2 == 0, F.concat(F.lit("tradehub partners "), "page_id")).otherwise("about tradehub us")
+    return p.select("page_id", H.strip_host(slug, F.lit("tradehub.com")).alias("slug"))
+
+
+TERMS_1, TERMS_2 = ("tion", "ment", "schaft", "ando"), ("the", "eau", "ung", "cion", "ver")
+
+
+@query("terms_found", "v_texts", sql=f"SELECT doc_id, list_sort(list_filter({list(TERMS_1 + TERMS_2)}, lambda t: contains({NORMAL}, t))) AS terms FROM v_texts".replace("AS terms", "AS t") .replace("SELECT doc_id, list_sort", "SELECT doc_id, array_to_string(list_sort").replace(") AS t ", "), ',') AS terms "))
+def terms_found(t):
+    return t.select("doc_id", F.array_join(F.array_sort(H.terms_found(H.normalize_text(c("text")), TERMS_1 + TERMS_2)), ",").alias("terms"))
+
+
+@query("coherence_page", "v_texts", sql=f"SELECT doc_id, round(100 * least(1, len(list_filter({list(TERMS_1)}, lambda t: contains({NORMAL}, t))) / 12 + 0.4::DOUBLE * len(list_filter({list(TERMS_2)}, lambda t: contains({NORMAL}, t))) / 12), 6) AS coherence FROM v_texts")
+def coherence_page(t):
+    x = t.select("doc_id", H.normalize_text(c("text")).alias("x"))
+    n1, n2 = F.size(H.terms_found(c("x"), TERMS_1)), F.size(F.array_except(H.terms_found(c("x"), TERMS_2), H.terms_found(c("x"), TERMS_1)))
+    return x.select("doc_id", F.round(100 * F.least(F.lit(1.0), n1 / 12 + 0.4 * n2 / 12), 6).alias("coherence"))
+
+
+@query("coherence_site", "v_texts", sql=f"WITH s AS (SELECT source, len(list_filter({list(TERMS_1)}, lambda t: contains({NORMAL}, t))) > 0 AS h1, len(list_filter({list(TERMS_2)}, lambda t: contains({NORMAL}, t))) > 0 AS h2 FROM v_texts) SELECT source, round(100 * least(1, avg(CASE WHEN h1 THEN 1 ELSE 0 END) + 0.4 * avg(CASE WHEN h2 AND NOT h1 THEN 1 ELSE 0 END)), 6) AS coherence FROM s GROUP BY source")
+def coherence_site(t):
+    x = t.select("source", H.normalize_text(c("text")).alias("x"))
+    h1, h2 = F.size(H.terms_found(c("x"), TERMS_1)) > 0, F.size(H.terms_found(c("x"), TERMS_2)) > 0
+    part = lambda ok: F.avg(F.when(ok, 1.0).otherwise(0.0))
+    return x.groupBy("source").agg(F.round(100 * F.least(F.lit(1.0), part(h1) + 0.4 * part(h2 & ~h1)), 6).alias("coherence"))
+
+
+@query("subject_filter", "v_texts", sql="SELECT lang, count(*) AS n FROM v_texts WHERE contains(lower(text), 'tionst') OR contains(lower(text), 'eaumen') GROUP BY lang")
+def subject_filter(t):
+    return t.filter(H.on_subject(c("text"), ("tionst", "eaumen"))).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("candidate_neighbourhood", "v_pages", sql="SELECT page_id, page_id % 3 = 0 AS near FROM v_pages")
+def candidate_neighbourhood(p):
+    gap = F.when(c("page_id") % 3 == 0, F.lpad(F.lit(""), 100, "x")).otherwise(F.lpad(F.lit(""), 4000, "x"))
+    text = F.concat(F.lit("see https://cand.org/a "), gap, F.lit(" target.com "), F.lpad(F.lit(""), 2000, "y"))
+    return p.select("page_id", F.array_contains(H.near_target(text, F.lit("target.com")), "https://cand.org/a").alias("near"))
+
+
+@query("unwrap_redirect", "v_pages", sql="SELECT page_id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN 'https://go.net/?x=' || page_id ELSE 'https://t.org/' || page_id END AS target FROM v_pages")
+def unwrap_redirect(p):
+    encoded = F.url_encode(c("url"))
+    wrapped = F.when(c("page_id") % 3 == 0, F.concat(F.lit("https://go.net/l?a=1&uddg="), encoded)).when(c("page_id") % 3 == 1, F.concat(F.lit("https://go.net/?x="), "page_id")).otherwise(F.concat(F.lit("https://go.net/?q=word&u=https%3A%2F%2Ft.org%2F"), "page_id"))
+    return p.select("page_id", U.unwrap_redirect(wrapped).alias("target"))
+
+
+@query("engine_answered", "v_pages", sql="SELECT page_id, strpos(lower(substring(html, 901)), 'article') > 0 AS answered FROM v_pages")
+def engine_answered(p):
+    return p.select("page_id", H.engine_answered(c("html"), F.lit("Article")).alias("answered"))
+
+
+@query("internal_likely", "v_pages", sql="""WITH l AS (SELECT page_id, href FROM (SELECT DISTINCT page_id, regexp_extract(piece, '^[^>]*href="(/[^"]*)"', 1) AS href FROM (SELECT page_id, unnest(list_slice(string_split_regex(html, '(?i)<a\\s'), 2, 100000)) AS piece FROM v_pages)) WHERE regexp_matches(href, '(?i)(link|part|the|and)'))
+ SELECT page_id, href FROM l QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY href) <= 4""")
+def internal_likely(p):
+    """Up to four internal links that look like pages of links."""
+    hrefs = F.array_distinct(F.transform(H.links(c("html")), lambda x: x["href"]))
+    kept = F.slice(F.array_sort(F.filter(hrefs, lambda h: F.startswith(h, F.lit("/")) & h.rlike("(?i)(link|part|the|and)"))), 1, 4)
+    return p.select("page_id", F.explode(kept).alias("href"))
+
+
+@query("uule", "v_pages", sql="SELECT page_id, 'w+CAIQICI' || to_base64(encode('Paris,' || page_id)) AS uule FROM v_pages")
+def uule(p):
+    return p.select("page_id", F.concat(F.lit("w+CAIQICI"), F.base64(F.encode(F.concat(F.lit("Paris,"), "page_id"), "UTF-8"))).alias("uule"))
+
+
+@query("ts14_to_iso", "v_queue", sql="SELECT seq, strftime(taken_at, '%Y-%m-%dT%H:%M:%SZ') AS iso, CAST(date_diff('day', CAST(taken_at AS DATE), DATE '2024-02-10') AS BIGINT) AS days FROM v_queue")
+def ts14_to_iso(q):
+    from weftline.sources.parsers import timestamp14
+
+    t = timestamp14(F.date_format("taken_at", "yyyyMMddHHmmss"))
+    return q.select("seq", F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"), F.datediff(F.lit("2024-02-10").cast("date"), t.cast("date")).cast("long").alias("days"))

@@ -1 +1,107 @@
-"""Queries."""
+"""Streaming queries with their batch twins as oracles, and the crawl queue's state queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from weftline.queries.registry import query
+from weftline.streaming import runs as S
+
+c = F.col
+
+
+@query("stream_append", sql="SELECT event_type, count(*) AS n, CAST(max(date_diff('day', CAST(ts AS DATE), DATE '2024-02-01')) AS BIGINT) AS oldest_days FROM events GROUP BY event_type")
+def stream_append(spark, sf_dir):
+    """Every row is taken, however late; age is the reading's date against the event's."""
+    rows = S.finish(S.read_events(spark, sf_dir).select("event_type", F.datediff(F.lit("2024-02-01").cast("date"), c("ts").cast("date")).cast("long").alias("age")))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.max("age").alias("oldest_days"))
+
+
+@query("stream_dedup", sql="SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events")
+def stream_dedup(spark, sf_dir):
+    keyed = S.read_events(spark, sf_dir).withColumn("day", c("ts").cast("date"))
+    return S.finish(S.deduplicated(keyed, ["user_id", "event_type", "day"]).select("user_id", "event_type", "day"))
+
+
+@query("stream_tumbling_day", sql="SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_tumbling_day(spark, sf_dir):
+    return S.finish(S.windowed(S.read_events(spark, sf_dir), "1 day"), "complete").withColumn("start", c("start").cast("timestamp_ntz"))
+
+
+@query("stream_sliding_hour", sql="SELECT CAST(time_bucket(INTERVAL 6 HOUR, ts) - to_hours(k * 6) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events, range(4) t(k) GROUP BY ALL")
+def stream_sliding_hour(spark, sf_dir):
+    return S.finish(S.windowed(S.read_events(spark, sf_dir), "24 hours", "6 hours"), "complete").withColumn("start", c("start").cast("timestamp_ntz"))
+
+
+@query("stream_rate", sql="""WITH d AS (SELECT date_trunc('hour', ts) AS h, event_type, count(*) AS n FROM events GROUP BY ALL), l AS (SELECT *, lag(n) OVER w AS before, epoch(h) - epoch(lag(h) OVER w) AS s FROM d WINDOW w AS (PARTITION BY event_type ORDER BY h))
+ SELECT CAST(h AS TIMESTAMP) AS start, event_type, CASE WHEN s = 3600 THEN round((n - before) / s, 8) END AS rate FROM l""")
+def stream_rate(spark, sf_dir):
+    """Speed of each counter between two publications, from a stream's hourly counts."""
+    hourly = S.finish(S.windowed(S.read_events(spark, sf_dir), "1 hour"), "complete")
+    w = Window.partitionBy("event_type").orderBy("start")
+    seconds = F.unix_timestamp("start") - F.unix_timestamp(F.lag("start").over(w))
+    return hourly.select(c("start").cast("timestamp_ntz").alias("start"), "event_type", F.when(seconds == 3600, F.round((c("n") - F.lag("n").over(w)) / seconds, 8)).alias("rate"))
+
+
+@query("stream_runs_sessions", sql="""WITH g AS (SELECT user_id, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 1800 THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+ SELECT min(ts) AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_runs_sessions(spark, sf_dir):
+    return S.finish(S.sessions(S.read_events(spark, sf_dir)), "complete").withColumn("start", c("start").cast("timestamp_ntz"))
+
+
+@query("state_host_lease", sql="""WITH RECURSIVE o AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+ r AS (SELECT user_id, event_id, i, true AS granted, epoch(ts) + 3600 AS free_at FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.event_id, o.i, epoch(o.ts) >= r.free_at, CASE WHEN epoch(o.ts) >= r.free_at THEN epoch(o.ts) + 3600 ELSE r.free_at END FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
+ SELECT user_id, event_id, granted FROM r""")
+def state_host_lease(spark, sf_dir):
+    return S.finish(S.leased(S.read_events(spark, sf_dir).select("user_id", "event_id", "ts"), 3600.0)).select("user_id", "event_id", "granted")
+
+
+@query("state_task_lease", sql="""WITH RECURSIVE o AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type = 'click'),
+ r AS (SELECT user_id, event_id, i, true AS granted, epoch(ts) + 90 AS free_at FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.event_id, o.i, epoch(o.ts) >= r.free_at, CASE WHEN epoch(o.ts) >= r.free_at THEN epoch(o.ts) + 90 ELSE r.free_at END FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
+ SELECT user_id, count(*) FILTER (granted) AS n_granted, count(*) AS n FROM r GROUP BY user_id""")
+def state_task_lease(spark, sf_dir):
+    rows = S.finish(S.leased(S.read_events(spark, sf_dir).filter("event_type = 'click'").select("user_id", "event_id", "ts"), 90.0))
+    return rows.groupBy("user_id").agg(F.count(F.when(c("granted"), 1)).alias("n_granted"), F.count("*").alias("n"))
+
+
+@query("state_machine", sql="SELECT event_type, CASE WHEN event_type = 'error' THEN 'wall' WHEN event_type = 'view' THEN 'empty' WHEN value > 50 THEN 'read' ELSE 'mention' END AS state, count(*) AS n FROM events GROUP BY ALL")
+def state_machine(spark, sf_dir):
+    """Transitions of candidate pages as they are read: waiting becomes read, mention, empty or wall."""
+    state = F.when(c("event_type") == "error", "wall").when(c("event_type") == "view", "empty").when(c("value") > 50, "read").otherwise("mention")
+    moved = S.finish(S.read_events(spark, sf_dir).select("event_type", state.alias("state")))
+    return moved.groupBy("event_type", "state").agg(F.count("*").alias("n"))
+
+
+FREE = "waiting AS (SELECT q.* FROM v_queue q WHERE state = 'waiting' AND NOT EXISTS (SELECT 1 FROM v_hosts h WHERE h.host = q.host AND h.busy_until > TIMESTAMP '2024-01-15 00:00:00'))"
+
+
+@query("state_queue_pick", "v_queue", "v_hosts", sql=f"WITH {FREE} SELECT seq, host, priority FROM waiting WHERE priority >= 2 ORDER BY priority, depth, seq LIMIT 1")
+def state_queue_pick(q, h):
+    """The next page of band 2, or of a less important one: never of a more important one, never of a busy host."""
+    busy = h.filter("busy_until > TIMESTAMP_NTZ '2024-01-15 00:00:00'").select("host")
+    return q.filter("state = 'waiting' AND priority >= 2").join(busy, "host", "left_anti").orderBy("priority", "depth", "seq").limit(1).select("seq", "host", "priority")
+
+
+@query("state_host_cap", "v_queue", sql="SELECT seq, host FROM v_queue WHERE state = 'waiting' QUALIFY row_number() OVER (PARTITION BY host ORDER BY priority, depth, seq) <= 5")
+def state_host_cap(q):
+    w = Window.partitionBy("host").orderBy("priority", "depth", "seq")
+    return q.filter("state = 'waiting'").withColumn("rn", F.row_number().over(w)).filter("rn <= 5").select("seq", "host")
+
+
+@query("crash_recovery", "v_queue", sql="SELECT seq, CASE WHEN state = 'busy' AND taken_at < TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 10 MINUTE THEN 'waiting' ELSE state END AS state FROM v_queue")
+def crash_recovery(q):
+    stale = (c("state") == "busy") & (c("taken_at") < F.expr("TIMESTAMP_NTZ '2024-01-20 12:00:00' - INTERVAL 10 MINUTES"))
+    return q.select("seq", F.when(stale, "waiting").otherwise(c("state")).alias("state"))
+
+
+@query("cache_ttl", "v_hosts", sql="SELECT host, last_at >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 24 HOUR AS fresh FROM v_hosts")
+def cache_ttl(h):
+    return h.select("host", (c("last_at") >= F.expr("TIMESTAMP_NTZ '2024-01-30 12:00:00' - INTERVAL 24 HOURS")).alias("fresh"))
+
+
+@query("freshness_gate", "v_journal", sql="SELECT seq, CASE WHEN measured_at < TIMESTAMP '2024-01-29 22:00:00' THEN NULL ELSE value END AS value, CASE WHEN measured_at < TIMESTAMP '2024-01-29 22:00:00' THEN 'BLIND' ELSE state END AS state FROM v_journal")
+def freshness_gate(j):
+    """Counters older than two hours are shown as blind."""
+    stale = c("measured_at") < F.expr("TIMESTAMP_NTZ '2024-01-30 00:00:00' - INTERVAL 2 HOURS")
+    return j.select("seq", F.when(~stale, c("value")).alias("value"), F.when(stale, "BLIND").otherwise(c("state")).alias("state"))
