@@ -54,14 +54,14 @@ def stream_runs_sessions(spark, sf_dir):
  r AS (SELECT user_id, event_id, i, true AS granted, epoch(ts) + 3600 AS free_at FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.event_id, o.i, epoch(o.ts) >= r.free_at, CASE WHEN epoch(o.ts) >= r.free_at THEN epoch(o.ts) + 3600 ELSE r.free_at END FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
  SELECT user_id, event_id, granted FROM r""")
 def state_host_lease(spark, sf_dir):
-    return S.finish(S.leased(S.read_events(spark, sf_dir).select("user_id", "event_id", "ts"), 3600.0)).select("user_id", "event_id", "granted")
+    return S.leased(S.read_events(spark, sf_dir).select("user_id", "event_id", "ts"), 3600.0).select("user_id", "event_id", "granted")
 
 
 @query("state_task_lease", sql="""WITH RECURSIVE o AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type = 'click'),
  r AS (SELECT user_id, event_id, i, true AS granted, epoch(ts) + 90 AS free_at FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.event_id, o.i, epoch(o.ts) >= r.free_at, CASE WHEN epoch(o.ts) >= r.free_at THEN epoch(o.ts) + 90 ELSE r.free_at END FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
  SELECT user_id, count(*) FILTER (granted) AS n_granted, count(*) AS n FROM r GROUP BY user_id""")
 def state_task_lease(spark, sf_dir):
-    rows = S.finish(S.leased(S.read_events(spark, sf_dir).filter("event_type = 'click'").select("user_id", "event_id", "ts"), 90.0))
+    rows = S.leased(S.read_events(spark, sf_dir).filter("event_type = 'click'").select("user_id", "event_id", "ts"), 90.0)
     return rows.groupBy("user_id").agg(F.count(F.when(c("granted"), 1)).alias("n_granted"), F.count("*").alias("n"))
 
 

@@ -8,10 +8,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -65,24 +64,47 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 day") ->
 LEASE = "user_id long, event_id long, granted boolean, free_at double"
 
 
+def grant(hold_seconds: float):
+    """Rows sorted by key, the key's stored state first, then by time -> decisions. One number is held at a time, so a
+    key with any number of requests passes through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, free = None, float("-inf")
+        for batch in batches:
+            out = []
+            for user_id, event_id, at, stored in zip(*(batch.column(c).to_pylist() for c in ("user_id", "event_id", "at", "stored")), strict=True):
+                if user_id != key:
+                    key, free = user_id, float("-inf")
+                if stored:
+                    free = at
+                    continue
+                if granted := at >= free:
+                    free = at + hold_seconds
+                out.append((user_id, event_id, granted, free))
+            columns = list(zip(*out, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.float64()), strict=True)], names=["user_id", "event_id", "granted", "free_at"])
+
+    return run
+
+
 def leased(stream: DataFrame, hold_seconds: float = 60.0) -> DataFrame:
-    """One holder per key at a time: a request is granted if the last lease has run out. State is one number per key,
-    dropped a day after the key was last seen."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        free = state.get[0] if state.exists else float("-inf")
-        out, last = [], 0.0
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for event_id, ts in zip(rows["event_id"], rows["ts"], strict=True):
-            last = ts.timestamp()
-            if granted := last >= free:
-                free = last + hold_seconds
-            out.append((key[0], event_id, granted, free))
-        state.update((free,))
-        state.setTimeoutDuration(86_400_000)
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "granted", "free_at"])
-
-    return stream.groupBy("user_id").applyInPandasWithState(step, LEASE, "free double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    """One holder per key at a time: a request is granted if the last lease has run out. Each batch reads the state the
+    batch before has written (a number per key) and writes its own under its number, so a batch that is run again
+    after a failure gives the same."""
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
+    numbers: list[int] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        rows = batch.select("user_id", "event_id", F.unix_micros("ts").cast("double").alias("us")).select("user_id", "event_id", (F.col("us") / 1e6).alias("at"), F.lit(False).alias("stored"))
+        old = spark.read.parquet(f"{folder}/state/{numbers[-1]}") if numbers else None
+        if old is not None:
+            rows = rows.unionByName(old.select("user_id", F.lit(None).cast("long").alias("event_id"), F.col("free_at").alias("at"), F.lit(True).alias("stored")))
+        ordered = rows.repartition("user_id").sortWithinPartitions("user_id", F.desc("stored"), "at", "event_id")
+        ordered.mapInArrow(grant(hold_seconds), LEASE).write.mode("overwrite").parquet(f"{folder}/out/{number}")
+        new = spark.read.parquet(f"{folder}/out/{number}").select("user_id", "free_at")
+        both = new if old is None else new.unionByName(old)
+        both.groupBy("user_id").agg(F.max("free_at").alias("free_at")).write.mode("overwrite").parquet(f"{folder}/state/{number}")
+        numbers.append(number)
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(LEASE).parquet(*[f"{folder}/out/{n}" for n in numbers])
