@@ -139,7 +139,7 @@ def pivots(reps: DataFrame) -> DataFrame:
     member = keep(spark, member.join(full, "bucket"), "members")
     met = member.groupBy("doc_id").agg(F.sum("size").alias("met"))
     ranked = member.join(met, "doc_id")
-    best = ranked.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("minus"))).alias("best"))
+    best = keep(spark, ranked.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("minus"))).alias("best")), "best")
     return member.join(best, "bucket").select((-F.col("best.minus")).alias("pivot"), "doc_id", "n_shingles").distinct()
 
 
@@ -147,7 +147,7 @@ def similarity_links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFram
     """(a, b): links that connect what full sets show as similar. ``reps``: doc_id, n_shingles, bands."""
     spark = docs.sparkSession
     met = keep(spark, pivots(reps), "pivots")
-    groups = met.groupBy("pivot").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
+    groups = keep(spark, met.groupBy("pivot").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles")), "groups")
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     placed = (
         met.join(groups.select("pivot", blocks.alias("blocks")), "pivot")
