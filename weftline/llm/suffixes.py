@@ -8,8 +8,9 @@ the left, by deep-shallow sorting: multikey quicksort over characters of 8 bytes
 blind tries for the groups that still agree. Two occurrences share the string that takes l bytes to the
 left and 208 - l to the right if they stand together in both orders; the array of common prefixes tells.
 
-Groups around one core hold each distinct surrounding once. Groups of over HOT surroundings are cut by
-longer cores, of 348 bytes, into parts of smaller surroundings, with nothing lost.
+Groups around one core hold each distinct surrounding once. A group of over HOT surroundings never meets
+in one task: its 209 possible strings are halved into ranges with longer cores and smaller surroundings,
+counted by hash, and only ranges that stay undecided are cut again, down to the single string; nothing is lost.
 
 Defined cases: a null or empty text has no bytes and keeps the digest of none; texts of under 400 bytes
 lose nothing; matches never cross documents; repeated rows are each other's copies; a null doc_id is a
@@ -32,9 +33,9 @@ LENGTH = 400
 CORE = 192
 SLACK = LENGTH - CORE
 SHALLOW = 4  #: characters of 8 bytes that multikey quicksort looks at
-HOT = 20_000
-PARTS = 4  #: longer cores that a hot group is cut by
-BATCH_ROWS = 20_000
+HOT = 2_000
+PARTS = 4  #: ranges that an undecided range of a hot group is cut into
+BATCH_ROWS = 10_000
 
 
 def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,17 +65,30 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 SIGNED = pa.schema(
-    [("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.string()), ("at", pa.list_(pa.int32())), ("core", pa.list_(pa.int64())), ("around", pa.list_(pa.int64()))]
+    [("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.string()), ("at", pa.list_(pa.int32())), ("core", pa.list_(pa.int64())), ("around", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())), ("own", pa.list_(pa.int32()))]
 )
-SIGNED_DDL = "doc_id long, text_key long, n_bytes long, sha256 string, at array<int>, core array<long>, around array<long>"
+SIGNED_DDL = "doc_id long, text_key long, n_bytes long, sha256 string, at array<int>, core array<long>, around array<long>, times array<int>, own array<int>"
+
+
+def once_each(at: np.ndarray, core: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(at, core, around, times, own): each core with its surroundings once, the first of them, counted up to two; own:
+    starts that the text itself repeats. A periodic text has a core at each period, and ships one."""
+    if not len(at):
+        return at, core, around, at, at
+    by = np.lexsort((around, core))
+    new = np.concatenate([[True], (core[by][1:] != core[by][:-1]) | (around[by][1:] != around[by][:-1])])
+    starts = np.flatnonzero(new)
+    counts = np.diff(np.append(starts, len(by)))
+    first = by[starts]
+    return at[first], core[first], around[first], np.minimum(counts, 2), np.sort(at[by[np.repeat(counts > 1, counts)]])
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for doc_id, key, raw in rows_of([batch], "doc_id", "text_key", "raw"):
-            at, core, around = anchors(raw)
-            out.append((doc_id, key, len(raw), hashlib.sha256(raw).hexdigest(), at.astype(np.int32), core.view(np.int64), around.view(np.int64)))
+            at, core, around, times, own = once_each(*anchors(raw))
+            out.append((doc_id, key, len(raw), hashlib.sha256(raw).hexdigest(), at.astype(np.int32), core.view(np.int64), around.view(np.int64), times.astype(np.int32), own.astype(np.int32)))
         if out:
             yield batch_of(SIGNED, list(zip(*out, strict=True)))
 
@@ -201,47 +215,70 @@ def shared_windows(group: np.ndarray, left: list[bytes], right: list[bytes], sla
     return least, most
 
 
-EDGE_DDL = "core long, slack int, doc_id long, text_key long, at int, left binary, right binary"
-
-
-def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts and their open cores -> the surroundings of each; a hot one in PARTS with longer cores."""
-    schema = pa.schema([("core", pa.int64()), ("slack", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("at", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
-    small = SLACK // PARTS
-    for doc_id, key, raw, places in rows_of(batches, "doc_id", "text_key", "raw", "open"):
-        out, n = [], len(raw)
-        for place in places or ():
-            at, core = place["at"], place["core"]
-            cuts = [(at, core, SLACK)]
-            if place["hot"]:
-                cuts = [(at - small * j, None, small) for j in range(PARTS)]
-            for start, core, slack in cuts:
-                end = start + LENGTH - slack
-                if start < 0 or end > n:
-                    continue
-                if core is None:
-                    core = int.from_bytes(hashlib.blake2b(raw[start:end], digest_size=8).digest(), signed=True)
-                out.append((core, slack, doc_id, key, start, raw[max(0, start - slack) : start][::-1], raw[end : end + slack]))
-        if out:
-            yield batch_of(schema, list(zip(*out, strict=True)))
+EDGE_DDL = "core long, doc_id long, text_key long, at int, left binary, right binary"
+
+
+def cut_out(hot: bool):
+    """Texts and their open cores -> the surroundings of each core of a hot group, or of the others."""
+    schema = pa.schema([("core", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("at", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_id, key, raw, places in rows_of(batches, "doc_id", "text_key", "raw", "open"):
+            out = []
+            for place in places or ():
+                if place["hot"] == hot:
+                    at, end = place["at"], place["at"] + CORE
+                    out.append((place["core"], doc_id, key, at, raw[max(0, at - SLACK) : at][::-1], raw[end : end + SLACK]))
+            if out:
+                yield batch_of(schema, list(zip(*out, strict=True)))
+
+    return run
+
+
+def resolve_hot(spark, edges: DataFrame) -> DataFrame:
+    """Covered stretches of hot groups, by counts alone. A row stands for the strings that take low..high bytes to the
+    left of its core; what all of them hold is the row's core, what any of them holds its surroundings. Surroundings
+    that are seen twice cover the whole range; where a core has several, some of them seen once, the range is cut into
+    PARTS and looked at again."""
+    taken = lambda side, n: F.substring(side, F.lit(1), n)
+    rows = edges.select("*", F.lit(0).alias("low"), F.lit(SLACK).alias("high"))
+    found = None
+    while True:
+        step = F.ceil((F.col("high") - F.col("low") + 1) / PARTS).cast("int")
+        parts = rows.withColumn("step", step).withColumn("start", F.explode(F.sequence(F.col("low"), F.col("high"), F.col("step"))))
+        parts = parts.withColumn("high", F.least(F.col("start") + F.col("step") - 1, F.col("high"))).withColumn("low", F.col("start")).drop("step", "start")
+        parts = parts.filter((F.octet_length("left") >= F.col("low")) & (F.octet_length("right") >= SLACK - F.col("high")))
+        inner = F.xxhash64("core", "low", "high", taken("left", F.col("low")), taken("right", SLACK - F.col("high")))
+        outer = F.xxhash64(F.col("inner"), taken("left", F.col("high")), taken("right", SLACK - F.col("low")), F.least(F.octet_length("left"), F.col("high")))
+        parts = keep(spark, parts.withColumn("inner", inner).withColumn("outer", outer), "hot")
+        kinds = keep(spark, parts.groupBy("inner", "outer").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "text_key", "at")).alias("first")), "hot-kinds")
+        undecided = keep(spark, kinds.groupBy("inner").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).filter("kinds > 1 and least = 1").select("inner"), "hot-undecided")
+        counted = keep(spark, parts.join(kinds, ["inner", "outer"]), "hot-counted")
+        sure = counted.filter("times > 1").select("doc_id", "text_key", "at", F.greatest("low", SLACK - F.octet_length("right")).alias("least"), F.least("high", F.octet_length("left")).alias("most")).filter("least <= most")
+        found = sure if found is None else found.unionByName(sure)
+        first = F.struct("doc_id", "text_key", "at") == F.col("first")  # one of each kind goes on, for the others to meet
+        rows = counted.filter(first & F.expr("low < high")).join(undecided, "inner").select(*edges.columns, "low", "high")
+        if rows.isEmpty():
+            break
+    return found.select("doc_id", "text_key", (F.col("at") - F.col("most")).alias("first"), (F.col("at") - F.col("least") + LENGTH).alias("last"))
 
 
 def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Surroundings sorted by (slack, core) -> covered stretches (doc_id, text_key, first, last)."""
+    """Surroundings sorted by core -> covered stretches (doc_id, text_key, first, last)."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
     rows, at, number, groups = [], None, 0, []
 
     def close():
-        least, most = shared_windows(np.array(groups), [r[5] for r in rows], [r[6] for r in rows], rows[0][1])
-        return [(rows[i][2], rows[i][3], rows[i][4] - int(most[i]), rows[i][4] - int(least[i]) + LENGTH) for i in np.flatnonzero(most >= 0)]
+        least, most = shared_windows(np.array(groups), [r[4] for r in rows], [r[5] for r in rows], SLACK)
+        return [(rows[i][1], rows[i][2], rows[i][3] - int(most[i]), rows[i][3] - int(least[i]) + LENGTH) for i in np.flatnonzero(most >= 0)]
 
-    for row in rows_of(batches, "core", "slack", "doc_id", "text_key", "at", "left", "right"):
-        if (row[1], row[0]) != at:
-            if rows and (len(rows) >= BATCH_ROWS or row[1] != rows[0][1]):
+    for row in rows_of(batches, "core", "doc_id", "text_key", "at", "left", "right"):
+        if row[0] != at:
+            if len(rows) >= BATCH_ROWS:
                 if out := close():
                     yield batch_of(schema, list(zip(*out, strict=True)))
                 rows, groups = [], []
-            at, number = (row[1], row[0]), number + 1
+            at, number = row[0], number + 1
         rows.append(row)
         groups.append(number)
     if rows and (out := close()):
@@ -278,21 +315,27 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     document that repeats anything, raw, ``full`` (starts of cores that are wholly repeated) and ``edges``."""
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     signed = keep(spark, map_arrow(keyed(docs), sign, SIGNED_DDL).withColumn("row", F.monotonically_increasing_id()), "signed")
-    cores = signed.select("row", F.explode(F.arrays_zip("at", "core", "around")).alias("c")).select("row", "c.at", "c.core", "c.around")
-    often = cores.groupBy("core").agg(F.count("*").alias("times")).filter("times > 1").select("core")
+    cores = signed.select("row", F.explode(F.arrays_zip("at", "core", "around", "times")).alias("c")).select("row", "c.at", "c.core", "c.around", "c.times")
+    # What a join meets on a hot core is written first: fresh exchanges on both sides can be split.
+    often = keep(spark, cores.groupBy("core").agg(F.sum("times").alias("total")).filter("total > 1").select("core"), "often")
     again = keep(spark, cores.join(often.hint("merge"), "core"), "cores")
-    kinds = keep(spark, again.groupBy("core", "around").agg(F.count("*").alias("times"), F.min(F.struct("row", "at")).alias("first")), "kinds")
-    open_cores = kinds.groupBy("core").agg(F.count("*").alias("around_count"), F.min("times").alias("least")).filter("around_count > 1 and least = 1").select("core", (F.col("around_count") > HOT).alias("hot"))
+    kinds = keep(spark, again.groupBy("core", "around").agg(F.sum("times").alias("times"), F.min(F.struct("row", "at")).alias("first")), "kinds")
+    open_cores = keep(spark, kinds.groupBy("core").agg(F.count("*").alias("around_count"), F.min("times").alias("least")).filter("around_count > 1 and least = 1").select("core", (F.col("around_count") > HOT).alias("hot")), "open")
     opened = kinds.join(open_cores, "core").select("first.row", "first.at", "core", "hot").groupBy("row").agg(F.collect_list(F.struct("at", "core", "hot")).alias("open"))
-    full = again.join(kinds.filter("times > 1").select("core", "around"), ["core", "around"]).groupBy("row").agg(F.collect_list("at").alias("full"))
-    names = signed.select("row", "doc_id", "text_key")
+    full = again.drop("times").join(kinds.filter("times > 1").select("core", "around"), ["core", "around"]).groupBy("row").agg(F.collect_list("at").alias("full"))
+    names = signed.select("row", "doc_id", "text_key", "own")
     wanted = names.join(full.join(opened, "row", "full"), "row").groupBy("doc_id", "text_key").agg(
-        F.array_distinct(F.flatten(F.collect_list("full"))).alias("full"), F.array_distinct(F.flatten(F.collect_list("open"))).alias("open")
+        F.array_distinct(F.flatten(F.array_append(F.collect_list(F.coalesce("full", F.array().cast("array<int>"))), F.flatten(F.collect_list("own"))))).alias("full"),
+        F.array_distinct(F.flatten(F.collect_list("open"))).alias("open"),
     )
     texts = keep(spark, keyed(docs).hint("merge").join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]), "texts")
-    edges = map_arrow(texts.filter(F.size("open") > 0).select("doc_id", "text_key", "raw", "open"), cut_out, EDGE_DDL)
-    lonely = edges.repartition(n, "slack", "core").sortWithinPartitions("slack", "core")
-    found = map_arrow(lonely, resolve, "doc_id long, text_key long, first int, last int").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "last")).alias("edges"))
+    undecided = texts.select("doc_id", "text_key", "raw", "open")
+    cool = map_arrow(undecided.filter(F.exists("open", lambda x: ~x["hot"])), cut_out(False), EDGE_DDL)
+    stretches = map_arrow(cool.repartition(n, "core").sortWithinPartitions("core"), resolve, "doc_id long, text_key long, first int, last int")
+    hot = undecided.filter(F.exists("open", lambda x: x["hot"]))
+    if not hot.isEmpty():
+        stretches = stretches.unionByName(resolve_hot(spark, map_arrow(hot, cut_out(True), EDGE_DDL)))
+    found = stretches.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "last")).alias("edges"))
     covered = texts.drop("open").hint("merge").join(found, ["doc_id", "text_key"], "left")
     return signed.select("doc_id", "text_key", "n_bytes", "sha256"), covered
 
