@@ -39,7 +39,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DIGIT = re.compile(r"[0-9]")
-NODE = re.compile(r"\S*[0-9@]\S*")
+NODE = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")  #: a token with a digit or @; starts at token starts alone, so an endless word costs one pass
 
 
 def luhn(digits: str) -> bool:
