@@ -100,8 +100,8 @@ class Encoder(dict):
             if piece[end] >= 0:
                 out.append(piece[end])
             else:
-                char = part[end - 1]
-                out += [self.byte_ids[b] for b in reversed((SPACE if char == LITERAL else char).encode())]
+                char = {LITERAL: SPACE, SPACE: " "}.get(part[end - 1], part[end - 1])
+                out += [self.byte_ids[b] for b in reversed(char.encode())]
             end = back[end]
         return array("i", reversed(out)).tobytes()
 
