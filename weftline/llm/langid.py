@@ -206,7 +206,7 @@ def identify(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]]) ->
     return map_arrow(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], least: float = 0.4) -> DataFrame:
     """``docs`` without the documents whose language stays undecided: ``und`` or a score under ``least``. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
