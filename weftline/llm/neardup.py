@@ -29,7 +29,7 @@ from .shingles import band_hashes, min_max_signature, permutations, set_key, shi
 
 PERMUTATIONS = 64
 ROWS = 4
-BLOCK_DOCS = 512
+BLOCK_DOCS = 256
 BLOCK_SHINGLES = 1_000_000
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
