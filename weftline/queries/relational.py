@@ -308,11 +308,11 @@ def agg_correlated_interval(p):
 
 
 @query("agg_rate", "v_journal", sql="""WITH d AS (SELECT domain, seq, k - lag(k) OVER w AS dk, epoch(measured_at) - epoch(lag(measured_at) OVER w) AS dt FROM v_journal WINDOW w AS (PARTITION BY domain ORDER BY measured_at, seq))
-    SELECT domain, seq, CASE WHEN dt > 5 AND dt < 3600 THEN round(dk / dt, 6) END AS rate FROM d""")
+    SELECT domain, seq, CASE WHEN dt > 5 AND dt < 3600 THEN round(dk / dt + 1e-9, 6) END AS rate FROM d""")
 def agg_rate(j):
     w = Window.partitionBy("domain").orderBy("measured_at", "seq")
     dt = F.unix_timestamp(F.col("measured_at").cast("timestamp")) - F.unix_timestamp(F.lag("measured_at").over(w).cast("timestamp"))
-    return j.select("domain", "seq", F.when((dt > 5) & (dt < 3600), F.round((F.col("k") - F.lag("k").over(w)) / dt, 6)).alias("rate"))
+    return j.select("domain", "seq", F.when((dt > 5) & (dt < 3600), F.round((F.col("k") - F.lag("k").over(w)) / dt + F.lit(1e-9), 6)).alias("rate"))
 
 
 @query("agg_cadence", sql="SELECT user_id, 24 * count(*) FILTER (ts >= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR) AS pages_per_day FROM events GROUP BY user_id")

@@ -35,13 +35,13 @@ def stream_sliding_hour(spark, sf_dir):
 
 
 @query("stream_rate", sql="""WITH d AS (SELECT date_trunc('hour', ts) AS h, event_type, count(*) AS n FROM events GROUP BY ALL), l AS (SELECT *, lag(n) OVER w AS before, epoch(h) - epoch(lag(h) OVER w) AS s FROM d WINDOW w AS (PARTITION BY event_type ORDER BY h))
- SELECT CAST(h AS TIMESTAMP) AS start, event_type, CASE WHEN s = 3600 THEN round((n - before) / s, 8) END AS rate FROM l""")
+ SELECT CAST(h AS TIMESTAMP) AS start, event_type, CASE WHEN s = 3600 THEN round((n - before) / s + 1e-11, 8) END AS rate FROM l""")
 def stream_rate(spark, sf_dir):
     """Speed of each counter between two publications, from a stream's hourly counts."""
     hourly = S.finish(S.windowed(S.read_events(spark, sf_dir), "1 hour"), "complete")
     w = Window.partitionBy("event_type").orderBy("start")
     seconds = F.unix_timestamp("start") - F.unix_timestamp(F.lag("start").over(w))
-    return hourly.select(c("start").cast("timestamp_ntz").alias("start"), "event_type", F.when(seconds == 3600, F.round((c("n") - F.lag("n").over(w)) / seconds, 8)).alias("rate"))
+    return hourly.select(c("start").cast("timestamp_ntz").alias("start"), "event_type", F.when(seconds == 3600, F.round((c("n") - F.lag("n").over(w)) / seconds + F.lit(1e-11), 8)).alias("rate"))
 
 
 @query("stream_runs_sessions", sql="""WITH g AS (SELECT user_id, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 1800 THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
