@@ -127,13 +127,15 @@ def keep(spark: SparkSession, df: DataFrame, kind: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_kept(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table that keep() has written, once nothing reads it any more."""
-    jvm = spark._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if path.getName().startswith("weftline-"):
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_kept(*tables: DataFrame) -> None:
+    """Delete tables that keep() has written. Only for those that nothing reads any more: all that was made of them has
+    been written itself, so no lost executor can ask for them again."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if path.getName().startswith("weftline-"):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:

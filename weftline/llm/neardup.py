@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, keep, map_arrow, partitions, rows_of, text_bytes
+from .common import batch_of, drop_kept, keep, map_arrow, partitions, rows_of, text_bytes
 from .components import components
 from .shingles import band_hashes, min_max_signature, permutations, set_key, shingle_set
 
@@ -131,7 +131,7 @@ def compare_blocks(percent: int):
 
 
 def pivots(reps: DataFrame) -> DataFrame:
-    """Distinct (pivot, doc_id, n_shingles): for each bucket of two or more, its members under the member that
+    """Written, distinct (pivot, doc_id, n_shingles): for each bucket of two or more, its members under the member that
     meets most others over all its buckets. Linear in the members of buckets."""
     spark = reps.sparkSession
     member = reps.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
@@ -140,13 +140,15 @@ def pivots(reps: DataFrame) -> DataFrame:
     met = member.groupBy("doc_id").agg(F.sum("size").alias("met"))
     ranked = member.join(met, "doc_id")
     best = keep(spark, ranked.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("minus"))).alias("best")), "best")
-    return member.join(best, "bucket").select((-F.col("best.minus")).alias("pivot"), "doc_id", "n_shingles").distinct()
+    met = keep(spark, member.join(best, "bucket").select((-F.col("best.minus")).alias("pivot"), "doc_id", "n_shingles").distinct(), "pivots")
+    drop_kept(member, best)
+    return met
 
 
 def similarity_links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that connect what full sets show as similar. ``reps``: doc_id, n_shingles, bands."""
+    """(a, b), written: links that connect what full sets show as similar. ``reps``: doc_id, n_shingles, bands."""
     spark = docs.sparkSession
-    met = keep(spark, pivots(reps), "pivots")
+    met = pivots(reps)
     groups = keep(spark, met.groupBy("pivot").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles")), "groups")
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     placed = (
@@ -159,7 +161,9 @@ def similarity_links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFram
     n = partitions(spark)
     # Merge joins at every size: a broadcast that only small inputs allow would hide what the texts cost.
     rows = placed.join(texts.hint("merge"), "doc_id").repartition(n, "pivot", "left", "right").sortWithinPartitions("pivot", "left", "right")
-    return map_arrow(rows.select("pivot", "left", "right", "block", "doc_id", "raw"), compare_blocks(percent), "a long, b long")
+    links = keep(spark, map_arrow(rows.select("pivot", "left", "right", "block", "doc_id", "raw"), compare_blocks(percent), "a long, b long"), "stars")
+    drop_kept(met, groups)
+    return links
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -171,7 +175,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     linkable = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = keep(spark, linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = keep(spark, linkable.join(classes, "set_key").filter("doc_id = rep").dropDuplicates(["set_key"]).select("doc_id", "n_shingles", "bands"), "reps")
-    found = components(similarity_links(rows, reps, percent))
+    links = similarity_links(rows, reps, percent)
+    found = components(links)
+    drop_kept(reps, links)
     labels = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("label"))
     named = signed.drop("bands").join(labels, "set_key", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id"))
