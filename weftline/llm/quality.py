@@ -109,15 +109,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         picked = part if picked is None else picked.union(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("features", pa.list_(pa.int32()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("features", pa.binary())])
         for batch in batches:
-            out = [(i, g, text_features(raw)) for i, g, raw in rows_of([batch], "doc_id", "grade", "raw")]
+            out = [(i, g, text_features(raw).tobytes()) for i, g, raw in rows_of([batch], "doc_id", "grade", "raw")]
             if out:
                 yield batch_of(schema, list(zip(*out, strict=True)))
 
     texts = text_bytes(docs, "doc_id").join(F.broadcast(picked), "doc_id").select("doc_id", "grade", "raw")
-    rows = sorted(((r["doc_id"], r["grade"], tuple(r["features"])) for r in map_arrow(texts, run, "doc_id long, grade int, features array<int>").collect()))
-    return fit([np.array(r[2], np.int64) for r in rows], np.array([r[1] for r in rows], np.int64))
+    rows = sorted((r["doc_id"], r["grade"], bytes(r["features"])) for r in map_arrow(texts, run, "doc_id long, grade int, features binary").collect())
+    return fit([np.frombuffer(r[2], np.int32) for r in rows], np.array([r[1] for r in rows], np.int64))
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("expected_grade", pa.float64()), ("p_at_least_1", pa.float64()), ("p_at_least_2", pa.float64()), ("kept", pa.bool_())])
