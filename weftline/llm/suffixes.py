@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEGMENT, batch_of, keep, map_arrow, partitions, prefix_hash, rows_of, sliding_min, span_hash
+from .common import SEGMENT, batch_of, drop_kept, keep, map_arrow, partitions, prefix_hash, rows_of, sliding_min, span_hash
 
 LENGTH = 400
 CORE = 192
 SLACK = LENGTH - CORE
 SHALLOW = 4  #: characters of 8 bytes that multikey quicksort looks at
-HOT = 2_000
+HOT = 500
 PARTS = 4  #: ranges that an undecided range of a hot group is cut into
 BATCH_ROWS = 10_000
 
@@ -329,6 +329,7 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.array_distinct(F.flatten(F.collect_list("open"))).alias("open"),
     )
     texts = keep(spark, keyed(docs).hint("merge").join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]), "texts")
+    drop_kept(often, again, kinds, open_cores)
     undecided = texts.select("doc_id", "text_key", "raw", "open")
     cool = map_arrow(undecided.filter(F.exists("open", lambda x: ~x["hot"])), cut_out(False), EDGE_DDL)
     stretches = map_arrow(cool.repartition(n, "core").sortWithinPartitions("core"), resolve, "doc_id long, text_key long, first int, last int")
