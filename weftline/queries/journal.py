@@ -125,7 +125,7 @@ def fingerprint(j):
 
 @query("freshness_days", "v_journal", sql="SELECT seq, CAST(floor((epoch(TIMESTAMP '2024-02-01 00:00:00') - epoch(measured_at)) / 86400 + 0.5) AS BIGINT) AS freshness_days FROM v_journal")
 def freshness_days(j):
-    seconds = F.unix_timestamp(F.lit("2024-02-01 00:00:00").cast("timestamp")) - F.unix_timestamp(F.col("measured_at").cast("timestamp"))
+    seconds = F.timestamp_diff("SECOND", F.col("measured_at"), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
     return j.select("seq", F.floor(seconds / 86400 + 0.5).cast("long").alias("freshness_days"))
 
 

@@ -311,7 +311,7 @@ def agg_correlated_interval(p):
     SELECT domain, seq, CASE WHEN dt > 5 AND dt < 3600 THEN round(dk / dt + 1e-9, 6) END AS rate FROM d""")
 def agg_rate(j):
     w = Window.partitionBy("domain").orderBy("measured_at", "seq")
-    dt = F.unix_timestamp(F.col("measured_at").cast("timestamp")) - F.unix_timestamp(F.lag("measured_at").over(w).cast("timestamp"))
+    dt = F.timestamp_diff("SECOND", F.lag("measured_at").over(w), F.col("measured_at"))
     return j.select("domain", "seq", F.when((dt > 5) & (dt < 3600), F.round((F.col("k") - F.lag("k").over(w)) / dt + F.lit(1e-9), 6)).alias("rate"))
 
 

@@ -14,24 +14,24 @@ c = F.col
 @query("stream_append", sql="SELECT event_type, count(*) AS n, CAST(max(date_diff('day', CAST(ts AS DATE), DATE '2024-02-01')) AS BIGINT) AS oldest_days FROM events GROUP BY event_type")
 def stream_append(spark, sf_dir):
     """Every row is taken, however late; age is the reading's date against the event's."""
-    rows = S.finish(S.read_events(spark, sf_dir).select("event_type", F.datediff(F.lit("2024-02-01").cast("date"), c("ts").cast("date")).cast("long").alias("age")))
+    rows = S.finish(S.read_events(spark, sf_dir).select("event_type", F.datediff(F.lit("2024-02-01").cast("date"), S.as_utc(c("ts")).cast("date")).cast("long").alias("age")))
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.max("age").alias("oldest_days"))
 
 
 @query("stream_dedup", sql="SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events")
 def stream_dedup(spark, sf_dir):
-    keyed = S.read_events(spark, sf_dir).withColumn("day", c("ts").cast("date"))
+    keyed = S.read_events(spark, sf_dir).withColumn("day", S.as_utc(c("ts")).cast("date"))
     return S.finish(S.deduplicated(keyed, ["user_id", "event_type", "day"]).select("user_id", "event_type", "day"))
 
 
 @query("stream_tumbling_day", sql="SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_tumbling_day(spark, sf_dir):
-    return S.finish(S.windowed(S.read_events(spark, sf_dir), "1 day"), "complete").withColumn("start", c("start").cast("timestamp_ntz"))
+    return S.finish(S.windowed(S.read_events(spark, sf_dir), "1 day"), "complete").withColumn("start", S.as_utc(c("start")))
 
 
 @query("stream_sliding_hour", sql="SELECT CAST(time_bucket(INTERVAL 6 HOUR, ts) - to_hours(k * 6) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events, range(4) t(k) GROUP BY ALL")
 def stream_sliding_hour(spark, sf_dir):
-    return S.finish(S.windowed(S.read_events(spark, sf_dir), "24 hours", "6 hours"), "complete").withColumn("start", c("start").cast("timestamp_ntz"))
+    return S.finish(S.windowed(S.read_events(spark, sf_dir), "24 hours", "6 hours"), "complete").withColumn("start", S.as_utc(c("start")))
 
 
 @query("stream_rate", sql="""WITH d AS (SELECT date_trunc('hour', ts) AS h, event_type, count(*) AS n FROM events GROUP BY ALL), l AS (SELECT *, lag(n) OVER w AS before, epoch(h) - epoch(lag(h) OVER w) AS s FROM d WINDOW w AS (PARTITION BY event_type ORDER BY h))
@@ -41,13 +41,13 @@ def stream_rate(spark, sf_dir):
     hourly = S.finish(S.windowed(S.read_events(spark, sf_dir), "1 hour"), "complete")
     w = Window.partitionBy("event_type").orderBy("start")
     seconds = F.unix_timestamp("start") - F.unix_timestamp(F.lag("start").over(w))
-    return hourly.select(c("start").cast("timestamp_ntz").alias("start"), "event_type", F.when(seconds == 3600, F.round((c("n") - F.lag("n").over(w)) / seconds + F.lit(1e-11), 8)).alias("rate"))
+    return hourly.select(S.as_utc(c("start")).alias("start"), "event_type", F.when(seconds == 3600, F.round((c("n") - F.lag("n").over(w)) / seconds + F.lit(1e-11), 8)).alias("rate"))
 
 
 @query("stream_runs_sessions", sql="""WITH g AS (SELECT user_id, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 1800 THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
  SELECT min(ts) AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_runs_sessions(spark, sf_dir):
-    return S.finish(S.sessions(S.read_events(spark, sf_dir)), "complete").withColumn("start", c("start").cast("timestamp_ntz"))
+    return S.finish(S.sessions(S.read_events(spark, sf_dir)), "complete").withColumn("start", S.as_utc(c("start")))
 
 
 @query("state_host_lease", sql="""WITH RECURSIVE o AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),

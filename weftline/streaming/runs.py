@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,11 +18,21 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def as_instant(x: Column) -> Column:
+    """A time without zone, read as UTC whatever the session's zone, as a timestamp; watermarks need one."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), x).cast("timestamp")
+
+
+def as_utc(x: Column) -> Column:
+    """A timestamp as a UTC time without zone."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), x.cast("timestamp_ntz"))
+
+
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream. Its times carry no zone; watermarks need an instant, so they are read as UTC."""
+    """The events table as a stream, its times read as UTC."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet")
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.withColumn("ts", as_instant(F.col("ts")))
 
 
 def finish(stream: DataFrame, mode: str = "append") -> DataFrame:
