@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 def test_entry_has_rows(spark):
     df = entry.entry(spark)
-    assert df.columns == ["kind", "state", "n"] and df.count() > 0
+    assert df.columns == ["domain", "value", "low", "high", "share", "place"] and df.count() > 0
 
 
 def test_oracles_belong_to_queries():

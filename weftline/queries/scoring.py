@@ -306,3 +306,23 @@ def rank_divergence(r):
     x = r.filter("rank_b IS NOT NULL").select("domain", F.log10(c("rank_a") / c("rank_b")).alias("l"))
     calibration = R.median_and_mad(x, "l")
     return x.join(F.broadcast(calibration)).select("domain", (F.round(c("l") - c("median"), 6) + F.lit(0.0)).alias("divergence"), (F.abs(c("l") - c("median")) >= 5 * c("mad")).alias("flagged"))
+
+
+LATEST = "s AS (SELECT * FROM v_journal QUALIFY row_number() OVER (PARTITION BY domain, metric, source ORDER BY measured_at DESC, seq DESC) = 1)"
+CTX = ", ".join(f"max(struct_pack(a := measured_at, b := seq, v := value, s := state)) FILTER (metric = '{m}') AS {m}" for m in ("click", "view", "purchase", "error", "signup"))
+GIVEN = lambda m, v: f"CASE WHEN {m}.s IS NULL OR {m}.s = 'BLIND' THEN NULL WHEN {m}.s = 'ABSENT' THEN 5 ELSE least(100, {v}) END::DOUBLE"
+RECOMPUTE = f"""WITH {LATEST}, x AS (SELECT domain, {CTX} FROM s GROUP BY domain),
+ ax AS (SELECT domain, 0.32::DOUBLE AS w, CASE WHEN click.s IS NULL OR click.s = 'BLIND' THEN NULL WHEN click.s = 'ABSENT' THEN 5 ELSE 100 * greatest(0, least(1, (6 - log10(floor(click.v * 5000) + 1)) / 4)) END::DOUBLE AS v FROM x
+ UNION ALL SELECT domain, 0.26, {GIVEN("signup", "signup.v")} FROM x UNION ALL SELECT domain, 0.17, {GIVEN("purchase", "purchase.v / 2")} FROM x
+ UNION ALL SELECT domain, 0.15, CASE WHEN view.s = 'MEASURED' THEN 100 * least(1, ln(1 + floor(view.v * 10)) / ln(1201)) END FROM x UNION ALL SELECT domain, 0.10, {GIVEN("error", "100 - least(100, error.v)")} FROM x),
+ r AS (SELECT domain, w, floor(v * 100 + 0.5) / 100 AS v FROM ax),
+ g AS (SELECT domain, sum(w * v) / sum(CASE WHEN v IS NOT NULL THEN w END) AS value, sum(w * coalesce(v, 0)) / sum(w) AS low, sum(w * coalesce(v, 100)) / sum(w) AS high, coalesce(sum(CASE WHEN v IS NOT NULL THEN w END), 0) / sum(w) AS share FROM r GROUP BY domain)
+ SELECT domain, round(value, 6) AS value, round(least(low, value), 6) AS low, round(greatest(high, value), 6) AS high, round(share, 6) AS share, CASE WHEN value IS NOT NULL AND round(share, 9) >= 0.6 THEN row_number() OVER (PARTITION BY value IS NOT NULL AND round(share, 9) >= 0.6 ORDER BY round(value, 9) DESC, domain) END AS place FROM g"""
+
+
+@query("recompute_scores", "v_journal", sql=RECOMPUTE)
+def recompute_scores(j):
+    """The flagship: all domain scores from the journal."""
+    from weftline.plans.recompute import recompute
+
+    return recompute(j).select("domain", *[F.round(x, 6).alias(x) for x in ("value", "low", "high", "share")], "place")
