@@ -1,4 +1,4 @@
-"""The flagship plan: from the journal to ranked domain scores, in two shuffles.
+"""The flagship plan: from the journal to ranked domain scores.
 
 Snapshot (latest row of each key), one row per domain with the latest of each metric, axes as Columns, the
 weighted composite in long form, and the rank of what enough was measured of."""
@@ -45,12 +45,15 @@ def recompute(journal: DataFrame) -> DataFrame:
     ]
     long = context(journal).select("domain", F.inline(F.array(*parts))).withColumn("v", F.col("v100") / 100)
     scores = C.aggregate(long, "domain").withColumn("shown", F.col("value").isNotNull() & (F.round("share", 9) >= LEAST_SHARE))
-    return scores.join(places(scores.filter("shown")), "domain", "left").select("domain", "value", "low", "high", "share", "place")
+    return with_places(scores).select("domain", "value", "low", "high", "share", "place")
 
 
-def places(scores: DataFrame) -> DataFrame:
-    """(domain, place) by value descending, then domain: counts of the 101 whole scores, then ranks within each."""
-    placed = scores.withColumn("_b", -F.floor(F.col("value")))
-    before = placed.groupBy("_b").agg(F.count("*").alias("_c")).select("_b", (F.sum("_c").over(Window.orderBy("_b")) - F.col("_c")).alias("_before"))
+def with_places(scores: DataFrame) -> DataFrame:
+    """``place`` by value descending, then domain, for rows that are ``shown``: counts of the 101 whole scores, then ranks
+    within each. Rows without a place are spread, for none needs to meet another."""
+    bucket = F.when(F.col("shown"), -F.floor(F.col("value"))).otherwise(1000 + F.pmod(F.xxhash64("domain"), F.lit(1000)))
+    placed = scores.withColumn("_b", bucket)
+    counts = placed.filter("shown").groupBy("_b").agg(F.count("*").alias("_c"))
+    before = counts.select("_b", (F.sum("_c").over(Window.orderBy("_b")) - F.col("_c")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("value"), "domain"))
-    return placed.join(F.broadcast(before), "_b").select("domain", (rank + F.col("_before")).alias("place"))
+    return placed.withColumn("_r", rank).join(F.broadcast(before), "_b", "left").withColumn("place", F.when(F.col("shown"), F.col("_r") + F.col("_before")))
