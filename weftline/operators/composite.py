@@ -150,11 +150,15 @@ LINK_WEIGHTS = {"T": 40.0, "C": 22.0, "P": 20.0}  # fixed values; A weighs 18 or
 
 def link_parts(df: DataFrame, key: str, components: dict[str, tuple[Column, Column]]) -> DataFrame:
     """Long form of components {name: (part, weight)}; values are rounded to two decimals before they are added."""
+    staged = df.select(key, *[x for n, (p, w) in components.items() for x in (p.alias(f"_{n}"), w.alias(f"_{n}_w"))])  # each part is worked out once
     rows = [
-        F.struct(F.lit(n).alias("comp"), w.alias("w"), js_round(p["value"], 2).alias("v"), p["state"].alias("state"), p["low"].alias("lo"), p["high"].alias("hi"), F.when(p["state"] == BLIND, 0.0).otherwise(1.0).alias("part"))
-        for n, (p, w) in components.items()
-    ]
-    return df.select(key, F.inline(F.array(*rows)))
+        F.struct(
+            F.lit(n).alias("comp"), F.col(f"_{n}_w").alias("w"), js_round(F.col(f"_{n}.value"), 2).alias("v"), F.col(f"_{n}.state").alias("state"), F.col(f"_{n}.low").alias("lo"), F.col(f"_{n}.high").alias("hi"),
+            F.when(F.col(f"_{n}.state") == BLIND, 0.0).otherwise(1.0).alias("part"),
+        )
+        for n in components
+    ]
+    return staged.select(key, F.inline(F.array(*rows)))
 
 
 def link_score(base: DataFrame, multipliers: DataFrame, key: str) -> DataFrame:
