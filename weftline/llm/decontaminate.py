@@ -90,14 +90,14 @@ class Index:
 
 
 def stretch(same: np.ndarray, size: int) -> int:
-    """Equal words of the best stretch that passes, or 0: the stretch with the greatest sum of +1 for an equal
-    word and -IDENTITY / (1 - IDENTITY) for another one, so at least IDENTITY of it is equal."""
-    gain = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -IDENTITY / (1 - IDENTITY)))])
+    """Equal words of the stretch that has most of them among those with at least IDENTITY of it equal, or 0 if they are
+    too few: for each end the farthest start from which the sum of (equal - IDENTITY) is not below 0."""
+    equal = np.concatenate([[0], np.cumsum(same)])
+    gain = equal - IDENTITY * np.arange(len(equal))
     lowest = np.minimum.accumulate(gain)
-    end = int(np.argmax(gain - lowest))
-    start = int(np.flatnonzero(gain[: end + 1] == lowest[end])[0])
-    equal = int(same[start:end].sum())
-    return equal if equal >= min(MATCHED, size) else 0
+    start = np.searchsorted(-lowest, -gain)  # the first with lowest <= gain, which is the first with gain <= gain there
+    most = int((equal - equal[start]).max())
+    return most if most >= min(MATCHED, size) else 0
 
 
 def blocks_of(items: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
