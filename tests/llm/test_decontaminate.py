@@ -27,3 +27,30 @@ def test_substituted_phrase_is_found(make_docs, spark):
     bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
     row = decontaminate.find_leaks(make_docs((1, " ".join(["x", *text, "y"]))), bench).first()
     assert row.item_ids == [7] and row.best_match == 24
+
+
+def cases():
+    """Places of substituted words: overlaps that meet the rule, by length, and every fourth word at several lengths."""
+    rng = random.Random(2)
+    for n, m in ((16, 3), (17, 4), (20, 4), (20, 5), (24, 6)):
+        yield from ((n, set(rng.sample(range(n), m))) for _ in range(100))
+    yield from ((n, set(range(3, n, 4))) for n in (17, 31, 60, 200))
+
+
+def test_every_admitted_pattern_is_found(monkeypatch):
+    rows = list(cases())
+    for chunk in (decontaminate.CHUNK, 4):
+        monkeypatch.setattr(decontaminate, "CHUNK", chunk)
+        index = decontaminate.Index([(k, " ".join(f"w{k}x{i}" for i in range(n))) for k, (n, _) in enumerate(rows)])
+        for k, (n, other) in enumerate(rows):
+            text = " ".join(["before", *(f"o{i}" if i in other else f"w{k}x{i}" for i in range(n)), "after"])
+            same = np.array([i not in other for i in range(n)])
+            assert index.overlaps(text) == [(k, decontaminate.stretch(same, n))]
+    assert decontaminate.Index([]).overlaps("some words that no item has") == []
+
+
+def test_items_that_repeat_words():
+    index = decontaminate.Index([(1, "a b " * 10), (2, "a a a a a"), (3, "a b c"), (4, None)])
+    assert index.overlaps("x " + "a b " * 9) == [(1, 18)]
+    assert index.overlaps("b a a a a a") == [(2, 5)]
+    assert index.overlaps("a b c") == index.overlaps(None) == []

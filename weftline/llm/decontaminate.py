@@ -1,12 +1,13 @@
-"""Benchmark decontamination by spaced-seed hashing.
-
-Fixed masks over 12 words ignore 4 of them, so a passage with substituted words still shares seeds with
-its benchmark item. Seeds of test and training texts are joined; around each hit the item is laid over
-the text and the overlap is verified word by word, substitutions allowed.
+"""Benchmark decontamination by seeds of three words.
 
 An item counts as leaked into a text when an aligned stretch holds MATCHED of its words (or ALL of a
 shorter item) with at least IDENTITY of the stretch equal. Items of under LEAST words are no evidence.
 
+No such stretch is missed: m substituted words part its e equal ones into m + 1 runs, which hold
+e - 2 (m + 1) runs of three words at least, and with m <= e / 3 and e >= MATCHED that is HITS or more; so it is for
+whole items of LEAST words. Seeds of test and training texts are joined; wherever HITS of them lay an item
+over a text in the same place, the overlap is verified word by word, substitutions allowed.
+
 The benchmark goes to the executors in blocks of bounded size: a larger one means more passes over
 the documents, never a larger broadcast or a lost item. Null and empty texts match nothing; repeated rows each give a
 row; extra columns are kept by ``remove_contaminated``, ignored elsewhere.
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, mix, word_hashes
 
-MASKS = ("110101101101", "111001011011", "101110010111")  #: fixed values: 12 positions, 8 compared
+SEED = 3  #: words
+HITS = 3
+CHUNK = 1_000_000  #: seed hits held at once
 LEAST = 5
 MATCHED = 13
 IDENTITY = 0.75
@@ -37,15 +40,14 @@ def words(text: str | None) -> np.ndarray:
     return word_hashes((text or "").lower().encode(), NOT_WORD)
 
 
-def seeds(w: np.ndarray, mask: str) -> np.ndarray:
-    """The hash of the compared words of a mask at each start."""
-    n = len(w) - len(mask) + 1
+def seeds(w: np.ndarray) -> np.ndarray:
+    """The hash of SEED words at each start."""
+    n = len(w) - SEED + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.full(n, np.uint64(int(mask, 2) + (len(mask) << 32)))
-    for i, on in enumerate(mask):
-        if on == "1":
-            h = mix(h + w[i : i + n])
+    h = np.full(n, np.uint64(SEED))
+    for i in range(SEED):
+        h = mix(h + w[i : i + n])
     return h
 
 
@@ -53,29 +55,37 @@ class Index:
     """The seeds of a block of items: sorted hashes behind a bitmap, and the items' words."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
-        self.ids = [i for i, _ in items]
-        self.words = [words(t) for _, t in items]
-        self.masks = [*MASKS, *("1" * n for n in sorted({len(w) for w in self.words if LEAST <= len(w) < len(MASKS[0])}))]
-        self.tables = []
-        for mask in self.masks:
-            whole = len(mask) < len(MASKS[0])
-            rows = [(h, k, j) for k, w in enumerate(self.words) if len(w) >= LEAST and (len(w) == len(mask) or not whole) for j, h in enumerate(seeds(w, mask))]
-            hashes = np.array([r[0] for r in rows], np.uint64)
-            order = np.argsort(hashes, kind="stable")
-            bitmap = np.zeros(1 << 20, bool)
-            bitmap[(hashes >> np.uint64(44)).astype(np.int64)] = True
-            self.tables.append((hashes[order], np.array([(r[1], r[2]) for r in rows], np.int64).reshape(-1, 2)[order], bitmap))
-
-    def diagonals(self, w: np.ndarray) -> set[tuple[int, int]]:
-        """(item, start of the item in the text) for every seed hit."""
-        found = set()
-        for mask, (hashes, places, bitmap) in zip(self.masks, self.tables, strict=True):
-            h = seeds(w, mask)
-            at = np.flatnonzero(bitmap[(h >> np.uint64(44)).astype(np.int64)])
-            low, high = np.searchsorted(hashes, h[at]), np.searchsorted(hashes, h[at], side="right")
-            for i, a, b in zip(at[high > low], low[high > low], high[high > low], strict=True):
-                found.update((int(k), int(i - j)) for k, j in places[a:b])
-        return found
+        kept = [(i, w) for i, t in items if len(w := words(t)) >= LEAST]
+        self.ids = [i for i, _ in kept]
+        self.words = [w for _, w in kept]
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(seeds(w) for w in self.words)])
+        sizes = np.array([len(w) - SEED + 1 for w in self.words], np.int64)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.item = np.repeat(np.arange(len(sizes)), sizes)[order]
+        self.place = (np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
+        self.bitmap = np.zeros(1 << 20, bool)
+        self.bitmap[(hashes >> np.uint64(44)).astype(np.int64)] = True
+
+    def diagonals(self, w: np.ndarray) -> list[tuple[int, int]]:
+        """(item, start of the item in the text) wherever HITS seeds agree."""
+        h = seeds(w)
+        at = np.flatnonzero(self.bitmap[(h >> np.uint64(44)).astype(np.int64)])
+        low, high = np.searchsorted(self.hashes, h[at]), np.searchsorted(self.hashes, h[at], side="right")
+        at, low, count = at[high > low], low[high > low], (high - low)[high > low]
+        if count.sum() < HITS:
+            return []
+        total = np.cumsum(count)
+        cuts = np.flatnonzero(np.diff(total // CHUNK)) + 1
+        keys, hits = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for i, k, n in zip(np.split(at, cuts), np.split(low, cuts), np.split(count, cuts), strict=True):
+            row = np.repeat(k - np.cumsum(n) + n, n) + np.arange(n.sum())
+            start = np.repeat(i, n) - self.place[row]
+            some, seen = np.unique((self.item[row] << 40) + start + (1 << 39), return_counts=True)
+            keys, back = np.unique(np.concatenate([keys, some]), return_inverse=True)
+            hits = np.bincount(back, np.concatenate([hits, seen]), len(keys)).astype(np.int64)
+        found = keys[hits >= HITS]
+        return list(zip((found >> 40).tolist(), ((found & ((1 << 40) - 1)) - (1 << 39)).tolist(), strict=True))
 
     def overlaps(self, text: str | None) -> list[tuple[int, int]]:
         """(item id, equal words of its best verified stretch), by item id."""
@@ -84,7 +94,7 @@ class Index:
             item = self.words[k]
             low, high = max(0, -start), min(len(item), len(w) - start)
             same = item[low:high] == w[start + low : start + high]
-            if matched := stretch(same, len(item)):
+            if np.count_nonzero(same) >= min(MATCHED, len(item)) and (matched := stretch(same, len(item))):
                 best[self.ids[k]] = max(matched, best.get(self.ids[k], 0))
         return sorted(best.items())
 
