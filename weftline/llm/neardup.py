@@ -31,16 +31,21 @@ PERMUTATIONS = 64
 ROWS = 4
 BLOCK_DOCS = 256
 BLOCK_SHINGLES = 1_000_000
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, raw): the key tells apart the texts of a repeated doc_id."""
+    return text_bytes(docs, "doc_id").withColumn("text_key", F.xxhash64("raw"))
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b = permutations(PERMUTATIONS)
     for batch in batches:
         out = []
-        for doc_id, raw in rows_of([batch], "doc_id", "raw"):
+        for doc_id, text_key, raw in rows_of([batch], "doc_id", "text_key", "raw"):
             s = shingle_set(raw)
-            out.append((doc_id, len(s), set_key(s), band_hashes(min_max_signature(s, a, b), ROWS) if len(s) else []))
+            out.append((doc_id, text_key, len(s), set_key(s), band_hashes(min_max_signature(s, a, b), ROWS) if len(s) else []))
         if out:
             yield batch_of(SIGNED, list(zip(*out, strict=True)))
 
@@ -131,36 +136,37 @@ def compare_blocks(percent: int):
 
 
 def pivots(reps: DataFrame) -> DataFrame:
-    """Written, distinct (pivot, doc_id, n_shingles): for each bucket of two or more, its members under the member that
+    """Written, distinct (pivot, doc_id, text_key, n_shingles): for each bucket of two or more, its members under the member that
     meets most others over all its buckets. Linear in the members of buckets."""
     spark = reps.sparkSession
-    member = reps.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
+    member = reps.select("doc_id", "text_key", "n_shingles", F.explode("bands").alias("bucket"))
     full = member.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     member = keep(spark, member.join(full, "bucket"), "members")
     met = member.groupBy("doc_id").agg(F.sum("size").alias("met"))
     ranked = member.join(met, "doc_id")
     best = keep(spark, ranked.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("minus"))).alias("best")), "best")
-    met = keep(spark, member.join(best, "bucket").select((-F.col("best.minus")).alias("pivot"), "doc_id", "n_shingles").distinct(), "pivots")
+    met = keep(spark, member.join(best, "bucket").select((-F.col("best.minus")).alias("pivot"), "doc_id", "text_key", "n_shingles").distinct(), "pivots")
     drop_kept(member, best)
     return met
 
 
 def similarity_links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(a, b), written: links that connect what full sets show as similar. ``reps``: doc_id, n_shingles, bands."""
+    """(a, b), written: links that connect what full sets show as similar. ``reps``: doc_id, text_key, n_shingles, bands."""
     spark = docs.sparkSession
     met = pivots(reps)
     groups = keep(spark, met.groupBy("pivot").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles")), "groups")
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     placed = (
         met.join(groups.select("pivot", blocks.alias("blocks")), "pivot")
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("doc_id", "text_key"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("pivot", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "doc_id")
+        .select("pivot", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "doc_id", "text_key")
     )
-    texts = text_bytes(docs.filter(F.col("doc_id").isNotNull()), "doc_id").join(met.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    key = ["doc_id", "text_key"]
+    texts = keyed_texts(docs.filter(F.col("doc_id").isNotNull())).join(met.select(key).distinct().hint("merge"), key, "left_semi").dropDuplicates(key)
     n = partitions(spark)
     # Merge joins at every size: a broadcast that only small inputs allow would hide what the texts cost.
-    rows = placed.join(texts.hint("merge"), "doc_id").repartition(n, "pivot", "left", "right").sortWithinPartitions("pivot", "left", "right")
+    rows = placed.join(texts.hint("merge"), key).repartition(n, "pivot", "left", "right").sortWithinPartitions("pivot", "left", "right")
     links = keep(spark, map_arrow(rows.select("pivot", "left", "right", "block", "doc_id", "raw"), compare_blocks(percent), "a long, b long"), "stars")
     drop_kept(met, groups)
     return links
@@ -171,15 +177,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     where 100 * intersection >= percent * union of their sets of five-word shingles."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = keep(spark, map_arrow(text_bytes(rows, "doc_id"), sign, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signed")
+    signed = keep(spark, map_arrow(keyed_texts(rows), sign, "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>"), "signed")
     linkable = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = keep(spark, linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = keep(spark, linkable.join(classes, "set_key").filter("doc_id = rep").dropDuplicates(["set_key"]).select("doc_id", "n_shingles", "bands"), "reps")
+    reps = keep(spark, linkable.join(classes, "set_key").filter("doc_id = rep").dropDuplicates(["set_key"]).select("doc_id", "text_key", "n_shingles", "bands"), "reps")
     links = similarity_links(rows, reps, percent)
-    found = components(links)
+    repeated = linkable.groupBy("doc_id").agg(F.min("set_key").alias("one"), F.max("set_key").alias("other")).filter("one <> other").select("doc_id")
+    shared = linkable.join(repeated, "doc_id").join(classes, "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    found = components(links.union(shared))
     drop_kept(reps, links)
     labels = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("label"))
-    named = signed.drop("bands").join(labels, "set_key", "left")
+    named = signed.drop("bands", "text_key").join(labels, "set_key", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
