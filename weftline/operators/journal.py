@@ -93,12 +93,21 @@ def runs(rows: DataFrame) -> DataFrame:
     return rows.groupBy(run).agg(F.max("measured_at").alias("ended_at"), F.count("*").alias("n_rows")).withColumn("place", F.row_number().over(Window.orderBy(F.col("ended_at").desc(), F.col("run").desc())).cast("long"))
 
 
-def run_diff(rows: DataFrame, last: str, before: str, key: str = "domain", limit: int = 500) -> DataFrame:
-    """Full comparison of two runs: appeared, gone, moved, same. When the latest run is blind about a key, nothing
-    is said to be gone; ``truncated`` marks sides that reached the source's limit."""
-    side = lambda run, name: rows.filter((F.col("run_id") == run) & (F.col("state") != BLIND)).groupBy(key).agg(F.max("value").alias(name), F.lit(True).alias(f"in_{name}"))
-    blind = rows.filter((F.col("run_id") == last) & (F.col("state") == BLIND)).select(key, F.lit(True).alias("is_blind")).distinct()
-    both = side(before, "old").join(side(last, "new"), key, "full").join(blind, key, "left")
+def run_diff(rows: DataFrame, last: str | None = None, before: str | None = None, key: str = "domain", limit: int = 500) -> DataFrame:
+    """Full comparison of two runs, the last two of runs() where none are named: appeared, gone, moved, same. When the
+    latest run is blind about a key, nothing is said to be gone; ``truncated`` tells that either side has measured
+    ``limit`` keys or more, the most the source gives."""
+    run = F.coalesce("run_id", F.col("measured_at").cast("date").cast("string"))
+    if last is None:
+        picked = runs(rows).filter("place <= 2").select(F.col("run").alias("_run"), F.when(F.col("place") == 1, "new").otherwise("old").alias("_side"))
+        rows = rows.withColumn("_run", run).join(F.broadcast(picked), "_run")
+    else:
+        rows = rows.withColumn("_side", F.when(run == last, "new").when(run == before, "old"))
+    side = lambda name: rows.filter((F.col("_side") == name) & (F.col("state") != BLIND)).groupBy(key).agg(F.max("value").alias(name), F.lit(True).alias(f"in_{name}"))
+    blind = rows.filter((F.col("_side") == "new") & (F.col("state") == BLIND)).select(key, F.lit(True).alias("is_blind")).distinct()
+    measured = lambda name: F.countDistinct(F.when(F.col("_side") == name, F.col(key)))
+    full = rows.filter(F.col("state") == MEASURED).agg((F.greatest(measured("old"), measured("new")) >= limit).alias("truncated"))
+    both = side("old").join(side("new"), key, "full").join(blind, key, "left").join(F.broadcast(full))
     outcome = (
         F.when(F.col("in_old").isNull(), "appeared")
         .when(F.col("in_new").isNull() & F.col("is_blind"), "silent")
@@ -106,7 +115,7 @@ def run_diff(rows: DataFrame, last: str, before: str, key: str = "domain", limit
         .when(F.col("old").eqNullSafe(F.col("new")), "same")
         .otherwise("moved")
     )
-    return both.select(key, "old", "new", outcome.alias("outcome"))
+    return both.select(key, "old", "new", outcome.alias("outcome"), "truncated")
 
 
 def series_delta(rows: DataFrame, key: tuple[str, ...] = SNAPSHOT_KEY) -> DataFrame:

@@ -101,7 +101,7 @@ def previous_run_window(j):
     FROM o FULL JOIN n USING (domain) LEFT JOIN b USING (domain)""",
 )
 def run_diff(j):
-    return J.run_diff(j, "2024-01-29", "2024-01-28")
+    return J.run_diff(j, "2024-01-29", "2024-01-28").select("domain", "old", "new", "outcome")
 
 
 @query(
