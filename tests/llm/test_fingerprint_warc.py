@@ -79,3 +79,26 @@ def test_repeated_rows_and_payloads(spark, tmp_path):
     assert records.filter("kind = 'response'").first()["payload"] == b"same"
     whole = warc.assemble(records).filter("response.kind = 'response'").first()
     assert whole.request.kind == "request" and b"payload-bytes: 4" in whole.metadata[0].payload
+
+
+def test_a_hot_payload_is_split(spark):
+    """Half of the pages are equal: adaptive execution splits the exchange that holds them."""
+    pages = spark.range(4000).selectExpr("id as page_id", "concat('u', id) as url", "if(id % 2 = 0, repeat('same html ', 400), repeat(sha2(cast(id as string), 256), 60)) as html")
+    settings = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        joined = warc.first_of_equal(pages, "page_id", "html")
+        assert sum(r["first"] == 0 for r in joined.collect()) == 2000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_long_payloads_and_clashing_columns(spark):
+    html = "<p>" + "long line\r\n\r\n" * 200_000
+    pages = spark.createDataFrame([(1, "u", html, 5, "x"), (2, "v", html, 6, "y")], "page_id long, url string, html string, first long, sha string")
+    rows = {r.page_id: r for r in warc.archive_and_read(pages).collect()}
+    assert rows[1].payload_bytes == rows[2].payload_bytes == len(html) and rows[2].refers_to == 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -106,23 +107,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for long texts: rows of 100 kB make batches of 50 MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+KEPT: list[str] = []  #: folders made by this driver, for remove_kept
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which all executors share; set only where unset."""
+def shared_dir(spark: SparkSession, kind: str = "table") -> str:
+    """A fresh folder under spark.checkpoint.dir, which all executors share. Where that is unset, one machine sets its own;
+    a cluster is told to name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "/tmp/checkpoints/weftline"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"{tempfile.gettempdir()}/checkpoints/weftline"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/weftline-{uuid.uuid4().hex}"
+    KEPT.append(f"{root.rstrip('/')}/weftline-{uuid.uuid4().hex}-{kind}")
+    return KEPT[-1]
 
 
 def keep(spark: SparkSession, df: DataFrame, kind: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(spark)}-{kind}"
+    path = shared_dir(spark, kind)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -138,9 +141,20 @@ def drop_kept(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def remove_kept(spark: SparkSession) -> None:
+    """Delete every folder that this driver's operators have left in the shared folder. Their results are lazy and read
+    them, so the caller does this once the results have been written."""
+    while KEPT:
+        path = spark._jvm.org.apache.hadoop.fs.Path(KEPT.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow with small batches."""
-    small_batches(df.sparkSession)
+    """mapInArrow with batches small enough for long texts: rows of 100 kB make batches of 50 MB. Spark reads the size when
+    it runs a plan, so the session's setting is lowered and stays so (README); a lower one is left alone."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ROWS_PER_BATCH:
+        conf.set(name, str(ROWS_PER_BATCH))
     return df.mapInArrow(fn, schema)
 
 

@@ -9,7 +9,7 @@ Defined cases: a null payload is empty; a null identifier counts as the largest
 equal payloads is sought; rows that repeat an identifier each give a capture, and repeated rows that
 hold the smallest identifier are all responses; records of a transaction that lack a response still
 give a row, with the missing parts null; a record cut off by the end of a file is dropped and counted
-in no row. Extra columns are ignored.
+in no row. Extra columns, whatever their names, are ignored; an empty table has no captures.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, map_arrow, shared_dir
+from .common import batch_of, keep, map_arrow, shared_dir
 
 GAP = b"\r\n\r\n"
 SAME = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -75,11 +75,12 @@ def transactions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def first_of_equal(pages: DataFrame, row_id: str, payload: str) -> DataFrame:
-    """(row_id, url, payload, first): ``first`` is the smallest identifier with an equal payload. Digests are
-    counted from narrow rows, so a payload that a third of the rows share meets no single task."""
+    """(row_id, url, payload, first): ``first`` is the smallest identifier with an equal payload. Digests are counted from
+    narrow rows, and the counts are written before they are joined: the pages of a payload that many share then come in an
+    exchange of their own, which adaptive execution splits over tasks."""
     rows = pages.select(F.col(row_id).cast("long").alias("row_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha", F.sha1("payload"))
-    firsts = rows.groupBy("sha").agg(F.min("row_id").alias("first"))
-    return rows.join(firsts, "sha").select("row_id", "url", "payload", "first")
+    firsts = keep(pages.sparkSession, rows.groupBy("sha").agg(F.min("row_id").alias("first")), "firsts")
+    return rows.join(firsts.hint("merge"), "sha").select("row_id", "url", "payload", "first")
 
 
 def write_archives(pages: DataFrame, path: str, row_id: str = "page_id", payload: str = "html") -> None:
@@ -172,7 +173,7 @@ def assemble(records: DataFrame) -> DataFrame:
 def archive_and_read(pages: DataFrame) -> DataFrame:
     """Write ``pages`` to archives in the shared folder, read them back and give each capture's facts."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}-warc"
+    path = shared_dir(spark, "warc")
     write_archives(pages, path)
     captures = assemble(read_records(spark, path, with_payload=False))
     number = lambda urn: F.regexp_extract(urn, r"^urn:capture:(-?\d+):", 1).try_cast("long")
