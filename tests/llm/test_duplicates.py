@@ -57,6 +57,30 @@ def test_a_crowd_of_near_copies_in_many_blocks(make_docs, monkeypatch):
     check(make_docs(*rows), 85)
 
 
+def test_far_members_meet_the_whole_group(make_docs, monkeypatch):
+    """Chains of copies that drift away from the pivot, in blocks of four: far members are linked by others alone."""
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", 4)
+    rng = random.Random(8)
+    copy, rows = [f"w{rng.randrange(10**6)}" for _ in range(80)], []
+    for i in range(40):
+        copy = list(copy)
+        copy[rng.randrange(80)] = f"n{i}"
+        rows.append((i * 3 % 41, " ".join(copy)))
+    check(make_docs(*rows), 85)
+    check(make_docs(*rows), 80)
+
+
+def test_texts_sent_grow_with_the_group(spark):
+    """5000 near copies: each is sent once, and the pivot once for each block."""
+    met = spark.range(5000).selectExpr("cast(7 as long) as pivot", "cast(1 as long) as pivot_key", "id as doc_id", "cast(1 as long) as text_key", "cast(100 as long) as n_shingles")
+    groups = neardup.groups_of(met, "blocks")
+    blocks = groups.first()["blocks"]
+    rows = neardup.pivot_rows(met, groups)
+    assert rows.count() == 4999 + blocks and rows.groupBy("block").count().agg({"count": "max"}).first()[0] < 2 * neardup.BLOCK_DOCS
+    far = neardup.far_rows(met.filter("doc_id < 100"), met, groups)
+    assert far.count() == 5000 + 100 * blocks
+
+
 def test_shared_counts_with_common_shingles():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 300, 120).astype(np.uint64)) for _ in range(60)]
@@ -153,3 +177,21 @@ def test_remove_repeats_keeps_columns(make_docs):
     out = {r.doc_id: r.text for r in suffixes.remove_repeats(make_docs((1, "head " + passage), (2, passage + " tail"), (3, "short"), (4, None))).collect()}
     assert out == {1: "head ", 2: " tail", 3: "short", 4: None}
     assert suffixes.repeat_counts(make_docs()).count() == 0
+
+
+def test_clashing_columns_change_nothing(make_docs):
+    docs = make_docs((2, "a b c d e f"), (1, "A b c d e f"), (3, random_text(random.Random(2), 900)), (4, random_text(random.Random(2), 900)), (None, None))
+    odd = docs.selectExpr("1 as raw", "2 as bucket", "3 as core", "4 as at", "5 as repeat_doc", "text", "'x' as left_text", "doc_id", "6 as pivot", "7 as text_key", "8 as row", "9 as root")
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(neardup.near_duplicates(odd)) == plain(neardup.near_duplicates(docs))
+    assert plain(suffixes.repeat_counts(odd)) == plain(suffixes.repeat_counts(docs))
+    assert plain(neardup.deduplicate(odd).select("doc_id", "text")) == plain(neardup.deduplicate(docs).select("doc_id", "text"))
+    cut = suffixes.remove_repeats(odd)
+    assert cut.columns == odd.columns and plain(cut.select("doc_id", "text")) == plain(suffixes.remove_repeats(docs).select("doc_id", "text"))
+
+
+def test_a_very_long_text_and_a_hot_core(make_docs, monkeypatch):
+    rng = random.Random(6)
+    passage = random_text(rng, 460)
+    long = "".join(random_text(rng, 50_000) + passage for _ in range(3))
+    check_removed(make_docs((1, long), (2, "head" + passage[:430]), (3, long[70_000:70_399]), (4, None)))

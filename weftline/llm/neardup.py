@@ -4,14 +4,15 @@ Each permutation gives two signature values, the minimum and the maximum of the
 evaluations make 128 values: 32 bands of 4. A pair at similarity 0.85 shares no band with probability
 5e-11, at 0.8 with 5e-8. Every link is confirmed on the full shingle sets.
 
-Groups of copies never become all pairs: equal sets are one class; each bucket names as its pivot the
-member that meets most others; a document joins the block of each pivot it met, and a block counts
-intersections for all its members at once and gives only a star per component found. A pivot's group is
-cut into blocks of bounded size, and each two blocks are compared in a task of their own.
+Groups of copies never become all pairs: equal sets are one class; each bucket names as its pivot the member that meets
+most others, and first each member is compared with its pivots alone, in blocks of bounded size that each get the pivot's
+text: texts sent grow with the members. Only members that this leaves outside their pivot's component, far ones, are then
+compared with the whole group, a block of them with a block of members at a time; such a task counts intersections for all
+its members at once and gives only a star per component found. Pairs within one component need no link, so none is lost.
 
 Defined cases: texts without words (null, empty, white space) link with nothing; a null doc_id links
 with nothing and has a null component; rows that repeat a doc_id count as one document, linked through
-each of their texts; extra columns are ignored or, in ``deduplicate``, kept.
+each of their texts; an empty table has no rows; extra columns, whatever their names, are ignored or, in ``deduplicate``, kept.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, drop_kept, keep, map_arrow, partitions, rows_of, text_bytes
@@ -106,8 +107,39 @@ def block_links(sets: list[np.ndarray], ids: list[int], right: np.ndarray, perce
     return links
 
 
+def intersection_size(a: np.ndarray, b: np.ndarray) -> int:
+    """Of two sorted sets."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+PIVOT = ["pivot", "pivot_key"]
+STAR = pa.schema([("pivot", pa.int64()), ("pivot_key", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("near", pa.bool_())])
+STAR_DDL = "pivot long, pivot_key long, doc_id long, text_key long, n_shingles long, near boolean"
+
+
+def compare_with_pivots(percent: int):
+    """Rows come by pivot and block, the pivot's own text before the members: whether each reaches ``percent``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        center = None
+        for batch in batches:
+            out = []
+            for pivot, pivot_key, doc_id, key, is_pivot, raw in rows_of([batch], *PIVOT, "doc_id", "text_key", "is_pivot", "raw"):
+                own = shingle_set(raw)
+                if is_pivot:
+                    center = own
+                else:
+                    common = intersection_size(center, own)
+                    out.append((pivot, pivot_key, doc_id, key, len(own), 100 * common >= percent * (len(own) + len(center) - common)))
+            if out:
+                yield batch_of(STAR, list(zip(*out, strict=True)))
+
+    return run
+
+
 def compare_blocks(percent: int):
-    """Rows (pivot, left, right, block, doc_id, raw) come sorted by the first three: one block pair at a time."""
+    """Rows come by pivot, left and right: one block of far members with one block of the group at a time."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,12 +150,12 @@ def compare_blocks(percent: int):
                 out.extend(block_links(sets, ids, np.array(sides), percent))
 
         for batch in batches:
-            for pivot, left, right, block, doc_id, raw in rows_of([batch], "pivot", "left", "right", "block", "doc_id", "raw"):
-                if (pivot, left, right) != at:
+            for pivot, key, left, right, side, doc_id, raw in rows_of([batch], *PIVOT, "left", "right", "side", "doc_id", "raw"):
+                if (pivot, key, left, right) != at:
                     close()
-                    at, ids, sides, sets = (pivot, left, right), [], [], []
+                    at, ids, sides, sets = (pivot, key, left, right), [], [], []
                 ids.append(doc_id)
-                sides.append(block != left)
+                sides.append(side)
                 sets.append(shingle_set(raw))
             if len(out) > 10_000:
                 yield batch_of(schema, list(zip(*out, strict=True)))
@@ -136,40 +168,86 @@ def compare_blocks(percent: int):
 
 
 def pivots(reps: DataFrame) -> DataFrame:
-    """Written, distinct (pivot, doc_id, text_key, n_shingles): for each bucket of two or more, its members under the member that
+    """Written, distinct (pivot, pivot_key, doc_id, text_key, n_shingles): for each bucket of two or more, its members under the member that
     meets most others over all its buckets. Linear in the members of buckets."""
     spark = reps.sparkSession
     member = reps.select("doc_id", "text_key", "n_shingles", F.explode("bands").alias("bucket"))
-    full = member.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    full = keep(spark, member.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
     member = keep(spark, member.join(full, "bucket"), "members")
-    met = member.groupBy("doc_id").agg(F.sum("size").alias("met"))
-    ranked = member.join(met, "doc_id")
-    best = keep(spark, ranked.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("minus"))).alias("best")), "best")
-    met = keep(spark, member.join(best, "bucket").select((-F.col("best.minus")).alias("pivot"), "doc_id", "text_key", "n_shingles").distinct(), "pivots")
+    drop_kept(full)
+    met = member.groupBy("doc_id", "text_key").agg(F.sum("size").alias("met"))
+    ranked = member.join(met, ["doc_id", "text_key"])
+    best = keep(spark, ranked.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("minus"), "text_key")).alias("best")), "best")
+    met = keep(spark, member.join(best, "bucket").select((-F.col("best.minus")).alias("pivot"), F.col("best.text_key").alias("pivot_key"), "doc_id", "text_key", "n_shingles").distinct(), "pivots")
     drop_kept(member, best)
     return met
 
 
-def similarity_links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(a, b), written: links that connect what full sets show as similar. ``reps``: doc_id, text_key, n_shingles, bands."""
-    spark = docs.sparkSession
-    met = pivots(reps)
-    groups = keep(spark, met.groupBy("pivot").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles")), "groups")
-    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    placed = (
-        met.join(groups.select("pivot", blocks.alias("blocks")), "pivot")
-        .withColumn("block", F.pmod(F.xxhash64("doc_id", "text_key"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("pivot", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "doc_id", "text_key")
-    )
+def block_count() -> Column:
+    """Blocks of a group of ``docs`` documents with ``shingles`` shingles."""
+    return F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+
+
+def block_of(count: str) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text_key"), F.col(count)).cast("int")
+
+
+def groups_of(members: DataFrame, count: str) -> DataFrame:
+    """(pivot, pivot_key, ``count``): into how many blocks each pivot's members go."""
+    return members.groupBy(*PIVOT).agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles")).select(*PIVOT, block_count().alias(count))
+
+
+def with_texts(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """``placed`` (doc_id, text_key, ...) with the texts. Merge joins at every size: a broadcast that only small inputs
+    allow would hide what the texts cost."""
     key = ["doc_id", "text_key"]
-    texts = keyed_texts(docs.filter(F.col("doc_id").isNotNull())).join(met.select(key).distinct().hint("merge"), key, "left_semi").dropDuplicates(key)
-    n = partitions(spark)
-    # Merge joins at every size: a broadcast that only small inputs allow would hide what the texts cost.
-    rows = placed.join(texts.hint("merge"), key).repartition(n, "pivot", "left", "right").sortWithinPartitions("pivot", "left", "right")
-    links = keep(spark, map_arrow(rows.select("pivot", "left", "right", "block", "doc_id", "raw"), compare_blocks(percent), "a long, b long"), "stars")
-    drop_kept(met, groups)
-    return links
+    wanted = placed.select(key).distinct().hint("merge")
+    texts = keyed_texts(docs.filter(F.col("doc_id").isNotNull())).join(wanted, key, "left_semi").dropDuplicates(key)
+    return placed.join(texts.hint("merge"), key)
+
+
+def pivot_rows(met: DataFrame, groups: DataFrame) -> DataFrame:
+    """(pivot, pivot_key, block, doc_id, text_key, is_pivot): each member once, and the pivot once for each block."""
+    members, itself = met.join(groups, PIVOT).withColumn("block", block_of("blocks")), F.expr("doc_id = pivot and text_key = pivot_key")
+    own = members.filter(itself).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = [*PIVOT, "block", "doc_id", "text_key"]
+    return members.filter(~itself).select(*columns, F.lit(False).alias("is_pivot")).union(own.select(*columns, F.lit(True)))
+
+
+def far_rows(far: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(pivot, pivot_key, left, right, side, doc_id, text_key): each far member for every block of its group, and each member of a
+    group that has far ones for every block of them."""
+    spark = far.sparkSession
+    counts = keep(spark, groups_of(far, "lefts").join(groups, PIVOT), "far-groups")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = far.join(counts, PIVOT).select(*PIVOT, block_of("lefts").alias("left"), every("blocks").alias("right"), F.lit(False).alias("side"), "doc_id", "text_key")
+    right = members.join(counts, PIVOT).select(*PIVOT, every("lefts").alias("left"), block_of("blocks").alias("right"), F.lit(True).alias("side"), "doc_id", "text_key")
+    return left.unionByName(right)
+
+
+def similar_components(docs: DataFrame, reps: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """(id, root) of what full sets show as similar and of the links in ``shared`` (a, b). ``reps``: doc_id, text_key,
+    n_shingles, bands."""
+    spark, n = docs.sparkSession, partitions(docs.sparkSession)
+    met = pivots(reps)
+    groups = keep(spark, groups_of(met, "blocks"), "groups")
+    rows = with_texts(docs, pivot_rows(met, groups)).repartition(n, *PIVOT, "block").sortWithinPartitions(*PIVOT, "block", F.desc("is_pivot"))
+    stars = keep(spark, map_arrow(rows.select(*PIVOT, "doc_id", "text_key", "is_pivot", "raw"), compare_with_pivots(percent), STAR_DDL), "stars")
+    found = components(stars.filter("near").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).union(shared))
+    root = lambda c: found.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
+    rooted = stars.filter("not near").join(root("doc_id"), "doc_id", "left").join(root("pivot"), "pivot", "left")
+    far = keep(spark, rooted.filter(F.coalesce("root_doc_id", "doc_id") != F.coalesce("root_pivot", "pivot")).select(*PIVOT, "doc_id", "text_key", "n_shingles"), "far")
+    if far.isEmpty():
+        return found
+    rows = with_texts(docs, far_rows(far, stars, groups)).repartition(n, *PIVOT, "left", "right").sortWithinPartitions(*PIVOT, "left", "right")
+    late = keep(spark, map_arrow(rows.select(*PIVOT, "left", "right", "side", "doc_id", "raw"), compare_blocks(percent), "a long, b long"), "far-links")
+    drop_kept(met, groups, stars, far)
+    for end in ("a", "b"):
+        late = late.join(root(end), end, "left").withColumn(end, F.coalesce(f"root_{end}", end)).drop(f"root_{end}")
+    again = components(late)
+    last = again.select(F.col("id").alias("root"), F.col("root").alias("above"))
+    merged = found.join(last, "root", "left").select("id", F.coalesce("above", "root").alias("root"))
+    return merged.union(again.join(found.select("id"), "id", "left_anti").select("id", "root"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -181,11 +259,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     linkable = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = keep(spark, linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = keep(spark, linkable.join(classes, "set_key").filter("doc_id = rep").dropDuplicates(["set_key"]).select("doc_id", "text_key", "n_shingles", "bands"), "reps")
-    links = similarity_links(rows, reps, percent)
     repeated = linkable.groupBy("doc_id").agg(F.min("set_key").alias("one"), F.max("set_key").alias("other")).filter("one <> other").select("doc_id")
     shared = linkable.join(repeated, "doc_id").join(classes, "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(links.union(shared))
-    drop_kept(reps, links)
+    found = similar_components(rows, reps, shared, percent)
+    drop_kept(reps)
     labels = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("label"))
     named = signed.drop("bands", "text_key").join(labels, "set_key", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id"))
