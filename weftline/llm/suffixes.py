@@ -14,7 +14,8 @@ counted by hash, and only ranges that stay undecided are cut again, down to the
 
 Defined cases: a null or empty text has no bytes and keeps the digest of none; texts of under 400 bytes
 lose nothing; matches never cross documents; repeated rows are each other's copies; a null doc_id is a
-document like others; extra columns are ignored or, in ``remove_repeats``, kept.
+document like others; an empty table has no rows; extra columns, whatever their names, are ignored or, in
+``remove_repeats``, kept.
 """
 
 from __future__ import annotations
@@ -383,6 +384,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             if out:
                 yield batch_of(schema, list(zip(*out, strict=True)))
 
-    cut = map_arrow(covered, run, "doc_id long, text_key long, left_text string").withColumnRenamed("doc_id", "repeat_doc").withColumnRenamed("text_key", "repeat_key")
-    own = (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))) == F.col("repeat_doc")) & (F.xxhash64(docs["text"].cast("string")) == F.col("repeat_key"))
-    return docs.join(cut, own, "left").select(*[F.coalesce("left_text", docs["text"]).alias(c) if c == "text" else docs[c] for c in docs.columns])
+    cut = map_arrow(covered, run, "doc_id long, text_key long, left_text string").select(F.struct("doc_id", "text_key").alias("_key"), "left_text")
+    # All columns of docs travel in one struct, so no name of theirs can meet another.
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row")).withColumn("_key", F.struct(F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64(F.col("_row.text").cast("string")).alias("text_key")))
+    joined = own.join(cut, "_key", "left")
+    return joined.select(*[(F.coalesce("left_text", F.col("_row.text").cast("string")) if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns])
