@@ -33,7 +33,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZ
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find_personal_data(read(spark, sf_dir, "documents"), pii.train())
+    docs = read(spark, sf_dir, "documents")
+    return pii.find_personal_data(docs, pii.train(docs))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
