@@ -6,8 +6,10 @@ labelled documents; prediction reads every window of the whole text and averages
 For prediction each filter's weights are folded into tables by byte, so a filter is a few look-ups.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text where
-nothing could be learned; a null doc_id is not held out; rows that repeat each give a row; of languages
-with equal scores the first by name wins; extra columns are ignored or, in ``keep_identified``, kept.
+nothing could be learned; a null doc_id is not held out; documents to learn from are picked by a hash of their text, so null
+and repeated doc_ids count like others, and equal texts and windows count once; rows that repeat each give a row; of languages
+with equal scores the first by name wins; an empty table has no rows; extra columns, whatever their names, are ignored or,
+in ``keep_identified``, kept.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, map_arrow
+from .common import batch_of, drop_kept, keep, map_arrow
 
 LENGTH = 128  #: bytes of a window
 WIDTHS = (2, 3, 4)
@@ -28,6 +30,7 @@ FILTERS = 16  #: for each width
 DEPTH = 8  #: of the byte embedding
 SAMPLE_DOCS = 800  #: labelled documents for each language to learn from, about; taken by hash
 SAMPLE_WINDOWS = 4  #: windows of each, evenly spaced over the whole text
+LANGUAGES = 100  #: learned, the most frequent ones, at most
 STEPS, BATCH, RATE = 500, 96, 0.01
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -159,34 +162,41 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 
 def sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("lang", pa.string()), ("doc_id", pa.int64()), ("part", pa.binary())])
+    schema = pa.schema([("lang", pa.string()), ("part", pa.binary())])
     for batch in batches:
         out = []
-        for lang, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "doc_id", "text")), strict=True):
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             if LETTER.search(text):
                 all_windows = windows(text)
-                out += [(lang, doc_id, all_windows[i].tobytes()) for i in sorted({len(all_windows) * k // SAMPLE_WINDOWS for k in range(SAMPLE_WINDOWS)})]
+                out += [(lang, all_windows[i].tobytes()) for i in sorted({len(all_windows) * k // SAMPLE_WINDOWS for k in range(SAMPLE_WINDOWS)})]
         if out:
             yield batch_of(schema, list(zip(*out, strict=True)))
 
 
 def learn(docs: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
-    """(languages, parameters) from documents that are not held out. About SAMPLE_DOCS of each language, those
-    with the smallest hashes of their doc_id, reach the driver as SAMPLE_WINDOWS windows each."""
-    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    """(languages, parameters) from documents that are not held out. About SAMPLE_DOCS distinct texts of each language, those
+    with the smallest hashes, give SAMPLE_WINDOWS windows each; at most twice as many distinct ones a language reach the driver."""
+    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct(F.xxhash64("text")).alias("texts"))
+    counts = {r["lang"]: r["texts"] for r in sizes.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return [], {}
     scale = 1 << 30
     share = {lang: min(scale, scale * SAMPLE_DOCS // n + 1) for lang, n in counts.items()}
     limit = F.create_map(*[F.lit(x) for pair in sorted(share.items()) for x in pair])
-    picked = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < limit[F.col("lang")])
-    parts = sorted((r["lang"], r["doc_id"] if r["doc_id"] is not None else -1, bytes(r["part"])) for r in map_arrow(picked, sample_windows, "lang string, doc_id long, part binary").collect())
-    languages = sorted({r[0] for r in parts})
+    picked = rows.filter(F.pmod(F.xxhash64("text"), F.lit(scale)) < limit[F.col("lang")]).distinct()
+    parts = keep(docs.sparkSession, map_arrow(picked.select("lang", "text"), sample_windows, "lang string, part binary").distinct(), "windows")
+    most, found = 2 * SAMPLE_DOCS * SAMPLE_WINDOWS, []
+    for lang in sorted(counts):
+        part = parts.filter(F.col("lang") == lang).select("part")
+        found += [(lang, bytes(r["part"])) for r in part.orderBy(F.xxhash64("part"), "part").limit(most).collect()]
+    drop_kept(parts)
+    languages = sorted({r[0] for r in found})
     if not languages:
         return [], {}
-    x = np.frombuffer(b"".join(r[2] for r in parts), np.uint8).reshape(-1, LENGTH)
-    y = np.array([languages.index(r[0]) for r in parts])
+    found.sort()
+    x = np.frombuffer(b"".join(r[1] for r in found), np.uint8).reshape(-1, LENGTH)
+    y = np.array([languages.index(r[0]) for r in found])
     return languages, train(x, y, len(languages)).p
 
 
@@ -208,10 +218,11 @@ def identify(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]]) ->
 
 def keep_identified(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], least: float = 0.4) -> DataFrame:
     """``docs`` without the documents whose language stays undecided: ``und`` or a score under ``least``. No shuffle."""
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(*model)
         for batch in batches:
-            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in classifier.predict(batch.column("text").to_pylist())], pa.bool_()))
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in classifier.predict(batch.column(at).to_pylist())], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)
