@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql.functions import xxhash64
 
 from weftline.llm import fingerprint as fp
 from weftline.llm import warc
@@ -102,3 +103,77 @@ def test_long_payloads_and_clashing_columns(spark):
     pages = spark.createDataFrame([(1, "u", html, 5, "x"), (2, "v", html, 6, "y")], "page_id long, url string, html string, first long, sha string")
     rows = {r.page_id: r for r in warc.archive_and_read(pages).collect()}
     assert rows[1].payload_bytes == rows[2].payload_bytes == len(html) and rows[2].refers_to == 1
+
+
+def plain_features(raw, window, span, popular):
+    """Windows that win in ``popular`` or more of the spans of neighbours: entropy by counting, ties to the left."""
+    import math
+    from collections import Counter
+
+    ranks = fp.rarity()
+    # the scale in integers, as the digest defines it: sums of rounded steps of c log2 c
+    gain = [round(65536 * ((c + 1) * math.log2(c + 1) - (c * math.log2(c) if c else 0))) for c in range(window)]
+    steps = []
+    for i in range(len(raw) - window + 1):
+        lost = sum(sum(gain[:c]) for c in Counter(raw[i : i + window]).values())
+        steps.append(fp.STEPS - lost * fp.STEPS // sum(gain))
+    order = [(int(ranks[s]), i) for i, s in enumerate(steps)]
+    wins = Counter(min(order[max(0, a) : a + span])[1] for a in range(1 - span, len(order)))
+    found = [i for i in range(len(order)) if wins[i] >= popular and order[i][0] < 1 << 20]
+    found = found or [max(range(len(order)), key=lambda i: (wins[i], -i))]
+    return [raw[i : i + window] for i in found]
+
+
+def test_features_match_a_plain_version():
+    import random
+
+    rng = random.Random(3)
+    for n in (40, 100, 300, 700):
+        raw = " ".join(rng.choice(["alpha", "beta", "gamma", "delta9", "zeta,", "eta"]) for _ in range(n // 5)).encode()[:n]
+        want = plain_features(raw, fp.NARROW, fp.NEAR, fp.OFTEN) if len(raw) < fp.SHORT else []
+        want += plain_features(raw, fp.WINDOW, fp.SPAN, fp.POPULAR)
+        got = fp.features(raw, fp.rarity())
+        assert len(got) == len(set(want)) and len(got) > 0
+
+
+def test_filters_and_likeness_match_a_plain_version():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    make = lambda n: [rng.getrandbits(64) for _ in range(n)]
+
+    def plain(hashes):
+        return [{(x >> (11 * i)) % fp.BITS for x in hashes[at : at + fp.PER_FILTER] for i in range(fp.HASHES)} for at in range(0, len(hashes), fp.PER_FILTER)]
+
+    def one_way(a, b):
+        best = [max(max(0.0, (len(x & y) - len(x) * len(y) / fp.BITS) / (min(len(x), len(y)) - len(x) * len(y) / fp.BITS)) for y in b) for x in a]
+        return sum(s * len(x) for s, x in zip(best, a)) / sum(map(len, a))
+
+    base = make(400)
+    for a, b in ((base, base[:150] + make(250)), (base, base[:90]), (make(30), make(500)), (base[:200], base[200:])):
+        x, y = fp.digest_bits(np.array(a, np.uint64)), fp.digest_bits(np.array(b, np.uint64))
+        p, q = plain(a), plain(b)
+        assert [set(np.flatnonzero(r).tolist()) for r in x] == p and [set(np.flatnonzero(r).tolist()) for r in y] == q
+        want = (one_way(p, q) + one_way(q, p)) / 2 if len(p) == len(q) else one_way(p, q) if len(p) < len(q) else one_way(q, p)
+        assert fp.likeness(x, y) == pytest.approx(min(1.0, want), abs=1e-6) and fp.likeness(x, y) == pytest.approx(fp.likeness(y, x))
+
+
+def test_crowded_ids_are_split(spark, make_docs):
+    """A third of all rows without an id, and one id that repeats: parts by hash, each row once and in the defined order."""
+    docs = make_docs(*[(None, f"text without id {i}") for i in range(400)], *[(7, f"text of seven {i % 90}") for i in range(200)], *[(i, f"text {i}") for i in range(100, 700)])
+    placed = fp.with_following(docs).filter("not halo")
+    sizes = [r["count"] for r in placed.groupBy("bucket", "part").count().collect()]
+    assert sum(sizes) == docs.count() and max(sizes) < 250
+    rows = fp.fingerprint_documents(docs).collect()
+    own = sorted(docs.withColumn("h", xxhash64("text")).collect(), key=lambda r: (-r.doc_id if r.doc_id is not None else 1 << 70, r.h))
+    pairs = [(a.text, b.text) for a, b in zip(own, own[1:] + own[:1])]
+    want = sorted((r.doc_id or -1, len(a), hashlib.sha256(fp.edited(a, b).encode()).hexdigest()) for r, (a, b) in zip(own, pairs))
+    assert sorted((r.doc_id or -1, r.n_chars, r.edited_sha256) for r in rows) == want
+
+
+def test_clashing_columns_of_fingerprints(make_docs):
+    docs = make_docs((1, "one text"), (2, "another text"), (None, None))
+    odd = docs.selectExpr("7 as bucket", "8 as part", "'z' as tie", "9 as key", "text", "doc_id", "3 as `order`")
+    assert sorted(map(str, fp.fingerprint_documents(odd).collect())) == sorted(map(str, fp.fingerprint_documents(docs).collect()))

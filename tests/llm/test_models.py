@@ -33,6 +33,26 @@ def test_language_of_odd_documents(odd_docs, make_docs):
     assert langid.keep_identified(odd_docs, model).filter("text is null").count() == 0
 
 
+def test_sample_is_bounded_where_ids_repeat(make_docs, monkeypatch):
+    """Rows without an id and copies of one text do not flood the driver; equal windows are learned from once."""
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 10)
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    seen = {}
+    monkeypatch.setattr(langid, "train", lambda x, y, classes: seen.update(x=x, y=y) or langid.Network(classes))
+    learned = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1)
+    docs = make_docs(*[(None, f"no id {i} here", "en") for i in range(300)], *[(learned, "la même chose", "fr")] * 300, (5, "ein Satz", "de"), (6, "una frase", None))
+    assert langid.learn(docs)[0] == ["en", "fr"]
+    assert len(seen["x"]) <= 2 * 2 * 10 * langid.SAMPLE_WINDOWS and sum(seen["y"] == 1) <= 1
+    assert 0 < sum(seen["y"] == 0) <= 40
+
+
+def test_ties_go_to_the_first_language():
+    net = langid.Network(3, 1)
+    net.p["out"][:], net.p["bias"][:] = 0, 0
+    lang, score = langid.Classifier(["aa", "bb", "cc"], net.p).predict(["some text"])[0]
+    assert lang == "aa" and score == pytest.approx(1 / 3)
+
+
 def test_network_gradients():
     net = langid.Network(3, 1)
     rng = np.random.default_rng(0)
@@ -69,6 +89,22 @@ def test_quality_of_odd_documents(spark, odd_docs, make_docs):
     assert quality.rate(make_docs(), quality.learn(make_docs(), none)).count() == 0
 
 
+def test_repeated_rated_documents_count_once(spark, make_docs):
+    docs = make_docs(*[(1, "good words here")] * 50, *[(2, "bad words here")] * 50, (3, "other good text"), (None, "x"))
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = quality.rated_features(docs.selectExpr("doc_id", "text", "1 as grade", "2 as raw", "3 as features"), labels).collect()
+    assert sorted((r.doc_id, r.grade) for r in rows) == [(1, 2), (2, 0), (3, 2)]
+
+
+def test_telling_features_are_bounded(monkeypatch):
+    counts, share = np.zeros((3, 100)), np.array([100, 100, 100])
+    counts[0, :60] = 90
+    counts[:, 90] = 100
+    assert quality.telling(counts, share).tolist() == list(range(60))
+    monkeypatch.setattr(quality, "LEARNED", 7)
+    assert quality.telling(counts, share).tolist() == list(range(7))
+
+
 def test_ordinal_thresholds_and_order():
     rng = np.random.default_rng(1)
     grades = np.repeat([0, 1, 2], 200)

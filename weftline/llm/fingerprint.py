@@ -7,7 +7,8 @@ of 2048 bits; two digests are compared by the bits they share beyond what chance
 Defined cases: a null text counts as empty; the empty text has a digest without filters, like only
 to itself (1.0), to all others 0.0. A text of under 256 bytes also has features of 8 bytes, and one
 shorter than those is one feature, the whole text.
-Equal texts have equal digests. Repeated rows each give a row; extra columns are ignored.
+Equal texts have equal digests. Rows that share a doc_id follow each other by the hash of their text; repeated rows each give
+a row; extra columns, whatever their names, are ignored; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -113,11 +114,6 @@ def digest_text(filters: np.ndarray) -> str:
     return f"{len(filters)}:" + base64.b64encode(np.packbits(filters, axis=1).tobytes()).decode()
 
 
-def digest_of_text(text: str) -> np.ndarray:
-    count, _, body = text.partition(":")
-    return np.unpackbits(np.frombuffer(base64.b64decode(body), np.uint8).reshape(int(count), BITS // 8), axis=1).astype(bool)
-
-
 def one_way(a: np.ndarray, b: np.ndarray) -> float:
     """Mean over a's filters, by their bits, of the best overlap beyond chance with one of b's filters."""
     na, nb = a.sum(1).astype(np.float64), b.sum(1).astype(np.float64)
@@ -164,45 +160,61 @@ def compare_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         return digest_bits(features(text.encode(), rank))
 
     for batch in batches:
-        for bucket, halo, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "halo", "doc_id", "text")), strict=True):
+        for bucket, part, halo, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "part", "halo", "doc_id", "text")), strict=True):
             if pending is None and halo:
                 continue
             text = text or ""
             own = digest(text)
-            if pending is not None and pending[0] == bucket:
+            if pending is not None and pending[0] == (bucket, part):
                 _, before, was, theirs = pending
                 new = edited(was, text)
                 bits = digest(new)
                 out.append((before, len(was), hashlib.sha256(new.encode()).hexdigest(), digest_text(theirs), digest_text(bits), likeness(theirs, bits), likeness(theirs, own)))
-            pending = None if halo else (bucket, doc_id, text, own)
+            pending = None if halo else ((bucket, part), doc_id, text, own)
         if out:
             yield batch_of(OUT, list(zip(*out, strict=True)))
             out = []
 
 
+LAST = -(2**63)  #: stands for a null doc_id, which comes last
+HASHES_OF_TEXT = 2.0**64
+
+
 def with_following(docs: DataFrame) -> DataFrame:
-    """(bucket, halo, doc_id, text): buckets are ranges of doc_id; the halo row of a bucket is the document that
-    follows its last one in descending order. One shuffle of the texts; the driver sees one id for each bucket."""
+    """(bucket, part, halo, doc_id, text, tie): buckets are ranges of doc_id, descending; one whose doc_id (or lack of one)
+    holds more than a bucket's share of the rows is cut into parts by the hash of the text. The halo row of a part is the
+    document that follows its last one. One shuffle of the texts; the driver sees a few values for each part."""
     spark = docs.sparkSession
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))).cast("double"))
-    count = 4 * partitions(spark)
-    splits = sorted(set(keyed.approxQuantile("key", [i / count for i in range(1, count)], 0.25 / count)))
-    ranged = Bucketizer(splits=[-float("inf"), *splits, float("inf")] if splits else [-float("inf"), 0.0, float("inf")], inputCol="key", outputCol="at", handleInvalid="keep").transform(keyed)
-    ranged = ranged.withColumn("bucket", F.col("at").cast("int"))
-    tops = sorted((r["bucket"], r["top"]) for r in ranged.groupBy("bucket").agg(F.max(F.coalesce("doc_id", F.lit(-(2**63)))).alias("top")).collect())
-    order = F.coalesce("doc_id", F.lit(-(2**63)))
-    rows = ranged.select("bucket", F.lit(False).alias("halo"), "doc_id", "text")
-    if tops:
-        goes = {tops[i][1]: tops[(i + 1) % len(tops)][0] for i in range(len(tops))}
-        halo = spark.createDataFrame([(k, v) for k, v in goes.items()], "top long, bucket int")
-        extra = ranged.drop("bucket").withColumn("top", order).filter(F.col("top").isin(list(goes))).join(F.broadcast(halo), "top")
-        rows = rows.union(extra.select("bucket", F.lit(True), "doc_id", "text"))
     n = partitions(spark)
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "halo", order.desc(), F.col("text").asc_nulls_first())
+    count = 4 * n
+    order, tie = F.coalesce("doc_id", F.lit(LAST)), F.xxhash64("text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("order", order).withColumn("tie", tie).withColumn("key", F.col("order").cast("double"))
+    total = keyed.count()
+    crowded = keyed.groupBy("order").count().filter(F.col("count") > F.lit(max(total // count, 1))).collect()  # under ``count`` rows
+    splits = {*keyed.approxQuantile("key", [i / count for i in range(1, count)], 0.25 / count)}
+    splits |= {x for r in crowded for x in (float(r["order"]), float(np.nextafter(float(r["order"]), np.inf)))}
+    edges = [-float("inf"), *sorted(splits), float("inf")] if splits else [-float("inf"), 0.0, float("inf")]
+    ranged = Bucketizer(splits=edges, inputCol="key", outputCol="range", handleInvalid="keep").transform(keyed)
+    part = F.lit(0)
+    for r in crowded:  # rows of other ids whose doubles are equal stay before or after all parts
+        pieces = -(-r["count"] * count // total)
+        own = F.least(F.floor((F.col("tie") / HASHES_OF_TEXT + 0.5) * pieces).cast("int"), F.lit(pieces - 1))
+        same_key = F.col("key") == float(r["order"])
+        part = F.when(same_key & (F.col("order") == r["order"]), own).when(same_key & (F.col("order") < r["order"]), pieces - 1).otherwise(part)
+    ranged = ranged.withColumn("bucket", -F.col("range").cast("int")).withColumn("part", part)
+    first = F.max(F.struct("order", F.bitwise_not("tie").alias("minus")))
+    tops = [(r["bucket"], r["part"], r["first"]["order"], ~r["first"]["minus"]) for r in ranged.groupBy("bucket", "part").agg(first.alias("first")).orderBy("bucket", "part").collect()]
+    rows = ranged.select("bucket", "part", F.lit(False).alias("halo"), "doc_id", "text", "tie")
+    if tops:
+        goes = [(*tops[(i + 1) % len(tops)][2:], *tops[i][:2]) for i in range(len(tops))]
+        halo = spark.createDataFrame(goes, "order long, tie long, bucket int, part int")
+        extra = ranged.drop("bucket", "part").filter(F.col("order").isin(sorted({g[0] for g in goes}))).join(F.broadcast(halo), ["order", "tie"])
+        rows = rows.union(extra.select("bucket", "part", F.lit(True), "doc_id", "text", "tie"))
+    return rows.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part", "halo", order.desc(), "tie")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): its digest, that of its edited text, and how alike they are
     to each other and to the next document in descending doc_id (after the last: the first). Rows with the same
-    doc_id follow each other by text; a null doc_id comes last."""
-    return map_arrow(with_following(docs), compare_in_order, DDL)
+    doc_id follow each other by the hash of their text; a null doc_id comes last."""
+    return map_arrow(with_following(docs).drop("tie"), compare_in_order, DDL)
