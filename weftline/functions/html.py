@@ -7,15 +7,18 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftline.functions.urls import host_of, same_site
+from weftline.functions.urls import absolutize, host_of, path_of, same_site
 
 #: What names a page or a domain as spam.
 RISKY_TLDS = "tk|ml|ga|cf|gq|xyz|top|buzz|click|link|loan|work|bid|win|cam|rest|icu|monster|sbs"
 FREE_HOSTS = r"blogspot\.com|wordpress\.com|weebly\.com|wixsite\.com|000webhostapp\.com|github\.io"
 PIRACY = "apk|crack|nulled|warez|torrent|keygen|mod-?apk|free-?download"
-SELLING = r"guest\s*post|sponsored\s*post|paid\s*(post|link|article)|buy\s*(a\s*)?link|link\s*building\s*service"
+SELLING = r"guest\s*post|sponsored\s*post|paid\s*(post|link|article)|buy\s*(a\s*)?link|link\s*building\s*service|insertion\s*de\s*lien|article\s*sponsoris|achat\s*de\s*lien|publication\s*payante"
 PRICE = r"[$€£]\s?\d{2,5}|\d{2,5}\s?(usd|eur|€|\$)"
-NEAR_SELLING = "link|post|article|guest|sponsored|publication|insertion"
+NEAR_SELLING = "link|post|article|guest|sponsored|lien|publication|insertion"
+LINK_PAGES = "partenaire|partner|integration|ecosyst|marketplace|annuaire|director|outil|tool|app|logiciel|software|ressource|resource|avis|review|comparat|alternativ|lien|link|blog|actualit|news|presse|press|a-propos|about|nos-|our-"
+NO_PAGES = "jpe?g|png|gif|webp|svg|pdf|zip|css|js|ico"
+OFF_TOPIC_REACH = 40_000  #: characters of a text in which off-topic words count
 OFF_TOPIC = r"casino|betting|poker|viagra|cialis|escort|porn|xxx|payday\s*loan|crypto\s*airdrop"
 
 _LATIN = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, range(0xC0, 0x250)) if len(unicodedata.normalize("NFD", c)) > 1}
@@ -70,9 +73,24 @@ def links_unquoted(html: Column) -> Column:
     return F.transform(kept, lambda h: F.regexp_replace(h, "#.*$", ""))
 
 
-def links_closed(html: Column, reach: int = 400) -> Column:
-    """Only links whose ``</a>`` comes within ``reach`` characters."""
-    return F.filter(links(F.concat(F.lit(""), html), reach, 0), lambda x: x["anchor"] != "")
+def links_closed(html: Column, target: Column | None = None, reach: int = 400, most: int = 12) -> Column:
+    """The first ``most`` links whose ``</a>`` comes within ``reach`` characters, of those whose href names ``target``."""
+    closed = F.filter(links(html, reach, 0), lambda x: x["anchor"] != "")
+    return F.slice(closed if target is None else F.filter(closed, lambda x: F.contains(F.lower(x["href"]), target)), 1, most)
+
+
+def internal_likely(html: Column, host: Column, most: int = 4) -> Column:
+    """The first ``most`` internal pages, as absolute URLs without query, whose path promises links."""
+
+    def page(href: Column) -> Column:
+        url = absolutize(F.concat(F.lit("https://"), host, F.lit("/")), href)
+        path = path_of(url)
+        ok = ~href.rlike("(?i)^(#|javascript:|mailto:|tel:)") & url.rlike("(?i)^https?://") & (host_of(url) == host)
+        ok = ok & (path != "/") & (F.length(path) <= 90) & path.rlike(f"(?i)({LINK_PAGES})") & ~path.rlike(rf"(?i)\.({NO_PAGES})$")
+        return F.when(ok, F.concat(F.regexp_extract(url, "^([A-Za-z]+://[^/?#]*)", 1), path))
+
+    hrefs = F.regexp_extract_all(html, F.lit("(?i)href\\s*=\\s*[\"']([^\"']+)[\"']"), F.lit(1))
+    return F.slice(F.array_distinct(F.array_compact(F.transform(hrefs, lambda h: page(F.trim(h))))), 1, most)
 
 
 def rel_tokens(rel: Column) -> Column:
@@ -94,7 +112,12 @@ def rel_kind(rel: Column) -> Column:
 
 def external_hosts(html: Column, domain: Column) -> Column:
     """Distinct hosts of absolute links that are not the page's own site."""
-    hosts = F.transform(links(html), lambda x: host_of(x["href"]))
+    return external_of(links(html), domain)
+
+
+def external_of(found: Column, domain: Column) -> Column:
+    """The same from the links of a page, where they are at hand."""
+    hosts = F.transform(found, lambda x: host_of(x["href"]))
     return F.array_distinct(F.filter(hosts, lambda h: h.isNotNull() & ~same_site(h, domain)))
 
 
@@ -112,10 +135,49 @@ def robots_blocks_all(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).rlike(r"(?im)^user-agent:\s*\*\s*$(?:\s*^(?:allow|crawl-delay|disallow):[^\n]*$)*?\s*^disallow:\s*/\s*$")
 
 
-def robots_pattern(rule: Column) -> Column:
-    """A rule with ``*`` and a final ``$`` as a regular expression."""
-    literal = F.regexp_replace(rule, r"([.+?^{}()|\[\]\\])", r"\\$1")
-    return F.concat(F.lit("^"), F.replace(literal, F.lit("*"), F.lit(".*")))
+RULE = "struct<kind:string,pattern:string>"
+
+
+def robots_rules(text: Column) -> Column:
+    """array<struct(kind, pattern)>: the rules of the first group whose agents include ``*``. Agents that follow each other
+    share a group; comments, other lines and rules before any agent say nothing. Null for no text, which allows all."""
+    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, "#.*$", "")))
+    pairs = F.transform(F.filter(lines, lambda x: x.rlike(r"(?i)^(user-agent|allow|disallow)\s*:")), lambda x: F.struct(F.lower(F.regexp_extract(x, r"^([^:\s]+)", 1)).alias("kind"), F.regexp_extract(x, r"^[^:]*:\s*(.*)$", 1).alias("pattern")))
+    start = F.struct(F.lit(False).alias("begun"), F.lit(False).alias("mine"), F.lit(False).alias("ruled"), F.lit(False).alias("done"), F.array().cast(f"array<{RULE}>").alias("rules"))
+
+    def step(a: Column, x: Column) -> Column:
+        agent, fresh = x["kind"] == "user-agent", ~a["begun"] | a["ruled"]
+        star = x["pattern"] == "*"
+        return F.struct(
+            (a["begun"] | agent).alias("begun"),
+            F.when(agent & fresh, star).when(agent, a["mine"] | star).otherwise(a["mine"]).alias("mine"),
+            F.when(agent, ~fresh & a["ruled"]).otherwise(a["begun"]).alias("ruled"),
+            (a["done"] | (agent & fresh & a["mine"])).alias("done"),
+            F.when(~agent & a["mine"] & ~a["done"], F.array_append(a["rules"], x)).otherwise(a["rules"]).alias("rules"),
+        )
+
+    return F.when(text.isNotNull() & (text != ""), F.aggregate(pairs, start, step)["rules"])
+
+
+def robots_allowed(rules: Column, path: Column) -> Column:
+    """The longest rule that matches wins, allow before an equally long disallow; an empty disallow forbids nothing."""
+
+    def regex(rule: Column) -> Column:
+        ends = rule.endswith("$")
+        body = F.when(ends, F.left(rule, F.length(rule) - 1)).otherwise(rule)
+        body = F.replace(F.regexp_replace(body, r"([.+?^${}()|\[\]\\])", r"\\$1"), F.lit("*"), F.lit(".*"))
+        return F.concat(F.lit("^"), body, F.when(ends, "$").otherwise(""))
+
+    live = F.filter(rules, lambda r: ((r["pattern"] != "") | (r["kind"] == "allow")) & F.rlike(path, regex(r["pattern"])))
+    best = F.array_max(F.transform(live, lambda r: F.struct((F.length(r["pattern"]) + F.when(r["kind"] == "allow", 0.5).otherwise(0.0)).alias("n"), (r["kind"] == "allow").alias("ok"))))
+    return F.coalesce(best["ok"], F.lit(True))
+
+
+def robots_prefix_allowed(text: Column, path: Column) -> Column:
+    """The careful reading: of the block of all agents only ``/`` and plain prefixes forbid, rules with ``*`` do not."""
+    block = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?is)user-agent:\s*\*(.*?)(?=\nuser-agent:|\z)", 1)
+    rules = F.regexp_extract_all(block, F.lit(r"(?im)^\s*disallow:\s*(\S+)\s*$"), F.lit(1))
+    return ~F.exists(rules, lambda r: (r == "/") | (~F.contains(r, F.lit("*")) & F.startswith(path, r)))
 
 
 # -- spam ------------------------------------------------------------------------------------------
@@ -125,9 +187,9 @@ def spam_signals(domain: Column, text: Column, n_external: Column, n_hosts: Colu
     size = F.octet_length(text)
     scripted = (size < 5000) & (html_bytes > 100_000)
     ratio = F.when(~scripted & (size > 0), n_external / (size / 1024))
-    parts = F.split(text, f"(?i)(?:{PRICE})")
-    tail = lambda x: F.when(F.length(x) > 200, F.substring(x, -200, 200)).otherwise(x)
-    near_price = F.transform(parts, lambda x, i: F.concat(F.when(i > 0, F.substring(x, 1, 200)).otherwise(""), F.lit(" | "), F.when(i < F.size(parts) - 1, tail(x)).otherwise("")).rlike(f"(?i){NEAR_SELLING}"))
+    priced = F.regexp_instr(text, F.lit(f"(?i)(?:{PRICE})"))  # the first price alone
+    start = F.greatest(F.lit(1), priced - 200)
+    near_price = (priced > 0) & F.substring(text, start, priced + 200 - start).rlike(f"(?i){NEAR_SELLING}")
     sells = text.rlike(f"(?i){SELLING}")
     starts = F.transform(F.filter(F.split(text, r"[.!?]\s"), lambda s: F.length(s) > 40), lambda s: F.substring(s, 1, 60))
     repeats = (F.size(starts) > 12) & (1 - F.size(F.array_distinct(starts)) / F.size(starts) > 0.35)
@@ -144,8 +206,8 @@ def spam_signals(domain: Column, text: Column, n_external: Column, n_hosts: Colu
             s(read & (ratio > 6) & (ratio <= 12), "link_ratio", 12),
             s(read & (size < 900) & ~scripted, "thin", 15),
             s(read & sells, "sells_links", 40),
-            s(read & ~sells & F.exists(near_price, lambda x: x), "price_near_link", 22),
-            s(read & text.rlike(f"(?i){OFF_TOPIC}"), "off_topic", 25),
+            s(read & ~sells & near_price, "price_near_link", 22),
+            s(read & F.substring(text, 1, OFF_TOPIC_REACH).rlike(f"(?i){OFF_TOPIC}"), "off_topic", 25),
             s(read & repeats, "repetitive", 18),
         )
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weftline.functions import html as H
 from weftline.functions import urls as U
 from weftline.queries.registry import query
+from weftline.sources import parsers as P
 
 c = F.col
 HOST = "regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\\.', '')"
@@ -53,9 +54,9 @@ def links_extract_unquoted(p):
     return external(p).select("page_id", F.explode(H.links_unquoted(c("html"))).alias("href")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
-@query("links_extract_closed", "v_pages", sql=f"WITH {LINKS} SELECT page_id, count(*) AS n FROM links WHERE anchor <> '' GROUP BY page_id")
+@query("links_extract_closed", "v_pages", sql=f"WITH {LINKS} SELECT page_id, least(count(*), 12) AS n FROM links WHERE anchor <> '' AND contains(lower(href), '.org/') GROUP BY page_id")
 def links_extract_closed(p):
-    return external(p).select("page_id", F.size(H.links_closed(c("html"))).cast("long").alias("n")).filter("n > 0")
+    return external(p).select("page_id", F.size(H.links_closed(c("html"), F.lit(".org/"))).cast("long").alias("n")).filter("n > 0")
 
 
 @query("links_gateway", "v_pages", sql=f"WITH {LINKS} SELECT page_id, count(*) AS n FROM links WHERE href LIKE '%site7.org%' GROUP BY page_id")
@@ -106,36 +107,31 @@ def robots_simple(p):
     return p.select("page_id", H.robots_blocks_all(text).alias("blocks_all"), F.when(http.isin(200, 404), "MEASURED").otherwise("BLIND").alias("state"))
 
 
-RULES = (("disallow", "/private"), ("allow", "/private/open"), ("disallow", "/*.pdf$"), ("disallow", "/en"), ("allow", "/en/4"))
+#: robots.txt of the pages' sites: agents that share a group, another group, comments, a joker, an end, an empty rule.
+ROBOTS = "# site\nUser-agent: bot\nDisallow: /\n\nUser-agent: other\nuser-agent: *  # all\nDisallow: /private # not here\nAllow: /private/open\nCrawl-delay: 3\nDisallow: /*.pdf$\nDisallow: /en\nAllow: /en/4\nDisallow:\n\nUser-agent: *\nDisallow: /late\n"
 
 
-@query("robots_longest_match", "v_pages", sql=f"""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '/private/open/' || page_id WHEN 1 THEN '/private/x' WHEN 2 THEN '/f' || page_id || '.pdf' WHEN 3 THEN '/a.pdf?x' ELSE {PATH} END AS path FROM v_pages)
- SELECT page_id, CASE WHEN path LIKE '/private/open%' THEN true WHEN path LIKE '/private%' THEN false WHEN path LIKE '/en/4%' THEN true WHEN path LIKE '%.pdf' THEN false WHEN path LIKE '/en%' THEN false ELSE true END AS allowed FROM p""")
+@query("robots_longest_match", "v_pages", sql=f"""WITH p AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN '/private/open/' || page_id WHEN 1 THEN '/private/x' WHEN 2 THEN '/f' || page_id || '.pdf' WHEN 3 THEN '/a.pdf?x' WHEN 4 THEN '/late' ELSE {PATH} END AS path FROM v_pages)
+ SELECT page_id, page_id % 7 = 0 OR CASE WHEN path LIKE '/private/open%' THEN true WHEN path LIKE '/private%' THEN false WHEN path LIKE '%.pdf' THEN false WHEN path LIKE '/en/4%' THEN true WHEN path LIKE '/en%' THEN false ELSE true END AS allowed FROM p""")
 def robots_longest_match(p):
-    """The longest rule that matches wins; allow beats an equally long disallow."""
-    m = c("page_id") % 5
-    path = F.when(m == 0, F.concat(F.lit("/private/open/"), "page_id")).when(m == 1, "/private/x").when(m == 2, F.concat(F.lit("/f"), "page_id", F.lit(".pdf"))).when(m == 3, "/a.pdf?x").otherwise(U.path_of(c("url")))
-    hits = [F.when(F.expr("path").rlike(_regex(rule)), F.struct(F.lit(len(rule) + 0.5 * (kind == "allow")).alias("n"), F.lit(kind == "allow").alias("ok"))) for kind, rule in RULES]
-    best = F.array_max(F.array_compact(F.array(*hits)))
-    return p.withColumn("path", path).select("page_id", F.coalesce(best["ok"], F.lit(True)).alias("allowed"))
+    """The longest rule of the parsed group that matches wins; allow beats an equally long disallow."""
+    m = c("page_id") % 6
+    path = F.when(m == 0, F.concat(F.lit("/private/open/"), "page_id")).when(m == 1, "/private/x").when(m == 2, F.concat(F.lit("/f"), "page_id", F.lit(".pdf"))).when(m == 3, "/a.pdf?x").when(m == 4, "/late").otherwise(U.path_of(c("url")))
+    text = F.when(c("page_id") % 7 != 0, ROBOTS)
+    return p.select("page_id", H.robots_allowed(H.robots_rules(text), path).alias("allowed"))
 
 
-def _regex(rule: str) -> str:
-    import re
-
-    end = "$" if rule.endswith("$") else ""
-    return "^" + ".*".join(map(re.escape, rule.rstrip("$").split("*"))) + end
-
-
-@query("robots_prefix", "v_pages", sql=f"SELECT page_id, NOT ({PATH} LIKE '/en%' OR {PATH} LIKE '/fr/8%') AS allowed FROM v_pages")
+@query("robots_prefix", "v_pages", sql=f"SELECT page_id, CASE page_id % 5 WHEN 0 THEN false WHEN 1 THEN true ELSE NOT ({PATH} LIKE '/en%' OR {PATH} LIKE '/fr/8%') END AS allowed FROM v_pages")
 def robots_prefix(p):
-    path = U.path_of(c("url"))
-    return p.select("page_id", (~(F.startswith(path, F.lit("/en")) | F.startswith(path, F.lit("/fr/8")))).alias("allowed"))
+    """Plain prefixes alone forbid; a rule with a joker does not."""
+    text = F.when(c("page_id") % 5 == 0, "User-agent: *\nDisallow: /\n").when(c("page_id") % 5 == 1, "User-agent: *\nDisallow: /*\nDisallow:\n\nUser-agent: bot\nDisallow: /\n").otherwise("User-agent: a\nDisallow: /fr\n\nUser-agent: *\n Disallow: /en \nDisallow: /fr/8\n")
+    return p.select("page_id", H.robots_prefix_allowed(text, U.path_of(c("url"))).alias("allowed"))
 
 
 def spam_inputs(p):
     host = U.host_of(c("url"))
-    rows = external(p).select("page_id", host.alias("host"), H.readable_text(c("html")).alias("text"), H.external_hosts(c("html"), host).alias("hosts"), F.size(H.links(c("html"))).alias("n_links"), F.octet_length("html").alias("n_bytes"))
+    rows = external(p).select("page_id", host.alias("host"), H.readable_text(c("html")).alias("text"), H.links(c("html")).alias("links"), F.octet_length("html").alias("n_bytes"))
+    rows = rows.select("page_id", "host", "text", "n_bytes", F.size("links").alias("n_links"), H.external_of(c("links"), c("host")).alias("hosts"))
     domain = F.when(c("page_id") % 11 == 0, "10.2.3.4").when(c("page_id") % 13 == 0, "best-nulled.xyz").when(c("page_id") % 17 == 0, "me.github.io").otherwise(c("host"))
     http = F.when(c("page_id") % 9 == 0, 403).otherwise(200)
     text = F.when(c("page_id") % 6 == 0, F.concat("text", F.lit(" we sell a guest post here"))).when(c("page_id") % 8 == 0, F.concat("text", F.lit(" a link costs $150 only"))).when(c("page_id") % 10 == 0, F.concat("text", F.lit(" casino"))).otherwise(c("text"))
@@ -146,7 +142,7 @@ SPAM = f"""WITH {LINKS}, n AS (SELECT page_id, count(*) FILTER (href <> '') AS n
  t AS (SELECT page_id, octet_length(encode(html)) AS n_bytes, CASE WHEN page_id % 9 = 0 THEN 403 ELSE 200 END AS http, CASE WHEN page_id % 11 = 0 THEN '10.2.3.4' WHEN page_id % 13 = 0 THEN 'best-nulled.xyz' WHEN page_id % 17 = 0 THEN 'me.github.io' ELSE {HOST} END AS domain, {READABLE.replace('html,', EXTERNAL + ',', 1)} || CASE WHEN page_id % 6 = 0 THEN ' we sell a guest post here' WHEN page_id % 8 = 0 THEN ' a link costs $150 only' WHEN page_id % 10 = 0 THEN ' casino' ELSE '' END AS text FROM v_pages),
  u AS (SELECT t.*, octet_length(encode(text)) AS size, coalesce(n_links, 0) AS n_links, list_filter(string_split_regex(text, '[.!?]\\s'), lambda s: length(s) > 40) AS sentences FROM t LEFT JOIN n USING (page_id)),
  v AS (SELECT page_id, http, http = 200 AS r, regexp_matches(domain, '^\\d+(\\.\\d+){{3}}$') AS s1, regexp_matches(domain, '\\.(xyz|top|click|link|work)$') AS s2, domain LIKE '%.github.io' AS s3, regexp_matches(domain, '(apk|crack|nulled|warez|torrent|keygen|free-?download)') AS s4,
- CASE WHEN size < 5000 AND n_bytes > 100000 THEN NULL WHEN size > 0 THEN n_links / (size / 1024) END AS ratio, size < 900 AND NOT (size < 5000 AND n_bytes > 100000) AS thin, regexp_matches(text, '(?i)(guest\\s*post|sponsored\\s*post|paid\\s*(post|link|article)|buy\\s*(a\\s*)?link)') AS sells, regexp_matches(text, 'link costs \\$150') AS price, regexp_matches(text, '(?i)(casino|betting|poker|viagra|cialis|escort|porn|xxx)') AS off,
+ CASE WHEN size < 5000 AND n_bytes > 100000 THEN NULL WHEN size > 0 THEN n_links / (size / 1024) END AS ratio, size < 900 AND NOT (size < 5000 AND n_bytes > 100000) AS thin, regexp_matches(text, '(?i)(guest\\s*post|sponsored\\s*post|paid\\s*(post|link|article)|buy\\s*(a\\s*)?link|link\\s*building\\s*service|insertion\\s*de\\s*lien|article\\s*sponsoris|achat\\s*de\\s*lien|publication\\s*payante)') AS sells, regexp_matches(text, 'link costs \\$150') AS price, regexp_matches(substring(text, 1, 40000), '(?i)(casino|betting|poker|viagra|cialis|escort|porn|xxx)') AS off,
  len(sentences) > 12 AND 1 - len(list_distinct(list_transform(sentences, lambda s: substring(s, 1, 60)))) / len(sentences) > 0.35 AS rep FROM u),
  w AS (SELECT page_id, http, (CASE WHEN s1 THEN 30 ELSE 0 END + CASE WHEN s2 THEN 10 ELSE 0 END + CASE WHEN s3 THEN 8 ELSE 0 END + CASE WHEN s4 THEN 35 ELSE 0 END + CASE WHEN r AND ratio > 12 THEN 25 WHEN r AND ratio > 6 THEN 12 ELSE 0 END + CASE WHEN r AND thin THEN 15 ELSE 0 END + CASE WHEN r AND sells THEN 40 WHEN r AND price THEN 22 ELSE 0 END + CASE WHEN r AND off THEN 25 ELSE 0 END + CASE WHEN r AND rep THEN 18 ELSE 0 END) AS total FROM v)"""
 
@@ -222,13 +218,18 @@ def engine_answered(p):
     return p.select("page_id", H.engine_answered(c("html"), F.lit("Article")).alias("answered"))
 
 
-@query("internal_likely", "v_pages", sql="""WITH l AS (SELECT page_id, href FROM (SELECT DISTINCT page_id, regexp_extract(piece, '^[^>]*href="(/[^"]*)"', 1) AS href FROM (SELECT page_id, unnest(list_slice(string_split_regex(html, '(?i)<a\\s'), 2, 100000)) AS piece FROM v_pages)) WHERE regexp_matches(href, '(?i)(link|part|the|and)'))
- SELECT page_id, href FROM l QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY href) <= 4""")
+LIKELY = "replace(html, 'href=\"/', 'href=\"/' || CASE page_id % 3 WHEN 0 THEN 'Blog/' WHEN 1 THEN 'a-propos/' ELSE 'x/' END)"
+LIKELY_WORDS = "(?i)(partenaire|partner|integration|ecosyst|marketplace|annuaire|director|outil|tool|app|logiciel|software|ressource|resource|avis|review|comparat|alternativ|lien|link|blog|actualit|news|presse|press|a-propos|about|nos-|our-)"
+
+
+@query("internal_likely", "v_pages", sql=f"""WITH h AS (SELECT page_id, {HOST} AS host, unnest(regexp_extract_all({LIKELY}, '(?i)href\\s*=\\s*["'']([^"'']+)["'']', 1)) AS href, unnest(range(1, len(regexp_extract_all({LIKELY}, '(?i)href\\s*=\\s*["'']([^"'']+)["'']', 1)) + 1)) AS i FROM v_pages),
+ u AS (SELECT page_id, min(i) AS i, 'https://' || host || regexp_extract(href, '^([^?#]*)', 1) AS href FROM h WHERE href LIKE '/%' AND href NOT LIKE '//%' AND length(regexp_extract(href, '^([^?#]*)', 1)) <= 90 AND regexp_matches(regexp_extract(href, '^([^?#]*)', 1), '{LIKELY_WORDS}') AND NOT regexp_matches(href, '(?i)\\.(jpe?g|png|gif|webp|svg|pdf|zip|css|js|ico)$') GROUP BY ALL)
+ SELECT page_id, href FROM u QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY i) <= 4""")
 def internal_likely(p):
-    """Up to four internal links that look like pages of links."""
-    hrefs = F.array_distinct(F.transform(H.links(c("html")), lambda x: x["href"]))
-    kept = F.slice(F.array_sort(F.filter(hrefs, lambda h: F.startswith(h, F.lit("/")) & h.rlike("(?i)(link|part|the|and)"))), 1, 4)
-    return p.select("page_id", F.explode(kept).alias("href"))
+    """Up to four internal links, in the order of the page, whose path looks like a page of links."""
+    word = F.when(c("page_id") % 3 == 0, "Blog/").when(c("page_id") % 3 == 1, "a-propos/").otherwise("x/")
+    html = F.replace(c("html"), F.lit('href="/'), F.concat(F.lit('href="/'), word))
+    return p.select("page_id", F.explode(H.internal_likely(html, U.host_of(c("url")))).alias("href"))
 
 
 @query("uule", "v_pages", sql="SELECT page_id, 'w+CAIQICI' || to_base64(encode('Paris,' || page_id)) AS uule FROM v_pages")
@@ -236,9 +237,19 @@ def uule(p):
     return p.select("page_id", F.concat(F.lit("w+CAIQICI"), F.base64(F.encode(F.concat(F.lit("Paris,"), "page_id"), "UTF-8"))).alias("uule"))
 
 
-@query("ts14_to_iso", "v_queue", sql="SELECT seq, strftime(taken_at, '%Y-%m-%dT%H:%M:%SZ') AS iso, CAST(date_diff('day', CAST(taken_at AS DATE), DATE '2024-02-10') AS BIGINT) AS days FROM v_queue")
+@query("ts14_to_iso", "v_queue", sql="SELECT seq, CASE WHEN seq % 9 <> 0 THEN strftime(taken_at, '%Y-%m-%dT%H:%M:%SZ') END AS iso FROM v_queue")
 def ts14_to_iso(q):
-    from weftline.sources.parsers import timestamp14
+    """14-digit archive times; anything else is null."""
+    text = F.when(c("seq") % 9 == 0, "2024-01").otherwise(F.date_format("taken_at", "yyyyMMddHHmmss"))
+    return q.select("seq", P.iso_utc(P.timestamp14(F.when(text.rlike("^[0-9]{14}$"), text))).alias("iso"))
+
+
+@query("iso_utc", "v_queue", sql="SELECT seq, strftime(taken_at, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM v_queue")
+def iso_utc(q):
+    return q.select("seq", P.iso_utc(c("taken_at")).alias("iso"))
+
 
-    t = timestamp14(F.date_format("taken_at", "yyyyMMddHHmmss"))
-    return q.select("seq", F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"), F.datediff(F.lit("2024-02-10").cast("date"), t.cast("date")).cast("long").alias("days"))
+@query("days_between", "v_queue", sql="SELECT seq, CAST(floor((epoch(TIMESTAMP '2024-02-10 12:00:00') - floor(epoch(taken_at))) / 86400 + 0.5) AS BIGINT) AS days FROM v_queue")
+def days_between(q):
+    """Days since an ISO time, rounded: half a day counts as one."""
+    return q.select("seq", P.days_between(P.iso_utc(c("taken_at")), F.lit("2024-02-10T12:00:00Z")).alias("days"))

@@ -176,6 +176,17 @@ def split_warc(record: Column) -> Column:
     return F.struct(F.get(parts, F.lit(0)).alias("warc_head"), F.get(parts, F.lit(1)).alias("http_head"), F.get(parts, F.lit(2)).alias("body"))
 
 
+def iso_utc(x: Column) -> Column:
+    """A UTC time without zone as ``2024-01-31T09:30:15Z``."""
+    return F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def days_between(early: Column, late: Column) -> Column:
+    """Whole days between two ISO times, rounded, halves up."""
+    at = lambda x: F.try_to_timestamp(F.regexp_replace(x, "Z$", ""), F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz")
+    return F.floor(F.timestamp_diff("SECOND", at(early), at(late)) / 86400 + 0.5).cast("long")
+
+
 def timestamp14(x: Column) -> Column:
     """14-digit archive time as a timestamp without zone."""
     return F.try_to_timestamp(x, F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
