@@ -178,23 +178,40 @@ def link_score(base: DataFrame, multipliers: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("class", link_class(F.col("score"), F.col("share") >= 0.60, F.col("passed")))
 
 
+def domain_mass(score: Column) -> Column:
+    """Over the links of one domain: squares of their scores, the best one fully and the others a quarter. As 0.25 of the
+    sum and 0.75 of the maximum it needs no order, so it is added up before any shuffle."""
+    square = F.pow(score / 100, F.lit(2.0))
+    return 0.25 * F.sum(square) + 0.75 * F.max(square)
+
+
+def quadratic_mass(links: DataFrame, key: str, domain: str, score: Column) -> DataFrame:
+    """(key, mass) of links (key, domain) with a ``score``."""
+    by_domain = links.groupBy(key, domain).agg(domain_mass(score).alias("mass"))
+    return by_domain.groupBy(key).agg(F.coalesce(F.sum("mass"), F.lit(0.0)).alias("mass"))
+
+
 def acquired_authority(links: DataFrame, key: str, known_referrers: DataFrame | None = None) -> DataFrame:
     """AA of each ``key`` from rated links (key, domain, nl, class, disavowed). Only a domain's best useful link counts
     fully, the others a quarter; toxic links above a share of 15 % shrink all. ``known_referrers`` (key, known)
     widens the range by the referrers nobody has read."""
-    from pyspark.sql import Window
-
     rated = F.col("class") != "UNRATED"
     useful = F.col("class") == "USEFUL"
-    w = Window.partitionBy(key, "domain", "class").orderBy(F.desc("nl"))
-    mass = F.when(useful, F.pow(F.col("nl") / 100, F.lit(2.0)) * F.when(F.row_number().over(w) == 1, 1.0).otherwise(0.25))
-    sums = links.withColumn("mass", mass).groupBy(key).agg(
-        F.coalesce(F.sum("mass"), F.lit(0.0)).alias("mu"),
-        F.coalesce(F.avg(F.when(useful, F.col("nl"))), F.lit(0.0)).alias("q"),
+    by_domain = links.groupBy(key, "domain").agg(
+        domain_mass(F.when(useful, F.col("nl"))).alias("mass"),
+        F.sum(F.when(useful, F.col("nl"))).alias("nl"),
+        F.count(F.when(useful, 1)).alias("n_useful"),
         F.sum(F.when(F.col("class") == "TOXIC", F.when(F.col("disavowed"), 0.25).otherwise(1.0)).otherwise(0.0)).alias("toxic"),
         F.count(F.when(rated, 1)).alias("rated"),
         F.count(F.when(~rated, 1)).alias("unrated"),
-        F.countDistinct(F.when(rated, F.col("domain"))).alias("domains"),
+    )
+    sums = by_domain.groupBy(key).agg(
+        F.coalesce(F.sum("mass"), F.lit(0.0)).alias("mu"),
+        F.coalesce(F.sum("nl") / F.when(F.sum("n_useful") > 0, F.sum("n_useful")), F.lit(0.0)).alias("q"),
+        F.sum("toxic").alias("toxic"),
+        F.sum("rated").alias("rated"),
+        F.sum("unrated").alias("unrated"),
+        F.count(F.when((F.col("rated") > 0) & F.col("domain").isNotNull(), 1)).alias("domains"),
     )
     sums = sums.withColumn("known", F.lit(None).cast("long")) if known_referrers is None else sums.join(known_referrers, key, "left")
     v = 100 * F.least(F.lit(1.0), F.log(1 + F.col("mu")) / F.log(F.lit(26.0)))

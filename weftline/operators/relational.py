@@ -8,13 +8,51 @@ from pyspark.sql import functions as F
 from weftline.functions.tristate import state_of
 from weftline.functions.urls import suffixes
 
-
-def cap_per_key(df: DataFrame, key: str, order: list[Column], cap: int) -> DataFrame:
+RANGES = 200  #: into which a global order is cut
+SALTS = 64  #: parts of a key that are cut first
+
+
+def placed(df: DataFrame, order: list[Column], key: str | None = None) -> DataFrame:
+    """``place`` from 1 by a total order, of all rows or within each ``key`` (which ``order`` begins with). Rows are sorted
+    by ranges; a place is the count of the ranges before plus the place in the own range, so no task holds all rows of a
+    key. The driver sees nothing; what is broadcast is a count for each range and key in it."""
+    ranged = df.repartitionByRange(RANGES, *order).withColumn("_range", F.spark_partition_id())
+    keys = [key] if key else []
+    counts = ranged.groupBy("_range", *keys).agg(F.count("*").alias("_c"))
+    before = counts.select("_range", *keys, (F.sum("_c").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_c")).alias("_before"))
+    within = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order)))
+    return within.join(before, ["_range", *keys]).withColumn("place", (F.col("_r") + F.col("_before")).cast("long")).drop("_range", "_r", "_before")
+
+
+def capped_with_all(df: DataFrame, key: str, always: Column, order: list[Column], cap: int) -> DataFrame:
+    """The first ``cap`` rows of each key by a total order and every row that is ``always`` shown, with the number
+    ``hidden``. The rank limit is applied before the shuffle too, so a hot key sends ``cap`` rows of each task; rows that
+    are always shown skip the ranking, and the hidden ones are counted."""
+    marked = df.withColumn("_always", always)
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    first = marked.withColumn("_rn", rank).filter(F.col("_rn") <= cap).drop("_rn")
+    shown = marked.filter("_always").unionByName(first.filter("NOT _always"))
+    counts = marked.groupBy(key).agg(F.count("*").alias("_n"), F.count(F.when(F.col("_always"), 1)).alias("_kept"))
+    counts = counts.join(first.filter("NOT _always").groupBy(key).agg(F.count("*").alias("_first")), key, "left")
+    hidden = counts.select(key, (F.col("_n") - F.col("_kept") - F.coalesce("_first", F.lit(0))).alias("hidden"))
+    return shown.drop("_always").join(hidden, key)
+
+
+def first_rows(df: DataFrame, key: str, order: list[Column], cap: int) -> DataFrame:
+    """``place`` 1 to ``cap`` of each key. Spark limits ranks before a shuffle up to 1000 only; beyond, the rows of a key are
+    first cut in SALTS parts of their own, so that no task holds a hot key whole."""
+    ranked = lambda rows, *by: rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).filter(F.col("place") <= cap)
+    if cap > 1000:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+        df = ranked(salted, key, "_salt").drop("_salt", "place")
+    return ranked(df, key)
+
+
+def cap_per_key(df: DataFrame, key: str, order: list[Column], cap: int = 3000) -> DataFrame:
     """At most ``cap`` rows of each key, with the number cut off (``overflow``) and the nature of the count:
     ``floor`` where rows were cut. The count is a partial aggregation, so a hot key costs no single task."""
-    first = df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long")).filter(F.col("place") <= cap)
     total = df.groupBy(key).agg(F.count("*").alias("total"))
-    return first.join(total, key).withColumn("overflow", F.greatest(F.col("total") - cap, F.lit(0))).withColumn("nature", F.when(F.col("total") > cap, "floor").otherwise("measured"))
+    return first_rows(df, key, order, cap).join(total, key).withColumn("overflow", F.greatest(F.col("total") - cap, F.lit(0))).withColumn("nature", F.when(F.col("total") > cap, "floor").otherwise("measured"))
 
 
 def first_per_key(df: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -89,3 +127,19 @@ def global_rank(df: DataFrame, order: str, parts: int = 1000) -> DataFrame:
 def page_of(df: DataFrame, order: list[Column], page: int, size: int = 200) -> DataFrame:
     """One page of a stable order; pages 0 to 50."""
     return df.orderBy(*order).offset(min(max(page, 0), 50) * size).limit(size)
+
+
+TABLE_SIZE = 10_000_000  #: ranks of the longer table
+DEVIATIONS = 5
+
+
+def rank_divergence(ranks: DataFrame, size: int = TABLE_SIZE) -> DataFrame:
+    """(domain, divergence, nature) of ranks (domain, asked, o, m). ``drift``: the log ratio of both ranks lies DEVIATIONS
+    median deviations or more off its median. ``floor``: a rank in ``m`` alone although ``o`` was asked; the divergence is
+    at least what lies between the expected rank and the end of ``o``. A rank in ``o`` alone gives no row."""
+    calibration = median_and_mad(ranks.filter("o IS NOT NULL AND m IS NOT NULL").select(F.log10(F.col("o") / F.col("m")).alias("l")), "l")
+    rows = ranks.filter("m IS NOT NULL").join(F.broadcast(calibration)).withColumn("drift", F.log10(F.col("o") / F.col("m")) - F.col("median"))
+    floor = F.greatest(F.log10(F.lit(size) / (F.col("m") * F.pow(F.lit(10.0), F.col("median")))), F.lit(0.0))
+    both, missed = F.col("o").isNotNull(), F.col("o").isNull() & F.col("asked")
+    rows = rows.filter((both & (F.abs("drift") >= DEVIATIONS * F.col("mad"))) | missed)
+    return rows.select("domain", F.when(both, F.col("drift")).otherwise(floor).alias("divergence"), F.when(both, "drift").otherwise("floor").alias("nature"))

@@ -147,3 +147,12 @@ def guard_label(label: str) -> str:
     if label.strip().lower() in FORBIDDEN_LABELS:
         raise ValueError(f"{label!r} would present an estimate as a measurement")
     return label
+
+
+FORBIDDEN_LABEL = r"(?i)(organic\s*traffic|trafic\s*organique)"
+
+
+def guarded_label(label: Column) -> Column:
+    """``label``, raising where it calls a modelled floor organic traffic."""
+    said = F.concat(F.lit("forbidden label: "), label, F.lit("; a modelled floor over a fixed pool is no traffic"))
+    return F.when(label.rlike(FORBIDDEN_LABEL), F.raise_error(said).cast("string")).otherwise(label)

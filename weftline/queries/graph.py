@@ -26,23 +26,23 @@ def reverse(spark, sf_dir):
     return vertices(spark, sf_dir).select("id", "domain")
 
 
-TARGETS = "t AS (SELECT 'p' || (p_partkey * 3) || '.net' AS target FROM part WHERE p_partkey % 5 = 0)"
+TARGETS = "t AS (SELECT 'p' || (p_partkey * 3) || '.net' AS target FROM part)"
 
 
 @query("join_graph_targets", sql=f"WITH {TARGETS} SELECT target, count(DISTINCT l_suppkey) AS n FROM t JOIN lineitem ON 'p' || l_partkey || '.net' = target GROUP BY target")
 def join_graph_targets(spark, sf_dir):
-    wanted = table(spark, sf_dir, "part").filter("p_partkey % 5 = 0").select((F.col("p_partkey") * 3 + 1000000).alias("dst"))
+    wanted = table(spark, sf_dir, "part").select((F.col("p_partkey") * 3 + 1000000).alias("dst"))
     return edges(spark, sf_dir).join(wanted, "dst").groupBy("dst").agg(F.countDistinct("src").alias("n")).select(F.concat(F.lit("p"), F.col("dst") - 1000000, F.lit(".net")).alias("target"), "n")
 
 
 @query("referring_domains", sql=f"""WITH {TARGETS}, f AS (SELECT DISTINCT target, l_suppkey AS src FROM t JOIN lineitem ON 'p' || l_partkey || '.net' = target),
-    n AS (SELECT target, src, row_number() OVER (PARTITION BY target ORDER BY src) AS place, count(*) OVER (PARTITION BY target) AS total FROM f), k AS (SELECT * FROM n WHERE place <= 20),
+    n AS (SELECT target, src, row_number() OVER (PARTITION BY target ORDER BY src) AS place, count(*) OVER (PARTITION BY target) AS total FROM f), k AS (SELECT * FROM n WHERE place <= 3000),
     known AS (SELECT 'p' || p_partkey || '.net' AS target FROM part)
-    SELECT t.target, CASE WHEN known.target IS NULL THEN 'BLIND' WHEN total IS NULL THEN 'ABSENT' ELSE 'MEASURED' END AS state, 's' || src || '.com' AS referrer, place, total, CASE WHEN total > 20 THEN 'floor' WHEN total IS NOT NULL THEN 'measured' END AS nature
+    SELECT t.target, CASE WHEN known.target IS NULL THEN 'BLIND' WHEN total IS NULL THEN 'ABSENT' ELSE 'MEASURED' END AS state, 's' || src || '.com' AS referrer, place, total, CASE WHEN total > 3000 THEN 'floor' WHEN total IS NOT NULL THEN 'measured' END AS nature
     FROM t LEFT JOIN known ON t.target = known.target LEFT JOIN k ON t.target = k.target""")
 def referring_domains(spark, sf_dir):
-    targets = table(spark, sf_dir, "part").filter("p_partkey % 5 = 0").select(F.concat(F.lit("p"), F.col("p_partkey") * 3, F.lit(".net")).alias("target"))
-    return G.referring_domains(edges(spark, sf_dir), vertices(spark, sf_dir), targets, cap=20)
+    targets = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey") * 3, F.lit(".net")).alias("target"))
+    return G.referring_domains(edges(spark, sf_dir), vertices(spark, sf_dir), targets)
 
 
 @query("join_resolve_names", sql=f"WITH {VERTICES} SELECT DISTINCT l_suppkey AS src, rev_domain FROM lineitem JOIN v_vertices ON id = l_suppkey")
@@ -91,11 +91,11 @@ def page_neighbours(l):
     return counts.filter("n_own > 0").select("src_domain", "n_rivals")
 
 
-@query("reciprocal", sql="""WITH p AS (SELECT DISTINCT l_suppkey AS a, l_partkey % (SELECT count(*) FROM supplier) AS b FROM lineitem WHERE l_quantity < 3 AND l_suppkey <> l_partkey % (SELECT count(*) FROM supplier))
+@query("reciprocal", sql="""WITH p AS (SELECT DISTINCT l_suppkey AS a, l_partkey % (SELECT count(*) FROM supplier) AS b FROM lineitem WHERE l_suppkey <> l_partkey % (SELECT count(*) FROM supplier))
     SELECT a, b FROM p WHERE a < b AND EXISTS (SELECT 1 FROM p q WHERE q.a = p.b AND q.b = p.a)""")
 def reciprocal(spark, sf_dir):
     n = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
-    pairs = table(spark, sf_dir, "lineitem").filter("l_quantity < 3").join(F.broadcast(n)).select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % F.col("n")).alias("b"))
+    pairs = table(spark, sf_dir, "lineitem").join(F.broadcast(n)).select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % F.col("n")).alias("b"))
     return G.reciprocal(pairs, "a", "b")
 
 

@@ -94,14 +94,16 @@ def previous_run_window(j):
 
 @query(
     "run_diff", "v_journal",
-    sql="""WITH o AS (SELECT domain, max(value) AS old, true AS in_old FROM v_journal WHERE run_id = '2024-01-28' AND state <> 'BLIND' GROUP BY domain),
-    n AS (SELECT domain, max(value) AS new, true AS in_new FROM v_journal WHERE run_id = '2024-01-29' AND state <> 'BLIND' GROUP BY domain),
-    b AS (SELECT DISTINCT domain, true AS is_blind FROM v_journal WHERE run_id = '2024-01-29' AND state = 'BLIND')
-    SELECT domain, old, new, CASE WHEN in_old IS NULL THEN 'appeared' WHEN in_new IS NULL AND is_blind THEN 'silent' WHEN in_new IS NULL THEN 'gone' WHEN old IS NOT DISTINCT FROM new THEN 'same' ELSE 'moved' END AS outcome
-    FROM o FULL JOIN n USING (domain) LEFT JOIN b USING (domain)""",
+    sql="""WITH r AS (SELECT run_id, row_number() OVER (ORDER BY max(measured_at) DESC, run_id DESC) AS place FROM v_journal GROUP BY run_id), l AS (SELECT j.*, place FROM v_journal j JOIN r USING (run_id) WHERE place <= 2),
+    o AS (SELECT domain, max(value) AS old, true AS in_old FROM l WHERE place = 2 AND state <> 'BLIND' GROUP BY domain), n AS (SELECT domain, max(value) AS new, true AS in_new FROM l WHERE place = 1 AND state <> 'BLIND' GROUP BY domain),
+    b AS (SELECT DISTINCT domain, true AS is_blind FROM l WHERE place = 1 AND state = 'BLIND'),
+    t AS (SELECT greatest(count(DISTINCT domain) FILTER (place = 2), count(DISTINCT domain) FILTER (place = 1)) >= 500 AS truncated FROM l WHERE state = 'MEASURED')
+    SELECT domain, old, new, CASE WHEN in_old IS NULL THEN 'appeared' WHEN in_new IS NULL AND is_blind THEN 'silent' WHEN in_new IS NULL THEN 'gone' WHEN old IS NOT DISTINCT FROM new THEN 'same' ELSE 'moved' END AS outcome, truncated
+    FROM o FULL JOIN n USING (domain) LEFT JOIN b USING (domain), t""",
 )
 def run_diff(j):
-    return J.run_diff(j, "2024-01-29", "2024-01-28").select("domain", "old", "new", "outcome")
+    """The last run against the one before."""
+    return J.run_diff(j)
 
 
 @query(

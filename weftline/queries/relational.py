@@ -228,10 +228,13 @@ def agg_yield_by_source(j):
     return j.groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("agg_quota", sql="SELECT user_id, count(*) AS n, count(*) >= 12 AS refused FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-20 00:00:00' AND ts < TIMESTAMP '2024-01-24 00:00:00' GROUP BY user_id")
+@query("agg_quota", sql="SELECT user_id, count(*) AS n, count(*) >= 12 AS refused FROM events WHERE event_type = 'click' AND ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR GROUP BY user_id")
 def agg_quota(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_type = 'click' AND ts >= TIMESTAMP_NTZ '2024-01-20 00:00:00' AND ts < TIMESTAMP_NTZ '2024-01-24 00:00:00'")
-    return e.groupBy("user_id").agg(F.count("*").alias("n"), (F.count("*") >= 12).alias("refused"))
+    """Clicks of each account in the 24 hours before now, which is the latest event; from 12 on it is refused."""
+    e = table(spark, sf_dir, "events")
+    now = e.agg(F.max("ts").alias("now"))
+    recent = e.filter("event_type = 'click'").join(F.broadcast(now), F.expr("ts > now - INTERVAL 24 HOURS"))
+    return recent.groupBy("user_id").agg(F.count("*").alias("n"), (F.count("*") >= 12).alias("refused"))
 
 
 @query("agg_omnipresent", "v_links", sql="SELECT src_domain, count(DISTINCT target) AS n_targets FROM v_links GROUP BY src_domain HAVING count(DISTINCT target) > greatest(50, (SELECT count(DISTINCT target) FROM v_links) // 4)")
@@ -241,12 +244,16 @@ def agg_omnipresent(l):
     return counts.join(F.broadcast(total)).filter("n_targets > greatest(50, floor(total / 4))").select("src_domain", "n_targets")
 
 
-@query("agg_corpus_shape", "v_pages", sql="""WITH p AS (SELECT list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS s FROM v_pages)
-    SELECT coalesce(s[1], '(root)') AS folder, count(*) AS n, round(avg(len(s)), 6) AS mean_depth FROM p GROUP BY ALL ORDER BY n DESC, folder LIMIT 12""")
+@query("agg_corpus_shape", "v_pages", sql="""WITH p AS (SELECT list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS s FROM v_pages),
+    a AS (SELECT count(*) AS n_urls, round(avg(len(s)), 6) AS mean_depth, count(DISTINCT coalesce('/' || s[1] || '/', '(root)')) AS n_folders FROM p)
+    SELECT coalesce('/' || s[1] || '/', '(root)') AS folder, count(*) AS n, any_value(n_urls) AS n_urls, any_value(mean_depth) AS mean_depth, any_value(n_folders) AS n_folders FROM p, a GROUP BY ALL ORDER BY n DESC, folder LIMIT 12""")
 def agg_corpus_shape(p):
+    """The twelve largest folders of the first level, with the mean depth, folders and URLs of the whole corpus."""
     s = U.path_segments(U.path_of(F.col("url")))
-    rows = p.select(F.coalesce(F.get(s, F.lit(0)), F.lit("(root)")).alias("folder"), F.size(s).alias("depth"))
-    return rows.groupBy("folder").agg(F.count("*").alias("n"), F.round(F.avg("depth"), 6).alias("mean_depth")).orderBy(F.desc("n"), "folder").limit(12)
+    folder = F.coalesce(F.concat(F.lit("/"), F.get(s, F.lit(0)), F.lit("/")), F.lit("(root)"))
+    folders = p.select(folder.alias("folder"), F.size(s).alias("depth")).groupBy("folder").agg(F.count("*").alias("n"), F.sum("depth").alias("depths"))
+    whole = folders.agg(F.sum("n").alias("n_urls"), F.round(F.sum("depths") / F.sum("n"), 6).alias("mean_depth"), F.count("*").alias("n_folders"))
+    return folders.drop("depths").orderBy(F.desc("n"), "folder").limit(12).join(F.broadcast(whole))
 
 
 @query("agg_latest_date", "v_positions", sql="SELECT domain, CASE WHEN max(d) > DATE '1998-06-02' THEN NULL ELSE max(d) END AS latest, max(d) > DATE '1998-06-02' AS in_future FROM (SELECT domain, CAST(measured_at AS DATE) AS d FROM v_positions) GROUP BY domain")
@@ -328,18 +335,22 @@ def agg_kv_pivot(j):
 
 
 # -- rankings, top-k, sets -----------------------------------------------------------------------
-@query("rank_domains", "v_domains", sql="SELECT id, row_number() OVER (ORDER BY CASE role WHEN 'own' THEN 0 ELSE 1 END, CASE WHEN balance >= 0 THEN balance ELSE -1 END DESC, id) AS place FROM v_domains ORDER BY place LIMIT 500")
+SHOWN = "id % 4 <> 0 AS displayable, CASE WHEN id % 7 <> 0 THEN id % 100 END AS referring"
+ORDERED = "CASE role WHEN 'own' THEN 0 ELSE 1 END, CASE WHEN displayable THEN balance ELSE -1 END DESC, coalesce(referring, -1) DESC, id"
+
+
+@query("rank_domains", "v_domains", sql=f"SELECT id, row_number() OVER (ORDER BY {ORDERED}) AS place FROM (SELECT *, {SHOWN} FROM v_domains)")
 def rank_domains(d):
-    """A report of the first 500: own first, then displayable scores."""
-    score = F.when(F.col("balance") >= 0, F.col("balance")).otherwise(-1.0)
-    top = d.select("id", F.when(F.col("role") == "own", 0).otherwise(1).alias("r"), score.alias("s")).orderBy("r", F.desc("s"), "id").limit(500)
-    return top.select("id", F.row_number().over(Window.orderBy("r", F.desc("s"), "id")).cast("long").alias("place"))
+    """Every domain: own first, then by score where it may be shown (-1 else), then by referring domains (-1 if unknown)."""
+    own = F.when(F.col("role") == "own", 0).otherwise(1)
+    rows = d.selectExpr("id", "role", "balance", *SHOWN.split(", ")).select("id", own.alias("r"), F.when(F.col("displayable"), F.col("balance")).otherwise(-1.0).alias("s"), F.coalesce("referring", F.lit(-1)).alias("n"))
+    return R.placed(rows, [F.col("r"), F.desc("s"), F.desc("n"), F.col("id")]).select("id", "place")
 
 
 @query("rank_classement", "v_domains", sql="SELECT role, id, row_number() OVER (PARTITION BY role ORDER BY balance DESC, id) AS place FROM v_domains WHERE (id % 10) / 10.0 >= 0.6")
 def rank_classement(d):
-    w = Window.partitionBy("role").orderBy(F.desc("balance"), "id")
-    return d.filter("(id % 10) / 10.0 >= 0.6").select("role", "id", F.row_number().over(w).cast("long").alias("place"))
+    rows = d.filter("(id % 10) / 10.0 >= 0.6").select("role", "id", "balance")
+    return R.placed(rows, [F.col("role"), F.desc("balance"), F.col("id")], "role").select("role", "id", "place")
 
 
 @query("rank_opportunities", "v_links", sql="SELECT src_domain, count(DISTINCT target) AS n_cited, max(link_score) AS score FROM v_links WHERE CAST(substring(target, 2) AS BIGINT) < 20 GROUP BY src_domain ORDER BY n_cited DESC, score DESC, src_domain LIMIT 50")
@@ -348,12 +359,19 @@ def rank_opportunities(l):
     return rows.orderBy(F.desc("n_cited"), F.desc(F.coalesce("score", F.lit(-1.0))), "src_domain").limit(50)
 
 
-@query("topk_per_target", "v_links", sql="""WITH n AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY link_score DESC, url_src, url_dest) AS rn FROM v_links)
-    SELECT target, count(*) FILTER (rn <= 40 OR target IN ('t1', 't2')) AS shown, count(*) FILTER (rn > 40 AND target NOT IN ('t1', 't2')) AS hidden FROM n GROUP BY target""")
+PASSAGE = "CASE WHEN seen_at < DATE '1992-06-01' THEN 0 WHEN seen_at > DATE '1998-06-01' THEN 1 ELSE 2 END"
+
+
+@query("topk_per_target", "v_links", sql=f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY kind, link_score DESC, url_src, url_dest, seen_at) AS rn FROM (SELECT *, {PASSAGE} AS kind FROM v_links)),
+    k AS (SELECT *, rn <= 400 OR kind < 2 OR target IN ('t1', 't2') AS shown FROM n)
+    SELECT target, url_src, url_dest, seen_at, kind::BIGINT AS kind, (SELECT count(*) FILTER (NOT shown) FROM k h WHERE h.target = k.target) AS hidden FROM k WHERE shown""")
 def topk_per_target(l):
-    w = Window.partitionBy("target").orderBy(F.desc("link_score"), "url_src", "url_dest")
-    own = F.col("target").isin("t1", "t2")
-    return l.withColumn("rn", F.row_number().over(w)).groupBy("target").agg(F.count(F.when((F.col("rn") <= 40) | own, 1)).alias("shown"), F.count(F.when((F.col("rn") > 40) & ~own, 1)).alias("hidden"))
+    """Gone links first, then new ones, then by count: 400 of each target, besides every gone or new link and all of the own
+    targets; how many are hidden is counted, and no target's rows meet in one task."""
+    kind = F.expr(PASSAGE).cast("long")
+    rows = l.select("target", "url_src", "url_dest", "seen_at", "link_score", kind.alias("kind"))
+    always = (F.col("kind") < 2) | F.col("target").isin("t1", "t2")
+    return R.capped_with_all(rows, "target", always, [F.col("kind"), F.desc("link_score"), F.col("url_src"), F.col("url_dest"), F.col("seen_at")], 400).select("target", "url_src", "url_dest", "seen_at", "kind", "hidden")
 
 
 @query("topk_per_host", "v_links", sql="""WITH a AS (SELECT src_domain, url_src, url_dest, link_score, row_number() OVER (PARTITION BY src_domain ORDER BY link_score DESC, url_src, url_dest) AS rn FROM v_links WHERE target = 't3'),
@@ -365,10 +383,10 @@ def topk_per_host(l):
     return ranked.join(hosts, "src_domain", "left_semi").select("src_domain", "url_src", "url_dest", "rn")
 
 
-@query("cap_per_target", "v_links", sql="""SELECT target, url_src, url_dest, row_number() OVER w AS place, greatest(count(*) OVER (PARTITION BY target) - 100, 0) AS overflow, CASE WHEN count(*) OVER (PARTITION BY target) > 100 THEN 'floor' ELSE 'measured' END AS nature
-    FROM v_links WINDOW w AS (PARTITION BY target ORDER BY url_src, url_dest, seen_at) QUALIFY row_number() OVER w <= 100""")
+@query("cap_per_target", "v_links", sql="""SELECT target, url_src, url_dest, row_number() OVER w AS place, greatest(count(*) OVER (PARTITION BY target) - 3000, 0) AS overflow, CASE WHEN count(*) OVER (PARTITION BY target) > 3000 THEN 'floor' ELSE 'measured' END AS nature
+    FROM v_links WINDOW w AS (PARTITION BY target ORDER BY url_src, url_dest, seen_at) QUALIFY row_number() OVER w <= 3000""")
 def cap_per_target(l):
-    return R.cap_per_key(l, "target", [F.col("url_src"), F.col("url_dest"), F.col("seen_at")], 100).select("target", "url_src", "url_dest", "place", "overflow", "nature")
+    return R.cap_per_key(l, "target", [F.col("url_src"), F.col("url_dest"), F.col("seen_at")]).select("target", "url_src", "url_dest", "place", "overflow", "nature")
 
 
 @query("sample_stride", "v_pages", sql="WITH r AS (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS i, count(*) OVER () AS n FROM v_pages) SELECT page_id FROM r WHERE i IN (SELECT (k * n) // 40 FROM range(40) t(k), (SELECT max(n) AS n FROM r))")
@@ -402,6 +420,6 @@ def ext_approx_distinct(l):
     return l.agg(F.approx_count_distinct("target", 0.02).between(190, 210).alias("close"))
 
 
-@query("js_round", "v_links", sql="SELECT url_src, url_dest, floor((link_score - 50) / 8 * 100 + 0.5) / 100 AS r FROM v_links WHERE target = 't4'")
+@query("js_round", "v_links", sql="SELECT url_src, url_dest, floor((link_score - 50) / 8 * 100 + 0.5) / 100 AS r FROM v_links")
 def round_js(l):
-    return l.filter("target = 't4'").select("url_src", "url_dest", js_round((F.col("link_score") - 50) / 8, 2).alias("r"))
+    return l.select("url_src", "url_dest", js_round((F.col("link_score") - 50) / 8, 2).alias("r"))

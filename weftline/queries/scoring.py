@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weftline.functions.tristate import js_round
 from weftline.operators import composite as C
 from weftline.operators import relational as R
+from weftline.operators import traffic as T
 from weftline.queries.registry import query
 from weftline.session import table
 
@@ -52,10 +53,12 @@ def popularity(spark, sf_dir):
     return show(inputs(spark, sf_dir), C.popularity(c("rank"), c("http"), c("asked")))
 
 
-@query("visibility", "v_positions", sql="SELECT domain, round(100 * least(1, sum(CASE WHEN position <= 3 THEN 0.15 WHEN position <= 10 THEN 0.04 ELSE 0 END::DOUBLE) / 0.5), 6) AS visibility FROM v_positions GROUP BY domain")
+@query("visibility", "v_positions", sql="""SELECT domain, round(100 * least(1, sum(wp) / 8), 6) AS pool, round(100 * least(1, sum(wp) / 3), 6) AS page
+    FROM (SELECT domain, CASE WHEN position = 1 THEN 0.28 WHEN position = 2 THEN 0.15 WHEN position = 3 THEN 0.10 WHEN position <= 6 THEN 0.06 WHEN position <= 10 THEN 0.02 WHEN position <= 20 THEN 0.005 ELSE 0 END::DOUBLE AS wp FROM v_positions) GROUP BY domain""")
 def visibility(p):
-    w = F.when(c("position") <= 3, 0.15).when(c("position") <= 10, 0.04).otherwise(0.0)
-    return p.groupBy("domain").agg(F.sum(w).alias("w")).select("domain", F.round(C.visibility(c("w"), 0.5), 6).alias("visibility"))
+    """Sum of the position weights over 8 for a pool of queries, over 3 for a page."""
+    sums = p.groupBy("domain").agg(F.sum(C.position_weight(c("position"))).alias("w"))
+    return sums.select("domain", F.round(C.visibility(c("w"), 8), 6).alias("pool"), F.round(C.visibility(c("w"), 3), 6).alias("page"))
 
 
 T_VALUE = f"(CASE WHEN serp IS NULL THEN {POP} ELSE 0.6 * (CASE WHEN serp IS NOT NULL THEN 100 * least(1, serp / 3) END) + 0.4 * {POP} END)"
@@ -300,12 +303,32 @@ def real_dofollow(spark, sf_dir):
     return inputs(spark, sf_dir).select("id", missing.alias("m")).select("id", (F.size("m") == 0).alias("real"), F.size("m").cast("long").alias("n_missing"))
 
 
-@query("rank_divergence", "v_ranks", sql="""WITH x AS (SELECT domain, log10(rank_a / rank_b) AS l FROM v_ranks WHERE rank_b IS NOT NULL), m AS (SELECT list_sort(list(l))[count(*) // 2 + 1] AS median FROM x), d AS (SELECT greatest(list_sort(list(abs(l - median)))[count(*) // 2 + 1], 0.05) AS mad FROM x, m)
- SELECT domain, round(l - median, 6) + 0.0::DOUBLE AS divergence, abs(l - median) >= 5 * mad AS flagged FROM x, m, d""")
+@query("rank_divergence", "v_ranks", sql="""WITH r AS (SELECT domain, asked, CASE WHEN id % 7 <> 0 THEN rank_a END AS o, rank_b AS m FROM v_ranks), x AS (SELECT domain, log10(o / m) AS l FROM r WHERE o IS NOT NULL AND m IS NOT NULL),
+ m AS (SELECT list_sort(list(l))[count(*) // 2 + 1] AS median FROM x), d AS (SELECT greatest(list_sort(list(abs(l - median)))[count(*) // 2 + 1], 0.05) AS mad FROM x, m)
+ SELECT domain, round(l - median, 2) + 0.0::DOUBLE AS divergence, 'drift' AS nature FROM x, m, d WHERE abs(l - median) >= 5 * mad
+ UNION ALL SELECT domain, round(greatest(log10(10000000 / (r.m * pow(10, median))), 0), 2), 'floor' FROM r, m WHERE asked AND o IS NULL AND r.m IS NOT NULL""")
 def rank_divergence(r):
-    x = r.filter("rank_b IS NOT NULL").select("domain", F.log10(c("rank_a") / c("rank_b")).alias("l"))
-    calibration = R.median_and_mad(x, "l")
-    return x.join(F.broadcast(calibration)).select("domain", (F.round(c("l") - c("median"), 6) + F.lit(0.0)).alias("divergence"), (F.abs(c("l") - c("median")) >= 5 * c("mad")).alias("flagged"))
+    """Domains whose ranks in two tables disagree: by five median deviations where both have one; at least by how far the
+    asked table reaches where it has none. A rank in the longer table alone is usual and says nothing."""
+    rows = r.select("domain", "asked", F.when(c("id") % 7 != 0, c("rank_a")).alias("o"), c("rank_b").alias("m"))
+    return R.rank_divergence(rows).select("domain", (F.round("divergence", 2) + F.lit(0.0)).alias("divergence"), "nature")
+
+
+@query("agg_quadratic_mass", "v_links", sql="""SELECT target, round(sum(pow(link_score / 100, 2) * CASE WHEN rn = 1 THEN 1 ELSE 0.25 END), 6) AS mass
+    FROM (SELECT target, link_score, row_number() OVER (PARTITION BY target, src_domain ORDER BY link_score DESC) AS rn FROM v_links) GROUP BY target""")
+def agg_quadratic_mass(l):
+    """The best link of a domain counts fully, its others a quarter."""
+    return C.quadratic_mass(l, "target", "src_domain", c("link_score")).select("target", F.round("mass", 6).alias("mass"))
+
+
+LABEL = "'estimated clicks on the ' || count(*) || ' queries followed'"
+
+
+@query("label_guard", "v_positions", sql=f"SELECT domain, {LABEL} AS label FROM v_positions GROUP BY domain")
+def label_guard(p):
+    """The label a modelled total must carry; a forbidden one raises while the query runs."""
+    label = F.concat(F.lit("estimated clicks on the "), F.count("*"), F.lit(" queries followed"))
+    return p.groupBy("domain").agg(label.alias("label")).select("domain", T.guarded_label(c("label")).alias("label"))
 
 
 LATEST = "s AS (SELECT * FROM v_journal QUALIFY row_number() OVER (PARTITION BY domain, metric, source ORDER BY measured_at DESC, seq DESC) = 1)"

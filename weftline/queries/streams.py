@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from weftline.operators import relational as R
 from weftline.queries.registry import query
 from weftline.streaming import runs as S
 
@@ -83,10 +84,9 @@ def state_queue_pick(q, h):
     return q.filter("state = 'waiting' AND priority >= 2").join(busy, "host", "left_anti").orderBy("priority", "depth", "seq").limit(1).select("seq", "host", "priority")
 
 
-@query("state_host_cap", "v_queue", sql="SELECT seq, host FROM v_queue WHERE state = 'waiting' QUALIFY row_number() OVER (PARTITION BY host ORDER BY priority, depth, seq) <= 5")
+@query("state_host_cap", "v_queue", sql="SELECT seq, host FROM v_queue WHERE state = 'waiting' QUALIFY row_number() OVER (PARTITION BY host ORDER BY priority, depth, seq) <= 1500")
 def state_host_cap(q):
-    w = Window.partitionBy("host").orderBy("priority", "depth", "seq")
-    return q.filter("state = 'waiting'").withColumn("rn", F.row_number().over(w)).filter("rn <= 5").select("seq", "host")
+    return R.first_rows(q.filter("state = 'waiting'").select("seq", "host", "priority", "depth"), "host", [c("priority"), c("depth"), c("seq")], 1500).select("seq", "host")
 
 
 @query("crash_recovery", "v_queue", sql="SELECT seq, CASE WHEN state = 'busy' AND taken_at < TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 10 MINUTE THEN 'waiting' ELSE state END AS state FROM v_queue")
