@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import journal as J
 from weftline.queries.registry import query
+from weftline.sources.store import JournalStore, shared_folder
 
 LATEST = "SELECT * FROM v_journal QUALIFY row_number() OVER (PARTITION BY domain, metric, source ORDER BY measured_at DESC, seq DESC) = 1"
 COLUMNS = "domain, metric, source, state, value, measured_at, seq"
@@ -31,24 +32,38 @@ KEY = "sha1(concat_ws('|', domain, metric, source, CAST(CAST(measured_at AS DATE
 
 @query(
     "write_idempotent", "v_journal",
-    sql=f"""WITH b AS (SELECT *, {KEY} AS key FROM (SELECT * FROM v_journal WHERE seq % 3 <> 0 UNION ALL SELECT * REPLACE (seq + 10000000 AS seq) FROM v_journal WHERE seq % 5 = 0)),
-    old AS (SELECT {KEY} AS key FROM v_journal WHERE seq % 3 = 0)
-    SELECT seq, domain, metric, state, value FROM (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq) = 1) WHERE key NOT IN (SELECT key FROM old)""",
+    sql=f"""WITH b AS (SELECT *, {KEY} AS key FROM (SELECT * FROM v_journal UNION ALL SELECT * REPLACE (seq + 10000000 AS seq) FROM v_journal WHERE seq % 5 = 0)),
+    old AS (SELECT * FROM b WHERE seq % 3 = 0 AND seq < 10000000 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq) = 1)
+    SELECT seq, domain, metric, state, value FROM old UNION ALL SELECT seq, domain, metric, state, value FROM (SELECT * FROM b WHERE seq % 3 <> 0 OR seq >= 10000000 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq) = 1) WHERE key NOT IN (SELECT key FROM old)""",
 )
 def write_idempotent(j):
+    """What the journal holds after a first batch, a second one that repeats part of it, and the second once more."""
+    store = JournalStore(j.sparkSession, shared_folder(j.sparkSession, "journal"))
     again = j.filter("seq % 5 = 0").withColumn("seq", F.col("seq") + 10000000)
-    return J.new_facts(j.filter("seq % 3 = 0"), j.filter("seq % 3 <> 0").unionByName(again)).select("seq", "domain", "metric", "state", "value")
+    second = j.filter("seq % 3 <> 0").unionByName(again)
+    for batch in (j.filter("seq % 3 = 0"), second, second):
+        store.append(batch)
+    return store.read().select("seq", "domain", "metric", "state", "value")
 
 
 @query("compact", "v_journal", sql="SELECT obs_id, seq, value FROM (SELECT *, CASE WHEN seq % 50 <> 0 THEN domain || metric END AS obs_id FROM v_journal) QUALIFY obs_id IS NULL OR row_number() OVER (PARTITION BY obs_id ORDER BY seq DESC) = 1")
 def compact(j):
-    return J.compact(j.withColumn("obs_id", F.when(F.col("seq") % 50 != 0, F.concat("domain", "metric")))).select("obs_id", "seq", "value")
+    """The journal on disk before and after its compaction, which replaces it in one step."""
+    store = JournalStore(j.sparkSession, shared_folder(j.sparkSession, "journal"))
+    store.append(j.withColumn("obs_id", F.when(F.col("seq") % 50 != 0, F.concat("domain", "metric"))), allow_repeats=True)
+    store.compact()
+    return store.read().select("obs_id", "seq", "value")
 
 
-@query("purge", "v_journal", sql="SELECT kind, count(*) AS kept FROM v_journal WHERE NOT coalesce(value > 50, false) GROUP BY kind")
+@query("purge", "v_journal", sql="SELECT kind, count(*) FILTER (NOT coalesce(value > 50, false)) AS kept, count(*) AS backed_up, 'wrong extraction' AS reason FROM v_journal GROUP BY kind")
 def purge(j):
-    stays, _ = J.purge(j, F.col("value") > 50)
-    return stays.groupBy("kind").agg(F.count("*").alias("kept"))
+    """Rows taken out of the journal on disk; the backup holds all there were, and the reason is kept."""
+    store = JournalStore(j.sparkSession, shared_folder(j.sparkSession, "journal"))
+    store.append(j, allow_repeats=True)
+    done = store.purge(F.col("value") > 50, "wrong extraction")
+    count = lambda rows, name: rows.groupBy("kind").agg(F.count("*").alias(name))
+    both = count(j.sparkSession.read.parquet(done["backup"]), "backed_up").join(count(store.read(), "kept"), "kind", "left")
+    return both.select("kind", F.coalesce("kept", F.lit(0)).alias("kept"), "backed_up", F.lit(done["reason"]).alias("reason"))
 
 
 @query("filter_path", "v_journal", sql="SELECT seq, measured_at, value FROM v_journal WHERE domain = 'u7' AND metric = 'click'")

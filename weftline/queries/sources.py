@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from weftline.functions import urls as U
 from weftline.queries.registry import query
 from weftline.session import table
 from weftline.sources import parsers as P
+from weftline.sources import report as RJ
+from weftline.sources import sitemap as SM
+from weftline.sources.store import shared_folder, write_batches
 
 
 @query("scan_journal", "v_journal", sql="""SELECT metric, state, count(*) AS n, false AS unreadable FROM v_journal WHERE seq % 89 <> 0 AND seq % 97 <> 0 GROUP BY ALL
@@ -21,7 +25,11 @@ def scan_journal(j):
 
 @query("scan_graph", "v_edges", sql="SELECT src, count(*) AS n_out FROM v_edges GROUP BY src")
 def scan_graph(e):
-    return P.parse_edges(e.select(F.concat_ws("\t", "src", "dst").alias("value"))).groupBy("src").agg(F.count("*").alias("n_out"))
+    """Edges written as gzip TSV, with lines that are no edge among them, and read back behind the size guard."""
+    path = shared_folder(e.sparkSession, "graph")
+    lines = e.select(F.concat_ws("\t", "src", "dst").alias("value")).union(e.filter("src % 10 = 0").select(F.concat(F.lit("broken "), "dst")))
+    lines.write.option("compression", "gzip").text(f"{path}/edges")
+    return P.read_edges(e.sparkSession, f"{path}/edges", least_bytes=100).groupBy("src").agg(F.count("*").alias("n_out"))
 
 
 @query("scan_rank_zip", "v_ranks", sql="""SELECT domain, rank_a AS rank, 'a "b", c' AS note FROM v_ranks WHERE id % 10 = 0""")
@@ -32,10 +40,13 @@ def scan_rank_zip(r):
     return rows.join(r.filter("id % 10 = 0").select("domain"), "domain", "left_semi").select("domain", F.col("rank").cast("long").alias("rank"), "note")
 
 
-@query("scan_rank_list", "v_ranks", sql="SELECT domain, min(rank_a) AS rank FROM v_ranks WHERE asked GROUP BY domain")
+@query("scan_rank_list", "v_ranks", sql="SELECT domain, rank_a AS rank FROM v_ranks WHERE asked")
 def scan_rank_list(r):
-    f = P.split_csv(F.concat_ws(",", "rank_a", "domain"))
-    return r.filter("asked").select(f[1].alias("domain"), f[0].cast("long").alias("rank")).groupBy("domain").agg(F.min("rank").alias("rank"))
+    """A rank table with headers written as CSV and read back, only the asked domains."""
+    path = shared_folder(r.sparkSession, "ranks")
+    r.select(F.col("rank_a").alias("Global_Rank"), F.col("domain").alias(" Do-main"), F.lit('a "b", c').alias("NOTE")).write.option("header", True).option("escape", '"').csv(path)
+    rows = P.read_rank_csv(r.sparkSession, path, {"globalrank": "rank", "domain": "domain"}, r.filter("asked").select("domain"))
+    return rows.select("domain", F.col("rank").cast("long").alias("rank"))
 
 
 @query("scan_crux", "v_ranks", sql="SELECT 'https://' || domain || ',x' AS origin, rank_a AS rank FROM v_ranks")
@@ -44,12 +55,38 @@ def scan_crux(r):
     return r.select(origin.alias("origin"), rank.alias("rank"))
 
 
-@query("scan_sitemap", "v_pages", sql="SELECT page_id, url AS loc, CAST(1 AS BIGINT) AS place FROM v_pages UNION ALL SELECT page_id, url || '?b', 2 FROM v_pages")
-def scan_sitemap(p):
+@query("sitemap_entries", "v_pages", sql="SELECT page_id, url AS loc, CAST(1 AS BIGINT) AS place FROM v_pages UNION ALL SELECT page_id, url || '?b', 2 FROM v_pages")
+def sitemap_entries(p):
     xml = F.concat(F.lit("<urlset><url><loc> "), "url", F.lit("</loc></url><url><loc>"), "url", F.lit("?b\n</loc></url></urlset>"))
     return p.select("page_id", F.posexplode(P.sitemap_entries(xml)).alias("at", "loc")).select("page_id", "loc", (F.col("at") + 1).cast("long").alias("place"))
 
 
+def sitemaps_of(p):
+    """(domains, fetched) of 40 sites: every fourth declares a url set of its own (every eighth a missing one); the others
+    have an index in one of the usual places with three url sets, of which every fifth site's last is behind a wall."""
+    pages = p.select("url", (F.col("page_id") % 40).alias("d"), (F.floor(F.col("page_id") / 40) % 3).alias("k"))
+    site = lambda path: F.concat(F.lit("https://d"), "d", F.lit(f".org/{path}"))
+    tags = lambda urls: F.concat_ws("", F.transform(urls, lambda u: F.concat(F.lit("<url><loc>"), u, F.lit("</loc></url>"))))
+    domains = pages.select("d").distinct()
+    parts = domains.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).join(pages.groupBy("d", "k").agg(F.collect_list("url").alias("urls")), ["d", "k"], "left")
+    sets = parts.filter("d % 4 <> 0").select(F.concat(site("part-"), "k", F.lit(".xml")).alias("url"), F.when((F.col("d") % 5 == 1) & (F.col("k") == 2), 403).otherwise(200).alias("http"), F.concat(F.lit("<urlset>"), tags(F.coalesce("urls", F.array().cast("array<string>"))), F.lit("</urlset>")).alias("xml"))
+    listed = F.concat(F.lit("<sitemapindex>"), *[F.concat(F.lit("<sitemap><loc>"), site(f"part-{k}.xml"), F.lit("</loc></sitemap>")) for k in (0, 1, 2, 0)], F.lit("</sitemapindex>"))
+    at = F.when(F.col("d") % 3 == 0, site("sitemap_index.xml")).otherwise(site("sitemap.xml"))
+    indexes = domains.filter("d % 4 <> 0").select(at.alias("url"), F.lit(200).alias("http"), listed.alias("xml"))
+    missing = domains.filter("d % 4 <> 0 AND d % 3 = 0").select(site("sitemap.xml").alias("url"), F.lit(404).alias("http"), F.lit(None).cast("string").alias("xml"))
+    own = pages.filter("d % 4 = 0").groupBy("d").agg(F.collect_list("url").alias("urls")).select(site("own.xml").alias("url"), F.when(F.col("d") % 8 == 0, 404).otherwise(200).alias("http"), F.concat(F.lit("<urlset>"), tags(F.col("urls")), F.lit("</urlset>")).alias("xml"))
+    asked = domains.select(F.concat(F.lit("d"), "d", F.lit(".org")).alias("domain"), F.when(F.col("d") % 4 == 0, F.array(site("own.xml"))).alias("declared"))
+    return asked, sets.union(indexes).union(missing).union(own)
+
+
+@query("scan_sitemap", "v_pages", sql="""WITH p AS (SELECT page_id % 40 AS d, (page_id // 40) % 3 AS k FROM v_pages), n AS (SELECT d, count(*) AS n, count(*) FILTER (k = 2) AS n2 FROM p GROUP BY d),
+    r AS (SELECT d, CASE WHEN d % 8 = 0 THEN 0 WHEN d % 4 <> 0 AND d % 5 = 1 THEN n - n2 ELSE n END AS n_urls, CASE WHEN d % 4 = 0 THEN 1 WHEN d % 3 = 0 THEN 5 ELSE 4 END AS n_read, CASE WHEN d % 4 <> 0 AND d % 5 = 1 THEN 1 ELSE 0 END AS n_walls, CASE WHEN d % 8 = 0 OR (d % 4 <> 0 AND d % 3 = 0) THEN 1 ELSE 0 END AS n_absent FROM n)
+    SELECT 'd' || d || '.org' AS domain, CASE WHEN n_urls > 0 THEN 'MEASURED' WHEN n_walls > 0 THEN 'BLIND' ELSE 'ABSENT' END AS state, n_urls, n_read::BIGINT AS n_read, n_walls::BIGINT AS n_walls, n_absent::BIGINT AS n_absent, NULL::VARCHAR AS capped FROM r""")
+def scan_sitemap(p):
+    """Indexes and url sets walked from what robots.txt declares or the usual places, within three budgets."""
+    return SM.walk(*sitemaps_of(p)).select("domain", "state", "n_urls", "n_read", "n_walls", "n_absent", "capped")
+
+
 @query("scan_search_console", "v_positions", sql="SELECT query, CAST(count(*) AS BIGINT) AS n, sum(CAST(seq % 100 AS BIGINT))::BIGINT AS clicks, round(avg(position + 0.5), 6) AS mean_position FROM v_positions WHERE position IS NOT NULL GROUP BY query")
 def scan_search_console(p):
     line = F.concat_ws("|", "query", F.col("seq") % 100, F.lit("1 234"), F.lit("3,5 %"), F.concat(F.col("position"), F.lit(",5")))
@@ -58,9 +95,14 @@ def scan_search_console(p):
     return rows.groupBy("query").agg(F.count("*").alias("n"), F.sum("clicks").cast("long").alias("clicks"), F.round(F.avg("position"), 6).alias("mean_position"))
 
 
-@query("scan_gsc_links", "v_referents", sql="SELECT src_domain, max(declared) AS links FROM v_referents WHERE src_domain <> 'd7' AND regexp_matches(src_domain, '^d[0-9]+$') GROUP BY src_domain")
+@query("scan_gsc_links", "v_referents", sql="SELECT src_domain, max(declared) * 1000 AS links FROM v_referents WHERE src_domain <> 'd7' GROUP BY src_domain")
 def scan_gsc_links(r):
-    return r.filter((F.col("src_domain") != "d7") & F.col("src_domain").rlike("^d[0-9]+$")).groupBy("src_domain").agg(F.max("declared").alias("links"))
+    """Lines of a referrer table, ``domain;links`` with local numbers: the most links of each domain, without the own domain,
+    the header and malformed names."""
+    line = F.concat(F.upper("src_domain"), F.lit(".com ; "), "declared", F.lit(" 000"))
+    odd = r.sparkSession.createDataFrame([("Domain;Links",), ("not a domain;5",), ("x.org",), (None,)], "value string")
+    rows = P.parse_referrers(r.select(line.alias("value")).union(odd), own="d7.com")
+    return rows.select(F.regexp_replace("domain", r"\.com$", "").alias("src_domain"), "links")
 
 
 @query("scan_magnitude", "v_ranks", sql="SELECT id, CASE id % 4 WHEN 0 THEN id % 90 * 100 + 50 WHEN 1 THEN (id % 90) * 1000000 WHEN 2 THEN (id % 90) * 1000000000 ELSE id % 90 END AS n FROM v_ranks")
@@ -76,14 +118,26 @@ def scan_multi_competitor(r):
     return P.unpivot_counts(wide, "domain", "SimilarSiteCount", 2).select("domain", F.col("place").cast("long").alias("place"), "links")
 
 
-@query("scan_report_json", "v_ranks", sql="""SELECT domain, 'traffic.visits' AS metric, CASE WHEN id % 5 <> 0 AND id % 3 <> 0 THEN rank_a::DOUBLE END AS value, CASE WHEN id % 5 = 0 THEN 'BLIND' WHEN id % 3 <> 0 THEN 'MEASURED' WHEN id % 2 = 0 THEN 'BLIND' ELSE 'ABSENT' END AS state FROM v_ranks
-    UNION ALL SELECT domain, 'traffic.bounce', CASE WHEN id % 5 <> 0 THEN 0.5 END, CASE WHEN id % 5 = 0 THEN 'BLIND' ELSE 'MEASURED' END FROM v_ranks
-    UNION ALL SELECT domain, 'authority.score', NULL, 'ABSENT' FROM v_ranks""")
+REPORT_SQL = """WITH r AS (SELECT domain, id, rank_a::DOUBLE AS r FROM v_ranks), m(metric, subject, value, state, has) AS (SELECT * FROM (VALUES
+    ('authority', NULL, NULL, 'BLIND', 'b'), ('backlinks', NULL, -1.0::DOUBLE, 'MEASURED', 'b'), ('referring_domains', NULL, 12, 'MEASURED', 'b'), ('backlinks_change', NULL, 0.5, 'MEASURED', 'b'), ('backlinks@', '2024-01-01', -1, 'MEASURED', 'b'), ('backlinks@', '2024-02-01', NULL, 'ABSENT', 'b'), ('section_backlinks', NULL, NULL, 'BLIND', 'nb'),
+    ('world_rank', NULL, -1, 'MEASURED', ''), ('category_rank', NULL, NULL, 'ABSENT', ''), ('country_rank', NULL, 7, 'MEASURED', ''), ('visits', NULL, NULL, 'ABSENT', ''), ('pages_per_visit', NULL, 2.5, 'MEASURED', ''), ('visit_seconds', NULL, NULL, 'ABSENT', ''), ('bounce_rate', NULL, 0.5, 'MEASURED', ''),
+    ('organic_visits', NULL, NULL, 'BLIND', 'h'), ('organic_visits', NULL, NULL, 'ABSENT', 'nh'), ('paid_visits', NULL, 0, 'MEASURED', ''), ('section_searchTraffic', NULL, NULL, 'BLIND', 'h'), ('country_visits', 'fr', -1, 'MEASURED', ''), ('country_share', 'fr', 0.25, 'MEASURED', ''),
+    ('position', 'k1', 3, 'MEASURED', ''), ('search_volume', 'k1', NULL, 'ABSENT', ''), ('cost_per_click', 'k1', NULL, 'ABSENT', ''), ('query_share', 'k1', NULL, 'ABSENT', ''), ('visits_from', 'a.org', 9, 'MEASURED', ''), ('ai_visits', 'bot', 4, 'MEASURED', ''), ('desktop_visits@', '2024-01-01', 8, 'MEASURED', ''), ('mobile_visits@', '2024-01-01', NULL, 'ABSENT', ''), ('section_competitors', NULL, NULL, 'BLIND', '')) v)
+    SELECT domain, metric, subject, CASE WHEN value = -1 THEN r ELSE value END AS value, state FROM r, m WHERE has = '' OR (has = 'b') = (id % 5 <> 0) AND has IN ('b', 'nb') OR (has = 'h') = (id % 7 = 0) AND has IN ('h', 'nh')"""
+
+
+@query("scan_report_json", "v_ranks", sql=REPORT_SQL)
 def scan_report_json(r):
-    history = F.when(F.col("id") % 2 == 0, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>"))
-    traffic = F.when(F.col("id") % 5 != 0, F.struct(F.when(F.col("id") % 3 != 0, F.col("rank_a").cast("double")).alias("visits"), F.lit(0.5).alias("bounce"), history.alias("history")))
-    report = F.to_json(F.struct(traffic.alias("traffic"), F.struct(F.lit(None).cast("double").alias("score"), F.array().cast("array<double>").alias("history")).alias("authority")), {"ignoreNullFields": "false"})
-    return P.report_metrics(r.select("domain", report.alias("report")), "domain", "report")
+    """Reports of ten sections: one is missing throughout, one of some domains, one is held back for others."""
+    rank = F.col("rank_a").cast("string")
+    backlinks = F.concat(F.lit('"backlinks":{"authorityScore":{"value":null},"backlinks":{"value":'), rank, F.lit(',"valueDiffPercent":0.5},"referringDomains":{"value":12},"backlinksHistory":[{"displayDate":"2024-01-01","backlinks":'), rank, F.lit('},{"displayDate":"2024-02-01","backlinks":null}]},'))
+    report = F.concat(
+        F.lit('{"summary":{"trafficStats":{"globalRank":{"value":'), rank, F.lit('},"categoryRank":{"value":null},"countryRank":{"value":7}}},'), F.when(F.col("id") % 5 != 0, backlinks).otherwise(""),
+        F.lit('"visitorEngagement":{"visits":{"value":null},"pagesPerVisit":{"value":2.5},"bounceRate":{"value":0.5}},"searchTraffic":{"visible":'), F.when(F.col("id") % 7 == 0, "false").otherwise("true"),
+        F.lit(',"organic":{"value":null},"paid":{"value":0}},"trafficByCountry":{"series":[{"country":"fr","traffic":'), rank,
+        F.lit(',"trafficShare":0.25}]},"keywords":{"series":[{"keyword":"k1","position":3,"searchVolume":null}]},"trafficByDevice":{"history":[{"displayDate":"2024-01-01","desktopVisits":8}]},"trafficJourney":{"in":{"items":[{"host":"a.org","value":9}]}},"trafficAi":{"items":[{"id":"bot","traffic":{"value":4}}]}}'),
+    )
+    return RJ.report_metrics(r.select("domain", report.alias("report")), "domain", "report")
 
 
 @query("scan_flat_graph_json", "v_ranks", sql="""SELECT domain, '{"a":' || rank_a || ',"b":[' || rank_a || ',' || id || ']}' AS decoded FROM v_ranks""")
@@ -101,16 +155,36 @@ def scan_cdx(p):
 
 @query("scan_warc", "v_pages", sql="SELECT page_id, 'WARC/1.0' AS warc_head, 'HTTP/1.1 200 OK' AS http_head, CAST(length(html) AS BIGINT) AS body_chars FROM v_pages")
 def scan_warc(p):
-    record = F.concat(F.lit("WARC/1.0\r\n\r\nHTTP/1.1 200 OK\r\n\r\n"), "html")
-    return p.select("page_id", P.split_warc(record).alias("w")).select("page_id", "w.warc_head", "w.http_head", F.length("w.body").cast("long").alias("body_chars"))
+    """One record out of a file by its byte range, as an archive index gives it, cut at its first two blank lines."""
+    record = lambda body: F.concat(F.lit("WARC/1.0\r\n\r\nHTTP/1.1 200 OK\r\n\r\n"), body)
+    first, second = record(F.concat(F.lit("é other "), "url")), record(F.col("html"))
+    files = p.select("page_id", F.concat(first, second, F.lit("\r\n\r\nWARC/1.0 next")).cast("binary").alias("content"), F.octet_length(first).alias("start"), F.octet_length(second).alias("size"))
+    rows = files.select("page_id", P.split_warc(P.byte_range(F.col("content"), F.col("start"), F.col("size")).cast("string")).alias("w"))
+    return rows.select("page_id", "w.warc_head", "w.http_head", F.length("w.body").cast("long").alias("body_chars"))
 
 
-@query("scan_serp", "v_positions", sql="""WITH d AS (SELECT query, domain, min(seq) AS first_at FROM v_positions GROUP BY query, domain)
-    SELECT query, domain, row_number() OVER (PARTITION BY query ORDER BY first_at) AS rank FROM d""")
+@query("scan_serp", "v_positions", sql="""WITH u AS (SELECT query, domain, seq, 'https://www.' || domain || '.com/' || (seq % 3) || '?s=' || seq AS url, domain || '.com/' || (seq % 3) AS page FROM v_positions),
+    d AS (SELECT query, page, domain || '.com' AS domain, min(seq) AS first_at FROM u GROUP BY ALL)
+    SELECT query, domain, page, row_number() OVER (PARTITION BY query ORDER BY first_at) AS rank FROM d""")
 def scan_serp(p):
-    """Results in order of appearance, each host once."""
-    first = p.groupBy("query", "domain").agg(F.min("seq").alias("first_at"))
-    return first.select("query", "domain", F.row_number().over(Window.partitionBy("query").orderBy("first_at")).cast("long").alias("rank"))
+    """Results in order of appearance over the pages, each host and path once."""
+    url = F.concat(F.lit("https://www."), "domain", F.lit(".com/"), F.col("seq") % 3, F.lit("?s="), "seq")
+    host = U.host_of(F.col("url"))
+    rows = p.select("query", "seq", url.alias("url")).select("query", "seq", host.alias("domain"), F.concat(host, U.path_of(F.col("url"))).alias("page"))
+    first = rows.groupBy("query", "domain", "page").agg(F.min("seq").alias("first_at"))
+    return first.select("query", "domain", "page", F.row_number().over(Window.partitionBy("query").orderBy("first_at")).cast("long").alias("rank"))
+
+
+@query("batched_write", "v_positions", sql="SELECT CAST(sum(n) AS BIGINT) AS n_rows, true AS bounded, CAST(sum(bad) AS BIGINT) AS refused FROM (SELECT count(*) AS n, count(*) FILTER (state = 'BLIND') AS bad FROM v_positions)")
+def batched_write(p):
+    """Batches of at most 100 values, sent from the executors; a batch the sink refuses is reported with its reason."""
+    told = write_batches(p.select("seq", "domain", "query", "position", "state").repartition("state"), refuse_blind)
+    return told.agg(F.sum("n_rows").alias("n_rows"), (F.max("n_rows") <= 20).alias("bounded"), F.sum(F.when(~F.col("written"), F.substring_index("error", " ", 1).cast("long")).otherwise(0)).alias("refused"))
+
+
+def refuse_blind(rows):
+    if blind := sum(r[4] == "BLIND" for r in rows):
+        raise ValueError(f"{blind} rows are blind")
 
 
 def upserted(old, new, key, values, order):

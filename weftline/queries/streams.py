@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.operators import relational as R
+from weftline.operators import tasks as TM
 from weftline.queries.registry import query
 from weftline.streaming import runs as S
 
@@ -66,12 +67,23 @@ def state_task_lease(spark, sf_dir):
     return rows.groupBy("user_id").agg(F.count(F.when(c("granted"), 1)).alias("n_granted"), F.count("*").alias("n"))
 
 
-@query("state_machine", sql="SELECT event_type, CASE WHEN event_type = 'error' THEN 'wall' WHEN event_type = 'view' THEN 'empty' WHEN value > 50 THEN 'read' ELSE 'mention' END AS state, count(*) AS n FROM events GROUP BY ALL")
+STEPS = "CASE WHEN event_type = 'error' THEN 'wall' WHEN event_type = 'view' THEN 'empty' WHEN value > 50 THEN 'read' ELSE 'mention' END"
+
+
+@query("state_machine", sql=f"""WITH k AS (SELECT user_id AS task, event_id % 7 AS page, count(*) AS n FROM events GROUP BY ALL), e AS (SELECT user_id AS task, event_id % 7 AS page, {STEPS} AS to_state, event_id FROM events WHERE event_id % 7 <> user_id % 7 AND user_id % 5 <> 0),
+ f AS (SELECT task, page, arg_min(to_state, event_id) AS state FROM e WHERE event_id % 2 = 0 GROUP BY ALL), g AS (SELECT task, page, arg_min(to_state, event_id) AS state FROM e WHERE event_id % 2 = 1 GROUP BY ALL),
+ c AS (SELECT k.task, k.page, coalesce(f.state, g.state, 'waiting') AS state FROM k LEFT JOIN f USING (task, page) LEFT JOIN g USING (task, page)),
+ t AS (SELECT task, count(*) FILTER (state = 'waiting') AS w, count(*) FILTER (state <> 'waiting') AS d, count(*) FILTER (state = 'read') AS r FROM c GROUP BY task)
+ SELECT task, CASE WHEN d = 0 THEN 'candidates' WHEN w > 0 THEN 'verification' ELSE 'done' END AS state, w AS n_waiting, d AS n_decided, r AS n_read FROM t""")
 def state_machine(spark, sf_dir):
-    """Transitions of candidate pages as they are read: waiting becomes read, mention, empty or wall."""
-    state = F.when(c("event_type") == "error", "wall").when(c("event_type") == "view", "empty").when(c("value") > 50, "read").otherwise("mention")
-    moved = S.finish(S.read_events(spark, sf_dir).select("event_type", state.alias("state")))
-    return moved.groupBy("event_type", "state").agg(F.count("*").alias("n"))
+    """Candidates of each task through two batches of readings: the first reading decides a page, later ones change nothing."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("task", c("user_id")).withColumn("page", c("event_id") % 7)
+    read = e.filter("page <> task % 7 AND task % 5 <> 0").select("task", "page", c("event_id").alias("seq"), F.when(c("event_type") == "error", 403).otherwise(200).alias("http"), F.when((c("event_type") != "view") & (c("value") > 50), 1).otherwise(0).alias("links"), F.when(c("event_type") != "view", 1).otherwise(0).alias("mentions"))
+    now = e.select("task", "page").distinct().withColumn("state", F.lit("waiting"))
+    for k in (0, 1):
+        now = TM.step(now, read.filter(c("seq") % 2 == k))
+    reads = now.groupBy("task").agg(F.count(F.when(c("state") == "read", 1)).alias("n_read"))
+    return TM.task_states(e.select("task").distinct(), now).join(reads, "task")
 
 
 FREE = "waiting AS (SELECT q.* FROM v_queue q WHERE state = 'waiting' AND NOT EXISTS (SELECT 1 FROM v_hosts h WHERE h.host = q.host AND h.busy_until > TIMESTAMP '2024-01-15 00:00:00'))"

@@ -33,6 +33,20 @@ def parse_edges(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(parts[0].try_cast("long").alias("src"), F.get(parts, F.lit(1)).try_cast("long").alias("dst")).filter("src IS NOT NULL AND dst IS NOT NULL")
 
 
+def check_size(spark: SparkSession, path: str, least_bytes: int) -> None:
+    """Refuse a file or folder that is smaller than a whole edition can be: a cut download must not pass for a small graph."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    if size < least_bytes:
+        raise ValueError(f"{path} has {size} bytes, fewer than {least_bytes}")
+
+
+def read_edges(spark: SparkSession, path: str, least_bytes: int = 0) -> DataFrame:
+    """(src, dst) of edges in TSV, gzip or not; lines that are no edge are left out."""
+    check_size(spark, path, least_bytes)
+    return parse_edges(spark.read.text(path))
+
+
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges) of a domain graph in gzip TSV. Gzip cannot be split: convert to Parquet once."""
     vertices = spark.read.csv(f"{path}/vertices*", sep="\t", schema="id long, rev_domain string, n long")
@@ -107,25 +121,22 @@ def sitemap_entries(xml: Column) -> Column:
     return F.regexp_extract_all(xml, F.lit(r"<loc>\s*([^<]*?)\s*</loc>"), F.lit(1))
 
 
-def unpivot_counts(df: DataFrame, key: str, prefix: str, n: int) -> DataFrame:
-    """Wide ``prefix1..n`` columns as (key, place, count); zero counts are no facts."""
-    stack = ", ".join(f"{i}, {prefix}{i}" for i in range(1, n + 1))
-    return df.selectExpr(key, f"stack({n}, {stack}) AS (place, links)").filter("links > 0")
+def parse_referrers(lines: DataFrame, own: str, column: str = "value") -> DataFrame:
+    """``domain;links`` lines to (domain, links): the most links of each well-formed domain but the own."""
+    parts = F.split(column, ";")
+    rows = lines.select(F.lower(F.trim(parts[0])).alias("domain"), locale_number(F.get(parts, F.lit(1))).cast("long").alias("links"))
+    return rows.filter((F.col("domain") != own) & F.col("domain").rlike(r"^([a-z0-9-]+\.)+[a-z]{2,}$") & F.col("links").isNotNull()).groupBy("domain").agg(F.max("links").alias("links"))
 
 
-REPORT_SCHEMA = "traffic struct<visits:double, bounce:double, history:array<double>>, authority struct<score:double, history:array<double>>"
+def byte_range(content: Column, start: Column, size: Column) -> Column:
+    """``size`` bytes from ``start`` on (0 is the first)."""
+    return F.substring(content, start + 1, size)
 
 
-def report_metrics(df: DataFrame, key: str, column: str, schema: str = REPORT_SCHEMA) -> DataFrame:
-    """A sectioned JSON report as (key, metric, value, state). A section that is missing is BLIND; a null figure beside
-    a history was withheld and is BLIND too; a null figure alone is ABSENT."""
-    r = df.select(key, F.from_json(column, schema).alias("r"))
-    rows = []
-    for section, metric in (("traffic", "visits"), ("traffic", "bounce"), ("authority", "score")):
-        value, past = F.col(f"r.{section}.{metric}"), F.col(f"r.{section}.history")
-        state = F.when(F.col(f"r.{section}").isNull(), "BLIND").when(value.isNotNull(), "MEASURED").when(F.size(F.coalesce(past, F.array().cast("array<double>"))) > 0, "BLIND").otherwise("ABSENT")
-        rows.append(F.struct(F.lit(f"{section}.{metric}").alias("metric"), value.alias("value"), state.alias("state")))
-    return r.select(key, F.inline(F.array(*rows)))
+def unpivot_counts(df: DataFrame, key: str, prefix: str, n: int) -> DataFrame:
+    """Wide ``prefix1..n`` columns as (key, place, count); zero counts are no facts."""
+    stack = ", ".join(f"{i}, {prefix}{i}" for i in range(1, n + 1))
+    return df.selectExpr(key, f"stack({n}, {stack}) AS (place, links)").filter("links > 0")
 
 
 def decode_indexed_json(df: DataFrame, column: str) -> DataFrame:

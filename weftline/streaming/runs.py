@@ -5,17 +5,13 @@ spark.checkpoint.dir, so a restart goes on where it stopped."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/weftline"
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from weftline.sources.store import shared_folder
 
 
 def as_instant(x: Column) -> Column:
@@ -39,7 +35,7 @@ def finish(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream to the end of its source and give what it wrote. ``complete`` results replace each other; the last
     batch that wrote is the answer."""
     spark = stream.sparkSession
-    folder = shared_folder(spark)
+    folder = shared_folder(spark, "stream")
     if mode == "append":
         query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
         query.awaitTermination()
@@ -101,7 +97,7 @@ def leased(stream: DataFrame, hold_seconds: float = 60.0) -> DataFrame:
     """One holder per key at a time: a request is granted if the last lease has run out. Each batch reads the state the
     batch before has written (a number per key) and writes its own under its number, so a batch that is run again
     after a failure gives the same."""
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
     numbers: list[int] = []
 
     def put(batch: DataFrame, number: int) -> None:
