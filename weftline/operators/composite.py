@@ -61,6 +61,7 @@ def position_weight(position: Column) -> Column:
     )
 
 
+# The thresholds and weights below.
 def popularity(rank: Column, http: Column, asked: Column) -> Column:
     """A rank on a log scale, 1 to a million: 100 to 0."""
     score = 100 * clamp((6 - F.log10(rank)) / 4, 0, 1)
@@ -87,6 +88,7 @@ def coherence(page: Column, site: Column) -> Column:
     return F.when(page.isNotNull() & site.isNotNull(), both).when(page.isNotNull(), only_page).when(site.isNotNull(), only_site).otherwise(whole(None))
 
 
+# The thresholds and weights below.
 def authors(editorial: Column, distinct: Column, verifiable: Column, pseudonym: Column, pages: Column) -> tuple[Column, Column]:
     """(A, weight): below 30 editorial pages the component leaves the score."""
     one = F.when(pseudonym & ~verifiable, 5.0).when(pages > 800, 30.0).otherwise(60.0)
@@ -97,6 +99,7 @@ def authors(editorial: Column, distinct: Column, verifiable: Column, pseudonym:
     return value, F.when(few, 0.0).otherwise(18.0)
 
 
+# The thresholds and weights below.
 def depth(source_depth: Column, external: Column, deep: Column) -> Column:
     """P: 0.40 depth of the page, 0.35 room left by its external links, 0.25 depth of the destination."""
     d = F.when(source_depth >= 2, 100.0).when(source_depth == 1, 70.0).when(source_depth.isNotNull(), 40.0)
@@ -107,6 +110,7 @@ def depth(source_depth: Column, external: Column, deep: Column) -> Column:
     return part(value, F.when(ok, MEASURED).otherwise(BLIND), F.least(low, value), F.greatest(high, value))
 
 
+# The thresholds and weights below.
 def transmission(read: Column, in_html: Column, rel: Column, noindex: Column, robots_ok: Column, indexed: Column, seen: Column) -> Column:
     """What a link passes on: of all rules that apply, the lowest. Nulls are unknown. Blind where an uncertain rule
     could still go below the winner."""
@@ -127,6 +131,7 @@ def transmission(read: Column, in_html: Column, rel: Column, noindex: Column, ro
     return F.when(~read, part(F.lit(0.70), F.lit(BLIND), F.lit(0.0), F.lit(1.0))).otherwise(part(win, F.when(unsure, BLIND).otherwise(MEASURED), low, high))
 
 
+# The thresholds and weights below.
 def malus(http: Column, disavowed: Column, price: Column, sponsoring: Column, farm: Column) -> Column:
     """Factor for link selling; looked for only on pages that answer 200, but a disavowal counts always."""
     return (
@@ -139,6 +144,7 @@ def malus(http: Column, disavowed: Column, price: Column, sponsoring: Column, fa
     )
 
 
+# The thresholds and weights below.
 def link_class(score: Column, displayable: Column, passed: Column) -> Column:
     return (
         F.when(score.isNull() | ~displayable, "UNRATED").when(score >= 35, "USEFUL").when(score >= 15, "NEUTRAL").when(passed >= 0.40, "TOXIC").otherwise("NEUTRAL")
@@ -257,6 +263,7 @@ def axis_coverage(urls: Column, sitemap_ok: Column, indexable: Column) -> Column
     return F.when(urls.isNull(), whole(None)).otherwise(part(at(1.0, 1.0), F.when(full, MEASURED).otherwise(BLIND), at(0.0, 0.0), at(1.0, 1.0)))
 
 
+# The thresholds and weights below.
 def axis_health(root_http: Column, redirects: Column, ttfb: Column, kib: Column, robots: Column, sitemap: Column, cert: Column) -> Column:
     """ST: points got of points that could be asked; nulls could not. The range is in points, as the reports have it."""
     probes = [

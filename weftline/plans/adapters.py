@@ -25,7 +25,7 @@ _SIMPLE = {
         "lineitem",
         "concat('t', l_partkey % 200) AS target, concat('d', l_suppkey) AS src_domain, CASE WHEN l_orderkey % 2 = 0 THEN 'graph' ELSE 'console' END AS source, l_shipdate AS seen_at, CAST(l_quantity AS BIGINT) AS declared",
         "'t' || (l_partkey % 200) AS target, 'd' || l_suppkey AS src_domain, CASE WHEN l_orderkey % 2 = 0 THEN 'graph' ELSE 'console' END AS source, l_shipdate AS seen_at, CAST(l_quantity AS BIGINT) AS declared",
-        "l_linenumber = 1",
+        "",
     ),
     "v_edges": ("lineitem", "DISTINCT l_suppkey AS src, 1000000 + l_partkey AS dst", "DISTINCT l_suppkey AS src, 1000000 + l_partkey AS dst", ""),
     "v_positions": (

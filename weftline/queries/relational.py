@@ -353,9 +353,9 @@ def rank_classement(d):
     return R.placed(rows, [F.col("role"), F.desc("balance"), F.col("id")], "role").select("role", "id", "place")
 
 
-@query("rank_opportunities", "v_links", sql="SELECT src_domain, count(DISTINCT target) AS n_cited, max(link_score) AS score FROM v_links WHERE CAST(substring(target, 2) AS BIGINT) < 20 GROUP BY src_domain ORDER BY n_cited DESC, score DESC, src_domain LIMIT 50")
+@query("rank_opportunities", "v_links", sql="SELECT src_domain, count(DISTINCT target) AS n_cited, max(link_score) AS score FROM v_links GROUP BY src_domain ORDER BY n_cited DESC, score DESC, src_domain LIMIT 50")
 def rank_opportunities(l):
-    rows = l.filter("CAST(substring(target, 2) AS BIGINT) < 20").groupBy("src_domain").agg(F.countDistinct("target").alias("n_cited"), F.max("link_score").alias("score"))
+    rows = l.groupBy("src_domain").agg(F.countDistinct("target").alias("n_cited"), F.max("link_score").alias("score"))
     return rows.orderBy(F.desc("n_cited"), F.desc(F.coalesce("score", F.lit(-1.0))), "src_domain").limit(50)
 
 
@@ -404,9 +404,9 @@ def union_referrers(l, r):
     return l.filter(follow()).select("target", "src_domain").union(r.select("target", "src_domain")).distinct()
 
 
-@query("set_minus", "v_links", "v_referents", sql="SELECT target, src_domain FROM v_links EXCEPT SELECT target, src_domain FROM v_referents")
+@query("set_minus", "v_links", "v_referents", sql="SELECT target, src_domain FROM v_links EXCEPT SELECT target, src_domain FROM v_referents WHERE source = 'graph'")
 def set_minus(l, r):
-    return l.select("target", "src_domain").subtract(r.select("target", "src_domain"))
+    return l.select("target", "src_domain").subtract(r.filter("source = 'graph'").select("target", "src_domain"))
 
 
 @query("set_intersection", "v_ranks", sql="SELECT domain FROM v_ranks WHERE asked INTERSECT SELECT domain FROM v_ranks WHERE rank_b IS NOT NULL")

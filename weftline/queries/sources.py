@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -32,12 +36,22 @@ def scan_graph(e):
     return P.read_edges(e.sparkSession, f"{path}/edges", least_bytes=100).groupBy("src").agg(F.count("*").alias("n_out"))
 
 
-@query("scan_rank_zip", "v_ranks", sql="""SELECT domain, rank_a AS rank, 'a "b", c' AS note FROM v_ranks WHERE id % 10 = 0""")
+@query("scan_rank_zip", "v_ranks", sql="""SELECT domain, rank_a AS rank, 'a "b", c' AS note FROM v_ranks""")
 def scan_rank_zip(r):
-    quoted = F.concat(F.col("rank_a"), F.lit(","), F.col("domain"), F.lit(',"a ""b"", c"'))
-    fields = r.select(P.split_csv(quoted).alias("f")).select(F.col("f")[0].alias("﻿Global_Rank"), F.col("f")[1].alias(" Do-main"), F.col("f")[2].alias("NOTE"))
-    rows = P.normalise_headers(fields, {"globalrank": "rank", "domain": "domain", "note": "note"})
-    return rows.join(r.filter("id % 10 = 0").select("domain"), "domain", "left_semi").select("domain", F.col("rank").cast("long").alias("rank"), "note")
+    """Rank tables packed as zip archives, one for each batch of rows, unpacked and parsed."""
+    line = F.concat(F.col("rank_a"), F.lit(","), F.col("domain"), F.lit(',"a ""b"", c"'))
+    archives = r.select(line.alias("value")).mapInArrow(packed, "path string, content binary")
+    fields = P.unzip_lines(archives).filter("value NOT LIKE '%Global_Rank%'").select(P.split_csv(F.col("value")).alias("f")).select(F.col("f")[0].alias("﻿Global_Rank"), F.col("f")[1].alias(" Do-main"), F.col("f")[2].alias("NOTE"))
+    return P.normalise_headers(fields, {"globalrank": "rank", "domain": "domain", "note": "note"}).select("domain", F.col("rank").cast("long").alias("rank"), "note")
+
+
+def packed(batches):
+    """Each batch of lines as a zip archive of one CSV file with a header."""
+    for k, batch in enumerate(batches):
+        box = io.BytesIO()
+        with zipfile.ZipFile(box, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("table.csv", "\n".join(["\ufeffGlobal_Rank, Do-main,NOTE", *batch.column(0).to_pylist()]))
+        yield pa.RecordBatch.from_arrays([pa.array([f"archive-{k}"]), pa.array([box.getvalue()])], names=["path", "content"])
 
 
 @query("scan_rank_list", "v_ranks", sql="SELECT domain, rank_a AS rank FROM v_ranks WHERE asked")

@@ -77,8 +77,9 @@ def read_rank_csv(spark: SparkSession, path: str, wanted: dict[str, str], domain
     return rows if domains is None else rows.join(domains, "domain", "left_semi")
 
 
-def read_rank_zip(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of the CSV files inside zip archives, streamed out of each archive."""
+def unzip_lines(archives: DataFrame) -> DataFrame:
+    """(path, value): lines of the files inside zip archives (path, content). An archive is one task's and its packed bytes
+    are held, since a zip is read from its end; the lines are streamed out of it."""
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +96,11 @@ def read_rank_zip(spark: SparkSession, path: str) -> DataFrame:
                             if part:
                                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(part)], names=["path", "value"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(lines, "path string, value string")
+    return archives.select("path", "content").mapInArrow(lines, "path string, value string")
+
+
+def read_rank_zip(spark: SparkSession, path: str) -> DataFrame:
+    return unzip_lines(spark.read.format("binaryFile").load(path))
 
 
 def parse_origin_rank(line: Column) -> tuple[Column, Column]:
