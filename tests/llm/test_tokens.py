@@ -2,7 +2,7 @@ import math
 import random
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from weftline.llm import pieces, wordpiece
@@ -71,6 +71,7 @@ def small_model(vocabulary):
 
 
 @settings(max_examples=200, deadline=None)
+@example(["▁▁"], " ")
 @given(st.lists(st.text("ab▁", min_size=1, max_size=4), max_size=10, unique=True), st.text("abc \n▁é", max_size=20))
 def test_best_score_and_round_trip(vocabulary, text):
     model = small_model(vocabulary)
@@ -101,3 +102,19 @@ def test_documents_round_trip(documents, odd_docs, make_docs):
     for r in pieces.decode_documents(pieces.encode_documents(documents, model), model).collect():
         assert r.text == texts[r.doc_id]
     assert pieces.encode_documents(make_docs(), model).count() == 0
+
+
+def test_ties_take_the_longer_last_piece():
+    names = ["", "▁", "a", "b", "ab", "▁a", "▁ab"]
+    scores = [0.0, 0.0, -1.0, -1.0, -2.0, -1.0, -2.0]
+    encoder = pieces.Encoder(names + [""] * 256, scores + [0.0] * 256, list(range(7, 263)))
+    first = encoder.encode("ab")
+    assert [names[i] for i in first] == ["▁ab"] and encoder.encode("ab") == first and encoder.decode(first) == "ab"
+
+
+def test_clashing_columns_of_token_operators(odd_docs):
+    model, vocab = pieces.load_model(PATH), wordpiece.vocabulary(PATH)
+    odd = odd_docs.selectExpr("1 as raw", "2 as n_tokens", "3 as piece_ids", "text", "4 as words", "doc_id")
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(pieces.encode_documents(odd, model), pieces.encode_documents(odd_docs, model))
+    assert same(wordpiece.count_tokens(odd, *vocab), wordpiece.count_tokens(odd_docs, *vocab))

@@ -9,7 +9,8 @@ Scores: those of the file for a unigram model; a BPE model has only ranks, which
 U+2581 in a text is spelt in bytes, so decoding gives the text back exactly.
 
 Defined cases: null and empty texts have no pieces; repeated rows each give a row; of segmentations
-with equal scores the one found first wins, longer last pieces being tried first.
+with equal scores the one found first wins, longer last pieces being tried first; extra columns, whatever their names,
+are ignored, and an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ class Encoder(dict):
             self.cut = re.compile("(?s).+")
         else:
             body = "".join(map(re.escape, sorted(spans)))
-            self.cut = re.compile(f"{SPACE}*[{body}]+|{SPACE}+|(?s:.)") if body else re.compile("(?s).")
+            self.cut = re.compile(f"{SPACE}*[{body}]+|{SPACE}+|(?s:.)") if body else re.compile(f"{SPACE}+|(?s:.)")
         self.raw = [p.replace(SPACE, " ").encode() for p in pieces]
         for value, i in enumerate(byte_ids):
             self.raw[i] = bytes([value])

@@ -5,7 +5,8 @@ a failure link and the number of pieces that following it pops, so no piece is e
 character is read twice. Counts of words are remembered per task in a table of bounded size.
 
 Defined cases: a word that pieces cannot cover is one unknown token; null, empty and white texts have no
-words; words are what Unicode white space parts, of any length; repeated rows each give a row.
+words; words are what Unicode white space parts, of any length; repeated rows each give a row; extra columns, whatever
+their names, are ignored, and an empty table has no rows.
 """
 
 from __future__ import annotations
