@@ -249,3 +249,14 @@ def test_whole_items_in_documents_are_found(spark):
     for r in docs.collect():
         text = f" {flat(r.text)} "
         assert {i for i, x in items.items() if f" {x} " in text} <= found[r.doc_id]
+
+
+def test_clashing_columns_of_models(spark, odd_docs):
+    field = pii.train(odd_docs)
+    model = langid.learn(odd_docs.selectExpr("doc_id", "text", "'en' as lang", "1 as part", "2 as place"))
+    odd = odd_docs.selectExpr("1 as spans", "doc_id", "2 as held_out", "3 as raw", "text", "4 as score")
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(pii.find_personal_data(odd, field), pii.find_personal_data(odd_docs, field))
+    assert same(langid.identify(odd, model), langid.identify(odd_docs, model))
+    assert pii.mask(odd, field).columns == langid.keep_identified(odd, model).columns == odd.columns
+    assert pii.mask(odd, field).count() == odd_docs.count()

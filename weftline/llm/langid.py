@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, drop_kept, keep, map_arrow
@@ -186,10 +186,8 @@ def learn(docs: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
     limit = F.create_map(*[F.lit(x) for pair in sorted(share.items()) for x in pair])
     picked = rows.filter(F.pmod(F.xxhash64("text"), F.lit(scale)) < limit[F.col("lang")]).distinct()
     parts = keep(docs.sparkSession, map_arrow(picked.select("lang", "text"), sample_windows, "lang string, part binary").distinct(), "windows")
-    most, found = 2 * SAMPLE_DOCS * SAMPLE_WINDOWS, []
-    for lang in sorted(counts):
-        part = parts.filter(F.col("lang") == lang).select("part")
-        found += [(lang, bytes(r["part"])) for r in part.orderBy(F.xxhash64("part"), "part").limit(most).collect()]
+    ranked = parts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("part"), "part")))
+    found = [(r["lang"], bytes(r["part"])) for r in ranked.filter(F.col("place") <= 2 * SAMPLE_DOCS * SAMPLE_WINDOWS).select("lang", "part").collect()]
     drop_kept(parts)
     languages = sorted({r[0] for r in found})
     if not languages:
