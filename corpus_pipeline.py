@@ -1,7 +1,12 @@
 """The corpus pipeline: from raw documents to token ids, in five stages.
 
 Each stage is (spark, docs, sf_dir) -> DataFrame and works on all its predecessor kept; between stages the
-documents are written to the shared folder and read again.
+documents are written to the shared folder and read again. The folders stay until remove_kept(spark) is called, which the
+caller does once run()'s result has been written.
+
+Defined cases: documents with a null or empty text have no language and go in the first stage; a null doc_id is a document
+like others and never a near duplicate; rows that repeat are one document to near_dedup, and stay or go together; extra
+columns, whatever their names, stay up to the last stage, which has columns of its own; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import decontaminate, langid, neardup, pieces, pii
-from weftline.llm.common import keep
+from weftline.llm.common import keep, remove_kept  # noqa: F401
 from weftline.llm.queries import PIECES, TOKENIZERS
 
 
