@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.tristate import BLIND, MEASURED
+from weftline.operators.relational import placed
 
 SNAPSHOT_KEY = ("domain", "metric", "source")
 MOVED_COLUMNS = ("value", "state")
@@ -87,10 +88,24 @@ def movements(rows: DataFrame, since: Column, key: tuple[str, ...] = SNAPSHOT_KE
     )
 
 
+def _latest_first() -> list[Column]:
+    return [F.col("ended_at").desc(), F.col("run").desc()]
+
+
+def _ended(rows: DataFrame) -> DataFrame:
+    run = F.coalesce("run_id", F.col("measured_at").cast("date").cast("string")).alias("run")
+    return rows.groupBy(run).agg(F.max("measured_at").alias("ended_at"), F.count("*").alias("n_rows"))
+
+
 def runs(rows: DataFrame) -> DataFrame:
     """(run, ended_at, n_rows, place): a run is its id, or the day of measure; place 1 is the latest."""
-    run = F.coalesce("run_id", F.col("measured_at").cast("date").cast("string")).alias("run")
-    return rows.groupBy(run).agg(F.max("measured_at").alias("ended_at"), F.count("*").alias("n_rows")).withColumn("place", F.row_number().over(Window.orderBy(F.col("ended_at").desc(), F.col("run").desc())).cast("long"))
+    return placed(_ended(rows), _latest_first())
+
+
+def last_runs(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` first rows of runs(); only they are ever in one task."""
+    last = _ended(rows).orderBy(*_latest_first()).limit(n)
+    return last.withColumn("place", F.row_number().over(Window.orderBy(*_latest_first())).cast("long"))
 
 
 def run_diff(rows: DataFrame, last: str | None = None, before: str | None = None, key: str = "domain", limit: int = 500) -> DataFrame:
@@ -99,7 +114,7 @@ def run_diff(rows: DataFrame, last: str | None = None, before: str | None = None
     ``limit`` keys or more, the most the source gives."""
     run = F.coalesce("run_id", F.col("measured_at").cast("date").cast("string"))
     if last is None:
-        picked = runs(rows).filter("place <= 2").select(F.col("run").alias("_run"), F.when(F.col("place") == 1, "new").otherwise("old").alias("_side"))
+        picked = last_runs(rows, 2).select(F.col("run").alias("_run"), F.when(F.col("place") == 1, "new").otherwise("old").alias("_side"))
         rows = rows.withColumn("_run", run).join(F.broadcast(picked), "_run")
     else:
         rows = rows.withColumn("_side", F.when(run == last, "new").when(run == before, "old"))

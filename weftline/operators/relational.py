@@ -7,21 +7,31 @@ from pyspark.sql import functions as F
 
 from weftline.functions.tristate import state_of
 from weftline.functions.urls import suffixes
+from weftline.session import shared_folder
 
-RANGES = 200  #: into which a global order is cut
 SALTS = 64  #: parts of a key that are cut first
 
 
+def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on equal ``keys``, of which a null equals a null."""
+    right = right.select(*[F.col(k).alias(f"_of_{k}") if k in keys else F.col(k) for k in right.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return left.join(right, same).drop(*[f"_of_{k}" for k in keys])
+
+
 def placed(df: DataFrame, order: list[Column], key: str | None = None) -> DataFrame:
-    """``place`` from 1 by a total order, of all rows or within each ``key`` (which ``order`` begins with). Rows are sorted
-    by ranges; a place is the count of the ranges before plus the place in the own range, so no task holds all rows of a
-    key. The driver sees nothing; what is broadcast is a count for each range and key in it."""
-    ranged = df.repartitionByRange(RANGES, *order).withColumn("_range", F.spark_partition_id())
-    keys = [key] if key else []
+    """``place`` from 1 by a total order, of all rows or within each ``key`` (which ``order`` begins with; null is a key like
+    others). Rows are sorted by ranges; a place is the count of the ranges before plus the place in the own range, so no task
+    holds all rows of a key. The ranges come from a sample, which two runs of one plan may draw differently: they are drawn
+    once and written to the shared folder. The driver sees nothing."""
+    spark, keys = df.sparkSession, [key] if key else []
+    ranged, folder = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), shared_folder(spark, "ranges")
+    ranged.write.parquet(folder)
+    ranged = spark.read.schema(ranged.schema).parquet(folder)
     counts = ranged.groupBy("_range", *keys).agg(F.count("*").alias("_c"))
     before = counts.select("_range", *keys, (F.sum("_c").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_c")).alias("_before"))
     within = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order)))
-    return within.join(before, ["_range", *keys]).withColumn("place", (F.col("_r") + F.col("_before")).cast("long")).drop("_range", "_r", "_before")
+    return joined(within, before, ["_range", *keys]).withColumn("place", (F.col("_r") + F.col("_before")).cast("long")).drop("_range", "_r", "_before")
 
 
 def capped_with_all(df: DataFrame, key: str, always: Column, order: list[Column], cap: int) -> DataFrame:
@@ -60,23 +70,18 @@ def first_per_key(df: DataFrame, key: str, *order: Column) -> DataFrame:
 
 
 def upper_median(df: DataFrame, column: str, *keys: str) -> DataFrame:
-    """The element at floor(n / 2) of the sorted values, of each key or of all. Found by rank against the count, so
-    no array of all values is built; with no key the values are ranked by range, not in one task."""
-    values = df.filter(F.col(column).isNotNull())
-    if keys:
-        w = Window.partitionBy(*keys)
-        ranked = values.withColumn("_i", F.row_number().over(w.orderBy(column))).withColumn("_n", F.count("*").over(w))
-        return ranked.filter(F.col("_i") == F.floor(F.col("_n") / 2) + 1).select(*keys, F.col(column).alias("median"))
-    counts = values.groupBy(F.col(column).alias("median")).agg(F.count("*").alias("_c"))
-    bounds = counts.agg(F.sum("_c").alias("_n"), F.min("median").alias("_low"), F.max("median").alias("_high"))
-    bucket = F.when(F.col("_high") > F.col("_low"), F.floor((F.col("median") - F.col("_low")) / (F.col("_high") - F.col("_low")) * 999)).otherwise(0)
-    placed = counts.join(F.broadcast(bounds)).withColumn("_b", bucket)
-    totals = placed.groupBy("_b").agg(F.sum("_c").alias("_t"))
-    before = totals.select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_before"))  # 1000 rows at most
-    run = F.sum("_c").over(Window.partitionBy("_b").orderBy("median")) + F.col("_before")
-    ranked = placed.join(F.broadcast(before), "_b").withColumn("_to", run)
+    """The element at floor(n / 2) of the sorted values, of each key (null is one) or of all. Found in counts of equal values, which
+    are cut in 1000 parts by value, so neither an array of all values nor a task with all rows of a key is needed."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("median")).agg(F.count("*").alias("_c"))
+    bounds = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("median").alias("_low"), F.max("median").alias("_high"))
+    share = (F.col("median") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+    cut = (joined(counts, bounds, list(keys)) if keys else counts.join(F.broadcast(bounds))).withColumn("_b", F.when(F.col("_high") > F.col("_low"), F.floor(share * 999)).otherwise(0).cast("int"))
+    totals = cut.groupBy(*keys, "_b").agg(F.sum("_c").alias("_t"))
+    before = totals.select(*keys, "_b", (F.sum("_t").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_t")).alias("_before"))  # 1000 rows a key at most
+    run = F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("median")) + F.col("_before")
+    ranked = joined(cut, before, [*keys, "_b"]).withColumn("_to", run)
     at = F.floor(F.col("_n") / 2)
-    return ranked.filter((F.col("_to") > at) & (F.col("_to") - F.col("_c") <= at)).select("median")
+    return ranked.filter((F.col("_to") > at) & (F.col("_to") - F.col("_c") <= at)).select(*keys, "median")
 
 
 def median_and_mad(df: DataFrame, column: str, floor: float = 0.05) -> DataFrame:

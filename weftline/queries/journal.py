@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from weftline.operators import journal as J
 from weftline.queries.registry import query
-from weftline.sources.store import JournalStore, shared_folder
+from weftline.session import shared_folder
+from weftline.sources.store import JournalStore
 
 LATEST = "SELECT * FROM v_journal QUALIFY row_number() OVER (PARTITION BY domain, metric, source ORDER BY measured_at DESC, seq DESC) = 1"
 COLUMNS = "domain, metric, source, state, value, measured_at, seq"
@@ -103,7 +104,7 @@ def runs(j):
 
 @query("previous_run_window", "v_journal", sql="WITH r AS (SELECT run_id, max(measured_at) AS ended_at FROM v_journal GROUP BY run_id), p AS (SELECT ended_at AS threshold FROM r ORDER BY ended_at DESC LIMIT 1 OFFSET 1) SELECT p.threshold, count(*) AS n_since FROM v_journal, p WHERE measured_at >= p.threshold GROUP BY p.threshold")
 def previous_run_window(j):
-    threshold = J.runs(j).filter("place = 2").select(F.col("ended_at").alias("threshold"))
+    threshold = J.last_runs(j, 2).filter("place = 2").select(F.col("ended_at").alias("threshold"))
     return j.join(F.broadcast(threshold), F.col("measured_at") >= F.col("threshold")).groupBy("threshold").agg(F.count("*").alias("n_since"))
 
 

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from weftline.functions import urls as U
 from weftline.queries.registry import query
-from weftline.session import table
+from weftline.session import shared_folder, table
 from weftline.sources import parsers as P
 from weftline.sources import report as RJ
 from weftline.sources import sitemap as SM
-from weftline.sources.store import shared_folder, write_batches
+from weftline.sources.store import write_batches
 
 
 @query("scan_journal", "v_journal", sql="""SELECT metric, state, count(*) AS n, false AS unreadable FROM v_journal WHERE seq % 89 <> 0 AND seq % 97 <> 0 GROUP BY ALL

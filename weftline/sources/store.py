@@ -5,7 +5,6 @@ rename, so readers see the old version or the new one, never a part, and a job t
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,16 +15,6 @@ from pyspark.sql import functions as F
 from weftline.operators import journal as J
 
 
-def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A fresh folder under spark.checkpoint.dir; where that is unset, one machine sets its own and a cluster must name one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"{tempfile.gettempdir()}/checkpoints/weftline"
-    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
 class JournalStore:
     """A journal under ``path``, on any store that Spark reaches."""
 

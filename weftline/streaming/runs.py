@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.sources.store import shared_folder
+from weftline.session import shared_folder
 
 
 def as_instant(x: Column) -> Column:
