@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from weftline.operators import journal as J
 from weftline.operators import relational as R
+from weftline.session import SHARED, remove_shared
 
 
 def test_places_of_wide_rows(spark):
     """Columns outside the order must not change the ranges between the counts and the ranks."""
     df = spark.range(0, 40_000, 1, 12).select((F.xxhash64("id") % 1009).alias("v"), "id", F.sha2(F.col("id").cast("string"), 256).alias("pad"))
-    got = {r["id"]: r["place"] for r in R.placed(df, [F.col("v"), F.col("id")]).select("id", "place").collect()}
+    got = {r["id"]: r["place"] for r in R.placed(df, [F.col("v"), F.col("id")]).collect()}
     want = sorted((r["v"], r["id"]) for r in df.collect())
     assert got == {i: at for at, (_, i) in enumerate(want, 1)}
 
@@ -52,3 +53,16 @@ def test_last_runs_are_the_first_of_all_runs(spark):
     every = [tuple(r) for r in J.runs(rows).orderBy("place").collect()]
     assert [r[3] for r in every] == list(range(1, len(every) + 1)) and every == sorted(every, key=lambda r: (r[1], r[0]), reverse=True)
     assert [tuple(r) for r in J.last_runs(rows, 2).orderBy("place").collect()] == every[:2]
+
+
+def test_folders_of_places_can_be_removed(spark):
+    kept = R.placed(spark.range(0, 50), [F.desc("id")])
+    assert kept.filter("id = 49").first()["place"] == 1
+    folder = SHARED[-1]
+    assert kept.inputFiles() and all(f.split("//")[-1].lstrip("/").startswith(folder.split("//")[-1].lstrip("/")) for f in kept.inputFiles())
+    mine, SHARED[:] = SHARED[-1:], SHARED[:-1]
+    others, SHARED[:] = SHARED[:], mine
+    remove_shared(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) and not SHARED
+    SHARED[:] = others

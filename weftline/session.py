@@ -38,6 +38,9 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SHARED: list[str] = []  #: folders named by this driver, for remove_shared
+
+
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """A fresh folder under spark.checkpoint.dir; where that is unset, one machine sets its own and a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -45,4 +48,13 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"{tempfile.gettempdir()}/checkpoints/weftline"
-    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    SHARED.append(f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}")
+    return SHARED[-1]
+
+
+def remove_shared(spark: SparkSession) -> None:
+    """Delete every folder that shared_folder() has named. Results are lazy and read them, so the caller does this once the
+    results have been written."""
+    while SHARED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(SHARED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
