@@ -149,12 +149,17 @@ def remove_kept(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def arrow_rows(spark: SparkSession) -> None:
+    """Batches small enough for long texts: rows of 100 kB make batches of 50 MB. Spark reads the size when it runs a plan,
+    so the session's setting is lowered and stays so (README); a lower one is left alone."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS_PER_BATCH:
+        spark.conf.set(name, str(ROWS_PER_BATCH))
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow with batches small enough for long texts: rows of 100 kB make batches of 50 MB. Spark reads the size when
-    it runs a plan, so the session's setting is lowered and stays so (README); a lower one is left alone."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= ROWS_PER_BATCH:
-        conf.set(name, str(ROWS_PER_BATCH))
+    """mapInArrow in such batches."""
+    arrow_rows(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

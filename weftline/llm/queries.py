@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, langid, neardup, pieces, pii, quality, suffixes, warc, wordpiece
+from . import decontaminate, fim, fingerprint, langid, merkle, neardup, pieces, pii, quality, secret_scan, suffixes, warc, wordpiece
 
 TOKENIZERS = "/opt/tokenizers"
 PIECES = "piece_bpe_32k.model"
@@ -59,8 +59,21 @@ def op10_pieces(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS)
     return pieces.encode_documents(read(spark, sf_dir, "documents"), pieces.load_model(f"{tokenizers}/{PIECES}"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return secret_scan.find_secrets(docs, secret_scan.learn(docs))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(read(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_and_restore(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprint, op2_warc, op3_neardup, op4_token_counts, op5_personal_data, op6_quality, op7_suffixes, op8_decontaminate, op9_langid, op10_pieces)}
+    return {f.__name__: f for f in (op1_fingerprint, op2_warc, op3_neardup, op4_token_counts, op5_personal_data, op6_quality, op7_suffixes, op8_decontaminate, op9_langid, op10_pieces, op11_secrets, op12_merkle, op13_fill_in_middle)}
 
 
 #: Base32 of SHA-1: 40 hex digits are eight groups of 20 bits, four letters each.
@@ -94,5 +107,5 @@ REPEATS_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h
 
 
 def oracle_sql() -> dict[str, str]:
-    """Those of the ten that SQL can express: exact results that need no trained model and no spans of bytes."""
-    return {"op2_warc": WARC_SQL, "op3_neardup": NEARDUP_SQL, "op7_suffixes": REPEATS_SQL}
+    """Those that SQL can express: exact results that need no trained model and no spans of bytes."""
+    return {"op2_warc": WARC_SQL, "op3_neardup": NEARDUP_SQL, "op7_suffixes": REPEATS_SQL, "op12_merkle": merkle.MERKLE_SQL, "op13_fill_in_middle": fim.FIM_SQL}
