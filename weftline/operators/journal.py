@@ -16,8 +16,8 @@ MOVED_COLUMNS = ("value", "state")
 
 
 def content_key() -> Column:
-    """What makes two journal rows the same fact: identity, state and value."""
-    return F.sha1(F.concat_ws("|", "domain", "metric", "source", F.col("measured_at").cast("date").cast("string"), "state", F.coalesce(F.format_number("value", 4), F.lit("null"))))
+    """What makes two journal rows the same fact: identity, state and value, the latter as its shortest exact text."""
+    return F.sha1(F.concat_ws("|", "domain", "metric", "source", F.col("measured_at").cast("date").cast("string"), "state", F.coalesce(F.col("value").cast("string"), F.lit("null"))))
 
 
 def fingerprint(*parts: Column) -> Column:

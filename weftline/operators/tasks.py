@@ -27,3 +27,16 @@ def task_states(tasks: DataFrame, candidates: DataFrame) -> DataFrame:
     n, m = F.coalesce("n_waiting", F.lit(0)), F.coalesce("n_decided", F.lit(0))
     state = F.when((n == 0) & (m == 0), "waiting").when(m == 0, "candidates").when(n > 0, "verification").otherwise("done")
     return tasks.join(counts, "task", "left").select("task", state.alias("state"), n.alias("n_waiting"), m.alias("n_decided"))
+
+
+def recover(queue, now: Column, after_minutes: int = 10) -> int | None:
+    """At the start of a crawl, pages of the stored ``queue`` (a TransactionTable with state and taken_at) that were busy for longer
+    than ``after_minutes`` before ``now`` wait again. Only the parts that hold such pages are written anew, in one commit; gives
+    its version, or None where nothing was stale. Run again after a crash of its own, it does what was left."""
+    stale = (F.col("state") == "busy") & (F.col("taken_at") < now - F.make_interval(mins=F.lit(after_minutes)))
+    base = queue.snapshot()
+    parts = queue.parts_of(queue.read(base).filter(stale))
+    if not parts:
+        return None
+    mended = queue.read(base, parts).withColumn("state", F.when(stale, "waiting").otherwise(F.col("state")))
+    return queue.commit(base, "recover", queue.write(mended), [f for f, part in base.files.items() if part in parts], read=parts)

@@ -28,7 +28,7 @@ def snapshot_state_counts(j):
     return J.latest(j).groupBy("kind", "state").agg(F.count("*").alias("n"))
 
 
-KEY = "sha1(concat_ws('|', domain, metric, source, CAST(CAST(measured_at AS DATE) AS VARCHAR), state, CASE WHEN value IS NULL THEN 'null' ELSE format('{:,.4f}', value) END))"
+KEY = "concat_ws('|', domain, metric, source, CAST(CAST(measured_at AS DATE) AS VARCHAR), state, coalesce(CAST(value AS VARCHAR), 'null'))"
 
 
 @query(
@@ -38,7 +38,8 @@ KEY = "sha1(concat_ws('|', domain, metric, source, CAST(CAST(measured_at AS DATE
     SELECT seq, domain, metric, state, value FROM old UNION ALL SELECT seq, domain, metric, state, value FROM (SELECT * FROM b WHERE seq % 3 <> 0 OR seq >= 10000000 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq) = 1) WHERE key NOT IN (SELECT key FROM old)""",
 )
 def write_idempotent(j):
-    """What the journal holds after a first batch, a second one that repeats part of it, and the second once more."""
+    """What the journal holds after a first batch, a second one that repeats part of it, and the second once more, each in a
+    commit of its own."""
     store = JournalStore(j.sparkSession, shared_folder(j.sparkSession, "journal"))
     again = j.filter("seq % 5 = 0").withColumn("seq", F.col("seq") + 10000000)
     second = j.filter("seq % 3 <> 0").unionByName(again)
@@ -49,7 +50,7 @@ def write_idempotent(j):
 
 @query("compact", "v_journal", sql="SELECT obs_id, seq, value FROM (SELECT *, CASE WHEN seq % 50 <> 0 THEN domain || metric END AS obs_id FROM v_journal) QUALIFY obs_id IS NULL OR row_number() OVER (PARTITION BY obs_id ORDER BY seq DESC) = 1")
 def compact(j):
-    """The journal on disk before and after its compaction, which replaces it in one step."""
+    """The journal on disk after its compaction, which one commit makes visible."""
     store = JournalStore(j.sparkSession, shared_folder(j.sparkSession, "journal"))
     store.append(j.withColumn("obs_id", F.when(F.col("seq") % 50 != 0, F.concat("domain", "metric"))), allow_repeats=True)
     store.compact()
@@ -58,12 +59,12 @@ def compact(j):
 
 @query("purge", "v_journal", sql="SELECT kind, count(*) FILTER (NOT coalesce(value > 50, false)) AS kept, count(*) AS backed_up, 'wrong extraction' AS reason FROM v_journal GROUP BY kind")
 def purge(j):
-    """Rows taken out of the journal on disk; the backup holds all there were, and the reason is kept."""
+    """Rows taken out of the journal on disk; the version before still holds all there were, and the reason is kept."""
     store = JournalStore(j.sparkSession, shared_folder(j.sparkSession, "journal"))
     store.append(j, allow_repeats=True)
     done = store.purge(F.col("value") > 50, "wrong extraction")
     count = lambda rows, name: rows.groupBy("kind").agg(F.count("*").alias(name))
-    both = count(j.sparkSession.read.parquet(done["backup"]), "backed_up").join(count(store.read(), "kept"), "kind", "left")
+    both = count(store.read(done["version"]), "backed_up").join(count(store.read(), "kept"), "kind", "left")
     return both.select("kind", F.coalesce("kept", F.lit(0)).alias("kept"), "backed_up", F.lit(done["reason"]).alias("reason"))
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from weftline.operators import relational as R
 from weftline.operators import tasks as TM
 from weftline.queries.registry import query
+from weftline.session import shared_folder
+from weftline.sources.txlog import TransactionTable
+from weftline.streaming import leases as L
 from weftline.streaming import runs as S
 
 c = F.col
@@ -52,19 +55,34 @@ def stream_runs_sessions(spark, sf_dir):
     return S.finish(S.sessions(S.read_events(spark, sf_dir)), "complete").withColumn("start", S.as_utc(c("start")))
 
 
-@query("state_host_lease", sql="""WITH RECURSIVE o AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
- r AS (SELECT user_id, event_id, i, true AS granted, epoch(ts) + 3600 AS free_at FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.event_id, o.i, epoch(o.ts) >= r.free_at, CASE WHEN epoch(o.ts) >= r.free_at THEN epoch(o.ts) + 3600 ELSE r.free_at END FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
- SELECT user_id, event_id, granted FROM r""")
+def leases_sql(hold: str, free: str) -> str:
+    """Requests of each key in order of time: granted while the last lease has run out. A minute of the table is a second."""
+    return f"""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) // 60 AS t, {hold} * 1000000 AS hold, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 60, event_id) AS i FROM events),
+ r AS (SELECT user_id, event_id, i, true AS granted, t + hold AS free_at FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.event_id, o.i, o.t {free} r.free_at, CASE WHEN o.t {free} r.free_at THEN o.t + o.hold ELSE r.free_at END FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
+ SELECT user_id, event_id, granted FROM r"""
+
+
+def requests(spark, sf_dir, done: bool):
+    """Each event as a request to its user's host. The reading takes ``value`` seconds, 60 at most, and reports back; that of an
+    error never does. Hosts ask for a pause of 0 to 6 seconds."""
+    e = S.read_events(spark, sf_dir).select(c("user_id").alias("key"), c("event_id").alias("id"), (c("user_id") % 7).cast("double").alias("pause"), F.expr("unix_micros(ts) div 60").alias("at"), F.when(c("event_type") != "error", F.least(F.greatest(F.floor(F.coalesce("value", F.lit(0.0))), F.lit(0)), F.lit(60))).alias("took"))
+    asked, told = F.struct(F.lit(L.REQUEST).alias("kind"), c("at")), F.struct(F.lit(L.DONE).alias("kind"), (c("at") + c("took") * 1000000).alias("at"))
+    rows = e.select("key", "id", "pause", F.explode(F.filter(F.array(asked, told) if done else F.array(asked), lambda x: x["at"].isNotNull())).alias("x"))
+    return rows.select("key", "id", "pause", "x.kind", "x.at", F.timestamp_micros("x.at").alias("ts"))
+
+
+@query("state_host_lease", sql=leases_sql("CASE WHEN event_type = 'error' THEN 60 ELSE CAST(least(greatest(floor(coalesce(value, 0)), 0), 60) AS BIGINT) + greatest(2, user_id % 7) END", ">="))
 def state_host_lease(spark, sf_dir):
-    return S.leased(S.read_events(spark, sf_dir).select("user_id", "event_id", "ts"), 3600.0).select("user_id", "event_id", "granted")
+    """One request at a time to a host: a lock of 60 seconds, which the reader's report moves to its pause, the longer of 2
+    seconds and what the host asks for."""
+    return L.leased(requests(spark, sf_dir, done=True)).select(c("key").alias("user_id"), c("id").alias("event_id"), "granted")
 
 
-@query("state_task_lease", sql="""WITH RECURSIVE o AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type = 'click'),
- r AS (SELECT user_id, event_id, i, true AS granted, epoch(ts) + 90 AS free_at FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.event_id, o.i, epoch(o.ts) >= r.free_at, CASE WHEN epoch(o.ts) >= r.free_at THEN epoch(o.ts) + 90 ELSE r.free_at END FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
- SELECT user_id, count(*) FILTER (granted) AS n_granted, count(*) AS n FROM r GROUP BY user_id""")
+@query("state_task_lease", sql=f"SELECT user_id, count(*) FILTER (granted) AS n_granted, count(*) AS n FROM ({leases_sql('90', '>')}) GROUP BY user_id")
 def state_task_lease(spark, sf_dir):
-    rows = S.leased(S.read_events(spark, sf_dir).filter("event_type = 'click'").select("user_id", "event_id", "ts"), 90.0)
-    return rows.groupBy("user_id").agg(F.count(F.when(c("granted"), 1)).alias("n_granted"), F.count("*").alias("n"))
+    """A task is taken by whoever comes more than 90 seconds after the last one who got it."""
+    rows = L.leased(requests(spark, sf_dir, done=False), hold=90.0, strict=True)
+    return rows.groupBy(c("key").alias("user_id")).agg(F.count(F.when(c("granted"), 1)).alias("n_granted"), F.count("*").alias("n"))
 
 
 STEPS = "CASE WHEN event_type = 'error' THEN 'wall' WHEN event_type = 'view' THEN 'empty' WHEN value > 50 THEN 'read' ELSE 'mention' END"
@@ -103,8 +121,12 @@ def state_host_cap(q):
 
 @query("crash_recovery", "v_queue", sql="SELECT seq, CASE WHEN state = 'busy' AND taken_at < TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 10 MINUTE THEN 'waiting' ELSE state END AS state FROM v_queue")
 def crash_recovery(q):
-    stale = (c("state") == "busy") & (c("taken_at") < F.expr("TIMESTAMP_NTZ '2024-01-20 12:00:00' - INTERVAL 10 MINUTES"))
-    return q.select("seq", F.when(stale, "waiting").otherwise(c("state")).alias("state"))
+    """The queue on disk after the start of a crawl: pages that a dead reader held for over ten minutes wait again."""
+    queue = TransactionTable(q.sparkSession, shared_folder(q.sparkSession, "queue"), F.concat(c("state"), F.lit("-"), c("taken_at").cast("date")))
+    rows = q.select("seq", "host", "state", "taken_at")
+    queue.commit(queue.snapshot(), "fill", queue.write(rows), schema=rows.schema.json())
+    TM.recover(queue, F.lit("2024-01-20 12:00:00").cast("timestamp_ntz"))
+    return queue.read().select("seq", "state")
 
 
 @query("cache_ttl", "v_hosts", sql="SELECT host, last_at >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 24 HOUR AS fresh FROM v_hosts")

@@ -41,17 +41,27 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 SHARED: list[str] = []  #: folders named by this driver, for remove_shared
 
 
-def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A fresh folder under spark.checkpoint.dir; where that is unset, one machine sets its own and a cluster must name one."""
+def _root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, one machine sets its own and a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"{tempfile.gettempdir()}/checkpoints/weftline"
-    SHARED.append(f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}")
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A fresh folder under spark.checkpoint.dir."""
+    SHARED.append(f"{_root(spark)}/{kind}-{uuid.uuid4().hex}")
     return SHARED[-1]
 
 
+def named_folder(spark: SparkSession, name: str) -> str:
+    """The folder of that name under spark.checkpoint.dir, the same for every driver; it stays until somebody deletes it."""
+    return f"{_root(spark)}/{name}"
+
+
 def remove_shared(spark: SparkSession) -> None:
     """Delete every folder that shared_folder() has named. Results are lazy and read them, so the caller does this once the
     results have been written."""

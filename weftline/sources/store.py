@@ -1,7 +1,4 @@
-"""Durable sinks: a journal table of numbered versions with an atomic pointer, and writes in small batches.
-
-A version is a Parquet folder that nobody changes once the file CURRENT names it, except to append; CURRENT is replaced by a
-rename, so readers see the old version or the new one, never a part, and a job that dies leaves the old one in place."""
+"""Durable sinks: a journal under a transaction log, and writes in small batches."""
 
 from __future__ import annotations
 
@@ -13,69 +10,75 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import journal as J
+from weftline.sources.txlog import Conflict, TransactionTable
+
+TRIES = 20  #: of a writer that others keep overtaking
 
 
 class JournalStore:
-    """A journal under ``path``, on any store that Spark reaches."""
+    """A journal under ``path``, in files by day of measure. Any number of writers; one that was overtaken by another that
+    touched its days works anew on what is there then."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, before_commit: Callable[[], None] | None = None):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _fs(self, name: str):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def current(self) -> str | None:
-        """Folder of the current version."""
-        fs, path = self._fs("CURRENT")
-        return f"{self.path}/{self.spark.read.text(path.toString()).first()[0]}" if fs.exists(path) else None
-
-    def _point(self, version: str) -> None:
-        jvm = self.spark._jvm
-        fs, side = self._fs(f"CURRENT-{uuid.uuid4().hex}")
-        out = fs.create(side)
-        out.write(bytearray(version.encode()))
-        out.close()
-        _, path = self._fs("CURRENT")
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration()).rename(side, path, options)
-
-    def _replace(self, rows: DataFrame) -> str:
-        version = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{version}")
-        self._point(version)
-        return f"{self.path}/{version}"
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.current())
-
-    def append(self, batch: DataFrame, allow_repeats: bool = False) -> None:
-        """Add the rows of ``batch`` whose content is new; the same batch twice adds nothing the second time."""
-        now = self.current()
-        if now is None:
-            self._replace(J.new_facts(batch.limit(0), batch, allow_repeats))
-        else:
-            J.new_facts(self.read(), batch, allow_repeats).write.mode("append").parquet(now)
+        self.table = TransactionTable(spark, path, F.col("measured_at").cast("date"), before_commit)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The journal now, or as it was at a version."""
+        return self.table.read(None if version is None else self.table.snapshot(version))
+
+    def _settle(self, work: Callable[[], object]):
+        for _ in range(TRIES):
+            try:
+                return work()
+            except Conflict:
+                continue
+        raise Conflict(f"overtaken {TRIES} times")
+
+    def append(self, batch: DataFrame, allow_repeats: bool = False) -> int | None:
+        """Add the rows of ``batch`` whose content is new; the same batch twice adds nothing the second time. The day is part
+        of a row's content, so only the batch's days are read. Gives the version, or None where nothing was new."""
+
+        def work() -> int | None:
+            base = self.table.snapshot()
+            days = self.table.parts_of(batch)
+            adds = self.table.write(J.new_facts(self.table.read(base, days) if base.schema else batch.limit(0), batch, allow_repeats))
+            if not adds and base.schema:
+                return None
+            return self.table.commit(base, "append", adds, read=set() if allow_repeats else days, schema=None if base.schema else batch.schema.json())
+
+        return self._settle(work)
 
     def compact(self, key: str = "obs_id") -> dict[str, int]:
-        """Keep the last row of each id; rows without an id all stay. The old version is deleted once the new one is current."""
-        old = self.current()
-        before = self.read().count()
-        self._replace(J.compact(self.read(), key))
-        fs, path = self._fs(old.rpartition("/")[2])
-        fs.delete(path, True)
-        return {"before": before, "after": self.read().count()}
+        """Keep the last row of each id; rows without an id all stay. Rows that others append meanwhile stay too; the files
+        of the version before are there until vacuum()."""
+
+        def work() -> dict[str, int]:
+            base = self.table.snapshot()
+            adds = self.table.write(J.compact(self.table.read(base), key))
+            version = self.table.commit(base, "compact", adds, base.files, changes=False)
+            return {"before": self.table.read(base).count(), "after": self.read(version).count()}
+
+        return self._settle(work)
 
     def purge(self, doomed: Column, reason: str = "not stated") -> dict[str, object]:
-        """Take out the rows that ``doomed`` says. The version before stays as the backup, and PURGES keeps the reason."""
-        backup = self.current()
-        before = self.read().count()
-        stays, _ = J.purge(self.read(), doomed)
-        self._replace(stays)
-        facts = {"before": before, "removed": before - self.read().count(), "backup": backup, "reason": reason}
-        self.spark.createDataFrame([tuple(facts.values())], "before long, removed long, backup string, reason string").write.mode("append").json(f"{self.path}/PURGES")
+        """Take out the rows that ``doomed`` says. Only files of the days that hold some are written anew; what they held is
+        backed up in a folder that outlives vacuum(), and PURGES and the log keep the reason."""
+
+        def work() -> dict[str, object]:
+            base = self.table.snapshot()
+            days = self.table.parts_of(self.table.read(base).filter(F.coalesce(doomed, F.lit(False))))
+            hit = self.table.read(base, days)
+            stays, _ = J.purge(hit, doomed)
+            backup = f"{self.path}/backup-{uuid.uuid4().hex}"
+            hit.write.parquet(backup)
+            adds = self.table.write(stays)
+            self.table.commit(base, "purge", adds, [p for p, day in base.files.items() if day in days], read=days, reason=reason)
+            before = self.table.read(base).count()
+            return {"before": before, "removed": hit.count() - stays.count(), "backup": backup, "reason": reason, "version": base.version}
+
+        facts = self._settle(work)
+        self.spark.createDataFrame([tuple(facts.values())], "before long, removed long, backup string, reason string, version long").write.mode("append").json(f"{self.path}/PURGES")
         return facts
 
 

@@ -1,17 +1,17 @@
-"""Structured Streaming operators: deduplication, windows, sessions and keyed leases.
+"""Structured Streaming runs: named queries that go on where they stopped, deduplication, windows and sessions.
 
-Streams run with availableNow over a file source; state and output live in the folder that the cluster names in
-spark.checkpoint.dir, so a restart goes on where it stopped."""
+Streams run with availableNow over a file source. State, offsets and output of a query live under its name in the folder that the
+cluster names in spark.checkpoint.dir. A query that was stopped or killed and is started again under its name replays the batch it
+was in, from the offsets it had written: the file sink lists each batch's files in its own log once, and a complete result is
+written under its batch's number, so no row is lost or doubled. Without a name a run gets a folder of its own."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from weftline.session import shared_folder
+from weftline.session import named_folder, shared_folder
 
 
 def as_instant(x: Column) -> Column:
@@ -24,30 +24,48 @@ def as_utc(x: Column) -> Column:
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), x.cast("timestamp_ntz"))
 
 
-def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream, its times read as UTC."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet")
-    return rows.withColumn("ts", as_instant(F.col("ts")))
+def read_events(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
+    """The events table as a stream, its times read as UTC, ``files`` of them in a batch at most."""
+    schema = spark.read.parquet(f"{sf_dir}/events*.parquet").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
+    source = source if files is None else source.option("maxFilesPerTrigger", files)
+    return source.parquet(f"{sf_dir}/events*.parquet").withColumn("ts", as_instant(F.col("ts")))
+
+
+def folder_of(spark: SparkSession, name: str | None) -> str:
+    return named_folder(spark, f"stream-{name}") if name else shared_folder(spark, "stream")
 
 
-def finish(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream to the end of its source and give what it wrote. ``complete`` results replace each other; the last
-    batch that wrote is the answer."""
-    spark = stream.sparkSession
-    folder = shared_folder(spark, "stream")
-    if mode == "append":
-        query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
-        query.awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{folder}/out")
-    written: list[int] = []
+def start(stream: DataFrame, folder: str, mode: str = "append", once: bool = True) -> StreamingQuery:
+    """Start ``stream`` on the state in ``folder``, to the end of its source or, if not ``once``, until it is stopped."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state")
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="0 seconds")
+    if mode != "complete":
+        return writer.format("parquet").start(f"{folder}/out")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/{number}")
-        written.append(number)
 
-    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out/{max(written)}")
+    return writer.foreachBatch(put).start()
+
+
+def result(spark: SparkSession, folder: str, schema, mode: str = "append") -> DataFrame:
+    """What a query has written so far: all appended rows, or the complete result of the last batch that was finished."""
+    if mode != "complete":
+        return spark.read.schema(schema).parquet(f"{folder}/out")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+    numbers = [int(p.getName()) for p in done if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return spark.read.schema(schema).parquet(f"{folder}/out/{max(numbers)}") if numbers else spark.createDataFrame([], schema)
+
+
+def finish(stream: DataFrame, mode: str = "append", name: str | None = None) -> DataFrame:
+    """Run a stream to the end of its source, going on where the query of that name stopped, and give all it has written.
+    ``complete`` results replace each other."""
+    folder = folder_of(stream.sparkSession, name)
+    start(stream, folder, mode).awaitTermination()
+    return result(stream.sparkSession, folder, stream.schema, mode)
 
 
 def deduplicated(stream: DataFrame, key: list[str], late: str = "40 days") -> DataFrame:
@@ -65,52 +83,3 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 day") ->
     """Sessions of each user that a gap ends."""
     w = F.session_window("ts", gap)
     return stream.withWatermark("ts", late).groupBy(w.alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "user_id", "n")
-
-
-LEASE = "user_id long, event_id long, granted boolean, free_at double"
-
-
-def grant(hold_seconds: float):
-    """Rows sorted by key, the key's stored state first, then by time -> decisions. One number is held at a time, so a
-    key with any number of requests passes through."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, free = None, float("-inf")
-        for batch in batches:
-            out = []
-            for user_id, event_id, at, stored in zip(*(batch.column(c).to_pylist() for c in ("user_id", "event_id", "at", "stored")), strict=True):
-                if user_id != key:
-                    key, free = user_id, float("-inf")
-                if stored:
-                    free = at
-                    continue
-                if granted := at >= free:
-                    free = at + hold_seconds
-                out.append((user_id, event_id, granted, free))
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.float64()), strict=True)], names=["user_id", "event_id", "granted", "free_at"])
-
-    return run
-
-
-def leased(stream: DataFrame, hold_seconds: float = 60.0) -> DataFrame:
-    """One holder per key at a time: a request is granted if the last lease has run out. Each batch reads the state the
-    batch before has written (a number per key) and writes its own under its number, so a batch that is run again
-    after a failure gives the same."""
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
-    numbers: list[int] = []
-
-    def put(batch: DataFrame, number: int) -> None:
-        rows = batch.select("user_id", "event_id", F.unix_micros("ts").cast("double").alias("us")).select("user_id", "event_id", (F.col("us") / 1e6).alias("at"), F.lit(False).alias("stored"))
-        old = spark.read.parquet(f"{folder}/state/{numbers[-1]}") if numbers else None
-        if old is not None:
-            rows = rows.unionByName(old.select("user_id", F.lit(None).cast("long").alias("event_id"), F.col("free_at").alias("at"), F.lit(True).alias("stored")))
-        ordered = rows.repartition("user_id").sortWithinPartitions("user_id", F.desc("stored"), "at", "event_id")
-        ordered.mapInArrow(grant(hold_seconds), LEASE).write.mode("overwrite").parquet(f"{folder}/out/{number}")
-        new = spark.read.parquet(f"{folder}/out/{number}").select("user_id", "free_at")
-        both = new if old is None else new.unionByName(old)
-        both.groupBy("user_id").agg(F.max("free_at").alias("free_at")).write.mode("overwrite").parquet(f"{folder}/state/{number}")
-        numbers.append(number)
-
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(LEASE).parquet(*[f"{folder}/out/{n}" for n in numbers])
