@@ -21,8 +21,10 @@ NO_PAGES = "jpe?g|png|gif|webp|svg|pdf|zip|css|js|ico"
 OFF_TOPIC_REACH = 40_000  #: characters of a text in which off-topic words count
 OFF_TOPIC = r"casino|betting|poker|viagra|cialis|escort|porn|xxx|payday\s*loan|crypto\s*airdrop"
 
-_LATIN = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, range(0xC0, 0x250)) if len(unicodedata.normalize("NFD", c)) > 1}
-ACCENTS = ("".join(_LATIN), "".join(_LATIN.values()))
+MARKS = "".join(map(chr, range(0x300, 0x370)))  #: combining marks, which go once letters are taken apart
+#: Every letter whose canonical decomposition is a letter or digit of ASCII and such marks.
+_LETTERS = {chr(c): plain for c in range(0x80, 0x30000) if chr(c) not in MARKS and len(plain := unicodedata.normalize("NFD", chr(c)).translate(dict.fromkeys(map(ord, MARKS)))) == 1 and plain.isascii() and plain.isalnum()}
+ACCENTS = ("".join(_LETTERS) + MARKS, "".join(_LETTERS.values()))  #: what has no counterpart is deleted
 
 
 def squeeze(x: Column) -> Column:
@@ -135,6 +137,22 @@ def robots_blocks_all(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).rlike(r"(?im)^user-agent:\s*\*\s*$(?:\s*^(?:allow|crawl-delay|disallow):[^\n]*$)*?\s*^disallow:\s*/\s*$")
 
 
+ROBOTS_REACH = 200_000  #: characters of a robots.txt that are read
+
+
+def robots_sitemaps(text: Column) -> Column:
+    """The sitemaps that a robots.txt declares, in order, whatever group they stand in."""
+    return F.regexp_extract_all(F.substring(F.coalesce(text, F.lit("")), 1, ROBOTS_REACH), F.lit(r"(?im)^\s*Sitemap:\s*(\S+)"), F.lit(1))
+
+
+def robots_summary(text: Column, http: Column) -> Column:
+    """struct(state, sitemaps, blocks_all): a 404 is a measure, nothing is forbidden then; any other answer than 200 is a wall
+    and says nothing, whatever came with it."""
+    read = F.coalesce(http == 200, F.lit(False))
+    state = F.when(http.isin(200, 404), "MEASURED").otherwise("BLIND")
+    return F.struct(state.alias("state"), F.when(read, robots_sitemaps(text)).otherwise(F.array().cast("array<string>")).alias("sitemaps"), (read & robots_blocks_all(F.substring(text, 1, ROBOTS_REACH))).alias("blocks_all"))
+
+
 RULE = "struct<kind:string,pattern:string>"
 
 
@@ -223,8 +241,9 @@ def spam_verdict(score: Column, http: Column) -> Column:
 
 # -- text ------------------------------------------------------------------------------------------
 def normalize_text(x: Column) -> Column:
-    """Lower case, without Latin accents, all else than a-z and 0-9 a single space."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(x), *ACCENTS), "[^a-z0-9]+", " "))
+    """Lower case, without accents, all else than a-z and 0-9 a single space. Letters are taken apart and their marks deleted
+    before anything becomes a space, or an accent would cut its word in two."""
+    return F.trim(F.regexp_replace(F.lower(F.translate(F.lower(x), *ACCENTS)), "[^a-z0-9]+", " "))
 
 
 def strip_host(slug: Column, host: Column) -> Column:
@@ -239,8 +258,12 @@ def terms_found(text: Column, terms: tuple[str, ...]) -> Column:
     return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(text, t))
 
 
+SUBJECT_REACH = 60_000  #: characters of a text in which its subject must show
+
+
 def on_subject(text: Column, words: tuple[str, ...]) -> Column:
-    return F.lit(True) if not words else F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(text), w))
+    head = F.substring(F.lower(text), 1, SUBJECT_REACH)
+    return F.lit(True) if not words else F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(head, w))
 
 
 def near_target(html: Column, target: Column, reach: int = 1500) -> Column:

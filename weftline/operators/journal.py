@@ -108,10 +108,25 @@ def last_runs(rows: DataFrame, n: int) -> DataFrame:
     return last.withColumn("place", F.row_number().over(Window.orderBy(*_latest_first())).cast("long"))
 
 
-def run_diff(rows: DataFrame, last: str | None = None, before: str | None = None, key: str = "domain", limit: int = 500) -> DataFrame:
-    """Full comparison of two runs, the last two of runs() where none are named: appeared, gone, moved, same. When the
-    latest run is blind about a key, nothing is said to be gone; ``truncated`` tells that either side has measured
-    ``limit`` keys or more, the most the source gives."""
+def run_states(targets: DataFrame, rows: DataFrame, total: Column, target: str = "domain") -> DataFrame:
+    """(target, state, last, before, n) of each of ``targets``, whether or not its runs can be compared: ``never`` measured,
+    ``first`` with one run alone, ``silent`` where the latest row of its ``total`` is blind, since a run that says nothing about
+    the whole says nothing about what is gone; else ``compared``. ``n`` counts the rows of the last run."""
+    run = F.coalesce("run_id", F.col("measured_at").cast("date").cast("string"))
+    each = rows.groupBy(target, run.alias("run")).agg(F.max("measured_at").alias("ended_at"), F.count("*").alias("n"))
+    whole = rows.groupBy(target).agg(F.max(F.when(total, F.struct("measured_at", "seq", "state")))["state"].alias("told"))
+    back = Window.partitionBy(target).orderBy(*_latest_first())
+    two = each.withColumn("place", F.row_number().over(back)).filter("place <= 2").groupBy(target).agg(*[F.max(F.when(F.col("place") == p, F.col(c))).alias(name) for name, p, c in (("last", 1, "run"), ("before", 2, "run"), ("n", 1, "n"))])
+    known = targets.select(target).join(two, target, "left").join(whole, target, "left")
+    state = F.when(F.col("last").isNull(), "never").when(F.col("before").isNull(), "first").when(F.col("told") == BLIND, "silent").otherwise("compared")
+    return known.select(target, state.alias("state"), "last", "before", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def run_diff(rows: DataFrame, last: str | None = None, before: str | None = None, key: str = "domain", limit: int = 500, total: Column | None = None) -> DataFrame:
+    """Full comparison of two runs, the last two of runs() where none are named: appeared, gone, moved, same. Where there is
+    one run alone, all it holds is ``first``: nothing can have appeared. When the latest row of the ``total`` is blind, every
+    outcome is ``silent``; when the latest run is blind about a key, nothing is said of that one to be gone. ``truncated`` tells
+    that either side has measured ``limit`` keys or more, the most the source gives."""
     run = F.coalesce("run_id", F.col("measured_at").cast("date").cast("string"))
     if last is None:
         picked = last_runs(rows, 2).select(F.col("run").alias("_run"), F.when(F.col("place") == 1, "new").otherwise("old").alias("_side"))
@@ -120,11 +135,16 @@ def run_diff(rows: DataFrame, last: str | None = None, before: str | None = None
         rows = rows.withColumn("_side", F.when(run == last, "new").when(run == before, "old"))
     side = lambda name: rows.filter((F.col("_side") == name) & (F.col("state") != BLIND)).groupBy(key).agg(F.max("value").alias(name), F.lit(True).alias(f"in_{name}"))
     blind = rows.filter((F.col("_side") == "new") & (F.col("state") == BLIND)).select(key, F.lit(True).alias("is_blind")).distinct()
-    measured = lambda name: F.countDistinct(F.when(F.col("_side") == name, F.col(key)))
-    full = rows.filter(F.col("state") == MEASURED).agg((F.greatest(measured("old"), measured("new")) >= limit).alias("truncated"))
+    told = F.max(F.when(total, F.struct("measured_at", "seq", "state")))["state"] if total is not None else F.lit(MEASURED)
+    full = rows.filter(F.col("_side").isNotNull()).agg(
+        (F.greatest(*[F.countDistinct(F.when((F.col("_side") == s) & (F.col("state") == MEASURED), F.col(key))) for s in ("old", "new")]) >= limit).alias("truncated"),
+        (F.countDistinct("_side") < 2).alias("alone"), F.coalesce(told == BLIND, F.lit(False)).alias("mute"),
+    )
     both = side("old").join(side("new"), key, "full").join(blind, key, "left").join(F.broadcast(full))
     outcome = (
-        F.when(F.col("in_old").isNull(), "appeared")
+        F.when(F.col("alone"), "first")
+        .when(F.col("mute"), "silent")
+        .when(F.col("in_old").isNull(), "appeared")
         .when(F.col("in_new").isNull() & F.col("is_blind"), "silent")
         .when(F.col("in_new").isNull(), "gone")
         .when(F.col("old").eqNullSafe(F.col("new")), "same")

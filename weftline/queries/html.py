@@ -30,10 +30,15 @@ def path_depth(p):
     return p.select("page_id", U.path_depth(c("url")).alias("depth"))
 
 
-@query("absolutize", "v_pages", sql=f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/x/y' WHEN 1 THEN regexp_extract(url, '^([a-z]+:)', 1) || '//other.org/z'
- WHEN 2 THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || regexp_replace({PATH}, '[^/]*$', '') || 'rel.html' ELSE 'https://abs.org/' END AS link FROM v_pages""")
+FOLDER = f"regexp_replace({PATH}, '[^/]*$', '')"
+
+
+@query("absolutize", "v_pages", sql=f"""SELECT page_id, CASE page_id % 8 WHEN 0 THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/x/y' WHEN 1 THEN regexp_extract(url, '^([a-z]+:)', 1) || '//other.org/z'
+ WHEN 2 THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || {FOLDER} || 'rel.html' WHEN 3 THEN 'https://abs.org/' WHEN 4 THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || regexp_replace({FOLDER}, '[^/]+/$', '') || 'up.html?a=../b'
+ WHEN 5 THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || {FOLDER} || 'same/' WHEN 6 THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/top' ELSE regexp_replace(url, '#.*$', '') END AS link FROM v_pages""")
 def absolutize(p):
-    href = F.when(c("page_id") % 4 == 0, "/x/y").when(c("page_id") % 4 == 1, "//other.org/z").when(c("page_id") % 4 == 2, "rel.html").otherwise("https://abs.org/")
+    hrefs = ("/x/./y", "//other.org/w/../z", "rel.html", "HTTPS://ABS.org:443", "../up.html?a=../b", " ./same/x/.. ", "../../../../../top", "")
+    href = F.element_at(F.array(*[F.lit(h) for h in hrefs]), (c("page_id") % 8 + 1).cast("int"))
     return p.select("page_id", U.absolutize(c("url"), href).alias("link"))
 
 
@@ -100,11 +105,13 @@ def indexability(p):
     return p.select("page_id", H.indexability(F.concat(meta, "html"), header).alias("i")).select("page_id", "i.*")
 
 
-@query("robots_simple", "v_pages", sql="SELECT page_id, page_id % 4 = 0 AS blocks_all, CASE WHEN page_id % 5 = 0 THEN 'BLIND' ELSE 'MEASURED' END AS state FROM v_pages")
+@query("robots_simple", "v_pages", sql="SELECT page_id, page_id % 4 = 0 AND page_id % 5 > 1 AS blocks_all, CASE WHEN page_id % 5 = 0 THEN 'BLIND' ELSE 'MEASURED' END AS state, CASE WHEN page_id % 5 > 1 AND page_id % 4 < 3 THEN url || ' /b.xml' ELSE '' END AS sitemaps FROM v_pages")
 def robots_simple(p):
+    """Whether a site may be read at all, and the sitemaps it declares."""
     text = F.when(c("page_id") % 4 == 0, "User-agent: *\nCrawl-delay: 2\nDisallow: /\n").when(c("page_id") % 4 == 1, "User-agent: bot\nDisallow: /\n").when(c("page_id") % 4 == 2, "User-agent: *\nDisallow: /private\n").otherwise("")
     http = F.when(c("page_id") % 5 == 0, 503).when(c("page_id") % 5 == 1, 404).otherwise(200)
-    return p.select("page_id", H.robots_blocks_all(text).alias("blocks_all"), F.when(http.isin(200, 404), "MEASURED").otherwise("BLIND").alias("state"))
+    text = F.when(text != "", F.concat(text, F.lit("\nSitemap: "), "url", F.lit("\n#Sitemap: /no.xml\n  sitemap:/b.xml \n"))).otherwise(text)
+    return p.select("page_id", H.robots_summary(text, http).alias("r")).select("page_id", "r.blocks_all", "r.state", F.array_join("r.sitemaps", " ").alias("sitemaps"))
 
 
 #: robots.txt of the pages' sites: agents that share a group, another group, comments, a joker, an end, an empty rule.
@@ -194,7 +201,7 @@ def coherence_site(t):
     return x.groupBy("source").agg(F.round(100 * F.least(F.lit(1.0), part(h1) + 0.4 * part(h2 & ~h1)), 6).alias("coherence"))
 
 
-@query("subject_filter", "v_texts", sql="SELECT lang, count(*) AS n FROM v_texts WHERE contains(lower(text), 'tionst') OR contains(lower(text), 'eaumen') GROUP BY lang")
+@query("subject_filter", "v_texts", sql="SELECT lang, count(*) AS n FROM v_texts WHERE contains(substring(lower(text), 1, 60000), 'tionst') OR contains(substring(lower(text), 1, 60000), 'eaumen') GROUP BY lang")
 def subject_filter(t):
     return t.filter(H.on_subject(c("text"), ("tionst", "eaumen"))).groupBy("lang").agg(F.count("*").alias("n"))
 
@@ -232,9 +239,9 @@ def internal_likely(p):
     return p.select("page_id", F.explode(H.internal_likely(html, U.host_of(c("url")))).alias("href"))
 
 
-@query("uule", "v_pages", sql="SELECT page_id, 'w+CAIQICI' || to_base64(encode('Paris,' || page_id)) AS uule FROM v_pages")
+@query("uule", "v_pages", sql="SELECT page_id, 'w+CAIQICI' || substring('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_', 1 + length('Paris,' || url) % 64, 1) || to_base64(encode('Paris,' || url)) AS uule FROM v_pages")
 def uule(p):
-    return p.select("page_id", F.concat(F.lit("w+CAIQICI"), F.base64(F.encode(F.concat(F.lit("Paris,"), "page_id"), "UTF-8"))).alias("uule"))
+    return p.select("page_id", U.uule(F.concat(F.lit("Paris,"), "url")).alias("uule"))
 
 
 @query("ts14_to_iso", "v_queue", sql="SELECT seq, CASE WHEN seq % 9 <> 0 THEN strftime(taken_at, '%Y-%m-%dT%H:%M:%SZ') END AS iso FROM v_queue")

@@ -123,6 +123,18 @@ def run_diff(j):
     return J.run_diff(j)
 
 
+@query(
+    "run_states", "v_domains", "v_journal",
+    sql="""WITH t AS (SELECT 'u' || id AS domain FROM v_domains), r AS (SELECT domain, run_id, max(measured_at) AS ended_at, count(*) AS n, row_number() OVER (PARTITION BY domain ORDER BY max(measured_at) DESC, run_id DESC) AS place FROM v_journal GROUP BY domain, run_id),
+    w AS (SELECT domain, state FROM v_journal WHERE metric = 'error' QUALIFY row_number() OVER (PARTITION BY domain ORDER BY measured_at DESC, seq DESC) = 1)
+    SELECT t.domain, CASE WHEN a.run_id IS NULL THEN 'never' WHEN b.run_id IS NULL THEN 'first' WHEN w.state = 'BLIND' THEN 'silent' ELSE 'compared' END AS state, a.run_id AS last, b.run_id AS before, coalesce(a.n, 0) AS n
+    FROM t LEFT JOIN r a ON a.domain = t.domain AND a.place = 1 LEFT JOIN r b ON b.domain = t.domain AND b.place = 2 LEFT JOIN w ON w.domain = t.domain""",
+)
+def run_states(d, j):
+    """Which domains' last two runs can be compared; the errors stand for the total of a run."""
+    return J.run_states(d.select(F.concat(F.lit("u"), "id").alias("domain")), j, F.col("metric") == "error")
+
+
 @query(
     "series_delta", "v_journal",
     sql="""SELECT domain, metric, source, seq, measured_at, value, CASE WHEN state = 'MEASURED' AND lag(state) OVER w = 'MEASURED' THEN value - lag(value) OVER w END AS delta, coalesce(lag(collector) OVER w <> collector, false) AS collector_changed

@@ -297,11 +297,13 @@ def agg_mad(r):
     return R.median_and_mad(r.filter("rank_b IS NOT NULL").select(F.log10(F.col("rank_a") / F.col("rank_b")).alias("x")), "x").select(F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"))
 
 
-@query("agg_error_summary", "v_queue", sql="WITH c AS (SELECT host, seq % 3 * 100 + 200 AS code, count(*) AS n FROM v_queue GROUP BY ALL) SELECT host, string_agg(code || ' x' || n, ', ' ORDER BY n DESC, code) AS summary FROM c GROUP BY host")
+@query("agg_error_summary", "v_queue", sql="WITH c AS (SELECT host, seq % 3 * 100 + 200 AS code, count(*) AS n FROM v_queue GROUP BY ALL) SELECT host, string_agg(code || ' x' || n, ', ' ORDER BY n DESC, code) AS summary, coalesce(max(n) FILTER (code = 200), 0) >= 5 AS answers_all FROM c GROUP BY host")
 def agg_error_summary(q):
+    """What the pages tried on each host answered. Five of 200 that bear no link make a trap likely: a host that answers
+    200 to any address, so that the code proves nothing."""
     counts = q.groupBy("host", (F.col("seq") % 3 * 100 + 200).alias("code")).agg(F.count("*").alias("n"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "code", "n")))  # a handful of codes per host
-    return counts.groupBy("host").agg(F.array_join(F.transform(ordered, lambda x: F.concat(x["code"], F.lit(" x"), x["n"])), ", ").alias("summary"))
+    return counts.groupBy("host").agg(F.array_join(F.transform(ordered, lambda x: F.concat(x["code"], F.lit(" x"), x["n"])), ", ").alias("summary"), (F.coalesce(F.max(F.when(F.col("code") == 200, F.col("n"))), F.lit(0)) >= 5).alias("answers_all"))
 
 
 @query("agg_geo_mean", "v_links", sql="SELECT target, round(exp(avg(ln(link_score))), 6) AS geo_mean FROM v_links GROUP BY target")
@@ -336,14 +338,15 @@ def agg_kv_pivot(j):
 
 # -- rankings, top-k, sets -----------------------------------------------------------------------
 SHOWN = "id % 4 <> 0 AS displayable, CASE WHEN id % 7 <> 0 THEN id % 100 END AS referring"
-ORDERED = "CASE role WHEN 'own' THEN 0 ELSE 1 END, CASE WHEN displayable THEN balance ELSE -1 END DESC, coalesce(referring, -1) DESC, id"
+ORDERED = "CASE role WHEN 'own' THEN 0 ELSE 1 END, CASE WHEN role = 'own' THEN 0 WHEN displayable THEN balance ELSE -1 END DESC, CASE WHEN role = 'own' THEN 0 ELSE coalesce(referring, -1) END DESC, id"
 
 
 @query("rank_domains", "v_domains", sql=f"SELECT id, row_number() OVER (ORDER BY {ORDERED}) AS place FROM (SELECT *, {SHOWN} FROM v_domains)")
 def rank_domains(d):
-    """Every domain: own first, then by score where it may be shown (-1 else), then by referring domains (-1 if unknown)."""
+    """Every domain: own first, in the order they are configured in, then the others by score where it may be shown (-1 else),
+    then by referring domains (-1 if unknown)."""
     own = F.when(F.col("role") == "own", 0).otherwise(1)
-    rows = d.selectExpr("id", "role", "balance", *SHOWN.split(", ")).select("id", own.alias("r"), F.when(F.col("displayable"), F.col("balance")).otherwise(-1.0).alias("s"), F.coalesce("referring", F.lit(-1)).alias("n"))
+    rows = d.selectExpr("id", "role", "balance", *SHOWN.split(", ")).select("id", own.alias("r"), F.when(own == 0, 0.0).when(F.col("displayable"), F.col("balance")).otherwise(-1.0).alias("s"), F.when(own == 0, 0).otherwise(F.coalesce("referring", F.lit(-1))).alias("n"))
     return R.placed(rows, [F.col("r"), F.desc("s"), F.desc("n"), F.col("id")]).select("id", "place")
 
 

@@ -69,36 +69,39 @@ def scan_crux(r):
     return r.select(origin.alias("origin"), rank.alias("rank"))
 
 
-@query("sitemap_entries", "v_pages", sql="SELECT page_id, url AS loc, CAST(1 AS BIGINT) AS place FROM v_pages UNION ALL SELECT page_id, url || '?b', 2 FROM v_pages")
+@query("sitemap_entries", "v_pages", sql="SELECT page_id, url AS loc, CAST(1 AS BIGINT) AS place FROM v_pages UNION ALL SELECT page_id, url || '?b&c', 2 FROM v_pages")
 def sitemap_entries(p):
-    xml = F.concat(F.lit("<urlset><url><loc> "), "url", F.lit("</loc></url><url><loc>"), "url", F.lit("?b\n</loc></url></urlset>"))
+    xml = F.concat(F.lit("<urlset><url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url><url><LOC>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("?b&amp;c\n</LOC></url></urlset>"))
     return p.select("page_id", F.posexplode(P.sitemap_entries(xml)).alias("at", "loc")).select("page_id", "loc", (F.col("at") + 1).cast("long").alias("place"))
 
 
 def sitemaps_of(p):
-    """(domains, fetched) of 40 sites: every fourth declares a url set of its own (every eighth a missing one); the others
-    have an index in one of the usual places with three url sets, of which every fifth site's last is behind a wall."""
-    pages = p.select("url", (F.col("page_id") % 40).alias("d"), (F.floor(F.col("page_id") / 40) % 3).alias("k"))
+    """(domains, fetched) of a site for every 25 pages: every fourth declares a url set of its own (every eighth a missing one); the
+    others have an index in one of the usual places with three url sets, of which every fifth site's last is behind a wall and every
+    seventh's first is a page of text. The pages say when they were changed."""
+    pages = p.select("url", F.floor(F.col("page_id") / 25).alias("d"), (F.col("page_id") % 3).alias("k"), F.format_string("2024-02-%02d", (F.col("page_id") % 28 + 1).cast("int")).alias("day"))
     site = lambda path: F.concat(F.lit("https://d"), "d", F.lit(f".org/{path}"))
-    tags = lambda urls: F.concat_ws("", F.transform(urls, lambda u: F.concat(F.lit("<url><loc>"), u, F.lit("</loc></url>"))))
+    tag = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc><lastmod>"), "day", F.lit("</lastmod></url>"))
     domains = pages.select("d").distinct()
-    parts = domains.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).join(pages.groupBy("d", "k").agg(F.collect_list("url").alias("urls")), ["d", "k"], "left")
-    sets = parts.filter("d % 4 <> 0").select(F.concat(site("part-"), "k", F.lit(".xml")).alias("url"), F.when((F.col("d") % 5 == 1) & (F.col("k") == 2), 403).otherwise(200).alias("http"), F.concat(F.lit("<urlset>"), tags(F.coalesce("urls", F.array().cast("array<string>"))), F.lit("</urlset>")).alias("xml"))
-    listed = F.concat(F.lit("<sitemapindex>"), *[F.concat(F.lit("<sitemap><loc>"), site(f"part-{k}.xml"), F.lit("</loc></sitemap>")) for k in (0, 1, 2, 0)], F.lit("</sitemapindex>"))
+    parts = domains.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).join(pages.groupBy("d", "k").agg(F.collect_list(tag).alias("tags")), ["d", "k"], "left")  # 25 pages at most
+    body = F.concat(F.lit("<urlset>"), F.concat_ws("", "tags"), F.lit("</urlset>"))
+    sets = parts.filter("d % 4 <> 0").select(F.concat(site("part-"), "k", F.lit(".xml?a=1&b=2")).alias("url"), F.when((F.col("d") % 5 == 1) & (F.col("k") == 2), 403).otherwise(200).alias("http"), F.when((F.col("d") % 7 == 3) & (F.col("k") == 0), "<html>nothing here</html>").otherwise(body).alias("xml"))
+    listed = F.concat(F.lit("<sitemapindex>"), *[F.concat(F.lit("<sitemap><loc>"), site(f"part-{k}.xml?a=1&amp;b=2"), F.lit("</loc></sitemap>")) for k in (0, 1, 2, 0)], F.lit("</sitemapindex>"))
     at = F.when(F.col("d") % 3 == 0, site("sitemap_index.xml")).otherwise(site("sitemap.xml"))
     indexes = domains.filter("d % 4 <> 0").select(at.alias("url"), F.lit(200).alias("http"), listed.alias("xml"))
     missing = domains.filter("d % 4 <> 0 AND d % 3 = 0").select(site("sitemap.xml").alias("url"), F.lit(404).alias("http"), F.lit(None).cast("string").alias("xml"))
-    own = pages.filter("d % 4 = 0").groupBy("d").agg(F.collect_list("url").alias("urls")).select(site("own.xml").alias("url"), F.when(F.col("d") % 8 == 0, 404).otherwise(200).alias("http"), F.concat(F.lit("<urlset>"), tags(F.col("urls")), F.lit("</urlset>")).alias("xml"))
+    own = pages.filter("d % 4 = 0").groupBy("d").agg(F.collect_list(tag).alias("tags")).select(site("own.xml").alias("url"), F.when(F.col("d") % 8 == 0, 404).otherwise(200).alias("http"), body.alias("xml"))
     asked = domains.select(F.concat(F.lit("d"), "d", F.lit(".org")).alias("domain"), F.when(F.col("d") % 4 == 0, F.array(site("own.xml"))).alias("declared"))
     return asked, sets.union(indexes).union(missing).union(own)
 
 
-@query("scan_sitemap", "v_pages", sql="""WITH p AS (SELECT page_id % 40 AS d, (page_id // 40) % 3 AS k FROM v_pages), n AS (SELECT d, count(*) AS n, count(*) FILTER (k = 2) AS n2 FROM p GROUP BY d),
-    r AS (SELECT d, CASE WHEN d % 8 = 0 THEN 0 WHEN d % 4 <> 0 AND d % 5 = 1 THEN n - n2 ELSE n END AS n_urls, CASE WHEN d % 4 = 0 THEN 1 WHEN d % 3 = 0 THEN 5 ELSE 4 END AS n_read, CASE WHEN d % 4 <> 0 AND d % 5 = 1 THEN 1 ELSE 0 END AS n_walls, CASE WHEN d % 8 = 0 OR (d % 4 <> 0 AND d % 3 = 0) THEN 1 ELSE 0 END AS n_absent FROM n)
-    SELECT 'd' || d || '.org' AS domain, CASE WHEN n_urls > 0 THEN 'MEASURED' WHEN n_walls > 0 THEN 'BLIND' ELSE 'ABSENT' END AS state, n_urls, n_read::BIGINT AS n_read, n_walls::BIGINT AS n_walls, n_absent::BIGINT AS n_absent, NULL::VARCHAR AS capped FROM r""")
+@query("scan_sitemap", "v_pages", sql="""WITH p AS (SELECT page_id // 25 AS d, page_id % 3 AS k, '2024-02-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') AS day FROM v_pages),
+    m AS (SELECT *, CASE WHEN d % 8 = 0 THEN false WHEN d % 4 <> 0 AND d % 5 = 1 AND k = 2 THEN false WHEN d % 4 <> 0 AND d % 7 = 3 AND k = 0 THEN false ELSE true END AS told FROM p),
+    r AS (SELECT d, count(*) FILTER (told) AS n_urls, max(day) FILTER (told) AS newest, CASE WHEN d % 4 = 0 THEN 1 WHEN d % 3 = 0 THEN 5 ELSE 4 END AS n_read, CASE WHEN d % 4 <> 0 AND d % 5 = 1 THEN 1 ELSE 0 END + CASE WHEN d % 4 <> 0 AND d % 7 = 3 THEN 1 ELSE 0 END AS n_walls, CASE WHEN d % 8 = 0 OR (d % 4 <> 0 AND d % 3 = 0) THEN 1 ELSE 0 END AS n_absent FROM m GROUP BY d)
+    SELECT 'd' || d || '.org' AS domain, CASE WHEN n_urls > 0 THEN 'MEASURED' WHEN n_walls > 0 THEN 'BLIND' ELSE 'ABSENT' END AS state, n_urls, n_read::BIGINT AS n_read, n_walls::BIGINT AS n_walls, n_absent::BIGINT AS n_absent, n_urls AS n_dated, newest, NULL::VARCHAR AS capped FROM r""")
 def scan_sitemap(p):
     """Indexes and url sets walked from what robots.txt declares or the usual places, within three budgets."""
-    return SM.walk(*sitemaps_of(p)).select("domain", "state", "n_urls", "n_read", "n_walls", "n_absent", "capped")
+    return SM.walk(*sitemaps_of(p)).select("domain", "state", "n_urls", "n_read", "n_walls", "n_absent", "n_dated", "newest", "capped")
 
 
 @query("scan_search_console", "v_positions", sql="SELECT query, CAST(count(*) AS BIGINT) AS n, sum(CAST(seq % 100 AS BIGINT))::BIGINT AS clicks, round(avg(position + 0.5), 6) AS mean_position FROM v_positions WHERE position IS NOT NULL GROUP BY query")

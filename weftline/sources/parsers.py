@@ -122,8 +122,14 @@ def magnitude(x: Column) -> Column:
 
 
 def sitemap_entries(xml: Column) -> Column:
-    """All ``<loc>`` values."""
-    return F.regexp_extract_all(xml, F.lit(r"<loc>\s*([^<]*?)\s*</loc>"), F.lit(1))
+    """All ``<loc>`` values, ``&amp;`` read as the sign it stands for."""
+    found = F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))
+    return F.transform(found, lambda x: F.trim(F.replace(x, F.lit("&amp;"), F.lit("&"))))
+
+
+def sitemap_dates(xml: Column) -> Column:
+    """All ``<lastmod>`` values."""
+    return F.regexp_extract_all(xml, F.lit(r"(?i)<lastmod>\s*([^<]+?)\s*</lastmod>"), F.lit(1))
 
 
 def parse_referrers(lines: DataFrame, own: str, column: str = "value") -> DataFrame:
