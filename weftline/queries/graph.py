@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from weftline.functions.urls import reverse_domain
 from weftline.operators import graph as G
 from weftline.queries.registry import query
-from weftline.session import table
+from weftline.session import shared_folder, table
+from weftline.sources.vertices import VertexTable
 
 VERTICES = "v_vertices AS (SELECT s_suppkey AS id, 'com.s' || s_suppkey AS rev_domain FROM supplier UNION ALL SELECT 1000000 + p_partkey, 'net.p' || p_partkey FROM part)"
 
@@ -47,12 +48,15 @@ def referring_domains(spark, sf_dir):
 
 @query("join_resolve_names", sql=f"WITH {VERTICES} SELECT DISTINCT l_suppkey AS src, rev_domain FROM lineitem JOIN v_vertices ON id = l_suppkey")
 def join_resolve_names(spark, sf_dir):
-    return edges(spark, sf_dir).select("src").distinct().join(vertices(spark, sf_dir).select(F.col("id").alias("src"), "rev_domain"), "src")
+    """Names of all domains that link: the vertex table lies by id, and stays where it is."""
+    known = VertexTable.build(vertices(spark, sf_dir), shared_folder(spark, "vertices"))
+    return known.resolve(edges(spark, sf_dir).select("src").distinct(), "src")
 
 
 @query("lookup_vertex", sql=f"WITH {VERTICES} SELECT id, rev_domain FROM v_vertices WHERE rev_domain IN ('com.s7', 'net.p42') OR id IN (3, 1000005)")
 def lookup_vertex(spark, sf_dir):
-    return vertices(spark, sf_dir).filter("rev_domain IN ('com.s7', 'net.p42') OR id IN (3, 1000005)").select("id", "rev_domain")
+    """A few vertices by name or id, each out of the bucket and the pages that can hold it."""
+    return VertexTable.build(vertices(spark, sf_dir), shared_folder(spark, "vertices")).find((3, 1000005), ("com.s7", "net.p42"))
 
 
 @query("in_degree", "v_edges", sql="SELECT dst, count(DISTINCT src) AS degree FROM v_edges GROUP BY dst")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from weftline.functions import urls as U
 from weftline.queries.registry import query
 from weftline.session import shared_folder, table
+from weftline.sources import archive_ranges as AR
 from weftline.sources import parsers as P
 from weftline.sources import report as RJ
 from weftline.sources import sitemap as SM
@@ -29,11 +30,13 @@ def scan_journal(j):
 
 @query("scan_graph", "v_edges", sql="SELECT src, count(*) AS n_out FROM v_edges GROUP BY src")
 def scan_graph(e):
-    """Edges written as gzip TSV, with lines that are no edge among them, and read back behind the size guard."""
+    """Edges written as TSV in gzip files of many members, with lines that are no edge among them, and read back behind the size
+    guard, each file by many tasks."""
     path = shared_folder(e.sparkSession, "graph")
-    lines = e.select(F.concat_ws("\t", "src", "dst").alias("value")).union(e.filter("src % 10 = 0").select(F.concat(F.lit("broken "), "dst")))
-    lines.write.option("compression", "gzip").text(f"{path}/edges")
-    return P.read_edges(e.sparkSession, f"{path}/edges", least_bytes=100).groupBy("src").agg(F.count("*").alias("n_out"))
+    lines = e.select("src", F.concat_ws("\t", "src", "dst").alias("value")).union(e.filter("src % 10 = 0").select("src", F.concat(F.lit("broken "), "dst")))
+    members = lines.groupBy(F.pmod(F.xxhash64("value"), F.lit(512)).alias("member")).agg(F.concat(F.array_join(F.collect_list("value"), "\n"), F.lit("\n")).alias("text"))
+    AR.write_archives(members, "member", "text", f"{path}/edges").write.parquet(f"{path}/members")
+    return P.read_gzip_edges(e.sparkSession, f"{path}/edges", least_bytes=100, split=256 << 10).groupBy("src").agg(F.count("*").alias("n_out"))
 
 
 @query("scan_rank_zip", "v_ranks", sql="""SELECT domain, rank_a AS rank, 'a "b", c' AS note FROM v_ranks""")
@@ -172,12 +175,15 @@ def scan_cdx(p):
 
 @query("scan_warc", "v_pages", sql="SELECT page_id, 'WARC/1.0' AS warc_head, 'HTTP/1.1 200 OK' AS http_head, CAST(length(html) AS BIGINT) AS body_chars FROM v_pages")
 def scan_warc(p):
-    """One record out of a file by its byte range, as an archive index gives it, cut at its first two blank lines."""
+    """Records out of archives on disk by the byte ranges of an index, cut at their first two blank lines. Between the pages'
+    records lie others, which nothing asks for."""
+    spark, folder = p.sparkSession, shared_folder(p.sparkSession, "archives")
     record = lambda body: F.concat(F.lit("WARC/1.0\r\n\r\nHTTP/1.1 200 OK\r\n\r\n"), body)
-    first, second = record(F.concat(F.lit("é other "), "url")), record(F.col("html"))
-    files = p.select("page_id", F.concat(first, second, F.lit("\r\n\r\nWARC/1.0 next")).cast("binary").alias("content"), F.octet_length(first).alias("start"), F.octet_length(second).alias("size"))
-    rows = files.select("page_id", P.split_warc(P.byte_range(F.col("content"), F.col("start"), F.col("size")).cast("string")).alias("w"))
-    return rows.select("page_id", "w.warc_head", "w.http_head", F.length("w.body").cast("long").alias("body_chars"))
+    rows = p.select(F.explode(F.array(F.struct((-F.col("page_id") - 1).alias("page_id"), F.concat(F.lit("é other "), "url").alias("content")), F.struct("page_id", record(F.col("html")).alias("content")))).alias("r")).select("r.*")
+    AR.write_archives(rows, "page_id", "content", f"{folder}/warc").write.parquet(f"{folder}/index")
+    index = spark.read.parquet(f"{folder}/index").filter("page_id >= 0")
+    parts = AR.read_ranges(index, "page_id").select("page_id", P.split_warc(F.col("record").cast("string")).alias("w"))
+    return parts.select("page_id", "w.warc_head", "w.http_head", F.length("w.body").cast("long").alias("body_chars"))
 
 
 @query("scan_serp", "v_positions", sql="""WITH u AS (SELECT query, domain, seq, 'https://www.' || domain || '.com/' || (seq % 3) || '?s=' || seq AS url, domain || '.com/' || (seq % 3) AS page FROM v_positions),

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.sources.gzip_lines import SPLIT, read_gzip_lines
+
 JOURNAL_SCHEMA = "seq long, domain string, metric string, state string, value double, measured_at string"
 
 
@@ -47,8 +49,15 @@ def read_edges(spark: SparkSession, path: str, least_bytes: int = 0) -> DataFram
     return parse_edges(spark.read.text(path))
 
 
+def read_gzip_edges(spark: SparkSession, path: str, least_bytes: int = 0, split: int = SPLIT) -> DataFrame:
+    """The same of gzip files of many members, each of which many tasks read."""
+    check_size(spark, path, least_bytes)
+    return parse_edges(read_gzip_lines(spark, path, split))
+
+
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(vertices, edges) of a domain graph in gzip TSV. Gzip cannot be split: convert to Parquet once."""
+    """(vertices, edges) of a domain graph in gzip TSV. A gzip file is one task's here: read_gzip_edges() splits those of many
+    members; convert others to Parquet once."""
     vertices = spark.read.csv(f"{path}/vertices*", sep="\t", schema="id long, rev_domain string, n long")
     return vertices, spark.read.csv(f"{path}/edges*", sep="\t", schema="src long, dst long")
 
