@@ -80,8 +80,8 @@ def test_a_failed_batch_is_replayed(spark, files, tmp_path):
 
 
 def plain_leases(rows, hold, least, strict):
-    """By key, in order of (time, kind, id)."""
-    out, state = {}, {}
+    """By key, in order of (time, kind, id); a report at the time of its own request counts after it."""
+    out, state, reports = {}, {}, {(r[0], r[1], r[3]) for r in rows if r[2] == L.DONE}
     for key, id_, kind, at, pause in sorted(rows, key=lambda r: (r[0], r[3], r[2], r[1])):
         holder, until = state.get(key, (None, None))
         if kind == L.DONE:
@@ -90,7 +90,7 @@ def plain_leases(rows, hold, least, strict):
             continue
         free = until is None or at > until or (at == until and not strict)
         if free:
-            state[key] = id_, at + int(hold * 1e6)
+            state[key] = id_, at + int((max(least, pause) if (key, id_, at) in reports else hold) * 1e6)
         out[key, id_] = free
     return out
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,44 +84,55 @@ def unwrap_redirect(url: Column) -> Column:
     return F.coalesce(*[F.when(f.rlike("^https?://"), f) for f in found], url)
 
 
+def let(x: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``x``, which is worked out once however often it is used there."""
+    return F.element_at(F.transform(F.array(x), then), 1)
+
+
 def without_dots(path: Column) -> Column:
     """A path that begins with a slash, its ``.`` and ``..`` segments resolved, spelled out or as %2e."""
     plain = lambda x: F.replace(F.lower(x), F.lit("%2e"), F.lit("."))
-    parts = F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/")))
-    kept = F.aggregate(
-        parts, F.array().cast("array<string>"),
-        lambda a, x: F.when(plain(x) == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(plain(x) == ".", a).otherwise(F.array_append(a, x)),
-    )
-    ends = plain(F.element_at(parts, -1)).isin(".", "..") & (F.size(kept) > 0)  # such an end leaves the folder
-    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(ends, "/").otherwise(""))
+
+    def resolved(parts: Column) -> Column:
+        kept = F.aggregate(
+            F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"),
+            lambda a, x: F.when(plain(x) == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(plain(x) == ".", a).otherwise(F.array_append(a, x)),
+        )
+        ends = plain(F.element_at(parts, -1)).isin(".", "..")  # such an end leaves the folder
+        return let(kept, lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when(ends & (F.size(k) > 0), "/").otherwise("")))
+
+    return F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), let(F.split(path, "/"), resolved)).otherwise(path)
 
 
 def canonical(url: Column) -> Column:
     """An http(s) address as browsers write it: lower-case scheme and host, no standard port, a path without dot segments. Others
     stay; one without a host is null."""
-    root = F.lower(F.regexp_extract(url, r"(?i)^(https?://[^/?#]*)", 1))
-    root = F.regexp_replace(F.regexp_replace(root, "^(http://.*):80$", "$1"), "^(https://.*):443$", "$1")
+    root = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(url, r"(?i)^(https?://[^/?#]*)", 1)), "^(http://.*):80$", "$1"), "^(https://.*):443$", "$1")
     rest = F.regexp_extract(url, r"^[^?#]*(.*)$", 1)
-    web = url.rlike("(?i)^https?:")
-    return F.when(web & ~url.rlike("(?i)^https?://[^/?#]"), F.lit(None)).when(web, F.concat(root, without_dots(path_of(url)), rest)).otherwise(url)
+    whole = F.concat(root, let(path_of(url), without_dots), rest)
+    return F.when(~url.rlike("(?i)^https?:"), url).when(url.rlike("(?i)^https?://[^/?#]"), whole)
 
 
 def absolutize(base: Column, href: Column) -> Column:
     """href resolved against base: absolute, protocol-relative, root-relative, document-relative and empty references, with
     white space around them cut off and backslashes read as slashes."""
     href = F.regexp_replace(F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", "")
-    href = F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & ~href.rlike("(?i)^https?:"), href).otherwise(F.concat(F.replace(F.regexp_extract(href, r"^([^?#]*)", 1), F.lit("\\"), F.lit("/")), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)))
+    web = lambda h: F.when(F.contains(h, F.lit("\\")) & (~h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | h.rlike("(?i)^https?:")), F.concat(F.replace(F.regexp_extract(h, r"^([^?#]*)", 1), F.lit("\\"), F.lit("/")), F.regexp_extract(h, r"^[^?#]*(.*)$", 1))).otherwise(h)
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
     folder = F.regexp_replace(path_of(base), r"[^/]*$", "")
-    return canonical(
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(F.startswith(href, F.lit("//")), F.concat(scheme, href))
-        .when(F.startswith(href, F.lit("/")), F.concat(root, href))
-        .when(F.startswith(href, F.lit("?")), F.concat(root, path_of(base), href))
-        .when(F.startswith(href, F.lit("#")) | (href == ""), F.concat(F.regexp_replace(base, "#.*$", ""), href))
-        .otherwise(F.concat(root, folder, href))
-    )
+
+    def resolved(h: Column) -> Column:
+        return (
+            F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
+            .when(F.startswith(h, F.lit("//")), F.concat(scheme, h))
+            .when(F.startswith(h, F.lit("/")), F.concat(root, h))
+            .when(F.startswith(h, F.lit("?")), F.concat(root, path_of(base), h))
+            .when(F.startswith(h, F.lit("#")) | (h == ""), F.concat(F.regexp_replace(base, "#.*$", ""), h))
+            .otherwise(F.concat(root, folder, h))
+        )
+
+    return let(let(let(href, web), resolved), canonical)
 
 
 #: The letters that spell a place name's length, and what stands before it.

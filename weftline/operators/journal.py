@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.tristate import BLIND, MEASURED
-from weftline.operators.relational import placed
+from weftline.operators.relational import placed, with_previous
 
 SNAPSHOT_KEY = ("domain", "metric", "source")
 MOVED_COLUMNS = ("value", "state")
@@ -154,13 +154,14 @@ def run_diff(rows: DataFrame, last: str | None = None, before: str | None = None
 
 
 def series_delta(rows: DataFrame, key: tuple[str, ...] = SNAPSHOT_KEY) -> DataFrame:
-    """Difference to the point before, only where both are measured; marks a change of collector."""
-    w = Window.partitionBy(*key).orderBy("measured_at", "seq")
-    both = (F.col("state") == MEASURED) & (F.lag("state").over(w) == MEASURED)
+    """Difference to the point before, only where both are measured; marks a change of collector. A long series is shared
+    among tasks."""
+    rows = with_previous(rows.select(*key, "seq", "measured_at", "value", "state", "collector"), list(key), ["measured_at", "seq"], ["state", "value", "collector"])
+    both = (F.col("state") == MEASURED) & (F.col("previous.state") == MEASURED)
     return rows.select(
         *key, "seq", "measured_at", "value",
-        F.when(both, F.col("value") - F.lag("value").over(w)).alias("delta"),
-        F.coalesce(F.lag("collector").over(w) != F.col("collector"), F.lit(False)).alias("collector_changed"),
+        F.when(both, F.col("value") - F.col("previous.value")).alias("delta"),
+        F.coalesce(F.col("previous.collector") != F.col("collector"), F.lit(False)).alias("collector_changed"),
     )
 
 

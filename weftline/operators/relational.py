@@ -19,21 +19,42 @@ def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, same).drop(*[f"_of_{k}" for k in keys])
 
 
-def placed(df: DataFrame, order: list[Column], key: str | None = None) -> DataFrame:
-    """``place`` from 1 by a total order, of all rows or within each ``key`` (which ``order`` begins with; null is a key like
-    others). Rows are sorted by ranges; a place is the count of the ranges before plus the place in the own range, so no task
-    holds all rows of a key. The ranges come from a sample, which two runs of one plan may draw differently: they are drawn
-    once and written to the shared folder. The driver sees nothing."""
-    spark, keys = df.sparkSession, [key] if key else []
-    ranged, folder = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), shared_folder(spark, "ranges")
+def laid_in_ranges(df: DataFrame, order: list[Column], parts: int | None = None) -> DataFrame:
+    """``df`` with ``_range``, the number of the range of ``order`` that a row lies in. The ranges come from a sample, which two
+    runs of one plan may draw differently: they are drawn once and written to the shared folder. The driver sees nothing."""
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession, "ranges")
+    ranged = (df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)).withColumn("_range", F.spark_partition_id())
     ranged.write.parquet(folder)
-    ranged = spark.read.schema(ranged.schema).parquet(folder)
+    return spark.read.schema(ranged.schema).parquet(folder)
+
+
+def placed(df: DataFrame, order: list[Column], key: str | None = None, total: str | None = None) -> DataFrame:
+    """``place`` from 1 by a total order, of all rows or within each ``key`` (which ``order`` begins with; null is a key like
+    others); with ``total`` a column of that name for how many places there are. Rows are sorted by ranges; a place is the count of the ranges before plus the place in the own range, so no task
+    holds all rows of a key."""
+    keys = [key] if key else []
+    ranged = laid_in_ranges(df, order)
     counts = ranged.groupBy("_range", *keys).agg(F.count("*").alias("_c"))
-    before = counts.select("_range", *keys, (F.sum("_c").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_c")).alias("_before"))
+    each = Window.partitionBy(*keys)  # one row a range
+    whole = [F.sum("_c").over(each).alias(total)] if total else []
+    before = counts.select("_range", *keys, (F.sum("_c").over(each.orderBy("_range")) - F.col("_c")).alias("_before"), *whole)
     within = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order)))
     return joined(within, before, ["_range", *keys]).withColumn("place", (F.col("_r") + F.col("_before")).cast("long")).drop("_range", "_r", "_before")
 
 
+def with_previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str], parts: int | None = None) -> DataFrame:
+    """``df`` with ``previous``, a struct of ``columns`` of the row before in the same key by ``order`` (a total one), null for the
+    first: an as-of join of a table with itself. Rows are sorted by ranges; what a range's first row of a key needs is the last row
+    of that key in the ranges before, one row a key and range, which is carried over. No task holds all rows of a key."""
+    carried = F.struct(*columns)
+    ranged = laid_in_ranges(df, [F.col(c) for c in [*keys, *order]], parts)
+    last = ranged.groupBy("_range", *keys).agg(F.max(F.struct(*order, carried.alias("_v")))["_v"].alias("_last"))
+    before = last.select("_range", *keys, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_range")).alias("_carry"))
+    w = Window.partitionBy("_range", *keys).orderBy(*order)
+    within = ranged.withColumn("_first", F.row_number().over(w) == 1).withColumn("_own", F.lag(carried).over(w))
+    return joined(within, before, ["_range", *keys]).withColumn("previous", F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_own"))).drop("_range", "_first", "_own", "_carry")
+
+
 def capped_with_all(df: DataFrame, key: str, always: Column, order: list[Column], cap: int) -> DataFrame:
     """The first ``cap`` rows of each key by a total order and every row that is ``always`` shown, with the number
     ``hidden``. The rank limit is applied before the shuffle too, so a hot key sends ``cap`` rows of each task; rows that
@@ -69,19 +90,20 @@ def first_per_key(df: DataFrame, key: str, *order: Column) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_rn = 1").drop("_rn")
 
 
-def upper_median(df: DataFrame, column: str, *keys: str) -> DataFrame:
-    """The element at floor(n / 2) of the sorted values, of each key (null is one) or of all. Found in counts of equal values, which
-    are cut in 1000 parts by value, so neither an array of all values nor a task with all rows of a key is needed."""
+def upper_median(df: DataFrame, column: str, *keys: str, parts: int | None = None) -> DataFrame:
+    """The element at floor(n / 2) of the sorted values, of each key (null is one) or of all. Equal values are counted first; the
+    counts are laid in ranges, whose bounds a sample of them draws, so wide, skewed or far-off values fill no range more than
+    others; sums of the ranges say in which one the element lies, and only that one is sorted. ``parts`` is the number of
+    ranges, that of shuffle partitions if not given."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("median")).agg(F.count("*").alias("_c"))
-    bounds = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("median").alias("_low"), F.max("median").alias("_high"))
-    share = (F.col("median") - F.col("_low")) / (F.col("_high") - F.col("_low"))
-    cut = (joined(counts, bounds, list(keys)) if keys else counts.join(F.broadcast(bounds))).withColumn("_b", F.when(F.col("_high") > F.col("_low"), F.floor(share * 999)).otherwise(0).cast("int"))
-    totals = cut.groupBy(*keys, "_b").agg(F.sum("_c").alias("_t"))
-    before = totals.select(*keys, "_b", (F.sum("_t").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_t")).alias("_before"))  # 1000 rows a key at most
-    run = F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("median")) + F.col("_before")
-    ranked = joined(cut, before, [*keys, "_b"]).withColumn("_to", run)
-    at = F.floor(F.col("_n") / 2)
-    return ranked.filter((F.col("_to") > at) & (F.col("_to") - F.col("_c") <= at)).select(*keys, "median")
+    ranged = laid_in_ranges(counts, [F.col(c) for c in [*keys, "median"]], parts)
+    totals = ranged.groupBy("_range", *keys).agg(F.sum("_c").alias("_t"))
+    w = Window.partitionBy(*keys)  # one row a range
+    sums = totals.select("_range", *keys, "_t", (F.sum("_t").over(w.orderBy("_range")) - F.col("_t")).alias("_before"), F.floor(F.sum("_t").over(w) / 2).alias("_at"))
+    chosen = sums.filter("_before <= _at AND _at < _before + _t").drop("_t")
+    run = F.sum("_c").over(Window.partitionBy("_range", *keys).orderBy("median")) + F.col("_before")
+    ranked = joined(ranged, chosen, ["_range", *keys]).withColumn("_to", run)
+    return ranked.filter("_to > _at AND _to - _c <= _at").select(*keys, "median")
 
 
 def median_and_mad(df: DataFrame, column: str, floor: float = 0.05) -> DataFrame:
@@ -110,23 +132,67 @@ def three_state_join(asked: DataFrame, found: DataFrame, key: str, value: str) -
 
 
 def sample_stride(df: DataFrame, order: str, n: int) -> DataFrame:
-    """n rows at floor(i * count / n) of the order; all rows if there are fewer. Row numbers come from the sorted
-    partitions' sizes, not from one task."""
-    ranked = global_rank(df, order)
+    """n rows at floor(i * count / n) of the order; all rows if there are fewer."""
+    ranked = placed(df, [F.col(order)]).withColumn("_rank", F.col("place") - 1)
     total = ranked.agg(F.count("*").alias("_n"))
     i = F.ceil(F.col("_rank") * n / F.col("_n"))
     picked = ranked.join(F.broadcast(total)).filter((F.col("_n") <= n) | ((F.floor(i * F.col("_n") / n) == F.col("_rank")) & (i < n)))
-    return picked.drop("_rank", "_n")
-
-
-def global_rank(df: DataFrame, order: str, parts: int = 1000) -> DataFrame:
-    """``_rank`` from 0 by a unique numeric column: counts of its ranges, then ranks within each range."""
-    bounds = df.agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
-    b = F.floor((F.col(order) - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1)) * (parts - 1))
-    placed = df.join(F.broadcast(bounds)).withColumn("_b", b).drop("_low", "_high")
-    before = placed.groupBy("_b").agg(F.count("*").alias("_c")).select("_b", (F.sum("_c").over(Window.orderBy("_b")) - F.col("_c")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1 + F.col("_before")
-    return placed.join(F.broadcast(before), "_b").withColumn("_rank", rank).drop("_b", "_before")
+    return picked.drop("place", "_rank", "_n")
+
+
+PROBES = 8  #: captures that are read for one page, at most
+
+
+def bracket_appearance(captures: DataFrame, key: str, targets: DataFrame | None = None, probes: int = PROBES) -> DataFrame:
+    """(key, outcome, last_without, first_with, n_probed): between which captures a link appeared, by halving, all keys at once.
+    ``captures`` (key, at, read, present), of which each probe reads one: ``read`` tells whether it can be, ``present`` whether
+    the link is in it.
+
+    The latest capture comes first: ``unreadable`` or ``absent`` there ends the search, as does ``single``, the only one. The
+    earliest is next: a link in it is older than the archive (``before_archive``). Then the interval is halved while probes are left;
+    a capture that cannot be read moves its lower end without vouching for it. What is left is ``bracketed`` or, if captures
+    in between were not reached, ``coarse``. ``budget``: nothing could be read, for lack of captures or probes.
+
+    Which captures a search can come by follows from their number alone, 2 ** (probes - 2) + 1 of a key at most; only these are
+    brought together, in one aggregation, and searched in one expression. Captures are numbered by ranges, so a key with any
+    number of them crosses tasks."""
+    ranked = placed(captures.select(key, "at", "read", "present"), [F.col(key), F.col("at")], key, total="n").withColumn("i", F.col("place") - 1)
+    steps = F.slice(F.sequence(F.lit(1), F.lit(max(probes - 2, 1))), F.lit(1), F.lit(max(probes - 2, 0)))
+    whole = lambda low, high: F.call_function("div", low + high, F.lit(2))
+
+    def can_be_reached(i: Column, n: Column) -> Column:
+        def step(a: Column, _: Column) -> Column:
+            mid, go = whole(a["lo"], a["hi"]), ~a["hit"] & (a["hi"] - a["lo"] > 1)
+            return F.struct(F.when(go & (i > mid), mid).otherwise(a["lo"]).alias("lo"), F.when(go & (i < mid), mid).otherwise(a["hi"]).alias("hi"), (a["hit"] | (go & (i == mid))).alias("hit"))
+
+        return F.aggregate(steps, F.struct(F.lit(0).cast("long").alias("lo"), (n - 1).alias("hi"), F.lit(False).alias("hit")), step)["hit"]
+
+    i, n = F.col("i"), F.col("n")
+    facts = F.struct("at", F.coalesce("read", F.lit(False)).alias("read"), F.coalesce("present", F.lit(False)).alias("present"))
+    some = ranked.filter((i == 0) | (i == n - 1) | can_be_reached(i, n))
+    seen = some.groupBy(key).agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("i", facts.alias("f")))).alias("f"))
+    seen = seen if targets is None else targets.select(key).distinct().join(seen, key, "left")
+    early, late = F.col("f")[F.lit(0).cast("long")], F.col("f")[n - 1]
+    ended = (
+        F.when(n.isNull() | F.lit(probes <= 0), "budget")
+        .when(~late["read"], "unreadable")
+        .when(~late["present"], "absent")
+        .when(early["at"] == late["at"], "single")
+        .when(early["read"] & early["present"], "before_archive")
+    )
+
+    def halve(a: Column, _: Column) -> Column:
+        mid = whole(a["lo"], a["hi"])
+        c = F.col("f")[mid]
+        go, hit = a["hi"] - a["lo"] > 1, c["read"] & c["present"]
+        return F.struct(F.when(go & ~hit, mid).otherwise(a["lo"]).alias("lo"), F.when(go & hit, mid).otherwise(a["hi"]).alias("hi"), (a["sure"] | (go & ~hit & c["read"])).alias("sure"), F.when(go, a["left"] - 1).otherwise(a["left"]).alias("left"))
+
+    begin = F.struct(F.lit(0).cast("long").alias("lo"), (n - 1).alias("hi"), early["read"].alias("sure"), F.lit(probes - 2).alias("left"))
+    found = seen.select(key, "f", ended.alias("ended"), early["at"].alias("early"), late["at"].alias("late"), F.when(ended.isNull(), F.aggregate(steps, begin, halve)).alias("s"))
+    first_with = F.when(F.col("ended") == "single", F.col("late")).when(F.col("ended") == "before_archive", F.col("early")).otherwise(F.col("f")[F.col("s.hi")]["at"])
+    outcome = F.coalesce("ended", F.when(F.col("s.hi") - F.col("s.lo") > 1, "coarse").otherwise("bracketed"))
+    used = F.when(F.col("ended") == "budget", 0).when(F.col("ended").isin("unreadable", "absent", "single"), 1).when(F.col("ended") == "before_archive", 2).otherwise(probes - F.col("s.left"))
+    return found.select(key, outcome.alias("outcome"), F.when(F.col("s.sure"), F.col("f")[F.col("s.lo")]["at"]).alias("last_without"), first_with.alias("first_with"), used.cast("long").alias("n_probed"))
 
 
 def page_of(df: DataFrame, order: list[Column], page: int, size: int = 200) -> DataFrame:

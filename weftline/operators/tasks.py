@@ -4,9 +4,11 @@ and others wait, and is done when none waits. States only ever move on."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.sources.txlog import Conflict
+
 
 def outcome(http: Column, links: Column, mentions: Column) -> Column:
     return F.when(F.coalesce(http, F.lit(0)) != 200, "wall").when(links > 0, "read").when(mentions > 0, "mention").otherwise("empty")
@@ -40,3 +42,40 @@ def recover(queue, now: Column, after_minutes: int = 10) -> int | None:
         return None
     mended = queue.read(base, parts).withColumn("state", F.when(stale, "waiting").otherwise(F.col("state")))
     return queue.commit(base, "recover", queue.write(mended), [f for f, part in base.files.items() if part in parts], read=parts)
+
+
+def claim(queue: DataFrame, busy: DataFrame, k: int, low: int = 1, high: int = 9) -> DataFrame:
+    """(pick, host, priority, depth, seq): the pages that ``k`` readers take who ask one after the other. A reader takes the waiting
+    page of least (priority, depth, seq) in the band from ``low`` to ``high`` whose host is not ``busy`` (host), and its host is
+    busy from then on; with none left in the band it takes one of a less important band, never of a more important one.
+
+    As a host gives one page at most, those who ask take the hosts' first pages of the band in their order, then the first pages
+    below it of the hosts that are left: a matching found in one aggregation by host and one sort of ``k`` rows, not in ``k`` queries."""
+    free = queue.filter((F.col("state") == "waiting") & (F.col("priority") >= low)).join(busy.select("host"), "host", "left_anti")
+    at = F.struct("priority", "depth", "seq")
+    firsts = free.groupBy("host").agg(F.min(F.when(F.col("priority") <= high, at)).alias("own"), F.min(F.when(F.col("priority") > high, at)).alias("below"))
+    # hosts with a page in the band come first; of a host that was taken nothing below the band is
+    found = firsts.select("host", F.col("own").isNull().alias("late"), F.coalesce("own", "below").alias("p")).orderBy("late", "p").limit(k)
+    pick = F.row_number().over(Window.orderBy("late", "p"))  # of k rows
+    return found.select(pick.cast("long").alias("pick"), "host", "p.priority", "p.depth", "p.seq")
+
+
+def take(queue, now: Column, k: int, low: int = 1, high: int = 9, hold_seconds: int = 60) -> list[int]:
+    """Claim ``k`` pages of the stored ``queue`` (a TransactionTable with seq, host, priority, depth, state, taken_at) and mark them
+    busy since ``now``, in one commit; their numbers, in order. A host is busy for ``hold_seconds`` after one of its pages was
+    taken. Of readers that take at the same time one commits first, and the others choose anew: no page is taken twice."""
+    while True:
+        base = queue.snapshot()
+        rows = queue.read(base)
+        held = rows.filter((F.col("state") == "busy") & (F.col("taken_at") > now - F.make_interval(secs=F.lit(hold_seconds)))).select("host").distinct()
+        picked = [r["seq"] for r in claim(rows, held, k, low, high).orderBy("pick").collect()]  # k numbers
+        if not picked:
+            return []
+        mine = F.col("seq").isin(picked)
+        parts = queue.parts_of(rows.filter(mine))
+        taken = queue.read(base, parts).withColumn("taken_at", F.when(mine, now).otherwise(F.col("taken_at"))).withColumn("state", F.when(mine, "busy").otherwise(F.col("state")))
+        try:
+            queue.commit(base, "take", queue.write(taken), [f for f, part in base.files.items() if part in parts], read=set(base.files.values()))
+            return picked
+        except Conflict:
+            continue

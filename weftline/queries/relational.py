@@ -161,24 +161,31 @@ def first_seen(l):
     return both.select("url_src", F.coalesce("url_at", "dom_at").alias("first_at"), F.when(F.col("url_at").isNull(), "domain").otherwise("page").alias("grain"))
 
 
-@query("bracket_appearance", "v_links", sql="""WITH c AS (SELECT target, seen_at, bool_or(link_score >= 99) AS present FROM v_links GROUP BY target, seen_at),
-    f AS (SELECT target, min(seen_at) FILTER (present) AS first_with, min(seen_at) AS first_any, count(*) AS n FROM c GROUP BY target)
-    SELECT f.target, f.first_with, max(c.seen_at) FILTER (NOT c.present AND c.seen_at < f.first_with) AS last_without,
-    CASE WHEN f.n = 1 THEN 'single' WHEN f.first_with IS NULL THEN 'absent' WHEN f.first_with = f.first_any THEN 'before_archive' ELSE 'bracketed' END AS outcome
-    FROM f JOIN c USING (target) GROUP BY f.target, f.first_with, f.first_any, f.n""")
+CAPTURES = """c AS (SELECT target, seen_at AS d, CAST(substring(target, 2) AS BIGINT) AS k, count(*) AS m FROM v_links GROUP BY target, seen_at),
+ x AS MATERIALIZED (SELECT target, d, k % 10 <> 9 AND (m + day(d)) % 7 <> 0 AS read, d >= DATE '1992-01-01' + CAST(k * 13 % 2600 AS INTEGER) AS present, row_number() OVER (PARTITION BY target ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY target) AS n FROM c)"""
+
+
+@query("bracket_appearance", "v_links", sql=f"""WITH RECURSIVE {CAPTURES},
+ s AS (SELECT a.target, CASE WHEN NOT z.read THEN 'unreadable' WHEN NOT z.present THEN 'absent' WHEN a.n = 1 THEN 'single' WHEN a.read AND a.present THEN 'before_archive' END AS ended, a.n, a.read AND NOT a.present AS sure, a.d AS early, z.d AS late FROM x a JOIN x z ON z.target = a.target AND z.i = z.n - 1 WHERE a.i = 0),
+ h AS (SELECT target, CAST(0 AS BIGINT) AS lo, n - 1 AS hi, sure, 6 AS rest FROM s WHERE ended IS NULL UNION ALL
+  SELECT h.target, CASE WHEN x.read AND x.present THEN lo ELSE x.i END, CASE WHEN x.read AND x.present THEN x.i ELSE hi END, sure OR (x.read AND NOT x.present), rest - 1 FROM h JOIN x ON x.target = h.target AND x.i = (h.lo + h.hi) // 2 WHERE hi - lo > 1 AND rest > 0),
+ l AS (SELECT target, arg_min(lo, rest) AS lo, arg_min(hi, rest) AS hi, arg_min(sure, rest) AS sure, min(rest) AS rest FROM h GROUP BY target)
+ SELECT s.target, coalesce(ended, CASE WHEN hi - lo > 1 THEN 'coarse' ELSE 'bracketed' END) AS outcome, CASE WHEN l.sure THEN a.d END AS last_without, CASE ended WHEN 'single' THEN late WHEN 'before_archive' THEN early ELSE b.d END AS first_with,
+ CAST(CASE WHEN ended IN ('unreadable', 'absent', 'single') THEN 1 WHEN ended = 'before_archive' THEN 2 ELSE 8 - rest END AS BIGINT) AS n_probed
+ FROM s LEFT JOIN l USING (target) LEFT JOIN x a ON a.target = s.target AND a.i = l.lo LEFT JOIN x b ON b.target = s.target AND b.i = l.hi""")
 def bracket_appearance(l):
-    """First capture with the link, and the last one before it without."""
-    captures = l.groupBy("target", "seen_at").agg(F.max(F.col("link_score") >= 99).alias("present"))
-    firsts = captures.groupBy("target").agg(F.min(F.when(F.col("present"), F.col("seen_at"))).alias("first_with"), F.min("seen_at").alias("first_any"), F.count("*").alias("n"))
-    outcome = F.when(F.col("n") == 1, "single").when(F.col("first_with").isNull(), "absent").when(F.col("first_with") == F.col("first_any"), "before_archive").otherwise("bracketed")
-    before = F.max(F.when(~F.col("present") & (F.col("seen_at") < F.col("first_with")), F.col("seen_at"))).alias("last_without")
-    return firsts.join(captures, "target").groupBy("target", "first_with", outcome.alias("outcome")).agg(before)
+    """When the links of each target appeared, between two captures of the days it was seen on, eight of which may be read; every
+    tenth target's archive cannot be, and some days of the others."""
+    k = F.substring("target", 2, 10).cast("long")
+    days = l.groupBy("target", F.col("seen_at").alias("at")).agg(F.count("*").alias("m"))
+    read = (k % 10 != 9) & ((F.col("m") + F.day("at")) % 7 != 0)
+    return R.bracket_appearance(days.select("target", "at", read.alias("read"), (F.col("at") >= F.date_add(F.lit("1992-01-01").cast("date"), (k * 13 % 2600).cast("int"))).alias("present")), "target")
 
 
 # -- aggregations --------------------------------------------------------------------------------
-@query("agg_rel_distribution", "v_links", sql="SELECT rel, count(*) AS n FROM v_links WHERE target = 't9' GROUP BY rel")
+@query("agg_rel_distribution", "v_links", sql="SELECT target, rel, count(*) AS n FROM v_links GROUP BY target, rel")
 def agg_rel_distribution(l):
-    return l.filter("target = 't9'").groupBy("rel").agg(F.count("*").alias("n"))
+    return l.groupBy("target", "rel").agg(F.count("*").alias("n"))
 
 
 @query("agg_by_referrer", "v_links", sql="""SELECT target, src_domain, count(*) AS n_links, min(seen_at) AS first_at, sum(CASE WHEN rel = 'dofollow' THEN 1 ELSE 0 END)::BIGINT AS n_follow,
@@ -319,9 +326,10 @@ def agg_correlated_interval(p):
 @query("agg_rate", "v_journal", sql="""WITH d AS (SELECT domain, seq, k - lag(k) OVER w AS dk, epoch(measured_at) - epoch(lag(measured_at) OVER w) AS dt FROM v_journal WINDOW w AS (PARTITION BY domain ORDER BY measured_at, seq))
     SELECT domain, seq, CASE WHEN dt > 5 AND dt < 3600 THEN round(dk / dt + 1e-9, 6) END AS rate FROM d""")
 def agg_rate(j):
-    w = Window.partitionBy("domain").orderBy("measured_at", "seq")
-    dt = F.timestamp_diff("SECOND", F.lag("measured_at").over(w), F.col("measured_at"))
-    return j.select("domain", "seq", F.when((dt > 5) & (dt < 3600), F.round((F.col("k") - F.lag("k").over(w)) / dt + F.lit(1e-9), 6)).alias("rate"))
+    """Speed of each counter since the reading before, which may lie in another task."""
+    rows = R.with_previous(j.select("domain", "seq", "measured_at", "k"), ["domain"], ["measured_at", "seq"], ["measured_at", "k"])
+    dt = F.timestamp_diff("SECOND", F.col("previous.measured_at"), F.col("measured_at"))
+    return rows.select("domain", "seq", F.when((dt > 5) & (dt < 3600), F.round((F.col("k") - F.col("previous.k")) / dt + F.lit(1e-9), 6)).alias("rate"))
 
 
 @query("agg_cadence", sql="SELECT user_id, 24 * count(*) FILTER (ts >= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR) AS pages_per_day FROM events GROUP BY user_id")

@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.functions import urls as U
+from weftline.operators import relational as R
 from weftline.queries.registry import query
 from weftline.session import shared_folder, table
 from weftline.sources import archive_ranges as AR
@@ -195,7 +196,7 @@ def scan_serp(p):
     host = U.host_of(F.col("url"))
     rows = p.select("query", "seq", url.alias("url")).select("query", "seq", host.alias("domain"), F.concat(host, U.path_of(F.col("url"))).alias("page"))
     first = rows.groupBy("query", "domain", "page").agg(F.min("seq").alias("first_at"))
-    return first.select("query", "domain", "page", F.row_number().over(Window.partitionBy("query").orderBy("first_at")).cast("long").alias("rank"))
+    return R.placed(first, [F.col("query"), F.col("first_at")], "query").select("query", "domain", "page", F.col("place").alias("rank"))
 
 
 @query("batched_write", "v_positions", sql="SELECT CAST(sum(n) AS BIGINT) AS n_rows, true AS bounded, CAST(sum(bad) AS BIGINT) AS refused FROM (SELECT count(*) AS n, count(*) FILTER (state = 'BLIND') AS bad FROM v_positions)")

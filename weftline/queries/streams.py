@@ -107,11 +107,13 @@ def state_machine(spark, sf_dir):
 FREE = "waiting AS (SELECT q.* FROM v_queue q WHERE state = 'waiting' AND NOT EXISTS (SELECT 1 FROM v_hosts h WHERE h.host = q.host AND h.busy_until > TIMESTAMP '2024-01-15 00:00:00'))"
 
 
-@query("state_queue_pick", "v_queue", "v_hosts", sql=f"WITH {FREE} SELECT seq, host, priority FROM waiting WHERE priority >= 2 ORDER BY priority, depth, seq LIMIT 1")
+@query("state_queue_pick", "v_queue", "v_hosts", sql=f"""WITH {FREE}, b AS (SELECT * FROM waiting WHERE priority BETWEEN 2 AND 3 QUALIFY row_number() OVER (PARTITION BY host ORDER BY priority, depth, seq) = 1),
+ f AS (SELECT * FROM waiting WHERE priority > 3 AND host NOT IN (SELECT host FROM b) QUALIFY row_number() OVER (PARTITION BY host ORDER BY priority, depth, seq) = 1), u AS (SELECT 0 AS late, * FROM b UNION ALL SELECT 1, * FROM f)
+ SELECT row_number() OVER (ORDER BY late, priority, depth, seq) AS pick, host, priority, depth, seq FROM u ORDER BY pick LIMIT 60""")
 def state_queue_pick(q, h):
-    """The next page of band 2, or of a less important one: never of a more important one, never of a busy host."""
-    busy = h.filter("busy_until > TIMESTAMP_NTZ '2024-01-15 00:00:00'").select("host")
-    return q.filter("state = 'waiting' AND priority >= 2").join(busy, "host", "left_anti").orderBy("priority", "depth", "seq").limit(1).select("seq", "host", "priority")
+    """The pages of 60 readers of bands 2 and 3, or of less important ones where these give none: never of a more important one,
+    never of a busy host, one a host."""
+    return TM.claim(q, h.filter("busy_until > TIMESTAMP_NTZ '2024-01-15 00:00:00'"), 60, 2, 3)
 
 
 @query("state_host_cap", "v_queue", sql="SELECT seq, host FROM v_queue WHERE state = 'waiting' QUALIFY row_number() OVER (PARTITION BY host ORDER BY priority, depth, seq) <= 1500")

@@ -38,14 +38,17 @@ class Lease(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held, until = self.lease.get() or (None, None)
-        before = until
+        before, at_once = until, {}
         for at, kind, id_, pause in sorted((r.at, r.kind, r.id, r.pause) for r in rows):
+            free_at = at + int(max(self.least_pause, pause) * 1e6)
             if kind == DONE:
                 if held == id_:
-                    until = at + int(max(self.least_pause, pause) * 1e6)
+                    until = free_at
+                else:
+                    at_once[id_] = free_at  # a reading that took no time reports before it is granted
                 continue
             if granted := until is None or at > until or (at == until and not self.strict):
-                held, until = id_, at + self.hold
+                held, until = id_, free_at if at_once.get(id_) == free_at else at + self.hold
             yield Row(key=key[0], id=id_, granted=granted, busy_until=until)
         if until is not None and until != before:
             self.lease.update((held, until))
