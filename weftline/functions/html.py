@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftline.functions.urls import absolutize, host_of, path_of, same_site
+from weftline.functions.urls import absolutize, host_of, path_of
 
 #: What names a page or a domain as spam.
 RISKY_TLDS = "tk|ml|ga|cf|gq|xyz|top|buzz|click|link|loan|work|bid|win|cam|rest|icu|monster|sbs"
@@ -119,8 +119,13 @@ def external_hosts(html: Column, domain: Column) -> Column:
 
 def external_of(found: Column, domain: Column) -> Column:
     """The same from the links of a page, where they are at hand."""
+    return F.array_distinct(external_hosts_of(found, domain))
+
+
+def external_hosts_of(found: Column, domain: Column) -> Column:
+    """The host of each external link: neither the page's own nor below it."""
     hosts = F.transform(found, lambda x: host_of(x["href"]))
-    return F.array_distinct(F.filter(hosts, lambda h: h.isNotNull() & ~same_site(h, domain)))
+    return F.filter(hosts, lambda h: h.isNotNull() & (h != domain) & ~F.endswith(h, F.concat(F.lit("."), domain)))
 
 
 def indexability(html: Column, header: Column) -> Column:

@@ -5,12 +5,14 @@ weighted composite in long form, and the rank of what enough was measured of."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.tristate import BLIND
 from weftline.operators import composite as C
 from weftline.operators.journal import latest
+from weftline.operators.relational import placed
+from weftline.session import written
 
 METRICS = ("click", "view", "purchase", "error", "signup")
 LEAST_SHARE = 0.60
@@ -37,8 +39,8 @@ def axes() -> dict[str, Column]:
 
 
 def recompute(journal: DataFrame) -> DataFrame:
-    """(domain, value, low, high, share, place): place ranks the domains of which LEAST_SHARE was measured, within their
-    bucket of rounded scores first, so that no task sorts all domains."""
+    """(domain, value, low, high, share, place): place ranks the domains of which LEAST_SHARE was measured, over ranges of
+    scores, so that no task sorts all domains, nor all those of one score."""
     parts = [
         F.struct(F.lit(C.AXES[n]).alias("w"), F.floor(p["value"] * 100 + 0.5).cast("double").alias("v100"), p["state"].alias("state"), p["low"].cast("double").alias("lo"), p["high"].cast("double").alias("hi"), F.when(p["state"] == BLIND, 0.0).otherwise(1.0).alias("part"))
         for n, p in axes().items()
@@ -49,11 +51,6 @@ def recompute(journal: DataFrame) -> DataFrame:
 
 
 def with_places(scores: DataFrame) -> DataFrame:
-    """``place`` by value descending, then domain, for rows that are ``shown``: counts of the 101 whole scores, then ranks
-    within each. Rows without a place are spread, for none needs to meet another."""
-    bucket = F.when(F.col("shown"), -F.floor(F.col("value"))).otherwise(1000 + F.pmod(F.xxhash64("domain"), F.lit(1000)))
-    placed = scores.withColumn("_b", bucket)
-    counts = placed.filter("shown").groupBy("_b").agg(F.count("*").alias("_c"))
-    before = counts.select("_b", (F.sum("_c").over(Window.orderBy("_b")) - F.col("_c")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("value"), "domain"))
-    return placed.withColumn("_r", rank).join(F.broadcast(before), "_b", "left").withColumn("place", F.when(F.col("shown"), F.col("_r") + F.col("_before")))
+    """``place`` by value descending, then domain, for rows that are ``shown``: they come first in an order of all rows."""
+    ranked = placed(written(scores, "scores"), [F.when(F.col("shown"), 0).otherwise(1), F.desc("value"), F.col("domain")])
+    return ranked.withColumn("place", F.when(F.col("shown"), F.col("place")))

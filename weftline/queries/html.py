@@ -138,14 +138,14 @@ def robots_prefix(p):
 def spam_inputs(p):
     host = U.host_of(c("url"))
     rows = external(p).select("page_id", host.alias("host"), H.readable_text(c("html")).alias("text"), H.links(c("html")).alias("links"), F.octet_length("html").alias("n_bytes"))
-    rows = rows.select("page_id", "host", "text", "n_bytes", F.size("links").alias("n_links"), H.external_of(c("links"), c("host")).alias("hosts"))
+    rows = rows.select("page_id", "host", "text", "n_bytes", H.external_hosts_of(c("links"), c("host")).alias("hosts"))
     domain = F.when(c("page_id") % 11 == 0, "10.2.3.4").when(c("page_id") % 13 == 0, "best-nulled.xyz").when(c("page_id") % 17 == 0, "me.github.io").otherwise(c("host"))
     http = F.when(c("page_id") % 9 == 0, 403).otherwise(200)
     text = F.when(c("page_id") % 6 == 0, F.concat("text", F.lit(" we sell a guest post here"))).when(c("page_id") % 8 == 0, F.concat("text", F.lit(" a link costs $150 only"))).when(c("page_id") % 10 == 0, F.concat("text", F.lit(" casino"))).otherwise(c("text"))
-    return rows.select("page_id", http.alias("http"), H.spam_signals(domain, text, F.when(F.size("hosts") > 0, c("n_links")).otherwise(0), F.size("hosts"), c("n_bytes"), http).alias("signals"))
+    return rows.select("page_id", http.alias("http"), H.spam_signals(domain, text, F.size("hosts"), F.size(F.array_distinct("hosts")), c("n_bytes"), http).alias("signals"))
 
 
-SPAM = f"""WITH {LINKS}, n AS (SELECT page_id, count(*) FILTER (href <> '') AS n_links FROM links GROUP BY page_id),
+SPAM = f"""WITH {LINKS}, n AS (SELECT page_id, count(*) FILTER (href LIKE 'https://%') AS n_links FROM links GROUP BY page_id),
  t AS (SELECT page_id, octet_length(encode(html)) AS n_bytes, CASE WHEN page_id % 9 = 0 THEN 403 ELSE 200 END AS http, CASE WHEN page_id % 11 = 0 THEN '10.2.3.4' WHEN page_id % 13 = 0 THEN 'best-nulled.xyz' WHEN page_id % 17 = 0 THEN 'me.github.io' ELSE {HOST} END AS domain, {READABLE.replace('html,', EXTERNAL + ',', 1)} || CASE WHEN page_id % 6 = 0 THEN ' we sell a guest post here' WHEN page_id % 8 = 0 THEN ' a link costs $150 only' WHEN page_id % 10 = 0 THEN ' casino' ELSE '' END AS text FROM v_pages),
  u AS (SELECT t.*, octet_length(encode(text)) AS size, coalesce(n_links, 0) AS n_links, list_filter(string_split_regex(text, '[.!?]\\s'), lambda s: length(s) > 40) AS sentences FROM t LEFT JOIN n USING (page_id)),
  v AS (SELECT page_id, http, http = 200 AS r, regexp_matches(domain, '^\\d+(\\.\\d+){{3}}$') AS s1, regexp_matches(domain, '\\.(xyz|top|click|link|work)$') AS s2, domain LIKE '%.github.io' AS s3, regexp_matches(domain, '(apk|crack|nulled|warez|torrent|keygen|free-?download)') AS s4,

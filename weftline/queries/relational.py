@@ -385,13 +385,15 @@ def topk_per_target(l):
     return R.capped_with_all(rows, "target", always, [F.col("kind"), F.desc("link_score"), F.col("url_src"), F.col("url_dest"), F.col("seen_at")], 400).select("target", "url_src", "url_dest", "seen_at", "kind", "hidden")
 
 
-@query("topk_per_host", "v_links", sql="""WITH a AS (SELECT src_domain, url_src, url_dest, link_score, row_number() OVER (PARTITION BY src_domain ORDER BY link_score DESC, url_src, url_dest) AS rn FROM v_links WHERE target = 't3'),
-    h AS (SELECT src_domain FROM a WHERE rn = 1 ORDER BY link_score DESC, url_src, url_dest LIMIT 30) SELECT src_domain, url_src, url_dest, rn FROM a WHERE rn <= 3 AND src_domain IN (SELECT src_domain FROM h)""")
+@query("topk_per_host", "v_links", sql="""WITH a AS (SELECT target, src_domain, url_src, url_dest, link_score, row_number() OVER (PARTITION BY target, src_domain ORDER BY link_score DESC, url_src, url_dest) AS rn FROM v_links),
+    h AS (SELECT target, src_domain FROM a WHERE rn = 1 QUALIFY row_number() OVER (PARTITION BY target ORDER BY link_score DESC, url_src, url_dest) <= 30) SELECT target, src_domain, url_src, url_dest, rn FROM a SEMI JOIN h USING (target, src_domain) WHERE rn <= 3""")
 def topk_per_host(l):
-    w = Window.partitionBy("src_domain").orderBy(F.desc("link_score"), "url_src", "url_dest")
-    ranked = l.filter("target = 't3'").withColumn("rn", F.row_number().over(w).cast("long")).filter("rn <= 3")
-    hosts = ranked.filter("rn = 1").orderBy(F.desc("link_score"), "url_src", "url_dest").limit(30).select("src_domain")
-    return ranked.join(hosts, "src_domain", "left_semi").select("src_domain", "url_src", "url_dest", "rn")
+    """Of each target the 30 hosts with the best links, three links of each."""
+    best = [F.desc("link_score"), F.col("url_src"), F.col("url_dest")]
+    rn = F.row_number().over(Window.partitionBy("target", "src_domain").orderBy(*best)).cast("long")
+    ranked = l.select("target", "src_domain", "url_src", "url_dest", "link_score").withColumn("rn", rn).filter("rn <= 3")
+    hosts = ranked.filter("rn = 1").withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(*best))).filter("place <= 30")
+    return ranked.join(hosts.select("target", "src_domain"), ["target", "src_domain"], "left_semi").select("target", "src_domain", "url_src", "url_dest", "rn")
 
 
 @query("cap_per_target", "v_links", sql="""SELECT target, url_src, url_dest, row_number() OVER w AS place, greatest(count(*) OVER (PARTITION BY target) - 3000, 0) AS overflow, CASE WHEN count(*) OVER (PARTITION BY target) > 3000 THEN 'floor' ELSE 'measured' END AS nature

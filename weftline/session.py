@@ -38,6 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df, kind: str):
+    """``df`` written to a folder of its own and read again, for what is costly and read more than once."""
+    folder = shared_folder(df.sparkSession, kind)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 SHARED: list[str] = []  #: folders named by this driver, for remove_shared
 
 
