@@ -1,7 +1,7 @@
 import random
 
 from tests.llm.test_duplicates import shingles
-from weftline.llm import neardup
+from weftline.llm import neardup, suffixes
 
 
 def roots(rows, percent):
@@ -46,3 +46,11 @@ def test_near_links_of_every_text(make_docs):
     for r in neardup.near_duplicates(make_docs(*rows)).collect():
         found.setdefault(r.doc_id, set()).add(r.component_id)
     assert found == {i: {root} for i, root in roots(rows, 80).items()}
+
+
+def test_a_crowd_of_equal_rows_repeats_itself(make_docs):
+    """3000 rows of one id and text, long enough to repeat: all of each goes; a text of its own stays, one that shares a part loses it."""
+    crowd, other = " ".join(f"word{k * 7919 % 1000}" for k in range(150)), " ".join(f"lone{k * 31 % 997}" for k in range(150))
+    mixed = other[:300] + crowd[100:600]
+    rows = suffixes.repeat_counts(make_docs(*[(7, crowd)] * 3000, (8, " ".join(f"own{k}" for k in range(200))), (9, mixed))).collect()
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in rows} == {(7, len(crowd), len(crowd), 1), (8, len(" ".join(f"own{k}" for k in range(200))), 0, 0), (9, 800, 500, 1)} and len(rows) == 3002

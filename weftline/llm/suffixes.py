@@ -326,7 +326,8 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     full = again.drop("times").join(kinds.filter("times > 1").select("core", "around"), ["core", "around"]).groupBy("row").agg(F.collect_list("at").alias("full"))
     names = signed.select("row", "doc_id", "text_key", "own")
     wanted = names.join(full.join(opened, "row", "full"), "row").groupBy("doc_id", "text_key").agg(
-        F.array_distinct(F.flatten(F.array_append(F.collect_list(F.coalesce("full", F.array().cast("array<int>"))), F.flatten(F.collect_list("own"))))).alias("full"),
+        # rows that repeat have the same cores, so one of them speaks for all
+        F.array_distinct(F.concat(*[F.coalesce(F.first(c, ignorenulls=True), F.array().cast("array<int>")) for c in ("full", "own")])).alias("full"),
         F.array_distinct(F.flatten(F.collect_list("open"))).alias("open"),
     )
     texts = keep(spark, keyed(docs).hint("merge").join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]), "texts")
