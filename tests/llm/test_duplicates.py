@@ -81,6 +81,44 @@ def test_texts_sent_grow_with_the_group(spark):
     assert far.count() == 5000 + 100 * blocks
 
 
+def templated(rng, count, words=200):
+    """Documents of which one half is a template, every third one with a near copy; no two others are similar."""
+    template, rows = [f"t{i}" for i in range(words)], []
+    for i in range(count):
+        own = [f"o{rng.randrange(10**9)}" for _ in range(words)]
+        rows.append((i, " ".join(template + own)))
+        if i % 3 == 0:
+            own[rng.randrange(words)] = "changed"
+            rows.append((i + 10**6, " ".join(template + own)))
+    return rows
+
+
+def test_documents_of_one_template_meet_in_few_texts(make_docs, monkeypatch):
+    """All share bands, so all are far members of a few pivots; texts sent must not grow with the square."""
+    rows, sent, blocks = templated(random.Random(12), 900), [], []
+    docs = make_docs(*rows)
+    texts, pairs = neardup.pivot_rows, neardup.far_rows
+    monkeypatch.setattr(neardup, "pivot_rows", lambda *a: (sent.append(texts(*a)), sent[-1])[1])
+    monkeypatch.setattr(neardup, "far_rows", lambda *a: (blocks.append(pairs(*a).count()), pairs(*a))[1])
+    monkeypatch.setattr(neardup, "drop_kept", lambda *tables: None)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 85).collect()}
+    assert got == {i: i % 10**6 for i, _ in rows}
+    assert len(sent) == 2 and sent[1].count() < 3 * len(rows) and sum(blocks) < 3 * len(rows)
+
+
+def test_rare_prefixes_of_similar_sets_meet():
+    """Whatever the order of the shingles, sets that reach the similarity share one of their prefixes."""
+    rng = np.random.default_rng(11)
+    for percent in (80, 85):
+        for trial in range(300):
+            common = rng.integers(2, 5, 1 << neardup.SLOT_BITS).astype(np.uint32)
+            whole = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 80)).astype(np.uint64))
+            a, b = (np.unique(whole[rng.random(len(whole)) < 0.96]) for _ in range(2))
+            both = len(np.intersect1d(a, b))
+            if both and 100 * both >= percent * (len(a) + len(b) - both):
+                assert len(np.intersect1d(neardup.rare_prefix(a, common, percent), neardup.rare_prefix(b, common, percent)))
+
+
 def test_shared_counts_with_common_shingles():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 300, 120).astype(np.uint64)) for _ in range(60)]

@@ -6,9 +6,13 @@ evaluations make 128 values: 32 bands of 4. A pair at similarity 0.85 shares no
 
 Groups of copies never become all pairs: equal sets are one class; each bucket names as its pivot the member that meets
 most others, and first each member is compared with its pivots alone, in blocks of bounded size that each get the pivot's
-text: texts sent grow with the members. Only members that this leaves outside their pivot's component, far ones, are then
-compared with the whole group, a block of them with a block of members at a time; such a task counts intersections for all
-its members at once and gives only a star per component found. Pairs within one component need no link, so none is lost.
+text: texts sent grow with the members. Members that this leaves outside their pivot's component are far ones. They and the
+members they could link with meet again in narrower groups, without any signature: shingles are put in one order, rare ones
+first, and two sets that reach the similarity must share one of the first few of each (a prefix filter, which is exact). What
+documents of one template share is common and comes last, so a template brings no pair together. The new groups are compared
+with their pivots in turn, and only what stays outside then meets its whole group, a block with a block at a time; such a task
+counts intersections for all its members at once and gives only a star per component found. Pairs within one component need
+no link, so none is lost.
 
 Defined cases: texts without words (null, empty, white space) link with nothing; a null doc_id links
 with nothing and has a null component; rows that repeat a doc_id count as one document, linked through
@@ -32,6 +36,7 @@ PERMUTATIONS = 64
 ROWS = 4
 BLOCK_DOCS = 256
 BLOCK_SHINGLES = 1_000_000
+SLOT_BITS = 20  #: of the table of how common shingles are: 4 MB at every size of the corpus
 SIGNED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
@@ -118,15 +123,16 @@ STAR = pa.schema([("pivot", pa.int64()), ("pivot_key", pa.int64()), ("doc_id", p
 STAR_DDL = "pivot long, pivot_key long, doc_id long, text_key long, n_shingles long, near boolean"
 
 
-def compare_with_pivots(percent: int):
-    """Rows come by pivot and block, the pivot's own text before the members: whether each reaches ``percent``."""
+def compare_with_pivots(percent: int, read):
+    """Rows come by pivot and block, the pivot's own before the members: whether each reaches ``percent``. ``read`` makes the
+    shingle set of a row's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         center = None
         for batch in batches:
             out = []
             for pivot, pivot_key, doc_id, key, is_pivot, raw in rows_of([batch], *PIVOT, "doc_id", "text_key", "is_pivot", "raw"):
-                own = shingle_set(raw)
+                own = read(raw)
                 if is_pivot:
                     center = own
                 else:
@@ -156,7 +162,7 @@ def compare_blocks(percent: int):
                     at, ids, sides, sets = (pivot, key, left, right), [], [], []
                 ids.append(doc_id)
                 sides.append(side)
-                sets.append(shingle_set(raw))
+                sets.append(read_set(raw))
             if len(out) > 10_000:
                 yield batch_of(schema, list(zip(*out, strict=True)))
                 out = []
@@ -168,12 +174,12 @@ def compare_blocks(percent: int):
 
 
 def pivots(reps: DataFrame) -> DataFrame:
-    """Written, distinct (pivot, pivot_key, doc_id, text_key, n_shingles): for each bucket of two or more, its members under the member that
-    meets most others over all its buckets. Linear in the members of buckets."""
+    """Written, distinct (pivot, pivot_key, doc_id, text_key, n_shingles): for each bucket of two or more, at least one of them
+    ``open``, its members under the member that meets most others over all its buckets. Linear in the members of buckets."""
     spark = reps.sparkSession
-    member = reps.select("doc_id", "text_key", "n_shingles", F.explode("bands").alias("bucket"))
-    full = keep(spark, member.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
-    member = keep(spark, member.join(full, "bucket"), "members")
+    member = reps.select("doc_id", "text_key", "n_shingles", "open", F.explode("bands").alias("bucket"))
+    full = keep(spark, member.groupBy("bucket").agg(F.count("*").alias("size"), F.max("open").alias("open")).filter("size > 1 and open").drop("open"), "buckets")
+    member = keep(spark, member.drop("open").join(full, "bucket"), "members")
     drop_kept(full)
     met = member.groupBy("doc_id", "text_key").agg(F.sum("size").alias("met"))
     ranked = member.join(met, ["doc_id", "text_key"])
@@ -225,29 +231,142 @@ def far_rows(far: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame
     return left.unionByName(right)
 
 
+def read_set(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
+
+
+def slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+SETS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("open", pa.bool_()), ("raw", pa.binary())])
+PREFIXES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("open", pa.bool_()), ("bands", pa.list_(pa.int64()))])
+
+
+def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            out = [(i, key, far, shingle_set(raw).tobytes()) for i, key, far, raw in rows_of([batch], "doc_id", "text_key", "open", "raw")]
+            yield batch_of(SETS, list(zip(*out, strict=True)))
+
+
+def count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets of a partition hold a shingle of each slot, added up before anything is sent."""
+    total = np.zeros(1 << SLOT_BITS, np.int64)
+    for (raw,) in rows_of(batches, "raw"):
+        np.add.at(total, slots(read_set(raw)), 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["slot", "n"])
+
+
+def commonness(sets: DataFrame) -> np.ndarray:
+    """How common the shingles of each of 2^SLOT_BITS slots are in ``sets``. Slots of rare and common shingles may fall together:
+    any order makes the prefix filter exact, a better one only makes its groups smaller."""
+    found = map_arrow(sets.select("raw"), count_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(1 << SLOT_BITS, np.uint32)
+    table[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), np.iinfo(np.uint32).max)
+    return table
+
+
+def rare_prefix(shingles: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    """The first n - ceil(percent n / 100) + 1 shingles, rare ones first. Two sets that reach ``percent`` have at least that
+    share of either in common, so the first that they share stands in both prefixes. One that no other set holds is left out."""
+    count = common[slots(shingles)]
+    first = np.lexsort((shingles, count))[: len(shingles) - -(-percent * len(shingles) // 100) + 1]
+    return shingles[first[count[first] > 1]]
+
+
+def prefixes(common, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, key, far, raw in rows_of([batch], "doc_id", "text_key", "open", "raw"):
+                s = read_set(raw)
+                out.append((doc_id, key, len(s), far, rare_prefix(s, common.value, percent).view(np.int64)))
+            if out:
+                yield batch_of(PREFIXES, list(zip(*out, strict=True)))
+
+    return run
+
+
+def stars_of(met: DataFrame, fetch, read, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Written (groups, stars): into how many blocks each pivot's members go, and whether each member reaches ``percent`` with its
+    pivot. ``fetch`` adds the bytes that ``read`` makes a set of."""
+    spark = met.sparkSession
+    groups = keep(spark, groups_of(met, "blocks"), "groups")
+    rows = fetch(pivot_rows(met, groups)).repartition(partitions(spark), *PIVOT, "block").sortWithinPartitions(*PIVOT, "block", F.desc("is_pivot"))
+    return groups, keep(spark, map_arrow(rows.select(*PIVOT, "doc_id", "text_key", "is_pivot", "raw"), compare_with_pivots(percent, read), STAR_DDL), "stars")
+
+
+def star_links(stars: DataFrame) -> DataFrame:
+    return stars.filter("near").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+
+
+def rooted(found: DataFrame, column: str) -> DataFrame:
+    return found.select(F.col("id").alias(column), F.col("root").alias(f"root_{column}"))
+
+
+def far_members(stars: DataFrame, found: DataFrame) -> DataFrame:
+    """Written (pivot, pivot_key, doc_id, text_key, n_shingles): members outside their pivot's component."""
+    rows = stars.filter("not near").join(rooted(found, "doc_id"), "doc_id", "left").join(rooted(found, "pivot"), "pivot", "left")
+    outside = F.coalesce("root_doc_id", "doc_id") != F.coalesce("root_pivot", "pivot")
+    return keep(stars.sparkSession, rows.filter(outside).select(*PIVOT, "doc_id", "text_key", "n_shingles"), "far")
+
+
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, root) of the components ``found`` after further ``links`` (a, b)."""
+    for end in ("a", "b"):
+        links = links.join(rooted(found, end), end, "left").withColumn(end, F.coalesce(f"root_{end}", end)).drop(f"root_{end}")
+    again = components(links)
+    last = again.select(F.col("id").alias("root"), F.col("root").alias("above"))
+    merged = found.join(last, "root", "left").select("id", F.coalesce("above", "root").alias("root"))
+    return merged.union(again.join(found.select("id"), "id", "left_anti").select("id", "root"))
+
+
+def far_sets(docs: DataFrame, far: DataFrame, stars: DataFrame) -> DataFrame:
+    """Written (doc_id, text_key, open, raw): the shingle set of each far member (``open``) and of each member of a group that has
+    far ones, once each."""
+    spark, key = docs.sparkSession, ["doc_id", "text_key"]
+    members = stars.join(far.select(*PIVOT).distinct(), PIVOT, "left_semi").select(*key, F.lit(False).alias("open"))
+    wanted = members.union(far.select(*key, F.lit(True))).groupBy(key).agg(F.max("open").alias("open"))
+    wanted = keep(spark, wanted, "far-wanted")
+    return keep(spark, map_arrow(with_texts(docs, wanted).select(*key, "open", "raw"), to_sets, "doc_id long, text_key long, open boolean, raw binary"), "sets")
+
+
+def prefix_groups(sets: DataFrame, percent: int) -> DataFrame:
+    """Members by pivot, as ``pivots`` gives them, over the rare prefixes of ``sets``."""
+    spark = sets.sparkSession
+    common = spark.sparkContext.broadcast(commonness(sets))
+    short = keep(spark, map_arrow(sets, prefixes(common, percent), "doc_id long, text_key long, n_shingles long, open boolean, bands array<long>"), "prefixes")
+    common.destroy()
+    met = pivots(short)
+    drop_kept(short)
+    return met
+
+
 def similar_components(docs: DataFrame, reps: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     """(id, root) of what full sets show as similar and of the links in ``shared`` (a, b). ``reps``: doc_id, text_key,
-    n_shingles, bands."""
+    n_shingles, open, bands."""
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     met = pivots(reps)
-    groups = keep(spark, groups_of(met, "blocks"), "groups")
-    rows = with_texts(docs, pivot_rows(met, groups)).repartition(n, *PIVOT, "block").sortWithinPartitions(*PIVOT, "block", F.desc("is_pivot"))
-    stars = keep(spark, map_arrow(rows.select(*PIVOT, "doc_id", "text_key", "is_pivot", "raw"), compare_with_pivots(percent), STAR_DDL), "stars")
-    found = components(stars.filter("near").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).union(shared))
-    root = lambda c: found.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
-    rooted = stars.filter("not near").join(root("doc_id"), "doc_id", "left").join(root("pivot"), "pivot", "left")
-    far = keep(spark, rooted.filter(F.coalesce("root_doc_id", "doc_id") != F.coalesce("root_pivot", "pivot")).select(*PIVOT, "doc_id", "text_key", "n_shingles"), "far")
+    groups, stars = stars_of(met, lambda placed: with_texts(docs, placed), shingle_set, percent)
+    found = components(star_links(stars).union(shared))
+    far = far_members(stars, found)
     if far.isEmpty():
         return found
-    rows = with_texts(docs, far_rows(far, stars, groups)).repartition(n, *PIVOT, "left", "right").sortWithinPartitions(*PIVOT, "left", "right")
-    late = keep(spark, map_arrow(rows.select(*PIVOT, "left", "right", "side", "doc_id", "raw"), compare_blocks(percent), "a long, b long"), "far-links")
+    sets = far_sets(docs, far, stars)
     drop_kept(met, groups, stars, far)
-    for end in ("a", "b"):
-        late = late.join(root(end), end, "left").withColumn(end, F.coalesce(f"root_{end}", end)).drop(f"root_{end}")
-    again = components(late)
-    last = again.select(F.col("id").alias("root"), F.col("root").alias("above"))
-    merged = found.join(last, "root", "left").select("id", F.coalesce("above", "root").alias("root"))
-    return merged.union(again.join(found.select("id"), "id", "left_anti").select("id", "root"))
+    texts = lambda placed: placed.join(sets.select("doc_id", "text_key", "raw").hint("merge"), ["doc_id", "text_key"])
+    met = prefix_groups(sets, percent)
+    groups, stars = stars_of(met, texts, read_set, percent)
+    found = keep(spark, joined(found, star_links(stars)), "found")
+    far = far_members(stars, found)
+    if far.isEmpty():
+        return found
+    rows = texts(far_rows(far, stars, groups)).repartition(n, *PIVOT, "left", "right").sortWithinPartitions(*PIVOT, "left", "right")
+    late = keep(spark, map_arrow(rows.select(*PIVOT, "left", "right", "side", "doc_id", "raw"), compare_blocks(percent), "a long, b long"), "far-links")
+    drop_kept(met, groups, stars, far, sets)
+    return joined(found, late)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -258,7 +377,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     signed = keep(spark, map_arrow(keyed_texts(rows), sign, "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>"), "signed")
     linkable = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = keep(spark, linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = keep(spark, linkable.join(classes, "set_key").filter("doc_id = rep").dropDuplicates(["set_key"]).select("doc_id", "text_key", "n_shingles", "bands"), "reps")
+    reps = keep(spark, linkable.join(classes, "set_key").filter("doc_id = rep").dropDuplicates(["set_key"]).select("doc_id", "text_key", "n_shingles", F.lit(True).alias("open"), "bands"), "reps")
     repeated = linkable.groupBy("doc_id").agg(F.min("set_key").alias("one"), F.max("set_key").alias("other")).filter("one <> other").select("doc_id")
     shared = linkable.join(repeated, "doc_id").join(classes, "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = similar_components(rows, reps, shared, percent)
