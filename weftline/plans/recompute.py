@@ -51,6 +51,7 @@ def recompute(journal: DataFrame) -> DataFrame:
 
 
 def with_places(scores: DataFrame) -> DataFrame:
-    """``place`` by value descending, then domain, for rows that are ``shown``: they come first in an order of all rows."""
-    ranked = placed(written(scores, "scores"), [F.when(F.col("shown"), 0).otherwise(1), F.desc("value"), F.col("domain")])
+    """``place`` by value descending, then domain, for rows that are ``shown``: they come first in an order of all rows. Values
+    are compared at nine decimals: two domains may reach one value by other parts, and sums of doubles differ in their last bit."""
+    ranked = placed(written(scores, "scores"), [F.when(F.col("shown"), 0).otherwise(1), F.round("value", 9).desc(), F.col("domain")])
     return ranked.withColumn("place", F.when(F.col("shown"), F.col("place")))
