@@ -8,6 +8,7 @@ from weftline.operators import composite as C
 from weftline.operators import relational as R
 from weftline.operators import tasks as TM
 from weftline.operators import traffic as T
+from weftline.queries import registry
 from weftline.sources import parsers as P
 from weftline.sources import report, sitemap
 from weftline.sources.store import JournalStore, write_batches
@@ -115,6 +116,26 @@ def test_report_states(spark):
     assert sum(k[0] == "b" for k in found) == sum(k[0] == "c" for k in found) == len(report.SECTIONS)
 
 
+def test_odd_reports(spark):
+    """Sections of other kinds, lists within lists, numbers as text, histories without figures."""
+    texts = {
+        "null": '{"backlinks":null,"keywords":[1],"searchTraffic":"x"}', "text": '{"backlinks":{"visible":"false","backlinks":{"value":"12"}},"competitors":{"items":[{"slug":7,"visits":"3"},null,[1]]}}',
+        "bare": '{"visitorEngagement":{"visits":{},"visitsHistory":[{"displayDate":"d"},{"visits":null}]},"trafficByCountry":{"series":{"country":"fr"}}}',
+    }
+    rows = spark.createDataFrame(list(texts.items()), "domain string, report string")
+    found = {(r.domain, r.metric, r.subject): (r.value, r.state) for r in report.report_metrics(rows, "domain", "report").collect()}
+    assert found["null", "authority", None] == (None, "ABSENT") and found["null", "organic_visits", None] == (None, "ABSENT") and ("null", "section_summary", None) in found
+    assert found["text", "backlinks", None] == (12.0, "MEASURED") and found["text", "authority", None] == (None, "BLIND") and found["text", "section_backlinks", None] == (None, "BLIND")
+    assert found["text", "competitor_visits", "7"] == (3.0, "MEASURED") and found["text", "competitor_visits", "unknown"] == (None, "ABSENT")
+    assert found["bare", "visits", None] == (None, "ABSENT") and found["bare", "visits@", "d"] == (None, "ABSENT") and not any(k[1] == "country_visits" for k in found)
+
+
+def test_reports_of_a_small_file_are_shared_out(spark, sf_dir):
+    """The ranks are one file of some kilobytes, which is read by one task; their reports must not be."""
+    assert spark.read.parquet(f"{sf_dir}/part.parquet").rdd.getNumPartitions() == 1
+    assert registry.QUERIES["scan_report_json"](spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
 def test_store_keeps_what_it_replaces(spark, tmp_path):
     store = JournalStore(spark, f"file://{tmp_path}/j")
     rows = spark.createDataFrame([(1, "a", "m", "s", "MEASURED", 1.0, "x"), (2, "a", "m", "s", "MEASURED", 2.0, "x"), (3, "b", "m", "s", "BLIND", None, None)], "seq long, domain string, metric string, source string, state string, value double, obs_id string").withColumn("measured_at", F.lit("2024-01-01").cast("timestamp_ntz"))

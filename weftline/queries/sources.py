@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from weftline.functions import urls as U
 from weftline.operators import relational as R
 from weftline.queries.registry import query
-from weftline.session import shared_folder, table
+from weftline.session import shared_folder, shared_out, table
 from weftline.sources import archive_ranges as AR
 from weftline.sources import parsers as P
 from weftline.sources import report as RJ
@@ -149,7 +149,9 @@ REPORT_SQL = """WITH r AS (SELECT domain, id, rank_a::DOUBLE AS r FROM v_ranks),
 
 @query("scan_report_json", "v_ranks", sql=REPORT_SQL)
 def scan_report_json(r):
-    """Reports of ten sections: one is missing throughout, one of some domains, one is held back for others."""
+    """Reports of ten sections: one is missing throughout, one of some domains, one is held back for others. The ranks lie in few
+    megabytes, which are one task's as they are read; their rows are shared out before reports are made of them."""
+    r = shared_out(r)
     rank = F.col("rank_a").cast("string")
     backlinks = F.concat(F.lit('"backlinks":{"authorityScore":{"value":null},"backlinks":{"value":'), rank, F.lit(',"valueDiffPercent":0.5},"referringDomains":{"value":12},"backlinksHistory":[{"displayDate":"2024-01-01","backlinks":'), rank, F.lit('},{"displayDate":"2024-02-01","backlinks":null}]},'))
     report = F.concat(

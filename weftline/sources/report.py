@@ -5,6 +5,8 @@ values: the sections the report should have, and the places of their figures."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,32 +56,39 @@ def report_metrics(df: DataFrame, key: str, column: str) -> DataFrame:
     """(key, metric, subject, value, state) of a JSON report. A section that is missing, or held back (``visible`` false),
     gives a BLIND row of its own. A figure that is null is ABSENT, unless its section is held back or has a history with
     figures: then the source has it and withholds it, and it is BLIND. Text that is no JSON lacks every section."""
-    v = F.col("_v")
-    rows = df.select(key, F.try_parse_json(column).alias("_v"))
-    get = lambda path, kind="double": F.try_variant_get(v, f"$.{path}", kind)
+    get = lambda s, path, kind="double": F.try_variant_get(f"_{s}", f"$.{path}", kind)
     one = lambda metric, value, state, subject=None: F.struct(F.lit(metric).alias("metric"), (F.lit(None).cast("string") if subject is None else subject).alias("subject"), value.alias("value"), state.alias("state"))
     none = F.lit(None).cast("double")
-    there = {s: get(s, "variant").isNotNull() for s in SECTIONS}
-    hidden = {s: F.coalesce(~get(f"{s}.visible", "boolean"), F.lit(False)) for s in SECTIONS}
-
-    def items(section: str, path: str, name: str, fields: dict[str, str]) -> Column:
-        return F.coalesce(F.try_variant_get(v, f"$.{section}.{path}", "array<variant>"), F.array().cast("array<variant>"))
+    # in steps, so that the text is parsed once, each section and list is looked up once and each rule worked out once
+    parsed = df.select(key, F.try_parse_json(column).alias("_v"))
+    sections = parsed.select(key, *[F.try_variant_get("_v", f"$.{s}", "variant").alias(f"_{s}") for s in SECTIONS])
+    lists = {f"_list{i}": entry for i, entry in enumerate(LISTS)}
+    read = sections.select("*", *[F.coalesce(get(s, path, "array<variant>"), F.array().cast("array<variant>")).alias(c) for c, (s, path, _, _) in lists.items()])
+    hidden = {s: F.coalesce(~get(s, "visible", "boolean"), F.lit(False)) for s in SECTIONS}
 
     def figures(section: str) -> Column:
         """Whether any history of the section holds a figure."""
         any_of = lambda fields: lambda x: F.coalesce(*[F.try_variant_get(x, f"$.{f}", "double") for f in fields]).isNotNull()
-        found = [F.exists(items(*entry), any_of(entry[3].values())) for entry in LISTS if entry[0] == section and entry[2] == "displayDate"]
-        return F.lit(False) if not found else found[0] if len(found) == 1 else found[0] | found[1]
+        found = [F.exists(c, any_of(entry[3].values())) for c, entry in lists.items() if entry[0] == section and entry[2] == "displayDate"]
+        return reduce(lambda a, b: a | b, found, F.lit(False))
 
-    withheld = {s: hidden[s] | figures(s) for s in SECTIONS}
+    numbers = {**HEADS, **EXTRAS}
+    figured = read.select(
+        key, *lists,
+        *[F.col(f"_{s}").isNotNull().alias(f"_there_{s}") for s in SECTIONS],
+        *[hidden[s].alias(f"_hidden_{s}") for s in SECTIONS],
+        *[(hidden[s] | figures(s)).alias(f"_withheld_{s}") for s in SECTIONS],
+        *[get(s, path).alias(f"_of_{m}") for m, (s, path) in numbers.items()],
+    )
+    flag = lambda kind, s: F.col(f"_{kind}_{s}")
     absent = lambda value: F.when(value.isNotNull(), "MEASURED").otherwise("ABSENT")
-    parts = [F.when(~there[s] | hidden[s], F.array(one(f"section_{s}", none, F.lit("BLIND")))) for s in SECTIONS]
-    for metric, (s, path) in HEADS.items():
-        value = get(f"{s}.{path}")
-        parts.append(F.when(there[s], F.array(one(metric, value, F.when(value.isNotNull(), "MEASURED").when(withheld[s], "BLIND").otherwise("ABSENT")))))
-    for metric, (s, path) in EXTRAS.items():
-        value = get(f"{s}.{path}")
-        parts.append(F.when(value.isNotNull(), F.array(one(metric, value, F.lit("MEASURED")))))
+    parts = [F.when(~flag("there", s) | flag("hidden", s), one(f"section_{s}", none, F.lit("BLIND"))) for s in SECTIONS]
+    for metric, (s, _) in HEADS.items():
+        value = F.col(f"_of_{metric}")
+        parts.append(F.when(flag("there", s), one(metric, value, F.when(value.isNotNull(), "MEASURED").when(flag("withheld", s), "BLIND").otherwise("ABSENT"))))
+    for metric in EXTRAS:
+        value = F.col(f"_of_{metric}")
+        parts.append(F.when(value.isNotNull(), one(metric, value, F.lit("MEASURED"))))
 
     def rows_of(name: str, fields: dict[str, str]):
         def one_item(x: Column) -> Column:
@@ -89,7 +98,5 @@ def report_metrics(df: DataFrame, key: str, column: str) -> DataFrame:
 
         return one_item
 
-    for s, path, name, fields in LISTS:
-        parts.append(F.flatten(F.transform(items(s, path, name, fields), rows_of(name, fields))))
-    empty = F.array().cast(ROW)
-    return rows.select(key, F.inline(F.concat(*[F.coalesce(p.cast(ROW), empty) for p in parts])))
+    told = [F.flatten(F.transform(c, rows_of(name, fields))).cast(ROW) for c, (_, _, name, fields) in lists.items()]
+    return figured.select(key, F.inline(F.concat(F.array_compact(F.array(*parts)).cast(ROW), *told)))
