@@ -7,6 +7,7 @@ from tests.test_journal_rules import rows
 from weftline.functions import html as H
 from weftline.functions import urls as U
 from weftline.operators import journal as J
+from weftline.queries import registry
 from weftline.sources import parsers as P
 from weftline.sources import sitemap
 
@@ -28,6 +29,12 @@ def test_accents_never_cut_words(spark, text, want):
     assert value(spark, H.normalize_text(F.lit(text))) == want
 
 
+def test_terms_are_sought_in_a_text_made_once(spark, sf_dir):
+    """A lambda over the terms would take each text apart anew for every term."""
+    plan = registry.QUERIES["terms_found"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1 and "lambdafunction(Contains(" not in plan and "lambdafunction(contains(" not in plan.lower()
+
+
 @pytest.mark.parametrize("href, want", [
     ("../x", "https://a.org/b/x"), ("./x", "https://a.org/b/c/x"), ("../../../../x", "https://a.org/x"), ("x/../y/./z", "https://a.org/b/c/y/z"), ("..", "https://a.org/b/"), (".", "https://a.org/b/c/"), ("%2E%2e/x", "https://a.org/b/x"),
     ("?q=../a", "https://a.org/b/c/d.html?q=../a"), ("#t", "https://a.org/b/c/d.html?k=1#t"), ("", "https://a.org/b/c/d.html?k=1"), ("  /p  ", "https://a.org/p"), ("/a//b/../c", "https://a.org/a//c"), ("//B.org", "https://b.org/"),
