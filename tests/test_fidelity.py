@@ -9,6 +9,7 @@ from weftline.operators import relational as R
 from weftline.operators import tasks as TM
 from weftline.operators import traffic as T
 from weftline.queries import registry
+from weftline.queries.html import spam_inputs
 from weftline.sources import parsers as P
 from weftline.sources import report, sitemap
 from weftline.sources.store import JournalStore, write_batches
@@ -116,6 +117,27 @@ def test_report_states(spark):
     assert sum(k[0] == "b" for k in found) == sum(k[0] == "c" for k in found) == len(report.SECTIONS)
 
 
+def test_price_after_wide_signs(spark):
+    """Signs outside the basic plane are one character each where text is cut: the price is found where it stands."""
+    at = lambda gap: one(spark, H.spam_signals(F.lit("a.org"), F.lit("😀" * 300 + " a link costs " + gap + "$150 only " + "y" * 900), F.lit(0), F.lit(0), F.lit(5000), F.lit(200)).alias("x"))["x"]
+    assert [s["code"] for s in at("")] == ["price_near_link"] and at("." * 200) == []
+
+
+def test_links_of_a_page_without_host(spark):
+    """Every link leaves a page whose address has no host; with one, its own links stay out."""
+    hosts = one(spark, *[H.external_hosts(F.lit('<a href="https://b.org/x">x</a><a href="https://www.a.org/">y</a><a href="/z">z</a>'), F.lit(d).cast("string")).alias(n) for n, d in (("none", None), ("own", "a.org"))])
+    assert sorted(hosts["none"]) == ["a.org", "b.org"] and hosts["own"] == ["b.org"]
+
+
+def test_size_of_a_page_is_its_own(spark):
+    """The query gives links to other sites to its pages; a page of under 100,000 bytes is not larger for that."""
+    html = "<script>" + "x" * 99_900 + '</script><a href="/p">p</a><a href="/q">q</a>'
+    assert len(html) < 100_000
+    pages = spark.createDataFrame([(1, "https://a.org/", html, "nofollow"), (7, None, "y" * 200 + html, "nofollow")], "page_id long, url string, html string, rel string")
+    codes = {r["page_id"]: [s["code"] for s in r["signals"]] for r in spam_inputs(pages).collect()}
+    assert codes == {1: ["link_ratio", "thin"], 7: []}
+
+
 def test_odd_reports(spark):
     """Sections of other kinds, lists within lists, numbers as text, histories without figures."""
     texts = {
